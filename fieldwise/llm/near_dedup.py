@@ -7,18 +7,25 @@ their full sets are compared; those that stay are confirmed on the full sets.
 
 1. Documents with equal sets form one class; only its smallest doc_id goes on.
 2. Within each band bucket every member meets the bucket's smallest member.
-3. Confirmed links are joined into components. Pairs of one bucket that are not yet in one component
-   are then compared too, unless both are known: so every pair that shares a band is either
-   connected already or compared, while a bucket of m like texts costs m comparisons. Larger buckets are cut into
-   blocks of ``block`` members, so no task holds more than two blocks.
+3. Confirmed links are joined into components. In rounds, each member outside its bucket's main
+   component names its likeliest partners in other components of the bucket; those are confirmed and
+   components joined, and later rounds name more, until nobody has a partner left that was not named. So every
+   pair that shares a band is connected already, ruled out by its sketches, or compared, while a
+   bucket of m like texts costs a few m comparisons. Larger buckets are cut into blocks of
+   ``block`` members, so no task holds more than two blocks.
 4. Components of all links give the result.
 
+Two bitmaps rule pairs out. The odd sketch of the samples leaves five standard deviations of room. The
+parities of the whole set are never further apart than the sets themselves, so they drop no link; sets of more than
+``FOLD`` shingles fold a sample of them, again with five standard deviations of room.
+
 Scale: counts and smallest members are combined before shuffles, joins on hot keys can be split by adaptive
 execution, comparisons with one leader are dealt over salts. Full sets are written once, for
-documents that share a band with another, and nothing else of the text is kept.
+documents that share a band with another (picked by a bitmap of fixed size, which may let in others, but
+leaves none out), and nothing else of the text is kept or shuffled.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are kept; fewer
-words than ``words`` form one shingle; repeated rows (equal doc_id) are one document and give one row; rows with a
+words than ``words`` form one shingle; repeated rows (equal doc_id) are one document, each row of which is given; rows with a
 null doc_id are left out; no rows give no rows.
 """
 
@@ -36,6 +43,11 @@ from fieldwise.llm.common import stored
 from fieldwise.llm.components import connected_components
 
 SKETCH_BITS = 512
+PARITY_BITS = 1024
+#: Sets up to this size fold all their shingles.
+FOLD = 512
+#: Bits of the bitmap of wanted documents.
+BITMAP_BITS = 1 << 25
 _rng = np.random.default_rng(99)
 _MULTIPLY = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, 512, dtype=np.uint64)
@@ -76,6 +88,21 @@ def signatures(shingles: np.ndarray, begin: np.ndarray, bands: int, rows: int) -
     return keys, np.packbits(odd & 1, axis=1, bitorder="little").view("<u8").reshape(n, SKETCH_BITS // 64)
 
 
+def parities(shingles: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each non-empty set, and the parities of its shingles whose hash the level lets in."""
+    level = np.maximum(np.ceil(np.log2(size / FOLD)), 0).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    h = tx.mix(shingles ^ np.uint64(0xBEEF))
+    taken = (h >> np.uint64(32)) < (np.uint64(1 << 32) >> level[row].astype(np.uint64))
+    odd = np.zeros((len(size), PARITY_BITS), np.uint8)
+    np.add.at(odd, (row[taken], (h[taken] % np.uint64(PARITY_BITS)).astype(np.int64)), 1)
+    return level, np.packbits(odd & 1, axis=1, bitorder="little").view("<u8").reshape(len(size), PARITY_BITS // 64)
+
+
+def bitmap_slot(ids: np.ndarray) -> np.ndarray:
+    return (tx.mix(ids.view(np.uint64)) % np.uint64(BITMAP_BITS)).astype(np.int64)
+
+
 def most_differing_bits(similarity: float, samples: int) -> int:
     """How many bits may differ before a pair is dropped: five standard deviations beyond what
     ``similarity`` gives. Each of the differing samples flips up to two bits, less what falls together."""
@@ -96,45 +123,61 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
                 size = np.diff(begin)
                 some = np.flatnonzero(size)
                 ends = np.concatenate([[0], np.cumsum(size[some])])
-                keys, odd = signatures(shingles, ends, bands, rows) if len(some) else (np.zeros((0, bands), np.uint64), np.zeros((0, SKETCH_BITS // 64), np.uint64))
+                none = np.zeros((0, 1), np.uint64)
+                keys, odd = signatures(shingles, ends, bands, rows) if len(some) else (none, none)
+                level, parity = parities(shingles, size[some]) if len(some) else (np.zeros(0, np.int64), none)
                 total = [np.concatenate([[np.uint64(0)], np.cumsum(tx.mix(shingles ^ seed))]) for seed in (np.uint64(0x51), np.uint64(0xA7F1))]
                 class_a, class_b = ((t[begin[1:]] - t[begin[:-1]]).view(np.int64) for t in total)
                 at = np.zeros(part.num_rows, np.int64)
                 at[some] = np.arange(len(some))
                 where = [at[i] if size[i] else None for i in range(part.num_rows)]
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.view(np.int64).ravel())).take(pa.array(where, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(class_a), pa.array(class_b), lists(keys), lists(odd)], names=["doc_id", "n_shingles", "class_a", "class_b", "keys", "odd"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(class_a), pa.array(class_b), lists(keys), lists(odd), pa.array(np.append(level, 0)[at]), lists(parity)], names=["doc_id", "n_shingles", "class_a", "class_b", "keys", "odd", "level", "parity"])
 
-    described = stored(texts.mapInArrow(describe, "doc_id long, n_shingles long, class_a long, class_b long, keys array<long>, odd array<long>"))
+    described = stored(texts.mapInArrow(describe, "doc_id long, n_shingles long, class_a long, class_b long, keys array<long>, odd array<long>, level long, parity array<long>"))
     class_of = ["n_shingles", "class_a", "class_b"]
     classes = stored(described.where("n_shingles > 0").groupBy(*class_of).agg(F.min("doc_id").alias("rep")))
-    reps = described.where("n_shingles > 0").join(classes.select("rep", *class_of), class_of).where("doc_id = rep").select("rep", "keys", "odd").dropDuplicates(["rep"])
+    reps = described.where("n_shingles > 0").join(classes.select("rep", *class_of), class_of).where("doc_id = rep").select("rep", "keys", "n_shingles", "level", "odd", "parity").dropDuplicates(["rep"])
     reps = stored(reps)
 
     buckets = reps.select("rep", F.explode("keys").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
     filled = stored(buckets.join(heads, "bucket"))
-    sketch = reps.select("rep", "odd")
-    apart = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    about = ["n_shingles", "level", "odd", "parity"]
+    sketch = reps.select("rep", *about)
+    side = lambda x: sketch.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in about])
+    apart = lambda c, n: sum((F.bit_count(F.col(f"{c}_a")[i].bitwiseXOR(F.col(f"{c}_b")[i])) for i in range(n // 64)), F.lit(0))
+    most = (F.col("n_shingles_a") + F.col("n_shingles_b")) * F.lit((100 - percent) / (100 + percent))
+    expected = most / F.pow(F.lit(2.0), F.col("level_a"))
+    room = F.when(F.col("level_a") == 0, most).otherwise(expected + 5 * F.sqrt(expected) + 5)
+    likely = (apart("odd", SKETCH_BITS) <= fits) & ((F.col("level_a") != F.col("level_b")) | (apart("parity", PARITY_BITS) <= room + F.lit(1e-6)))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Pairs a, b whose sketches are near enough."""
-        with_b = pairs.join(sketch.select(F.col("rep").alias("b"), F.col("odd").alias("odd_b")), "b")
-        with_a = with_b.join(sketch.select(F.col("rep").alias("a"), F.col("odd").alias("odd_a")), "a")
-        return with_a.where(apart <= fits).select("a", "b")
+        return pairs.join(side("b"), "b").join(side("a"), "a").where(likely).select("a", "b")
 
     stars = stored(similar(filled.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()))
     # full sets, once, of the documents that share a band with another
-    wanted = filled.select("rep").distinct()
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(bitmap_slot(batch.column("rep").to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    shared_band = filled.select("rep").distinct().mapInArrow(slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)  # of fixed size, however many documents there are
+    packed = shared_band.toArrow()
+    bitmap[packed["word"].to_numpy()] = packed["bits"].to_numpy()
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.slices(batch):
+            at = bitmap_slot(batch.column("doc_id").to_numpy())
+            hit = (wanted.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            for part in tx.slices(batch.filter(pa.array(hit))):
                 shingles, begin = shingle_sets(part.column("text"), words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((begin * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(shingles))]).cast(pa.binary())], names=["rep", "shingles"])
 
-    found = texts.join(wanted, texts["doc_id"] == wanted["rep"], "left_semi").mapInArrow(as_sets, "rep long, shingles binary")
-    sets = stored(found.dropDuplicates(["rep"]))
+    sets = stored(texts.mapInArrow(as_sets, "rep long, shingles binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets meet the bound. Each group is one a (or a salt of it): its set comes
@@ -167,7 +210,32 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     parts = connected_components(links)
 
     # pairs of one bucket that stars left apart
-    grouped = filled.where("members > 2").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    tested, limit = stars, 2
+    while True:
+        named = stored(partners(filled.where("members > 2"), parts, sketch, limit, block, fits, percent))
+        fresh = stored(named.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        more = named.where("more").limit(1).count() > 0
+        if fresh.limit(1).count():
+            towards = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            parts = connected_components(stored(towards.union(confirmed(fresh))))
+            tested = tested.union(fresh)
+        if not more:
+            break
+        limit *= 4
+
+    named = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*class_of, F.coalesce("component", "rep").alias("component_id"))
+    renamed = named.select(*[F.col(c).alias(f"of_{c}") for c in class_of], "component_id")
+    one = described.select("doc_id", *class_of)
+    same = [one[c] == renamed[f"of_{c}"] for c in class_of]
+    full = one.where("n_shingles > 0").join(renamed, same).select("doc_id", "n_shingles", "component_id")
+    bare = one.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return full.unionByName(bare).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def partners(filled: DataFrame, parts: DataFrame, sketch: DataFrame, limit: int, block: int, fits: int, percent: int) -> DataFrame:
+    """For members outside their bucket's main component: their ``limit`` likeliest partners in other
+    components (a < b), and whether a member has more than that."""
+    grouped = filled.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     members = stored(grouped.join(split.select("bucket"), "bucket", "left_semi"))
     shares = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -175,37 +243,32 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     sized = members.join(main, "bucket").join(sketch, "rep")
     blocks = F.greatest(F.ceil(F.col("all") / block), F.lit(1)).cast("int")
     minor_blocks = F.greatest(F.ceil((F.col("all") - F.col("most")) / block), F.lit(1)).cast("int")
-    left = sized.select("bucket", "rep", "component", "odd", "head", F.lit(0).alias("side"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), minor_blocks - 1)).alias("j"))
-    right = sized.where("component <> main").select("bucket", "rep", "component", "odd", "head", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.pmod(F.xxhash64("rep"), minor_blocks).cast("int").alias("j"))
+    given = ["bucket", "rep", "component", "head", "n_shingles", "level", "odd", "parity"]
+    own, all_blocks, all_minor = F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1)), F.explode(F.sequence(F.lit(0), minor_blocks - 1))
+    left = sized.select(*given, F.lit(0).alias("side"), own.alias("i"), all_minor.alias("j"))
+    right = sized.where("component <> main").select(*given, F.lit(1).alias("side"), all_blocks.alias("i"), F.pmod(F.xxhash64("rep"), minor_blocks).cast("int").alias("j"))
 
     def cross(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        rep, comp, head = (table[c].to_numpy() for c in ("rep", "component", "head"))
-        odd = table["odd"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
-        here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b = [], []
-        for k in there.tolist():
+        side, rep, comp, head, size, level = (table[c].to_numpy() for c in ("side", "rep", "component", "head", "n_shingles", "level"))
+        odd, parity = (table[c].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1) for c in ("odd", "parity"))
+        here, a, b, over = np.flatnonzero(side == 0), [], [], []
+        for k in np.flatnonzero((side == 1) & (rep != head)).tolist():
             near = here[(comp[here] != comp[k]) & (rep[here] != head[k])]
-            if rep[k] != head[k] and len(near):
-                near = near[np.bitwise_count(odd[near] ^ odd[k]).sum(axis=1, dtype=np.int64) <= fits]
-                a.append(np.minimum(rep[near], rep[k]))
-                b.append(np.maximum(rep[near], rep[k]))
-        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.table([flat(a), flat(b)], names=["a", "b"])
-
-    missed = stored(left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(cross, "a long, b long").distinct())
-    more = confirmed(missed)
-    # components of the first links stand for their members
-    towards = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = connected_components(stored(towards.union(more)))
-
-    named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*class_of, F.coalesce("component", "rep").alias("component_id"))
-    renamed = named.select(*[F.col(c).alias(f"of_{c}") for c in class_of], "component_id")
-    one = described.select("doc_id", *class_of)
-    same = [one[c] == renamed[f"of_{c}"] for c in class_of]
-    full = one.where("n_shingles > 0").join(renamed, same).select("doc_id", "n_shingles", "component_id")
-    bare = one.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(bare).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+            near = near[np.bitwise_count(odd[near] ^ odd[k]).sum(axis=1, dtype=np.int64) <= fits]
+            bits = np.bitwise_count(parity[near] ^ parity[k]).sum(axis=1, dtype=np.int64)
+            most = (size[near] + size[k]) * ((100 - percent) / (100 + percent))
+            expected = most / 2.0 ** level[k]
+            room = np.where(level[k] == 0, most, expected + 5 * np.sqrt(expected) + 5) + 1e-6
+            fair = (level[near] != level[k]) | (bits <= room)
+            near, share = near[fair], np.where(level[near] == level[k], bits / room, 1.0)[fair]
+            chosen = near[np.argsort(share, kind="stable")[:limit]]
+            a.append(np.minimum(rep[chosen], rep[k]))
+            b.append(np.maximum(rep[chosen], rep[k]))
+            over.append(np.full(len(chosen), len(near) > limit))
+        flat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
+        return pa.table([flat(a, pa.int64()), flat(b, pa.int64()), flat(over, pa.bool_())], names=["a", "b", "more"])
+
+    return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(cross, "a long, b long, more boolean")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
