@@ -1,12 +1,686 @@
-"""Registered queries of the contest operators."""
+"""Registered queries of the contest operators, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldwise.functions import prices
+from fieldwise.operators import betting, checks, coerce, features, joins, models, profile, ratings, sets, splits
+from fieldwise.plans.fixtures import RUNNERS_SQL, runners
+from fieldwise.sources import io
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+KEYS = ["race_id", "horse_id"]
+
+
+def query(sql: str | None = None, base: bool = True):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = (RUNNERS_SQL + sql) if base else sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[(F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
+
+
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = runners(spark, sf_dir)
+    return joins.attach_market(base, base.select(*KEYS, "odds_text"))
+
+
+def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return betting.edges(models.predict_eb(features.prior_eb_rate(market(spark, sf_dir), ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win")))
+
+
+# SQL that several queries share: ratings, model probabilities and edges
+_W = "PARTITION BY {0} ORDER BY us, race_id, horse_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_EB = "(coalesce(sum(is_win) OVER (" + _W + "), 0) + 20 * (SELECT avg(is_win) FROM runners)) / (count(is_win) OVER (" + _W + ") + 20)"
+_RATED = f""",
+eb AS (SELECT *, {_EB.format("horse_id")} AS eb_horse, {_EB.format("jockey_id")} AS eb_jockey, {_EB.format("trainer_id")} AS eb_trainer FROM market),
+m1 AS (SELECT *, 0.70 * eb_horse + 0.15 * eb_jockey + 0.15 * eb_trainer + 1e-9 AS blend FROM eb),
+m2 AS (SELECT *, greatest(least(blend / sum(blend) OVER (PARTITION BY race_id), 1 - 1e-6), 1e-6) AS model_prob FROM m1),
+rated AS (SELECT *, model_prob - greatest(least(implied, 1 - 1e-6), 1e-6) AS edge FROM m2)
+"""
+_BETS = (
+    _RATED
+    + """, bets0 AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY round(edge, 12) DESC, horse_id) AS k FROM rated WHERE edge >= 0.02 AND price > 1 AND price <= 20),
+bets AS (SELECT *, CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END AS pnl FROM bets0 WHERE k = 1)
+"""
+)
+_SUMMARY = "count(*) AS bets, count(DISTINCT race_id) AS contests, round(count(*)::DOUBLE, 6) AS staked, round(sum(pnl), 6) AS pnl, round(sum(pnl) / count(*), 6) AS roi, round(avg(is_win), 6) AS hit_rate, round(avg(price), 6) AS mean_odds"
+
+
+def bets_of(df: DataFrame) -> DataFrame:
+    return betting.with_pnl(betting.stake(betting.select_bets(df.withColumn("edge", F.round("edge", 12)))))
 
 
+@query(_BETS + f"SELECT discipline, {_SUMMARY} FROM bets GROUP BY discipline")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    """From raw rows to one summary of settled bets for each discipline."""
+    return rounded(betting.summary(bets_of(rated(spark, sf_dir)), ["discipline"]))
+
+
+@query("SELECT l_orderkey, round(l_extendedprice * (1 - l_discount), 6) + 0.0 AS net FROM lineitem WHERE l_quantity < 10", base=False)
+def s2_read_columns(spark, sf_dir):
+    lines = io.read_columns(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "price", "l_discount", "l_quantity"], {"price": ["l_extendedprice"]})
+    return rounded(lines.where("l_quantity < 10").select("l_orderkey", (F.col("price") * (1 - F.col("l_discount"))).alias("net")))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier", base=False)
+def s3_read_table(spark, sf_dir):
+    return io.read_table(spark, f"{sf_dir}/supplier.parquet", lower=True).select("s_suppkey", "s_name")
+
+
+@query("SELECT (SELECT count(*) FROM lineitem) AS rows_in, count(*) AS rows_out, count(DISTINCT race_id) AS contests, strftime(min(race_dt), '%Y-%m-%d') AS first_time, strftime(max(race_dt), '%Y-%m-%d') AS last_time, (SELECT count(*) FROM lineitem) - count(*) AS removed FROM runners")
+def s7_ingest_audit(spark, sf_dir):
+    audit = profile.ingest_audit(table(spark, sf_dir, "lineitem"), runners(spark, sf_dir), "race_id", "race_dt")
+    return rounded(audit.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_time", "last_time")}))
+
+
+@query("SELECT o_orderkey AS race_id, o_orderstatus AS discipline FROM orders", base=False)
+def p1_rename(spark, sf_dir):
+    return coerce.rename(table(spark, sf_dir, "orders"), {"o_orderkey": "race_id", "o_orderstatus": "discipline", "absent": "x"}).select("race_id", "discipline")
+
+
+@query("SELECT event_id, try_cast(props AS DOUBLE) AS props, round(value, 6) AS value, try_cast(event_type AS BIGINT) AS event_type FROM events", base=False)
+def p2_coerce(spark, sf_dir):
+    return rounded(coerce.coerce(table(spark, sf_dir, "events").select("event_id", "props", "value", "event_type"), {"props": "float", "value": "float", "event_type": "int64"}))
+
+
+@query("SELECT p_partkey, trim(p_name) AS p_name, upper(trim(p_brand)) AS p_brand, p_size::BIGINT AS p_size FROM part", base=False)
+def p3_coerce_schema(spark, sf_dir):
+    return rounded(coerce.coerce_schema(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"), {"p_name": "string", "p_brand": "category", "p_size": "int"}))
+
+
+@query("SELECT o_orderkey, epoch_us(o_orderdate) AS us FROM orders", base=False)
+def p4_to_utc(spark, sf_dir):
+    text = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("at"))
+    return coerce.to_utc(text, ["at"]).select("o_orderkey", F.unix_micros("at").alias("us"))
+
+
+@query("SELECT o_orderkey, epoch_us(o_orderdate::DATE::TIMESTAMP + INTERVAL 90 MINUTE) AS us FROM orders", base=False)
+def p5_event_time(spark, sf_dir):
+    parts = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"), F.lit("01:30").alias("race_time"))
+    return coerce.with_event_time(parts).select("o_orderkey", F.unix_micros("off_time").alias("us"))
+
+
+@query(r"SELECT doc_id, regexp_replace(trim(text), '\s+', ' ', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '^\s|\s$|[^\x00-\x7F]')", base=False)
+def p6_clean_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"^\s|\s$|[^\x00-\x7F]"))
+    return coerce.clean_text(docs.select("doc_id", "text"), ["text"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END::BIGINT AS o_orderstatus_code FROM orders", base=False)
+def p7_ordered_category(spark, sf_dir):
+    return rounded(coerce.ordered_category(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["f", "o"]))
+
+
+@query("SELECT upper(trim(c_name)) AS c_name, c_custkey::VARCHAR AS c_custkey FROM customer", base=False)
+def p8_normalize_keys(spark, sf_dir):
+    return coerce.normalize_keys(table(spark, sf_dir, "customer").select("c_name", "c_custkey"), ["c_name", "c_custkey"])
+
+
+@query("SELECT count(*) AS n FROM runners WHERE price IS NOT NULL")
+def p9_drop_null(spark, sf_dir):
+    return coerce.drop_null(market(spark, sf_dir), ["mkt_odds_decimal"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT race_id, horse_id, field_size::BIGINT AS field_size FROM runners")
+def p10_field_size(spark, sf_dir):
+    return rounded(coerce.with_field_size(runners(spark, sf_dir).drop("field_size")).select(*KEYS, "field_size"))
+
+
+@query("SELECT race_id, horse_id, pos::BIGINT AS finish FROM runners")
+def p11_parse_rank(spark, sf_dir):
+    told = runners(spark, sf_dir).withColumn("result", F.concat(F.lit(" "), "pos", F.lit("th")))
+    return rounded(told.select(*KEYS, prices.leading_rank(F.col("result")).alias("finish")))
+
+
+@query("SELECT race_id, horse_id, is_win::BIGINT AS is_win FROM runners")
+def p12_win(spark, sf_dir):
+    told = runners(spark, sf_dir).withColumn("winner", F.when(F.col("pos") == 1, "Yes").when(F.col("pos") == 2, "no").otherwise("?")).withColumn("result", F.concat("pos", F.lit("th"))).drop("is_win")
+    return rounded(coerce.with_win(told).select(*KEYS, "is_win"))
+
+
+@query("SELECT race_id, horse_id, is_win::BIGINT AS label FROM runners")
+def p13_label(spark, sf_dir):
+    told = runners(spark, sf_dir).withColumn("junk", F.lit("?")).withColumn("res", F.when(F.col("pos") == 1, "winner").otherwise("2nd"))
+    return rounded(coerce.with_label(told, ["junk", "res"]).select(*KEYS, "label"))
+
+
+@query("SELECT race_id, horse_id, pos::BIGINT AS pos FROM runners")
+def p14_position(spark, sf_dir):
+    return rounded(coerce.with_position(runners(spark, sf_dir).drop("pos")).select(*KEYS, "pos"))
+
+
+@query("SELECT race_id, horse_id, round((1609.344 + 201.168 * (draw % 8) + 0.9144 * weight_lbs::INT)::DOUBLE, 6) AS metres FROM runners")
+def p15_distance(spark, sf_dir):
+    told = runners(spark, sf_dir).withColumn("d", F.concat(F.lit("1m"), F.col("draw") % 8, F.lit("f "), F.col("weight_lbs").cast("int"), F.lit("y")))
+    return rounded(told.select(*KEYS, prices.distance_to_m(F.col("d")).alias("metres")))
+
+
+@query("SELECT race_id, horse_id, course AS venue FROM runners")
+def p16_alias(spark, sf_dir):
+    return coerce.alias(runners(spark, sf_dir), {"venue": ["track", "course"], "none": ["absent"]}).select(*KEYS, "venue")
+
+
+@query("SELECT race_id, horse_id, distance_m FROM runners")
+def p17_forbid_prefix(spark, sf_dir):
+    seen = runners(spark, sf_dir).select(*KEYS, "distance_m", F.col("pos").alias("obs__pos"))
+    return coerce.forbid_prefix(seen, ["obs__"])
+
+
+@query("SELECT race_id, horse_id, (pos <= CASE WHEN field_size >= 8 THEN 3 ELSE 2 END)::BIGINT AS is_place FROM runners")
+def p18_place(spark, sf_dir):
+    return rounded(coerce.with_place(runners(spark, sf_dir)).select(*KEYS, "is_place"))
+
+
+@query("SELECT race_id, horse_id, age::BIGINT AS age FROM runners WHERE age BETWEEN 3 AND 7")
+def p19_filter_range(spark, sf_dir):
+    return rounded(coerce.filter_range(runners(spark, sf_dir), "age", 3, 7).select(*KEYS, "age"))
+
+
+@query("SELECT round(age::DOUBLE, 6) AS age, 0.0::DOUBLE AS absent, round(draw::DOUBLE, 6) AS draw FROM runners")
+def p20_align_features(spark, sf_dir):
+    return rounded(coerce.align_features(runners(spark, sf_dir), ["age", "absent", "draw"]))
+
+
+@query("SELECT age::DOUBLE AS age, draw::DOUBLE AS draw, is_win::BIGINT AS target FROM runners")
+def p21_make_xy(spark, sf_dir):
+    return rounded(coerce.make_xy(runners(spark, sf_dir).select(*KEYS, "age", "draw", "is_win"), "is_win", KEYS))
+
+
+@query("SELECT 'implied' AS picked", base=False)
+def p22_pick_prob(spark, sf_dir):
+    name = coerce.pick_prob_col(market(spark, sf_dir).select("age", F.col("mkt_implied").alias("implied"), "draw"), ["model_prob"])
+    return table(spark, sf_dir, "region").select(F.lit(name).alias("picked")).distinct()
+
+
+@query("SELECT race_id, horse_id, round(price, 8) AS odds, round(raw, 8) AS raw FROM market")
+def o1_o4_prices(spark, sf_dir):
+    told = runners(spark, sf_dir)
+    odds = prices.coalesce_odds(F.col("odds_text"), F.col("odds_text"))
+    return rounded(told.select(*KEYS, odds.alias("odds")).withColumn("raw", prices.implied_raw(F.col("odds"))), 8)
+
+
+@query("SELECT race_id, horse_id, round(price, 6) AS odds FROM runners WHERE price > 1")
+def o5_extract_odds(spark, sf_dir):
+    named = coerce.alias(runners(spark, sf_dir), {"decimal": ["decimal_odds", "sp", "odds_text"], "fraction": ["fractional_odds", "odds_text"]})
+    return rounded(named.select(*KEYS, prices.coalesce_odds(F.col("decimal"), F.col("fraction")).alias("odds")).where("odds > 1"))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(least(l_discount, 0.95), 0.05) + 0.0 AS p FROM lineitem", base=False)
+def o6_clip(spark, sf_dir):
+    return rounded(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int"), prices.clip_prob(F.col("l_discount"), 0.05).alias("p")))
+
+
+@query("SELECT r.race_id, r.horse_id, round(price, 8) AS odds, round(raw, 8) AS raw, round(implied, 8) AS implied FROM market r")
+def j1_j2_market(spark, sf_dir):
+    return rounded(market(spark, sf_dir).select(*KEYS, F.col("mkt_odds_decimal").alias("odds"), F.col("mkt_implied_raw").alias("raw"), F.col("mkt_implied").alias("implied")), 8)
+
+
+@query("SELECT p.event_id, round(s.value, 6) AS value_asof FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'signup') s ON p.user_id = s.user_id AND p.ts >= s.ts", base=False)
+def j3_asof(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    pick = lambda kind: events.where(F.col("event_type") == kind)
+    found = joins.asof_join(pick("purchase").select("event_id", "user_id", "ts"), pick("signup").select("user_id", "ts", "value"), ["user_id"], "ts", "ts", ["value"])
+    return rounded(found.select("event_id", "value_asof"))
+
+
+@query("SELECT race_id, horse_id, round(price, 6) AS price_snap FROM runners")
+def j4_snapshot(spark, sf_dir):
+    base = market(spark, sf_dir)
+    return rounded(joins.snapshot_join(base.select(*KEYS), base.select(*KEYS, F.col("mkt_odds_decimal").alias("price")), KEYS, "_snap"))
+
+
+@query("SELECT race_id, horse_id, CASE WHEN draw <= 2 THEN is_win ELSE 0 END::BIGINT AS won FROM runners")
+def j5_labels(spark, sf_dir):
+    base = runners(spark, sf_dir)
+    labels = base.where("draw <= 2").select(F.concat(F.lit(" "), "race_id").alias("race_id"), "horse_id", F.col("is_win").alias("won"))
+    return rounded(joins.attach_labels(base.select(*KEYS), labels, KEYS))
+
+
+@query("SELECT race_id, horse_id, round(price, 6) AS odds, is_win::BIGINT AS is_win FROM runners WHERE price IS NOT NULL AND is_win IS NOT NULL")
+def j6_metrics_join(spark, sf_dir):
+    base = market(spark, sf_dir)
+    pred = base.select(*KEYS, F.col("mkt_odds_decimal").alias("odds"))
+    return rounded(joins.join_for_metrics(pred, base.select(*KEYS, "is_win"), KEYS, ["odds"]))
+
+
+@query("SELECT race_id, horse_id, p_name AS horse_id_name, s_name AS jockey_id_name, n_name AS trainer_id_name FROM runners JOIN part ON horse_id = p_partkey::VARCHAR JOIN supplier ON jockey_id = s_suppkey::VARCHAR JOIN nation ON trainer_id = n_nationkey::VARCHAR")
+def j7_names(spark, sf_dir):
+    dims = {"horse_id": (table(spark, sf_dir, "part"), "p_partkey", "p_name"), "jockey_id": (table(spark, sf_dir, "supplier"), "s_suppkey", "s_name"), "trainer_id": (table(spark, sf_dir, "nation"), "n_nationkey", "n_name")}
+    return joins.attach_names(runners(spark, sf_dir), dims).select(*KEYS, "horse_id_name", "jockey_id_name", "trainer_id_name")
+
+
+@query("SELECT race_id, horse_id, course, going FROM runners")
+def j8_context(spark, sf_dir):
+    base = runners(spark, sf_dir)
+    return joins.attach_context(base.select(*KEYS), base, ["race_id"], ["course", "going"])
+
+
+@query("SELECT race_id, horse_id, race_id IN (SELECT race_id FROM runners WHERE discipline = 'F') AS member FROM runners")
+def j9_semi_mask(spark, sf_dir):
+    base = runners(spark, sf_dir)
+    return joins.semi_mask(base.select(*KEYS), base.where("discipline = 'F'"), "race_id")
+
+
+@query("SELECT race_id, horse_id, draw::BIGINT AS draw FROM runners")
+def d1_dedupe(spark, sf_dir):
+    return rounded(runners(spark, sf_dir).select(*KEYS, "draw"))
+
+
+@query("""
+, a AS (SELECT *, row_number() OVER (PARTITION BY race_id, us, horse_id ORDER BY draw, horse_id) AS k1 FROM runners), b AS (SELECT *, row_number() OVER (PARTITION BY race_id, us, jockey_id ORDER BY draw, horse_id) AS k2 FROM a WHERE k1 = 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY race_id, us, trainer_id ORDER BY draw, horse_id) AS k3 FROM b WHERE k2 = 1) SELECT race_id, horse_id FROM c WHERE k3 = 1""")
+def d2_dedupe_entities(spark, sf_dir):
+    return sets.dedupe_entities(runners(spark, sf_dir), "race_id", "race_dt", ["horse_id", "jockey_id", "trainer_id"], ["draw", "horse_id"]).select(*KEYS)
+
+
+@query('SELECT \'course\' AS "column", course AS level, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM runners), 6) AS share FROM runners GROUP BY course ORDER BY n DESC, level LIMIT 3')
+def d3_top_levels(spark, sf_dir):
+    return rounded(sets.top_levels(runners(spark, sf_dir), "course", 3))
+
+
+@query("SELECT horse_id, round(max_by(weight_lbs, (us, race_id)), 6) AS weight_lbs FROM runners GROUP BY horse_id ORDER BY weight_lbs DESC, horse_id LIMIT 20")
+def d4_latest_topn(spark, sf_dir):
+    return rounded(sets.latest_topn(runners(spark, sf_dir), "horse_id", "weight_lbs", ["race_dt", "race_id"], 20))
+
+
+@query("""
+, l AS (SELECT discipline, horse_id, max_by(weight_lbs, (us, race_id)) AS weight_lbs FROM runners GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY discipline ORDER BY weight_lbs DESC, horse_id) AS rank FROM l)
+SELECT discipline, horse_id, round(weight_lbs, 6) AS weight_lbs, rank FROM k WHERE rank <= 5""")
+def d5_latest_topn_by(spark, sf_dir):
+    return rounded(sets.latest_topn_by(runners(spark, sf_dir), "horse_id", "weight_lbs", "discipline", ["race_dt", "race_id"], 5))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT horse_id) AS n_horse_id, count(DISTINCT jockey_id) AS n_jockey_id, count(DISTINCT trainer_id) AS n_trainer_id, strftime(min(race_dt), '%Y-%m-%d') AS first_time, strftime(max(race_dt), '%Y-%m-%d') AS last_time, count(DISTINCT race_id) AS contests, round(count(*)::DOUBLE / count(DISTINCT race_id), 6) AS mean_runners, 0::BIGINT AS duplicate_keys FROM runners")
+def a1_summarize(spark, sf_dir):
+    return rounded(profile.summarize(runners(spark, sf_dir)).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_time", "last_time")}))
+
+
+@query("""SELECT 'price' AS "column", count(price) AS non_null, count(*) - count(price) AS nulls, round(100.0 * (count(*) - count(price)) / count(*), 6) AS pct FROM runners UNION ALL SELECT 'age', count(age), count(*) - count(age), 0.0 FROM runners""")
+def a2_missingness(spark, sf_dir):
+    return rounded(profile.missingness(market(spark, sf_dir).select(F.col("mkt_odds_decimal").alias("price"), "age")))
+
+
+@query()
+def a3_dtypes(spark, sf_dir):
+    return profile.dtypes_table(table(spark, sf_dir, "lineitem"))
+
+
+@query("SELECT race_id, count(DISTINCT horse_id) AS runners FROM runners GROUP BY race_id")
+def a4_runners_per_contest(spark, sf_dir):
+    return profile.runners_per_contest(runners(spark, sf_dir))
+
+
+_OVER = ", ov AS (SELECT race_id, sum(1 / price) AS overround, count(*) AS priced FROM runners WHERE price > 1 GROUP BY race_id)\n"
+
+
+def _overrounds(spark, sf_dir):
+    return profile.overround(market(spark, sf_dir), "mkt_odds_decimal")
+
+
+@query(_OVER + "SELECT race_id, round(overround, 6) AS overround, priced, 'mkt_odds_decimal' AS source FROM ov")
+def a5_overround(spark, sf_dir):
+    return rounded(_overrounds(spark, sf_dir))
+
+
+@query(_OVER + "SELECT count(*) AS n, round(avg(overround), 6) AS mean, round(quantile_cont(overround, 0.5), 6) AS median, round(quantile_cont(overround, 0.1), 6) AS p10, round(quantile_cont(overround, 0.9), 6) AS p90 FROM ov")
+def a6_overround_summary(spark, sf_dir):
+    return rounded(profile.spread(_overrounds(spark, sf_dir), "overround"))
+
+
+@query(", per AS (SELECT race_id, sum(implied) AS total, count(price) AS priced FROM market GROUP BY race_id) SELECT (SELECT count(*) FROM market) AS rows, (SELECT count(price) FROM market) AS with_odds, (SELECT count(implied) FROM market) AS with_prob, count(total) AS summed, round(avg(total), 6) AS mean, round(quantile_cont(total, 0.5), 6) AS median, round(quantile_cont(total, 0.1), 6) AS p10, round(quantile_cont(total, 0.9), 6) AS p90, count(*) AS contests, count_if(priced = 0)::BIGINT AS no_odds FROM per")
+def a7_a9_market_health(spark, sf_dir):
+    return rounded(profile.market_health(market(spark, sf_dir), "mkt_implied", "mkt_odds_decimal"))
+
+
+@query("SELECT race_id, horse_id FROM runners ORDER BY md5('s1:' || race_id || ':' || horse_id), race_id, horse_id LIMIT 50")
+def a8_sample(spark, sf_dir):
+    return profile.sample_rows(runners(spark, sf_dir).select(*KEYS), 50, "s1", KEYS)
+
+
+@query("SELECT strftime(date_trunc('month', race_dt), '%Y-%m-%d') AS month, count(DISTINCT race_id) AS contests FROM runners GROUP BY 1")
+def a10_monthly(spark, sf_dir):
+    return profile.monthly_volume(runners(spark, sf_dir)).withColumn("month", F.col("month").cast("string"))
+
+
+@query("SELECT discipline, age::BIGINT AS age, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY discipline), 6) AS share FROM runners GROUP BY discipline, age")
+def a11_age_share(spark, sf_dir):
+    return rounded(profile.share_within(runners(spark, sf_dir), "discipline", "age"))
+
+
+@query(", s AS (SELECT race_id, count(DISTINCT horse_id) AS r FROM runners GROUP BY race_id) SELECT count(*) AS n, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.1), 6) AS p10, round(quantile_cont(r, 0.9), 6) AS p90 FROM s")
+def a12_field_sizes(spark, sf_dir):
+    return rounded(profile.spread(profile.runners_per_contest(runners(spark, sf_dir)), "runners"))
+
+
+@query(", e AS (SELECT min(weight_lbs) AS lo, max(weight_lbs) AS hi FROM runners) SELECT least(floor((weight_lbs - lo) * 30 / (hi - lo)), 29)::BIGINT AS bin, round(min(lo) + least(floor((weight_lbs - lo) * 30 / (hi - lo)), 29) * (min(hi) - min(lo)) / 30, 6) AS \"from\", count(*) AS n FROM runners, e GROUP BY bin, least(floor((weight_lbs - lo) * 30 / (hi - lo)), 29)")
+def a13_histogram(spark, sf_dir):
+    return rounded(profile.histogram(runners(spark, sf_dir), "weight_lbs", 30))
+
+
+@query(_OVER + "SELECT least(floor((overround - 0.9) / 0.01 + 1e-9), 59)::BIGINT AS bin, count(*) AS n FROM ov WHERE overround BETWEEN 0.9 AND 1.5 GROUP BY bin")
+def a14_overround_hist(spark, sf_dir):
+    return rounded(profile.overround_hist(_overrounds(spark, sf_dir)))
+
+
+@query(", c AS (SELECT least(600.0, quantile_cont(price, 0.995)) AS cap FROM runners), v AS (SELECT least(price, cap) AS x FROM runners, c WHERE price IS NOT NULL), e AS (SELECT min(x) AS lo, max(x) AS hi FROM v), b AS (SELECT least(floor((x - lo) * 60 / (hi - lo)), 59)::BIGINT AS bin, lo, hi FROM v, e) SELECT bin, round(lo + bin * (hi - lo) / 60, 6) AS \"from\", count(*) AS n FROM b GROUP BY bin, lo, hi")
+def a15_capped_hist(spark, sf_dir):
+    return rounded(profile.capped_hist(market(spark, sf_dir).select("mkt_odds_decimal").where("mkt_odds_decimal IS NOT NULL"), "mkt_odds_decimal"))
+
+
+@query(", g AS (SELECT unnest(range(min(age), max(age) + 1)) AS value FROM runners) SELECT value::BIGINT AS value, count(age) AS n FROM g LEFT JOIN runners ON age = value GROUP BY value")
+def a16_int_histogram(spark, sf_dir):
+    return rounded(profile.int_histogram(runners(spark, sf_dir), "age"))
+
+
+@query(_OVER + "SELECT round(avg(overround) * 100, 6) AS mean_pct FROM ov")
+def a17_overround_pct(spark, sf_dir):
+    return rounded(_overrounds(spark, sf_dir).agg((F.avg("overround") * 100).alias("mean_pct")))
+
+
+_RATE = """, r AS (SELECT discipline, age, count(*) AS n, sum(is_win) AS wins FROM runners GROUP BY ALL HAVING count(*) >= 10), z AS (SELECT *, wins / n AS p, 1.959963984540054 AS z FROM r),
+t AS (SELECT *, (p + z*z/(2*n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n) AS low, (p + z*z/(2*n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n) AS high, (wins + 0.5) / (n + 1) AS shrunk FROM z),
+u AS (SELECT discipline, age::BIGINT AS age, n, wins::BIGINT AS wins, round(p, 6) AS rate, round(low, 6) AS low, round(high, 6) AS high, round(shrunk, 6) AS shrunk, (row_number() OVER (PARTITION BY discipline ORDER BY shrunk DESC, n DESC, age) = 1)::BIGINT AS is_peak FROM t)
+"""
+
+
+@query(_RATE + "SELECT * FROM u")
+def a18_rate_by_group(spark, sf_dir):
+    return rounded(profile.rate_by_group(runners(spark, sf_dir), "discipline", "age"))
+
+
+@query(_RATE + "SELECT * FROM u WHERE is_peak = 1")
+def a19_peaks(spark, sf_dir):
+    return rounded(profile.rate_by_group(runners(spark, sf_dir), "discipline", "age").where("is_peak = 1"))
+
+
+@query("SELECT 'age' AS a, 'weight_lbs' AS b, round(corr(age, weight_lbs), 6) + 0.0 AS corr FROM runners UNION ALL SELECT 'age', 'age', 1.0 FROM (SELECT 1) UNION ALL SELECT 'weight_lbs', 'weight_lbs', 1.0 FROM (SELECT 1)")
+def a20_corr(spark, sf_dir):
+    return rounded(profile.corr_matrix(runners(spark, sf_dir), ["age", "weight_lbs"]))
+
+
+@query("SELECT count(DISTINCT horse_id) AS horses, count(DISTINCT jockey_id) AS jockeys, strftime(min(race_dt), '%Y-%m-%d') AS first_time FROM runners")
+def a21_coverage(spark, sf_dir):
+    return runners(spark, sf_dir).agg(F.countDistinct("horse_id").alias("horses"), F.countDistinct("jockey_id").alias("jockeys"), F.date_format(F.min("race_dt"), "yyyy-MM-dd").alias("first_time"))
+
+
+@query(_BETS + "SELECT race_id, count(*) AS bets, count(*)::DOUBLE AS staked, round(sum(pnl), 6) + 0.0 AS pnl FROM bets GROUP BY race_id")
+def a22_per_contest(spark, sf_dir):
+    return rounded(betting.per_contest_pnl(bets_of(rated(spark, sf_dir))))
+
+
+@query("SELECT race_id, round(sum(implied), 6) AS total FROM market GROUP BY race_id")
+def w1_normalize(spark, sf_dir):
+    return rounded(market(spark, sf_dir).groupBy("race_id").agg(F.sum("mkt_implied").alias("total")))
+
+
+_ROLL = "PARTITION BY horse_id ORDER BY us RANGE BETWEEN 90*86400000000 PRECEDING AND 1 PRECEDING"
+
+
+@query(f"SELECT race_id, horse_id, nullif(count(*) OVER w, 0) AS n_90, (sum(is_win) OVER w)::BIGINT AS is_win_sum_90, round((sum(is_win) OVER w) / nullif(count(*) OVER w, 0), 6) AS is_win_rate_90 FROM runners WINDOW w AS ({_ROLL})")
+def w2_rolling(spark, sf_dir):
+    return rounded(features.rolling_form(runners(spark, sf_dir), "horse_id", "race_dt", ["is_win"], (90,)).select(*KEYS, "n_90", "is_win_sum_90", "is_win_rate_90"))
+
+
+@query(", p AS (SELECT a.race_id, a.horse_id, sum(b.is_win * pow(0.5, (a.us - b.us) / 86400000000.0 / 180)) AS s FROM runners a LEFT JOIN runners b ON a.horse_id = b.horse_id AND (b.us, b.race_id) < (a.us, a.race_id) GROUP BY ALL) SELECT race_id, horse_id, round(coalesce(s, 0), 6) + 0.0 AS decayed FROM p")
+def w3_decayed(spark, sf_dir):
+    return rounded(features.decayed_sum(runners(spark, sf_dir), ["horse_id"], "race_dt", {"decayed": "is_win"}, 180).select(*KEYS, "decayed"))
+
+
+@query(f"SELECT race_id, horse_id, round((sum(is_win) OVER w) / nullif(count(is_win) OVER w, 0), 6) AS rate FROM runners WINDOW w AS ({_W.format('jockey_id, going')})")
+def w4_prior_rate(spark, sf_dir):
+    return rounded(features.prior_rate(runners(spark, sf_dir), ["jockey_id", "going"], "race_dt", "is_win", "rate").select(*KEYS, "rate"))
+
+
+@query("SELECT race_id, horse_id, CASE WHEN distance_m < 1000 THEN NULL WHEN distance_m < 1600 THEN '[1000,1600)' WHEN distance_m < 2400 THEN '[1600,2400)' WHEN distance_m < 3000 THEN '[2400,3000)' END AS bucket FROM runners")
+def w5_bucket(spark, sf_dir):
+    return runners(spark, sf_dir).select(*KEYS, prices.bucket(F.col("distance_m"), [1000, 1600, 2400, 3000]).alias("bucket"))
+
+
+@query(", k AS (SELECT course, row_number() OVER (ORDER BY count(*) DESC, course) AS k FROM runners GROUP BY course) SELECT race_id, horse_id, (k = 1)::BIGINT AS top1, (k = 2)::BIGINT AS top2, (k > 2)::BIGINT AS rest FROM runners JOIN k USING (course)")
+def w6_one_hot(spark, sf_dir):
+    made = features.one_hot_topn(runners(spark, sf_dir), "course", 2)
+    first, second, rest = [c for c in made.columns if c.startswith("course_")]
+    return rounded(made.select(*KEYS, F.col(first).alias("top1"), F.col(second).alias("top2"), F.col(rest).alias("rest")))
+
+
+@query("SELECT race_id, horse_id, round(weight_lbs - quantile_cont(weight_lbs, 0.5) OVER (PARTITION BY race_id), 6) + 0.0 AS delta FROM runners")
+def w7_delta_median(spark, sf_dir):
+    return rounded(features.delta_median(runners(spark, sf_dir), "weight_lbs", "race_id", "delta").select(*KEYS, "delta"))
+
+
+@query(", d AS (SELECT *, (draw - 1)::DOUBLE / greatest(field_size - 1, 1) AS x FROM runners) SELECT race_id, horse_id, round(x, 6) AS draw_norm, (x < 0.33)::BIGINT AS draw_low, (x >= 0.33 AND x < 0.66)::BIGINT AS draw_mid, (x >= 0.66 AND x <= 1.01)::BIGINT AS draw_high FROM d")
+def w8_draw(spark, sf_dir):
+    return rounded(features.draw_features(runners(spark, sf_dir)).select(*KEYS, "draw_norm", "draw_low", "draw_mid", "draw_high"))
+
+
+@query(_RATED + "SELECT race_id, horse_id, round(eb_horse, 6) AS eb_horse, round(eb_jockey, 6) AS eb_jockey, round(eb_trainer, 6) AS eb_trainer FROM rated")
+def w9_prior_eb(spark, sf_dir):
+    return rounded(features.prior_eb_rate(runners(spark, sf_dir), ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win").select(*KEYS, "eb_horse", "eb_jockey", "eb_trainer"))
+
+
+@query(_RATED + f"SELECT race_id, horse_id, round((sum(is_win) OVER (PARTITION BY horse_id ORDER BY us RANGE BETWEEN 365*86400000000 PRECEDING AND 1 PRECEDING)) / nullif(count(*) OVER (PARTITION BY horse_id ORDER BY us RANGE BETWEEN 365*86400000000 PRECEDING AND 1 PRECEDING), 0), 6) AS is_win_rate_365, round((sum(is_win) OVER ({_W.format('horse_id, course')})) / nullif(count(is_win) OVER ({_W.format('horse_id, course')}), 0), 6) AS horse_course_rate, round(official_rating - quantile_cont(official_rating, 0.5) OVER (PARTITION BY race_id), 6) + 0.0 AS rating_delta, round(eb_horse, 6) AS eb_horse FROM rated")
+def w10_features(spark, sf_dir):
+    return rounded(features.build_features(runners(spark, sf_dir)).select(*KEYS, "is_win_rate_365", "horse_course_rate", "rating_delta", "eb_horse"))
+
+
+@query("SELECT race_id, horse_id, round(CASE WHEN field_size <= 1 THEN 1.0 ELSE 1 - (pos - 1)::DOUBLE / (field_size - 1) END, 6) AS score FROM runners")
+def r1_rank_score(spark, sf_dir):
+    return rounded(runners(spark, sf_dir).select(*KEYS, prices.rank_score(F.col("pos"), F.col("field_size")).alias("score")))
+
+
+@query(", g AS (SELECT *, 16 * sqrt(greatest(field_size / 8.0, 1)) * (CASE WHEN field_size <= 1 THEN 1.0 ELSE 1 - (pos - 1)::DOUBLE / (field_size - 1) END - 0.5) AS gain FROM runners), p AS (SELECT a.race_id, a.horse_id, sum(b.gain * pow(0.5, (a.us - b.us) / 86400000000.0 / 90)) AS s FROM g a LEFT JOIN g b ON a.horse_id = b.horse_id AND (b.us, b.race_id) < (a.us, a.race_id) GROUP BY ALL) SELECT race_id, horse_id, round(coalesce(s, 0), 5) + 0.0 AS elo FROM p")
+def r2_elo(spark, sf_dir):
+    return rounded(ratings.elo(runners(spark, sf_dir), "horse_id", "race_dt", "elo").select(*KEYS, "elo"), 5)
+
+
+@query(", m AS (SELECT avg(is_win) AS mu FROM runners), p AS (SELECT a.race_id, a.horse_id, coalesce(sum(b.is_win * pow(0.5, (a.us - b.us) / 86400000000.0 / 120)), 0) AS s, coalesce(sum(CASE WHEN b.us IS NOT NULL THEN pow(0.5, (a.us - b.us) / 86400000000.0 / 120) END), 0) AS n FROM runners a LEFT JOIN runners b ON a.horse_id = b.horse_id AND (b.us, b.race_id) < (a.us, a.race_id) GROUP BY ALL) SELECT race_id, horse_id, round((20 * mu + s) / (20 + n), 6) AS eb FROM p, m")
+def r3_eb(spark, sf_dir):
+    return rounded(ratings.eb(runners(spark, sf_dir), "horse_id", "race_dt", "eb").select(*KEYS, "eb"))
+
+
+_PLACE = ", f AS (SELECT race_id, min(us) AS us FROM runners GROUP BY race_id), pl AS (SELECT race_id, us, row_number() OVER (ORDER BY us, race_id) - 1 AS place, count(*) OVER () AS groups FROM f)\n"
+
+
+@query(_PLACE + "SELECT race_id, place::BIGINT AS place FROM pl")
+def t1_order_groups(spark, sf_dir):
+    return rounded(splits.order_groups(runners(spark, sf_dir), "race_id", "race_dt").select("race_id", "place"))
+
+
+@query(_PLACE + "SELECT race_id, CASE WHEN place < groups - floor(groups * 0.2) - floor(groups * 0.2) THEN 'train' WHEN place < groups - floor(groups * 0.2) THEN 'valid' ELSE 'test' END AS split FROM pl")
+def t2_split_fractions(spark, sf_dir):
+    return splits.split_fractions(runners(spark, sf_dir), "race_id", "race_dt").select("race_id", "split")
+
+
+@query(_PLACE + ", b AS (SELECT count_if(us < epoch_us(TIMESTAMP '1996-01-01')) AS before FROM pl) SELECT race_id, CASE WHEN place < before THEN 'train' WHEN place < before + (groups - before) - floor((groups - before) * 0.5) THEN 'valid' ELSE 'test' END AS split FROM pl, b")
+def t2_split_cutoff(spark, sf_dir):
+    return splits.split_cutoff(runners(spark, sf_dir), "race_id", "race_dt", "1996-01-01 00:00:00").select("race_id", "split")
+
+
+_BLOCK = ", bl AS (SELECT race_id, ntile({k}) OVER (ORDER BY us, race_id) - 1 AS block FROM f)\n"
+
+
+@query(_PLACE + _BLOCK.format(k=5) + "SELECT fold::BIGINT AS fold, race_id, CASE WHEN block < fold THEN 'train' ELSE 'valid' END AS role FROM bl, range(1, 5) t(fold) WHERE block <= fold")
+def t3_kfold(spark, sf_dir):
+    return rounded(splits.split_kfold(runners(spark, sf_dir), "race_id", "race_dt", 5).select("fold", "race_id", "role"))
+
+
+@query("SELECT unnest(['missing', 'unknown', 'repeated', 'overlap']) AS rule, 0::BIGINT AS violations", base=False)
+def t5_check_splits(spark, sf_dir):
+    base = runners(spark, sf_dir)
+    return rounded(splits.check_splits(base, splits.split_fractions(base, "race_id", "race_dt"), "race_id"))
+
+
+@query(_PLACE + _BLOCK.format(k=5) + "SELECT fold::BIGINT AS fold, race_id, CASE WHEN block <= fold THEN 'train' ELSE 'valid' END AS role FROM bl, range(0, 4) t(fold) WHERE block <= fold + 1")
+def t6_grouped_cv(spark, sf_dir):
+    return rounded(splits.grouped_time_cv(runners(spark, sf_dir), "race_id", "race_dt", 4).select("fold", "race_id", "role"))
+
+
+@query("SELECT 'price' AS \"column\", count_if(price IS NULL)::BIGINT AS bad FROM runners")
+def v2_finite(spark, sf_dir):
+    return rounded(checks.check_finite(market(spark, sf_dir).withColumnRenamed("mkt_odds_decimal", "price"), ["price", "age"]))
+
+
+@query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1", base=False)
+def v3_unique(spark, sf_dir):
+    return checks.check_unique(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("SELECT race_id, round(sum(raw), 6) AS total FROM market GROUP BY race_id HAVING sum(raw) IS NULL OR abs(sum(raw) - 1) > 0.2")
+def v4_prob_sum(spark, sf_dir):
+    return rounded(checks.check_prob_sum(market(spark, sf_dir), "race_id", "mkt_implied_raw", 0.2))
+
+
+@query("SELECT race_id, horse_id FROM market WHERE implied IS NULL OR implied NOT BETWEEN 0 AND 1")
+def v5_prob_table(spark, sf_dir):
+    return checks.check_prob_table(market(spark, sf_dir), "race_id", "horse_id", "mkt_implied").select(*KEYS)
+
+
+@query("SELECT count(*) AS n FROM runners WHERE pos NOT IN (0, 1)")
+def v6_label(spark, sf_dir):
+    return checks.check_label(runners(spark, sf_dir), "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT race_id, min(draw)::BIGINT AS low, max(draw)::BIGINT AS high FROM runners GROUP BY race_id HAVING min(draw) <> max(draw)")
+def v7_constant(spark, sf_dir):
+    return rounded(checks.check_constant(runners(spark, sf_dir), "race_id", "draw"))
+
+
+@query("SELECT unnest(['unique_key', 'label', 'constant']) AS rule, 0::BIGINT AS violations", base=False)
+def v8_canonical(spark, sf_dir):
+    return rounded(checks.check_canonical(runners(spark, sf_dir), KEYS, "is_win", "field_size"))
+
+
+@query("SELECT 'empty_event_id' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'event_type_is_int', count(*) FROM events UNION ALL SELECT 'event_type_level', count_if(upper(event_type) <> 'CLICK') FROM events", base=False)
+def v9_row_contract(spark, sf_dir):
+    return rounded(checks.check_row_contract(table(spark, sf_dir, "events"), ["event_id"], {"event_type": "int"}, {"event_type": ["CLICK"]}))
+
+
+@query(_RATED + "SELECT race_id, horse_id, round(model_prob, 6) AS model_prob, round(edge, 6) + 0.0 AS edge FROM rated")
+def m1_b1_edges(spark, sf_dir):
+    return rounded(rated(spark, sf_dir).select(*KEYS, "model_prob", "edge"))
+
+
+@query()
+def m2_platt(spark, sf_dir):
+    df = rated(spark, sf_dir).select(*KEYS, "model_prob", "is_win")
+    return models.apply_calibrator(df, models.fit_platt(df, "model_prob", "is_win"), "model_prob", "calibrated")
+
+
+@query()
+def m3_isotonic(spark, sf_dir):
+    df = rated(spark, sf_dir).select(*KEYS, "model_prob", "is_win")
+    return models.apply_calibrator(df, models.fit_isotonic(df, "model_prob", "is_win"), "model_prob", "calibrated")
+
+
+_LL = "-(is_win * ln({p}) + (1 - is_win) * ln(1 - {p}))"
+
+
+@query(_RATED + f"SELECT count(*) AS n, round(avg({_LL.format(p='model_prob')}), 6) AS logloss, round(avg(((model_prob >= 0.5)::INT = is_win)::INT), 6) AS accuracy, round(avg((model_prob - is_win) ** 2), 6) AS brier FROM rated")
+def m8_metrics(spark, sf_dir):
+    return rounded(models.binary_metrics(rated(spark, sf_dir), "model_prob", "is_win"))
+
+
+@query(_RATED + ", s AS (SELECT round(model_prob, 9) AS x, is_win FROM rated), r AS (SELECT is_win, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS k FROM s) SELECT round((sum(k) FILTER (is_win = 1) - sum(is_win) * (sum(is_win) + 1) / 2.0) / (sum(is_win) * (count(*) - sum(is_win))), 6) AS auc FROM r")
+def m9_auc(spark, sf_dir):
+    return rounded(models.auc(rated(spark, sf_dir).withColumn("model_prob", F.round("model_prob", 9)), "model_prob", "is_win"))
+
+
+@query(_RATED + ", c AS (SELECT race_id, avg(-ln(model_prob)) AS loss FROM rated WHERE is_win = 1 GROUP BY race_id) SELECT count(*) AS contests, round(avg(loss), 6) AS logloss FROM c")
+def m10_contest_logloss(spark, sf_dir):
+    return rounded(models.logloss_by_contest(rated(spark, sf_dir), "model_prob", "is_win"))
+
+
+_REL = _RATED + ", rel AS (SELECT greatest(least(ceil(round(model_prob * 10, 9)), 10), 1)::BIGINT - 1 AS bin, count(*) AS n, avg(model_prob) AS mean_p, avg(is_win) AS mean_y FROM rated GROUP BY bin)\n"
+
+
+@query(_REL + "SELECT bin, n, round(mean_p, 6) AS mean_p, round(mean_y, 6) AS mean_y FROM rel")
+def m11_reliability(spark, sf_dir):
+    return rounded(models.reliability(rated(spark, sf_dir), "model_prob", "is_win"))
+
+
+@query(_REL + "SELECT round(sum(n * abs(mean_p - mean_y)) / sum(n), 6) AS ece FROM rel")
+def m12_ece(spark, sf_dir):
+    return rounded(models.ece(models.reliability(rated(spark, sf_dir), "model_prob", "is_win")))
+
+
+@query(_RATED + ", v AS (SELECT round(model_prob, 9) AS p, is_win FROM rated), c AS (SELECT list_distinct(quantile_cont(p, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS cuts FROM v), b AS (SELECT p, is_win, len(list_filter(cuts, lambda c: c < p)) AS bin FROM v, c) SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(is_win), 6) AS mean_y FROM b GROUP BY bin")
+def m13_quantile_reliability(spark, sf_dir):
+    return rounded(models.quantile_reliability(rated(spark, sf_dir).withColumn("model_prob", F.round("model_prob", 9)), "model_prob", "is_win"))
+
+
+@query(_RATED + ", p AS (SELECT *, sum(model_prob) OVER (PARTITION BY race_id ORDER BY horse_id ROWS UNBOUNDED PRECEDING) AS upto FROM rated) SELECT race_id, horse_id, round(upto - model_prob + ('0x' || left(md5(race_id || ':' || horse_id), 8))::BIGINT / 4294967296.0 * model_prob, 6) AS pit FROM p WHERE is_win = 1")
+def m14_pit(spark, sf_dir):
+    return rounded(models.pit(rated(spark, sf_dir), "model_prob", "is_win"))
+
+
+@query(_RATED + ", v AS (SELECT *, round(model_prob, 9) AS p FROM rated WHERE price IS NOT NULL), k AS (SELECT *, row_number() OVER (ORDER BY p, race_id, horse_id) - 1 AS place, count(*) OVER () AS n FROM v) SELECT floor(place * 10 / n)::BIGINT AS decile, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END), 6) + 0.0 AS roi FROM k GROUP BY decile")
+def m15_roi_deciles(spark, sf_dir):
+    return rounded(models.roi_deciles(rated(spark, sf_dir).withColumn("model_prob", F.round("model_prob", 9)), "model_prob", "mkt_odds_decimal", "is_win", KEYS))
+
+
+_CLIP = "greatest(least(implied, 1 - 1e-12), 1e-12)"
+
+
+@query(_RATED + f", t AS (SELECT count(*) AS n, avg({_LL.format(p='model_prob')}) AS a, avg({_LL.format(p=_CLIP)}) AS b, avg((model_prob - is_win) ** 2) AS c, avg((implied - is_win) ** 2) AS d FROM rated WHERE implied IS NOT NULL) SELECT n, round(a, 6) AS model_logloss, round(b, 6) AS market_logloss, round(c, 6) AS model_brier, round(d, 6) AS market_brier, round(b - a, 6) + 0.0 AS logloss_gain, round(d - c, 6) + 0.0 AS brier_gain FROM t")
+def m16_compare_market(spark, sf_dir):
+    return rounded(models.compare_market(rated(spark, sf_dir), "model_prob", "mkt_implied", "is_win"))
+
+
+@query(_BETS + "SELECT race_id, horse_id, round(edge, 6) AS edge, round(price, 6) AS odds FROM bets")
+def b3_select_bets(spark, sf_dir):
+    return rounded(bets_of(rated(spark, sf_dir)).select(*KEYS, "edge", F.col("mkt_odds_decimal").alias("odds")))
+
+
+@query(_BETS + "SELECT race_id, horse_id, round(0.1 * greatest(0, (model_prob * (price - 1) - (1 - model_prob)) / (price - 1)), 6) AS stake FROM bets")
+def b4_stake(spark, sf_dir):
+    return rounded(betting.stake(bets_of(rated(spark, sf_dir)), 0.1).select(*KEYS, "stake"))
+
+
+@query(_BETS + f"SELECT {_SUMMARY} FROM bets")
+def b5_settle(spark, sf_dir):
+    return rounded(betting.summary(bets_of(rated(spark, sf_dir)), []))
+
+
+@query(_BETS + ", f AS (SELECT 1 + 0.001 * greatest(0, (model_prob * (price - 1) - (1 - model_prob)) / (price - 1)) * CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END AS factor FROM bets) SELECT count(*) AS bets, round(1000 * exp(sum(ln(factor))), 4) AS final, round(exp(sum(ln(factor))) - 1, 4) + 0.0 AS roi FROM f")
+def b6_compound(spark, sf_dir):
+    return rounded(betting.compound(bets_of(rated(spark, sf_dir)), 0.001, 1000.0), 4)
+
+
+@query(_RATED + """, grid AS (SELECT threshold, cap, top FROM (VALUES (0.01), (0.03), (0.05)) a(threshold), (VALUES (10.0), (30.0)) b(cap), (VALUES (1), (2)) c(top)),
+s AS (SELECT grid.*, race_id, is_win, price, row_number() OVER (PARTITION BY threshold, cap, top, race_id ORDER BY round(edge, 12) DESC, horse_id) AS k FROM rated, grid WHERE round(edge, 12) >= threshold AND price > 1 AND price <= cap)
+SELECT threshold::DOUBLE AS threshold, cap::DOUBLE AS cap, top::BIGINT AS top, count(*) AS bets, count(DISTINCT race_id) AS contests, count(*)::DOUBLE AS staked, round(sum(CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END), 6) AS pnl, round(avg(CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END), 6) AS roi, round(avg(is_win), 6) AS hit_rate, round(avg(price), 6) AS mean_odds FROM s WHERE k <= top GROUP BY threshold, cap, top""")
+def b7_b9_sweep(spark, sf_dir):
+    grid = spark.sql("SELECT threshold, cap, top FROM (VALUES (0.01D), (0.03D), (0.05D)) AS a(threshold), (VALUES (10.0D), (30.0D)) AS b(cap), (VALUES (1), (2)) AS c(top)")
+    return rounded(betting.sweep(rated(spark, sf_dir).withColumn("edge", F.round("edge", 12)), grid))
+
+
+_DRAWS = _BETS + """, bl AS (SELECT race_id, sum(pnl) AS top, count(*) AS bottom FROM bets GROUP BY race_id),
+u AS (SELECT draw, top, bottom, ('0x' || left(md5('b1:' || draw || ':' || race_id), 8))::BIGINT / 4294967296.0 AS u FROM bl, range(0, 20) t(draw)),
+w AS (SELECT draw, top, bottom, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.999916758850712)::INT + (u >= 0.9999897508033253)::INT AS n FROM u),
+dr AS (SELECT draw, sum(n * top) / sum(n * bottom) AS ratio FROM w GROUP BY draw)
+"""
+
+
+@query(_DRAWS + "SELECT draw, round(ratio, 6) AS ratio FROM dr")
+def b11_bootstrap(spark, sf_dir):
+    return rounded(betting.block_bootstrap(bets_of(rated(spark, sf_dir)), "pnl", "stake", "race_id", 20, "b1"))
+
+
+@query(_DRAWS + ", i AS (SELECT avg(ratio) AS mean, quantile_cont(ratio, 0.025) AS low, quantile_cont(ratio, 0.975) AS high FROM dr) SELECT round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 THEN 'profitable' WHEN high < 0 THEN 'not profitable' ELSE 'undecided' END AS verdict FROM i")
+def b12_verdict(spark, sf_dir):
+    draws = betting.block_bootstrap(bets_of(rated(spark, sf_dir)), "pnl", "stake", "race_id", 20, "b1")
+    return rounded(betting.verdict(betting.interval(draws)))
