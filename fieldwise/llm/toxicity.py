@@ -251,7 +251,9 @@ def fit(rows: list[tuple[int, str, int]], landmarks: int = 96, negatives: int =
     w, b = squared_hinge(x, y, cost, l2)
     model = Model(codes, project, w, b, (1.0, 0.0)).prepare()
     # Platt scaling on the sample's texts
-    worst = np.log(1 / (1 - np.clip(model.scores(pa.array([t for _, t, _ in rows], pa.string())), 1e-12, 1 - 1e-12)) - 1)
+    sample = pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in rows], pa.string())], names=["text"])
+    score = np.concatenate([model.scores(part.column("text")) for part in tx.slices(sample)])
+    worst = np.log(1 / (1 - np.clip(score, 1e-12, 1 - 1e-12)) - 1)
     label = np.array([float(v) for _, _, v in rows])
     n1, n0 = label.sum(), len(label) - label.sum()
     target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -266,7 +268,7 @@ def fit(rows: list[tuple[int, str, int]], landmarks: int = 96, negatives: int =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 1500, where=None) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 1200, where=None) -> Model | None:
     """Fit on at most ``max_train_docs`` rows of each label; ``where`` limits the labelled rows."""
     rows = labelled_sample(docs, labels, "toxic", max_train_docs, where)
     counts = {r[0]: r[1] for r in labels.groupBy(F.col("toxic").cast("int")).count().collect()}
