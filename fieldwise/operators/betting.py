@@ -12,7 +12,7 @@ def edges(df: DataFrame, model: str = "model_prob", market: str = "mkt_implied")
     return df.withColumn("edge", clip_prob(F.col(model)) - clip_prob(F.col(market)))
 
 
-def select_bets(df: DataFrame, by: list[str] | None = None, threshold=F.lit(0.02), cap=F.lit(20.0), top=F.lit(1), odds: str = "mkt_odds_decimal", group: str = "race_id", entity: str = "horse_id") -> DataFrame:
+def select_bets(df: DataFrame, by: list[str] | None = None, threshold=0.02, cap=20.0, top=1, odds: str = "mkt_odds_decimal", group: str = "race_id", entity: str = "horse_id") -> DataFrame:
     """Edges at or over the threshold at prices in (1, cap], the best ``top`` of each contest."""
     fit = df.where((F.col("edge") >= threshold) & (F.col(odds) > 1) & (F.col(odds) <= cap))
     rank = F.row_number().over(Window.partitionBy(*(by or []), group).orderBy(F.desc("edge"), entity))
