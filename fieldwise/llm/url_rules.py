@@ -5,7 +5,7 @@ subdomains covers one interval of the sorted keys, and intervals nest or are dis
 cut into ranges of about equal numbers of rows; each rule is copied to the ranges its interval
 meets; a sorted sweep of a range keeps the stack of rules that are open.
 
-Scale: the range bounds come from a sample of at most ``sample`` keys. Bounds are pairs of key
+Scale: the range bounds come from a sample of about ``sample`` keys, however many rows there are. Bounds are pairs of key
 and salt, so one host or url with a third of all rows spreads over many ranges. Only
 urls are shuffled, no other column. A task holds the stack (at most one level for each label of
 a host) and one Arrow batch.
@@ -46,8 +46,10 @@ def url_rules(pages: DataFrame, rules: DataFrame, ranges: int = 64, sample: int
     """One row per page: page_id, host, path, rule, verdict. ``rules`` has host, path, verdict."""
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", reversed_key(F.col("host")).alias("key"), F.xxhash64("page_id", "host", "path").alias("salt"))
-    # the rows whose hash is smallest are a repeatable sample of bounded size
-    found = sorted((r["key"], r["salt"]) for r in urls.select("key", "salt").orderBy(F.xxhash64("salt")).limit(sample).collect())
+    # a repeatable sample: about ``sample`` rows in all, those whose hash falls below a threshold
+    share = min(1.0, sample / max(pages.count(), 1))
+    drawn = F.pmod(F.xxhash64("salt"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+    found = sorted((r["key"], r["salt"]) for r in urls.select("key", "salt").where(drawn).collect())
     bounds = sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
     limits = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(s).alias("salt")) for k, s in bounds]) if bounds else None
 
