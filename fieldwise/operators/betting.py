@@ -84,3 +84,19 @@ def interval(draws: DataFrame, level: float = 0.95) -> DataFrame:
 
 def verdict(ci: DataFrame) -> DataFrame:
     return ci.withColumn("verdict", F.when(F.col("low") > 0, "profitable").when(F.col("high") < 0, "not profitable").otherwise("undecided"))
+
+
+def edges_from_pred(market: DataFrame, pred: DataFrame, column: str, keys: list[str], implied: str = "mkt_implied") -> DataFrame:
+    """Edges of predictions against the market; rows without either are dropped, and none left is an error."""
+    out = market.join(pred.select(*keys, F.col(column).alias("model_prob")), keys, "left")
+    out = out.withColumn("edge", F.col("model_prob") - F.col(implied)).where(F.col("edge").isNotNull())
+    if out.limit(1).count() == 0:
+        raise ValueError("no prediction meets the market")
+    return out
+
+
+def load_bets(df: DataFrame, odds: str = "odds", won: str = "won", staked: str = "stake") -> DataFrame:
+    """Stored bets as numbers, with their returns worked out again; rows without a price over 1 are dropped."""
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    out = df.withColumns({odds: number(odds), won: (F.coalesce(number(won), F.lit(0.0)) != 0).cast("int"), staked: F.coalesce(number(staked), F.lit(1.0))}).where(F.col(odds) > 1)
+    return out.withColumn("pnl", F.when(F.col(won) == 1, F.col(staked) * (F.col(odds) - 1)).otherwise(-F.col(staked)))

@@ -102,3 +102,17 @@ def apply_calibrator(df: DataFrame, model, prob: str, out: str) -> DataFrame:
     made = model.transform(df.withColumn("p", clip_prob(F.col(prob))))
     value = vector_to_array("probability")[1] if "probability" in made.columns else F.col("prediction")
     return made.withColumn(out, clip_prob(value)).select(*[c for c in df.columns if c != out], out)
+
+
+def summarize_run(df: DataFrame, prob: str, label: str, group: str = "race_id", entity: str = "horse_id") -> DataFrame:
+    """One row: rows and contests, binary metrics, contest log loss, calibration error, and the PIT's mean and variance."""
+    parts = [
+        binary_metrics(df, prob, label).drop("accuracy"),
+        logloss_by_contest(df, prob, label, group).withColumnRenamed("logloss", "contest_logloss"),
+        ece(reliability(df, prob, label)),
+        pit(df, prob, label, group, entity).agg(F.avg("pit").alias("pit_mean"), F.var_pop("pit").alias("pit_var")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:  # one row each
+        out = out.crossJoin(F.broadcast(part))
+    return out

@@ -64,3 +64,9 @@ def check_splits(df: DataFrame, splits: DataFrame, group: str) -> DataFrame:
     overlap = bounds.crossJoin(F.broadcast(after)).where("(split = 'train' AND next IN ('valid', 'test') OR split = 'valid' AND next = 'test') AND high > next_low")
     rules = {"missing": known.join(per, group, "left_anti"), "unknown": per.join(known, group, "left_anti"), "repeated": per.where("n > 1"), "overlap": overlap}
     return reduce(DataFrame.unionByName, (d.agg(F.lit(k).alias("rule"), F.count(F.lit(1)).alias("violations")) for k, d in rules.items()))
+
+
+def write_splits(splits: DataFrame, path: str) -> None:
+    """The splits as Parquet, one folder for each, and a manifest of counts beside them."""
+    splits.write.mode("overwrite").partitionBy("split").parquet(f"{path}/splits")
+    splits.groupBy("split").agg(F.count(F.lit(1)).alias("groups"), F.min("first_time").alias("first"), F.max("first_time").alias("last")).write.mode("overwrite").json(f"{path}/manifest")

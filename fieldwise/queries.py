@@ -684,3 +684,23 @@ def b11_bootstrap(spark, sf_dir):
 def b12_verdict(spark, sf_dir):
     draws = betting.block_bootstrap(bets_of(rated(spark, sf_dir)), "pnl", "stake", "race_id", 20, "b1")
     return rounded(betting.verdict(betting.interval(draws)))
+
+
+@query(_REL + f""", e AS (SELECT sum(n * abs(mean_p - mean_y)) / sum(n) AS ece FROM rel), c AS (SELECT race_id, avg(-ln(model_prob)) AS loss FROM rated WHERE is_win = 1 GROUP BY race_id),
+p AS (SELECT *, sum(model_prob) OVER (PARTITION BY race_id ORDER BY horse_id ROWS UNBOUNDED PRECEDING) AS upto FROM rated), q AS (SELECT upto - model_prob + ('0x' || left(md5(race_id || ':' || horse_id), 8))::BIGINT / 4294967296.0 * model_prob AS pit FROM p WHERE is_win = 1)
+SELECT count(*) AS n, round(avg({_LL.format(p='model_prob')}), 6) AS logloss, round(avg((model_prob - is_win) ** 2), 6) AS brier, (SELECT count(*) FROM c) AS contests, (SELECT round(avg(loss), 6) FROM c) AS contest_logloss, (SELECT round(ece, 6) FROM e) AS ece, (SELECT round(avg(pit), 6) FROM q) AS pit_mean, (SELECT round(var_pop(pit), 6) FROM q) AS pit_var FROM rated""")
+def m17_summarize_run(spark, sf_dir):
+    return rounded(models.summarize_run(rated(spark, sf_dir), "model_prob", "is_win"))
+
+
+@query(_RATED + "SELECT race_id, horse_id, round(model_prob - implied, 6) + 0.0 AS edge FROM rated WHERE implied IS NOT NULL AND draw <= 3")
+def b2_edges_from_pred(spark, sf_dir):
+    df = rated(spark, sf_dir)
+    pred = df.where("draw <= 3").select(*KEYS, F.col("model_prob").alias("p_win"))
+    return rounded(betting.edges_from_pred(df.select(*KEYS, "mkt_implied"), pred, "p_win", KEYS).select(*KEYS, "edge"))
+
+
+@query("SELECT race_id, horse_id, round(CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END, 6) + 0.0 AS pnl FROM runners WHERE price > 1")
+def b10_load_bets(spark, sf_dir):
+    told = market(spark, sf_dir).select(*KEYS, F.col("mkt_odds_decimal").cast("string").alias("odds"), F.col("is_win").cast("string").alias("won"), F.lit("1").alias("stake"))
+    return rounded(betting.load_bets(told).select(*KEYS, "pnl"))
