@@ -101,3 +101,11 @@ def test_calibration_is_monotone(spark, sf_dir):
     for name in ("m2_platt", "m3_isotonic"):
         rows = sorted((r.model_prob, r.calibrated) for r in q.QUERIES[name](spark, sf_dir).collect())
         assert all(b >= a - 1e-9 for (_, a), (_, b) in zip(rows, rows[1:]))
+
+
+def test_write_splits(spark, tmp_path):
+    rows = [(f"r{i}", f"h{i}", dt.datetime(2024, 1, 1) + dt.timedelta(days=i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "race_id string, horse_id string, race_dt timestamp")
+    splits.write_splits(splits.split_fractions(df, "race_id", "race_dt"), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/splits").where("split = 'train'").count() == 6
+    assert sum(r.groups for r in spark.read.json(f"{tmp_path}/manifest").collect()) == 10
