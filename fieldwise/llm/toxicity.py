@@ -112,6 +112,10 @@ class Model:
         return self
 
     def scores(self, column: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.worst(column) + self.scale[1], -30, 30)))
+
+    def worst(self, column: pa.Array) -> np.ndarray:
+        """The highest margin among each text's words."""
         data, offsets = tx.raw(column)
         words = tx.word_spans(data, offsets)
         data, start, end, row = with_spelled(data, words)
@@ -128,7 +132,7 @@ class Model:
         margin = np.array(known, np.float64)[back]
         worst = np.full(len(offsets) - 1, self.bias)
         np.maximum.at(worst, row, margin)
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] * worst + self.scale[1], -30, 30)))
+        return worst
 
 
 def with_spelled(data: np.ndarray, words: tx.Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,6 +196,31 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float) ->
     return w[:-1], float(w[-1])
 
 
+def platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the weighted logistic loss's minimum. Newton steps are halved until the loss falls:
+    whole steps run away where the labels are nearly separable."""
+    n1, n0 = label.sum(), len(label) - label.sum()
+    target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.column_stack([margin, np.ones(len(margin))])
+    ridge = np.array([0.1, 1e-3])
+    loss = lambda w: (weight * (np.logaddexp(0, x @ w) - target * (x @ w))).sum() + 0.5 * (ridge * w * w).sum()
+    w = np.array([1.0, 0.0])
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - target)) + ridge * w
+        bend = x.T @ (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]) + np.diag(ridge)
+        step, share = np.linalg.solve(bend, slope), 1.0
+        while share > 1e-10 and loss(w - share * step) > now:
+            share /= 2
+        new = w - share * step
+        before, now = now, min(now, loss(new))
+        w = new if now < before else w
+        if before - now <= 1e-10 * max(1.0, abs(now)):
+            break
+    return float(w[0]), float(w[1])
+
+
 def fit(rows: list[tuple[int, str, int]], landmarks: int = 96, negatives: int = 20_000, l2: float = 1e-6, clean_weight: float = 1.0) -> Model | None:
     """``rows`` are (id, text, label); ``clean_weight`` is how many texts one sampled clean text stands for."""
     bags = [(set(t.lower().encode().split()), label) for _, t, label in rows]
@@ -252,26 +281,17 @@ def fit(rows: list[tuple[int, str, int]], landmarks: int = 96, negatives: int =
     model = Model(codes, project, w, b, (1.0, 0.0)).prepare()
     # Platt scaling on the sample's texts
     sample = pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in rows], pa.string())], names=["text"])
-    score = np.concatenate([model.scores(part.column("text")) for part in tx.slices(sample)])
-    worst = np.log(1 / (1 - np.clip(score, 1e-12, 1 - 1e-12)) - 1)
+    worst = np.concatenate([model.worst(part.column("text")) for part in tx.slices(sample)])
     label = np.array([float(v) for _, _, v in rows])
-    n1, n0 = label.sum(), len(label) - label.sum()
-    target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    s, o, each = 1.0, 0.0, np.where(label > 0, 1.0, clean_weight)
-    for _ in range(50):  # Newton
-        p = 1 / (1 + np.exp(-np.clip(s * worst + o, -30, 30)))
-        g = np.array([(each * (p - target) * worst).sum() + 0.1 * s, (each * (p - target)).sum()])
-        v = each * np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(v * worst**2).sum() + 0.1, (v * worst).sum()], [(v * worst).sum(), v.sum() + 1e-3]])
-        s, o = np.array([s, o]) - np.linalg.solve(h, g)
-    model.scale = (float(s), float(o))
+    model.scale = platt(worst, label, np.where(label > 0, 1.0, clean_weight))
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 1200, where=None) -> Model | None:
     """Fit on at most ``max_train_docs`` rows of each label; ``where`` limits the labelled rows."""
     rows = labelled_sample(docs, labels, "toxic", max_train_docs, where)
-    counts = {r[0]: r[1] for r in labels.groupBy(F.col("toxic").cast("int")).count().collect()}
+    learned = labels if where is None else labels.where(where)
+    counts = {r[0]: r[1] for r in learned.groupBy(F.col("toxic").cast("int")).count().collect()}
     taken = Counter(label for _, _, label in rows)
     ratio = (counts.get(0, 0) / max(taken[0], 1)) / max(counts.get(1, 0) / max(taken[1], 1), 1e-9)
     return fit(rows, clean_weight=max(ratio, 1.0))
