@@ -93,8 +93,7 @@ def test_mix_shortage_goes_to_siblings_first(spark):
     plan = mixing.Plan(domains={"web": 0.5, "books": 0.5}, languages={"en": 0.5, "de": 0.5}, share=1.0, max_epochs=1)
     leaves = spark.createDataFrame([("web", "en", "s", 1, 10), ("web", "de", "s", 1, 100), ("books", "en", "s", 1, 100), ("books", "de", "s", 1, 100)], "domain string, lang string, source string, docs long, tokens long")
     got = {(r.domain, r.lang): r.leaf_budget for r in mixing.budgets(leaves, mixing.Plan(**{**plan.__dict__, "share": 0.5})).collect()}
-    assert got == {("web", "en"): 10, ("web", "de"): 67, ("books", "en"): 38, ("books", "de"): 38} or sum(got.values()) >= 150
-    assert got["web", "en"] == 10 and got["web", "de"] > got["books", "de"]
+    assert got == {("web", "en"): 10, ("web", "de"): 67, ("books", "en"): 38, ("books", "de"): 38}
 
 
 @pytest.fixture(scope="module")
@@ -102,17 +101,31 @@ def tox(spark, sf_dir):
     return queries.op5_toxicity(spark, sf_dir).collect()
 
 
-def test_toxicity_held_out(spark, tox):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf,least", [("sf0.01", 0.5), ("sf0.1", 0.7)])
+def test_toxicity_held_out(spark, tox, sf, least):
+    """sf0.01 has 37 toxic rows to learn from; sf0.1 enough that calibration has nearly separable labels."""
+    sf = f"/root/testdata/{sf}"
     got = {r.doc_id: r for r in queries.op5_toxicity(spark, sf).collect()}
     labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert all(got[r.doc_id].held_out for r in labels)
     hit = [got[r.doc_id].predicted for r in labels if r.toxic == 1]
     clean = [got[r.doc_id].predicted for r in labels if r.toxic == 0]
-    assert np.mean(hit) > 0.5 and np.mean(clean) < 0.05
+    assert np.mean(hit) > least and np.mean(clean) < 0.05
     assert all(0 <= r.score <= 1 for r in tox)
 
 
+@pytest.mark.parametrize("weight", [1.0, 8.5, 500.0])
+def test_platt_finds_the_minimum(weight):
+    rng = np.random.default_rng(4)
+    margin = np.concatenate([rng.choice([-2.0, -0.6, 2.24], 1200), rng.choice([2.1, 2.7, 5.6, 10.0], 1200, p=[0.01, 0.04, 0.75, 0.2])])
+    label = np.repeat([0.0, 1.0], 1200)
+    each = np.where(label > 0, 1.0, weight)
+    slope, offset = toxicity.platt(margin, label, each)
+    target = np.where(label > 0, 1201 / 1202, 1 / 1202)
+    loss = lambda s, o: (each * (np.logaddexp(0, s * margin + o) - target * (s * margin + o))).sum() + 0.05 * s * s + 0.0005 * o * o
+    assert all(loss(slope, offset) <= loss(slope + ds, offset + do) + 1e-6 for ds in (-0.05, 0, 0.05) for do in (-0.2, 0, 0.2))
+
+
 def brute_components(rows, words, percent):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = {}
@@ -281,7 +294,7 @@ def test_pipeline_stages(spark, sf_dir, docs):
     assert set(texts) == judged
     first = {}
     for i in sorted(texts):
-        first.setdefault(" ".join(texts[i].replace("\t", " ").split(" ")) if False else tuple(words_of(texts[i])) + (texts[i][:1].isspace(), texts[i][-1:].isspace()), i)
+        first.setdefault(tuple(words_of(texts[i])) + (texts[i][:1].isspace(), texts[i][-1:].isspace()), i)
     assert {r.doc_id for r in kept["exact_dedup"].collect()} == set(first.values())
     groups, _ = brute_components([(i, texts[i]) for i in first.values()], 5, 80)
     assert {r.doc_id for r in kept["near_dedup"].collect()} == set(groups.values())
