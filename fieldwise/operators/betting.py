@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwise.functions.prices import clip_prob
+from fieldwise.operators.scan import with_prefix
 
 
 def edges(df: DataFrame, model: str = "model_prob", market: str = "mkt_implied") -> DataFrame:
@@ -49,6 +50,15 @@ def compound(df: DataFrame, fraction: float, initial: float, odds: str = "mkt_od
     return grown.withColumn("roi", F.col("final") / initial - 1)
 
 
+def compound_path(df: DataFrame, fraction: float, initial: float, order: list[str], odds: str = "mkt_odds_decimal", prob: str = "model_prob", won: str = "is_win") -> DataFrame:
+    """Adds the bankroll after each bet in ``order``: a global prefix sum of the factors' logarithms; 0 from the first ruin on."""
+    b, q = F.col(odds) - 1, F.col(prob)
+    factor = 1 + fraction * F.greatest(F.lit(0.0), (q * b - (1 - q)) / b) * F.when(F.col(won) == 1, b).otherwise(-1.0)
+    steps = df.withColumn("__f", factor).withColumns({"__log": F.when(F.col("__f") > 0, F.ln("__f")).otherwise(0.0), "__ruin": (F.col("__f") <= 0).cast("long")})
+    run = with_prefix(steps, order, {"__grown": "__log", "__ruined": "__ruin"})
+    return run.withColumn("bankroll", F.when(F.col("__ruined") > 0, 0.0).otherwise(initial * F.exp("__grown"))).drop("__f", "__log", "__ruin", "__grown", "__ruined")
+
+
 def sweep(df: DataFrame, grid: DataFrame, won: str = "is_win") -> DataFrame:
     """One summary row for each (threshold, cap, top) of a small grid, from one pass over the edges."""
     tried = df.crossJoin(F.broadcast(grid))

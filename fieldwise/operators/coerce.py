@@ -122,9 +122,13 @@ def filter_range(df: DataFrame, column: str, low: float, high: float) -> DataFra
     return df.where(value.between(low, high))
 
 
+def feature_columns(df: DataFrame, columns: list[str]) -> list:
+    return [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns]
+
+
 def align_features(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exactly ``columns``, as doubles; absent and null values are 0."""
-    return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns])
+    return df.select(*feature_columns(df, columns))
 
 
 def make_xy(df: DataFrame, target: str, drop: list[str], prefixes=("obs__",)) -> DataFrame:

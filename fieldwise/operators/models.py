@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwise.functions.prices import clip_prob
+from fieldwise.operators.coerce import feature_columns
 from fieldwise.operators.joins import normalize
-from fieldwise.operators.scan import with_prefix
+from fieldwise.operators.scan import durable, with_prefix
+from fieldwise.operators.splits import grouped_time_cv
 
 
 def predict_eb(df: DataFrame, columns=("eb_horse", "eb_jockey", "eb_trainer"), weights=(0.70, 0.15, 0.15), group: str = "race_id", eps: float = 1e-6) -> DataFrame:
@@ -116,3 +118,47 @@ def summarize_run(df: DataFrame, prob: str, label: str, group: str = "race_id",
     for part in parts[1:]:  # one row each
         out = out.crossJoin(F.broadcast(part))
     return out
+
+
+def _classifier(features: list[str], kind: str, seed: int):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    model = LogisticRegression(regParam=1e-3, maxIter=100) if kind == "logistic" else GBTClassifier(maxIter=20, maxDepth=4, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), model])
+
+
+def fit_classifier(df: DataFrame, features: list[str], label: str, kind: str = "logistic", seed: int = 7):
+    rows = df.where(F.col(label).isNotNull())
+    return _classifier(features, kind, seed).fit(rows.select(F.col(label).cast("double").alias("label"), *feature_columns(rows, features)))
+
+
+def score(df: DataFrame, model, features: list[str], out: str = "model_prob", eps: float = 1e-6) -> DataFrame:
+    """A saved model's probability for each row: its own probability, else the logistic of its margin, else its
+    clipped prediction. Absent and null features are 0."""
+    from pyspark.ml.functions import vector_to_array
+
+    made = model.transform(df.select(*[F.col(c).alias(f"__{c}") for c in df.columns], *feature_columns(df, features)))
+    if "probability" in made.columns:
+        value = vector_to_array("probability")[1]
+    elif "rawPrediction" in made.columns:
+        value = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+    else:
+        value = F.col("prediction")
+    return made.select(*[F.col(f"__{c}").alias(c) for c in df.columns if c != out], clip_prob(value, eps).alias(out))
+
+
+def train_oof(df: DataFrame, features: list[str], label: str = "is_win", group: str = "race_id", time: str = "race_dt", k: int = 4, kind: str = "logistic", seed: int = 7) -> DataFrame:
+    """Adds ``oof_prob``: each contest scored by the model fitted on the blocks of time before its own, and
+    normalised within the contest; null for the first block, which nothing comes before."""
+    rows = durable(df.join(grouped_time_cv(df, group, time, k).where("role = 'valid'").select(group, "fold"), group, "left"))
+    parts = [rows.where("fold IS NULL").drop("fold").withColumn("oof_prob", F.lit(None).cast("double"))]
+    for fold in range(k):
+        model = fit_classifier(rows.where(F.coalesce("fold", F.lit(-1)) < fold), features, label, kind, seed)
+        scored = score(rows.where(F.col("fold") == fold).drop("fold"), model, features, "__p")
+        parts.append(normalize(scored, "__p", group, "oof_prob").drop("__p"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

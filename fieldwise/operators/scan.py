@@ -4,30 +4,38 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared checkpoint folder; in a folder of our own only where the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """A copy of ``df`` in the shared checkpoint folder: both passes of a scan must see the same partitions."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/scan-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "scan")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_prefix(df: DataFrame, order: list, sums: dict[str, str], partitions: int | None = None) -> DataFrame:
+def with_prefix(df: DataFrame, order: list, sums: dict[str, str], partitions: int | None = None, own: bool = True) -> DataFrame:
     """Adds running totals over the global order: ``sums`` maps new columns to columns (``*`` counts rows).
 
     Rows are range-partitioned and sorted; each partition's totals, one row each, give the offsets.
+    ``own=False`` leaves the row itself out. The rows are written before they are dealt, since
+    finding the ranges reads them once more. Nulls count as 0.
     """
-    dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    rows = durable(df)
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
     held = durable(dealt.withColumn("__part", F.spark_partition_id()))
     value = lambda c: F.lit(1) if c == "*" else F.coalesce(F.col(c), F.lit(0))
     totals = held.groupBy("__part").agg(*[F.sum(value(c)).alias(f"__{o}") for o, c in sums.items()])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__part", *[F.coalesce(F.sum(f"__{o}").over(before), F.lit(0)).alias(f"__{o}") for o in sums])
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     joined = held.join(F.broadcast(offsets), "__part")  # one row for each partition
-    return joined.withColumns({o: F.col(f"__{o}") + F.sum(value(c)).over(inside) for o, c in sums.items()}).drop("__part", *[f"__{o}" for o in sums])
+    return joined.withColumns({o: F.col(f"__{o}") + F.coalesce(F.sum(value(c)).over(inside), F.lit(0)) for o, c in sums.items()}).drop("__part", *[f"__{o}" for o in sums])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwise.functions import prices
-from fieldwise.operators import betting, checks, coerce, features, joins, models, profile, ratings, sets, splits
+from fieldwise.operators import betting, checks, coerce, features, joins, models, profile, ratings, scan, sets, splits
 from fieldwise.plans.fixtures import RUNNERS_SQL, runners
 from fieldwise.sources import io
 
@@ -704,3 +704,106 @@ def b2_edges_from_pred(spark, sf_dir):
 def b10_load_bets(spark, sf_dir):
     told = market(spark, sf_dir).select(*KEYS, F.col("mkt_odds_decimal").cast("string").alias("odds"), F.col("is_win").cast("string").alias("won"), F.lit("1").alias("stake"))
     return rounded(betting.load_bets(told).select(*KEYS, "pnl"))
+
+
+_PAIRED = "FROM g a LEFT JOIN g b ON a.{0} = b.{0} AND (b.us, b.race_id, b.horse_id) < (a.us, a.race_id, a.horse_id) GROUP BY ALL"
+_AGED = "coalesce(sum({0} * pow(0.5, (a.us - b.us) / 86400000000.0 / {1})), 0)"
+_Z = ["horse_elo", "horse_eb", "jockey_elo", "trainer_elo"]
+_UP = "ORDER BY us, race_id, horse_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+# the mean fades as well as its weight, so its sum has half the half-life; see ratings.decayed_z
+_BLEND = (
+    ", g AS (SELECT *, 16 * sqrt(greatest(field_size / 8.0, 1)) * (CASE WHEN field_size <= 1 THEN 1.0 ELSE 1 - (pos - 1)::DOUBLE / (field_size - 1) END - 0.5) AS gain FROM runners)\n"
+    + ", ho AS (SELECT a.race_id, a.horse_id, " + _AGED.format("b.gain", 90) + " AS horse_elo, (20 * (SELECT avg(is_win) FROM runners) + " + _AGED.format("b.is_win", 120) + ") / (20 + " + _AGED.format("(b.us IS NOT NULL)::INT", 120) + ") AS horse_eb " + _PAIRED.format("horse_id") + ")\n"
+    + "".join(
+        f", {e[:2]} AS (SELECT race_id, horse_id, coalesce(sum(gain * pow(2, (us - u0) / 86400000000.0 / 90)) OVER (PARTITION BY {e}_id {_UP}), 0) / pow(2, (us - u0) / 86400000000.0 / 90) AS {e}_elo FROM g, (SELECT min(us) AS u0 FROM g))\n"
+        for e in ("jockey", "trainer")
+    )
+    + ", c AS (SELECT race_id, horse_id, us, horse_elo, horse_eb, jockey_elo, trainer_elo, pow(2::DOUBLE, (us - min(us) OVER ()) / 86400000000.0 / 180) AS up FROM g JOIN ho USING (race_id, horse_id) JOIN jo USING (race_id, horse_id) JOIN tr USING (race_id, horse_id))\n"
+    + f", z1 AS (SELECT *, (1e-6 + coalesce(sum(up) OVER ({_UP}), 0)) / up AS w, " + ", ".join(f"coalesce(sum({x} * up * up) OVER ({_UP}), 0) / up / up AS s_{x}" for x in _Z) + " FROM c)\n"
+    + ", z2 AS (SELECT *, " + ", ".join(f"{x} - s_{x} / w AS d_{x}" for x in _Z) + " FROM z1)\n"
+    + ", z3 AS (SELECT *, " + ", ".join(f"d_{x} / sqrt(greatest((1 + coalesce(sum(d_{x} ** 2 * w / (w + 1) * up) OVER ({_UP}), 0)) / up / greatest(w, 1e-6), 1e-9)) AS {x}_z" for x in _Z) + " FROM z2)\n"
+)
+
+
+@query(_BLEND + "SELECT race_id, horse_id, round(horse_elo_z, 4) + 0.0 AS horse_elo_z, round(trainer_elo_z, 4) + 0.0 AS trainer_elo_z FROM z3")
+def r4_decayed_z(spark, sf_dir):
+    made = ratings.blended_ratings(runners(spark, sf_dir))
+    return rounded(made.select(*KEYS, "horse_elo_z", "trainer_elo_z"), 4)
+
+
+@query(_BLEND + "SELECT race_id, horse_id, " + ", ".join(f"round({x}, 4) + 0.0 AS {x}" for x in _Z) + ", round(0.5 * horse_elo_z + 0.2 * horse_eb_z + 0.15 * jockey_elo_z + 0.15 * trainer_elo_z, 4) + 0.0 AS rating_blend FROM z3")
+def r5_blended_ratings(spark, sf_dir):
+    return rounded(ratings.blended_ratings(runners(spark, sf_dir)).select(*KEYS, *_Z, "rating_blend"), 4)
+
+
+FEATURES = ["draw", "official_rating", "weight_lbs", "distance_m", "eb_horse", "eb_jockey", "eb_trainer"]
+
+
+@query()
+def m6_train_oof(spark, sf_dir):
+    base = features.prior_eb_rate(runners(spark, sf_dir), ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win")
+    return models.train_oof(base.select(*KEYS, "race_dt", "is_win", *FEATURES), FEATURES).select(*KEYS, "oof_prob")
+
+
+@query()
+def m7_score(spark, sf_dir):
+    """Fit, save to the shared folder, load, score."""
+    from pyspark.ml import PipelineModel
+
+    base = features.prior_eb_rate(runners(spark, sf_dir), ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win")
+    path = scan.fresh_path(spark, "model")
+    models.fit_classifier(base, FEATURES, "is_win").write().save(path)
+    return models.score(base.select(*KEYS, *FEATURES), PipelineModel.load(path), FEATURES).select(*KEYS, "model_prob")
+
+
+@query(_BETS + ", f AS (SELECT *, 1 + 0.001 * greatest(0, (model_prob * (price - 1) - (1 - model_prob)) / (price - 1)) * CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END AS factor FROM bets) SELECT race_id, horse_id, round(1000 * exp(sum(ln(factor)) OVER (ORDER BY us, race_id, horse_id ROWS UNBOUNDED PRECEDING)), 4) AS bankroll FROM f")
+def b6_compound_path(spark, sf_dir):
+    return rounded(betting.compound_path(bets_of(rated(spark, sf_dir)), 0.001, 1000.0, ["race_dt", *KEYS]).select(*KEYS, "bankroll"), 4)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS o_orderpriority FROM orders", base=False)
+def s1_csv_union(spark, sf_dir):
+    """Two CSV folders with different columns, read as one table."""
+    orders, path = table(spark, sf_dir, "orders"), scan.fresh_path(spark, "csv")
+    orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus").write.csv(f"{path}/even", header=True)
+    orders.where("o_orderkey % 2 = 1").select("o_orderkey", "o_orderpriority").write.csv(f"{path}/odd", header=True)
+    return io.read_csv_union(spark, [f"{path}/even", f"{path}/odd"]).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+@query("SELECT race_id, horse_id, pos::BIGINT AS pos FROM runners")
+def s4_canonical(spark, sf_dir):
+    path = scan.fresh_path(spark, "canonical")
+    io.write_canonical(runners(spark, sf_dir), path, ["race_dt", *KEYS])
+    return rounded(io.read_columns(spark, path, [*KEYS, "pos"]))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, count(*)::BIGINT AS customers, 2::BIGINT AS copies FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL", base=False)
+def s5_dual(spark, sf_dir):
+    """The table as Parquet and as CSV; rows that both hold."""
+    path = scan.fresh_path(spark, "dual")
+    io.write_dual(table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers")), path)
+    both = io.read_table(spark, f"{path}.parquet").unionByName(io.read_table(spark, f"{path}.csv").selectExpr("cast(n_nationkey AS long) AS n_nationkey", "cast(customers AS long) AS customers"))
+    return both.groupBy("n_nationkey", "customers").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(_BETS + f"SELECT {_SUMMARY} FROM bets")
+def s6_summary(spark, sf_dir):
+    path = scan.fresh_path(spark, "summary")
+    io.write_summary(betting.summary(bets_of(rated(spark, sf_dir)), []), path)
+    return rounded(spark.read.schema("bets long, contests long, staked double, pnl double, roi double, hit_rate double, mean_odds double").json(path))
+
+
+@query("SELECT 'orders' AS what, count(*)::BIGINT AS \"rows\", 2::BIGINT AS runs, 1::BIGINT AS fingerprints FROM orders", base=False)
+def s8_ledger(spark, sf_dir):
+    """Two runs over the same rows, the second in another order, leave one fingerprint."""
+    path, orders = scan.fresh_path(spark, "ledger"), table(spark, sf_dir, "orders")
+    for rows in (orders, orders.repartition(3)):
+        io.append_ledger(rows, path, what="orders")
+    return spark.read.parquet(path).groupBy("what", "rows").agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("fingerprint").alias("fingerprints"))
+
+
+@query(_PLACE + "SELECT CASE WHEN place < groups - floor(groups * 0.2) - floor(groups * 0.2) THEN 'train' WHEN place < groups - floor(groups * 0.2) THEN 'valid' ELSE 'test' END AS split, count(*)::BIGINT AS groups FROM pl GROUP BY ALL")
+def t4_write_splits(spark, sf_dir):
+    path = scan.fresh_path(spark, "splits")
+    splits.write_splits(splits.split_fractions(runners(spark, sf_dir), "race_id", "race_dt"), path)
+    return spark.read.parquet(f"{path}/splits").groupBy("split").agg(F.count(F.lit(1)).alias("groups"))

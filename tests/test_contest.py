@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldwise import queries as q
 from fieldwise.functions import prices
-from fieldwise.operators import betting, checks, coerce, features, joins, ratings, splits
+from fieldwise.operators import betting, checks, coerce, features, joins, models, ratings, splits
 from fieldwise.sources import io
 
 
@@ -109,3 +109,66 @@ def test_write_splits(spark, tmp_path):
     splits.write_splits(splits.split_fractions(df, "race_id", "race_dt"), str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/splits").where("split = 'train'").count() == 6
     assert sum(r.groups for r in spark.read.json(f"{tmp_path}/manifest").collect()) == 10
+
+
+def test_decayed_z_equals_a_loop(spark):
+    """Equal times, long gaps, a constant column, nulls and infinities, against a plain running state."""
+    import random
+
+    rng, at, rows = random.Random(3), dt.datetime(2000, 1, 1), []
+    for i in range(400):
+        at += dt.timedelta(days=rng.choice([0, 0, 1, 7, 40, 900]), seconds=rng.choice([0, 3600]))
+        rows.append((f"r{i // 3:04d}", f"h{i:04d}", at, rng.choice([None, rng.gauss(3, 2), rng.gauss(-1, 9)]), 5.0, float("inf") if i % 50 == 0 else float(i)))
+    df = spark.createDataFrame(rows, "race_id string, horse_id string, ts timestamp, a double, b double, c double")
+    got = {r.horse_id: r for r in ratings.decayed_z(df, "ts", ["a", "b", "c"], 180.0).collect()}
+    for col, name in ((3, "a"), (4, "b"), (5, "c")):
+        mean, spread, weight, last = 0.0, 1.0, 1e-6, rows[0][2]
+        for r in rows:
+            x = 0.0 if r[col] is None or math.isinf(r[col]) else r[col]
+            fade = 2.0 ** (-(r[2] - last).total_seconds() / 86400 / 180)
+            mean, spread, weight, last = mean * fade, spread * fade, weight * fade, r[2]
+            d = x - mean
+            assert getattr(got[r[1]], f"{name}_z") == pytest.approx(d / math.sqrt(max(1e-9, spread / max(1e-6, weight))), rel=1e-6, abs=1e-6)
+            weight += 1
+            mean += d / weight
+            spread = max(1e-12, spread + d * (x - mean))
+
+
+def test_decayed_z_of_no_rows(spark):
+    assert ratings.decayed_z(spark.createDataFrame([], "race_id string, horse_id string, ts timestamp, a double"), "ts", ["a"]).count() == 0
+
+
+def test_compound_path_keeps_order_and_ruin(spark):
+    bets = spark.createDataFrame([(1, 0.5, 3.0, 1), (2, 0.5, 3.0, 0), (3, 1.0, 2.0, 0), (4, 0.5, 3.0, 1)], "i int, model_prob double, mkt_odds_decimal double, is_win int")
+    got = [r.bankroll for r in betting.compound_path(bets, 0.2, 1000.0, ["i"]).orderBy("i").collect()]
+    assert got == pytest.approx([1100.0, 1072.5 - 27.5, 1045 * 0.8, 836 * 1.1])
+    ruined = [r.bankroll for r in betting.compound_path(bets, 1.0, 1000.0, ["i"]).orderBy("i").collect()]
+    assert ruined[2:] == [0.0, 0.0] and ruined[1] > 0
+
+
+@pytest.mark.parametrize("kind", ["logistic", "gbt"])
+def test_out_of_fold_looks_back_only(spark, tmp_path, kind):
+    """Each contest's score comes from earlier contests alone: changing later labels changes nothing."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(30):
+        strength = [rng.gauss(0, 1) for _ in range(4)]
+        rows += [(f"r{i:02d}", f"h{j}", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), int(s == max(strength)), s, None if i % 7 == 0 else s * 2) for j, s in enumerate(strength)]
+    schema = "race_id string, horse_id string, race_dt timestamp, is_win int, x double, y double"
+    run = lambda given: {(r.race_id, r.horse_id): r.oof_prob for r in models.train_oof(spark.createDataFrame(given, schema), ["x", "y", "absent"], k=2, kind=kind).collect()}
+    first = run(rows)
+    assert len(first) == 120 and all((p is None) == (race < "r10") for (race, _), p in first.items())
+    for race in {r[0] for r in rows if r[0] >= "r10"}:
+        assert sum(first[race, f"h{j}"] for j in range(4)) == pytest.approx(1)
+    later = run([(*r[:3], 1 - r[3] if r[0] >= "r20" else r[3], *r[4:]) for r in rows])
+    assert all(later[k] == pytest.approx(v) for k, v in first.items() if "r10" <= k[0] < "r20")
+    if kind == "logistic":
+        from pyspark.ml import PipelineModel
+
+        df = spark.createDataFrame(rows, schema)
+        model = models.fit_classifier(df, ["x", "y"], "is_win")
+        model.write().save(str(tmp_path / "model"))
+        back = models.score(df, PipelineModel.load(str(tmp_path / "model")), ["x", "y"]).collect()
+        assert [r.model_prob for r in back] == pytest.approx([r.model_prob for r in models.score(df, model, ["x", "y"]).collect()])
