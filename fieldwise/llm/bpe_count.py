@@ -103,11 +103,12 @@ class Counter:
         """A text without special strings.
 
         Where all white space is single blanks and line feeds between words, no piece spans two
-        words, and a word's count depends only on whether a blank stands before it.
+        words, and a word's count depends only on whether a blank stands before it. Joining the
+        words with single blanks gives the text back just then, since ``split`` knows all white space.
         """
-        lines = text.split("\n")
-        if len(text.split()) != text.count(" ") + len(lines):
+        if " ".join(text.split()) != text.replace("\n", " "):
             return self.by_pieces(text)
+        lines = text.split("\n")
         total, later = len(lines) - 1, self.later.__getitem__
         for line in lines:
             words = line.split(" ")

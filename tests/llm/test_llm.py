@@ -196,6 +196,14 @@ def test_bpe_counts_equal_the_library(docs, odd):
     assert [r.n_tokens for r in got.collect()] == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_counts_of_mixed_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, counter, rng = Tokenizer.from_file(path), bpe_count.Counter(*bpe_count.load(path)), np.random.default_rng(6)
+    texts = ["x\n\xa0\xa0y", "one two\n\xa0\xa0three four", "a\tb\tc\n\n", "a b\n\n\nc\td\te", "a \xa0 b\tc", " ", "\n", "a\n", "a\x1fb c"]
+    texts += ["".join(rng.choice(["a", "bc", "'s", "7", " ", " ", "\n", "\n", "\t", "\xa0", "\u3000", "\r"], rng.integers(1, 16))) for _ in range(5000)]
+    assert [counter(t) for t in texts] == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
