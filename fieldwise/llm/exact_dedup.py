@@ -151,6 +151,8 @@ def exact_dedup(docs: DataFrame, is_history=None, shard_size: int = 200_000) ->
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, all columns: one row of each distinct normalised text."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest")).distinct()
+    marked = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    same = (marked["__digest"] == kept["kept_digest"]) & marked["doc_id"].eqNullSafe(kept["kept_id"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["__digest"]).drop("__digest")

@@ -86,8 +86,8 @@ def budgets(leaves: DataFrame, plan: Plan = PLAN) -> DataFrame:
     return filled.select("domain", "lang", "source", "docs", "tokens", F.floor(F.col("granted") + F.lit(1e-6)).cast("long").alias("leaf_budget"))
 
 
-def mix(docs: DataFrame, plan: Plan = PLAN, digits: int | None = None, docs_per_range: int = 20_000) -> DataFrame:
-    """The documents taken: doc_id, domain, lang, source, n_tokens, leaf_budget, copies."""
+def mix(docs: DataFrame, plan: Plan = PLAN, digits: int | None = None, docs_per_range: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The documents taken: doc_id, domain, lang, source, n_tokens, leaf_budget, copies; and the columns ``carry``, which settle ties."""
     rows = stored(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -95,6 +95,7 @@ def mix(docs: DataFrame, plan: Plan = PLAN, digits: int | None = None, docs_per_
             F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
             F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
             word_tokens(F.col("text")).alias("n_tokens"),
+            *carry,
         )
     )
     leaf = ["domain", "lang", "source"]
@@ -113,15 +114,23 @@ def mix(docs: DataFrame, plan: Plan = PLAN, digits: int | None = None, docs_per_
     sums = stored(sums.withColumn("before", upto - F.col("held")))
     placed = ordered.join(sums, [*leaf, "range"])
     fits, beyond = F.col("before") + F.col("held") <= F.col("rest"), F.col("before") > F.col("rest")
-    within = F.sum("n_tokens").over(Window.partitionBy(*leaf, "range").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    columns = ["doc_id", *leaf, "n_tokens", "leaf_budget"]
+    within = F.sum("n_tokens").over(Window.partitionBy(*leaf, "range").orderBy("key", "doc_id", "n_tokens", *carry).rowsBetween(Window.unboundedPreceding, 0))
+    columns = ["doc_id", *leaf, "n_tokens", "leaf_budget", *carry]
     sure = placed.where(fits | beyond).select(*columns, (F.col("epochs") + fits.cast("long")).alias("copies"))
     edge = placed.where(~(fits | beyond)).withColumn("last", F.col("before") + within).select(*columns, (F.col("epochs") + (F.col("last") <= F.col("rest")).cast("long")).alias("copies"))
     return sure.unionByName(edge).where("copies > 0")
 
 
 def mixed_documents(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, all columns, each as often as it is taken."""
-    taken = mix(docs, plan).select(F.col("doc_id").alias("__taken_id"), F.col("copies").alias("__copies")).groupBy("__taken_id").agg(F.max("__copies").alias("__copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__taken_id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """The rows of ``docs`` that the mix takes, all columns, each as often as it is taken.
+
+    A row is known by its doc_id, language, source and text, so rows that share an id, or have none,
+    keep their own copies; of rows alike in all four, each gets one of the counts.
+    """
+    content = F.struct("doc_id", "lang", "source", F.sha2(F.col("text").cast("string"), 256).alias("text"))
+    keyed = docs.withColumn("__key", F.unhex(F.sha2(F.to_json(content), 256)))
+    taken = mix(keyed, plan, carry=("__key",)).groupBy("__key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
+    numbered = keyed.withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    joined = numbered.join(taken, "__key").where(F.col("__row") <= F.size("__copies"))
+    copies = F.element_at("__copies", F.col("__row"))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)

@@ -272,7 +272,20 @@ def partners(filled: DataFrame, parts: DataFrame, sketch: DataFrame, limit: int,
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, one of each group, all columns. Rows with a null doc_id stay."""
-    kept = near_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    """The documents that stay, one of each group, all columns.
+
+    Here a document is a distinct pair of doc_id and text. Where an id is null or has several texts,
+    the pairs are numbered by doc_id, nulls last, then text digest, and the numbers stand in for ids.
+    """
+    mark = F.coalesce(F.unhex(F.sha2(F.col("text").cast("string"), 256)), F.lit(b""))
+    pairs = docs.select(F.col("doc_id").cast("long").alias("pair_id"), mark.alias("pair_mark"))
+    clashes = pairs.groupBy("pair_id").agg(F.min("pair_mark").alias("low"), F.max("pair_mark").alias("high")).where("pair_id IS NULL OR low <> high")
+    if clashes.limit(1).count() == 0:
+        kept = near_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+        return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    ranked = stored(pairs.distinct().orderBy(F.col("pair_id").asc_nulls_last(), "pair_mark").withColumn("__rank", F.monotonically_increasing_id()))
+    marked = docs.withColumn("__mark", mark)
+    same = (marked["__mark"] == ranked["pair_mark"]) & marked["doc_id"].eqNullSafe(ranked["pair_id"])
+    numbered = stored(marked.join(ranked, same).select(*[docs[c] for c in docs.columns], "__rank"))
+    kept = near_dedup(numbered.select(F.col("__rank").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("kept_rank")).distinct()
+    return numbered.join(kept, numbered["__rank"] == kept["kept_rank"], "left_semi").dropDuplicates(["__rank"]).drop("__rank")

@@ -310,3 +310,38 @@ def test_pipeline_stages(spark, sf_dir, docs):
     taken = {r.doc_id: r.copies for r in mixing.mix(kept["near_dedup"]).collect()}
     assert mixed == taken
     check_packing(kept["mixing"], kept["packing"].collect())
+
+
+def test_pipeline_keeps_texts_without_an_id_of_their_own(spark, sf_dir, docs):
+    """Two texts with a null doc_id and two that share one pass every stage as four documents."""
+    rows = stored(corpus_pipeline.quality_rules(spark, docs, sf_dir))
+    near = near_dedup.near_dedup(rows).select("doc_id", "component_id").collect()
+    size = Counter(r.component_id for r in near)
+    alone = {r.doc_id for r in near if size[r.component_id] == 1}
+    labelled = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    best = sorted((r for r in rows.collect() if r.doc_id in alone), key=lambda r: (r.doc_id in labelled, r.doc_id))[:4]
+    new_id = dict(zip((r.doc_id for r in best), (None, None, -7, -7)))
+    odd_ids = {r.text: new_id[r.doc_id] for r in best}
+    renamed = spark.createDataFrame([r.asDict() | {"doc_id": new_id.get(r.doc_id, r.doc_id)} for r in docs.collect()], docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        renamed = stored(stage(spark, renamed, sf_dir))
+        found = [(r.text, r.doc_id) for r in renamed.collect() if r.text in odd_ids]
+        assert set(found) == set(odd_ids.items()), name
+        assert name == "quality_rules" or len(found) == 4
+    mixed = stored(mixing.mixed_documents(renamed))
+    count = F.regexp_count("text", F.lit(r"[^ \t-\r]+")).cast("long").alias("n_tokens")
+    expected = {(r.doc_id, r.n_tokens): r[2] for r in mixing.mix(renamed).groupBy("doc_id", "n_tokens").agg(F.sum("copies")).collect()}
+    assert Counter((r.doc_id, r.n_tokens) for r in mixed.select("doc_id", count).collect()) == expected
+    every = mixing.mixed_documents(renamed, mixing.Plan(share=2.0))
+    assert Counter(r.text for r in every.collect()) == {r.text: 2 for r in renamed.collect()}
+    pieces = packing.pack_documents(mixed, public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sum(p.length for p in pieces.collect()) == sum(len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed.collect())
+
+
+def test_mix_takes_no_more_rows_without_ids_than_it_counted(spark):
+    rows = [(None, f"{w} " * 10, "en", "src0") for w in "abcd"] + [(5, "e " * 10, "en", "src0"), (5, "f " * 10, "de", "src5"), (6, "g " * 10, "en", "src0"), (6, "g " * 10, "en", "src0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for share in (0.3, 0.5, 0.75, 1.2):
+        plan = mixing.Plan(share=share)
+        assert mixing.mixed_documents(df, plan).count() == mixing.mix(df, plan).agg(F.sum("copies")).first()[0]
