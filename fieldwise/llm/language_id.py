@@ -1,14 +1,14 @@
 """Language ID with a bit-sliced Bloom filter whose lookups return language bitmasks.
 
 Training takes, for each language, the ``per_language`` byte n-grams that most of its sampled
-documents hold. One table of 64-bit rows holds all languages' Bloom filters side by side: bit j
-of a row belongs to language j, so ANDing the rows of an n-gram's hashes gives every language
-that has it. A text's lookups are counted for each bit, the counts are corrected by that
+documents hold. One table holds all languages' Bloom filters side by side, in as many 64-bit words
+a row as they need: bit j of a row belongs to language j, so ANDing the rows of an n-gram's hashes
+gives every language that has it. A text's lookups are counted for each bit, the counts are corrected by that
 language's false-positive rate, and the largest share decides.
 
 Training reads at most ``sample`` documents of each language (smallest hashed ids; null
-languages are left out), and takes at most 64 languages, the most frequent ones. Scoring reads
-whole texts slice by slice, shuffles nothing, and ships one table of ``2**bits`` words.
+languages are left out), and learns every language. Scoring reads whole texts slice by slice,
+shuffles nothing, and ships one table of ``2**bits`` words for each 64 languages.
 
 Defined cases: null text, empty text and text without a letter give ``und`` and score 0. Ties go
 to the alphabetically first language. Without training rows everything is ``und``.
@@ -56,24 +56,31 @@ def rows_of(code: np.ndarray, k: int, bits: int) -> np.ndarray:
 
 
 def lookup(table: np.ndarray, code: np.ndarray, bits: int) -> np.ndarray:
-    mask = table[rows_of(code, 0, bits)]
+    """The languages' bits of each code, one line for each word of the table."""
+    mask = table[:, rows_of(code, 0, bits)]
     for k in range(1, HASHES):
-        mask = mask & table[rows_of(code, k, bits)]
+        mask &= table[:, rows_of(code, k, bits)]
     return mask
 
 
+def bit(words: np.ndarray, j: int) -> np.ndarray:
+    return (words[j >> 6] >> np.uint64(j & 63)) & np.uint64(1)
+
+
 def fit(texts: list[str], langs: list[str], per_language: int, bits: int) -> Model:
-    names = sorted(sorted(set(langs), key=lambda x: (-langs.count(x), x))[:64])
-    table, sets = np.zeros(1 << bits, np.uint64), []
+    names = sorted(set(langs))
+    by_name: dict[str, list[str]] = {name: [] for name in names}
+    for t, x in zip(texts, langs):
+        by_name[x].append(t)
+    table = np.zeros((-(-len(names) // 64), 1 << bits), np.uint64)
     for j, name in enumerate(names):
-        found = [np.unique(grams(*tx.raw(pa.array([t], pa.string())))[0]) for t, x in zip(texts, langs) if x == name]
+        found = [np.unique(grams(*tx.raw(pa.array([t], pa.string())))[0]) for t in by_name[name]]
         code, count = np.unique(np.concatenate(found), return_counts=True)
         top = np.sort(code[np.lexsort((code, -count))[:per_language]])
-        sets.append(top)
         for k in range(HASHES):
-            table[rows_of(top, k, bits)] |= np.uint64(1 << j)
+            table[j >> 6, rows_of(top, k, bits)] |= np.uint64(1 << (j & 63))
     # the false-positive rate of each language, as its filter's fill gives it
-    fill = np.array([((table >> np.uint64(j)) & np.uint64(1)).mean() for j in range(len(names))])
+    fill = np.array([bit(table, j).mean() for j in range(len(names))])
     return Model(names, table, fill**HASHES, bits)
 
 
@@ -84,7 +91,7 @@ def train(docs: DataFrame, sample: int = 600, per_language: int = 3000, bits: in
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = [r[0] for r in rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("doc_id").collect()]
     if not ids:
-        return Model([], np.zeros(1 << bits, np.uint64), np.zeros(0), bits)
+        return Model([], np.zeros((0, 1 << bits), np.uint64), np.zeros(0), bits)
     picked = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long").distinct()
     found = sorted(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").toLocalIterator(), key=lambda r: (r[0], r[1]))
     return fit([r["text"] for r in found], [r["lang"] for r in found], per_language, bits)
@@ -95,7 +102,7 @@ def score(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     code, row = grams(data, offsets)
     mask, rows = lookup(model.table, code, model.bits), len(offsets) - 1
     total = np.bincount(row, minlength=rows).astype(np.float64)
-    hits = np.stack([np.bincount(row[(mask >> np.uint64(j)) & np.uint64(1) == 1], minlength=rows) for j in range(len(model.languages))], axis=1)
+    hits = np.stack([np.bincount(row[bit(mask, j) == 1], minlength=rows) for j in range(len(model.languages))], axis=1)
     true = np.clip((hits - total[:, None] * model.false_rate) / (1 - model.false_rate), 0, None)
     best = true.argmax(axis=1)
     share = true[np.arange(rows), best] / np.maximum(true.sum(axis=1), 1e-9)

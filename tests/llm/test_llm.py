@@ -211,6 +211,16 @@ def test_language_held_out(spark):
     assert np.mean([truth[r.doc_id] == r.lang_pred for r in held]) > 0.95
 
 
+def test_language_of_more_than_64(spark):
+    rng = np.random.default_rng(7)
+    words = {f"l{j:03}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(12)] for j in range(130)}
+    rows = [(4 * j + i, " ".join(rng.permutation(words[name])), name) for j, name in enumerate(words) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, where="doc_id % 4 < 3")
+    got = {r.doc_id: r.lang_pred for r in language_id.language_id(df, model).collect()}
+    assert len(model.languages) == 130 and got == {r[0]: r[2] for r in rows}
+
+
 def check_packing(df, pieces, limit=2048):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in df.collect()}
