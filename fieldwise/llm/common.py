@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where tests keep durable tables when the cluster names no shared folder.
+from fieldwise.llm.text import mix
+
+#: Where durable tables go in a local session that names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: How much of a sample is drawn beyond its size, so that chance does not leave it short.
+SPARE = 1.25
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that setting is absent."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+    """The folder in ``spark.checkpoint.dir``. Only a local session may do without that setting."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or LOCAL_CHECKPOINTS
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -25,23 +34,69 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that no later step reads."""
+    for table in tables:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def drawn(key, share):
+    """True for about ``share`` of all keys, the same ones each time: a threshold on their hash."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < (share * F.lit(float(1 << 40))).cast("long")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, where=None) -> list[tuple]:
-    """At most ``limit`` rows of (text, label, lang-free) for each label value 0 and 1.
+    """At most ``limit`` rows of (doc_id, text, label) for each label value 0 and 1.
 
-    The rows are those whose hashed doc_id is smallest, so the choice is repeatable. Only ids
-    are ranked; the texts of the chosen rows are then fetched through a join with at most
-    ``2 * limit`` ids. Null labels, ids and texts are left out.
+    Labels are counted, and ids whose hash falls below a threshold that follows from the counts are drawn; so
+    however many rows and tasks there are, about ``SPARE * limit`` ids of each value reach the driver, and those with
+    the smallest hashes are taken. Their texts are fetched through a join with at most ``2 * limit`` ids.
+    Null labels, ids and texts are left out.
     """
     spark = docs.sparkSession
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     if where is not None:
         ids = ids.where(where)
-    chosen = [r for value in (0, 1) for r in ids.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
+    chosen = []
+    for value, count in sorted(ids.groupBy("label").count().collect()):
+        found = ids.where(F.col("label") == value).where(drawn("doc_id", F.lit(min(1.0, SPARE * limit / count)))).select(F.xxhash64("doc_id"), "doc_id", "label").collect()
+        chosen += [(r[1], r[2]) for r in sorted(found)[:limit]]
     if not chosen:
         return []
-    picked = spark.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id long, label int").dropDuplicates(["doc_id"])
+    picked = spark.createDataFrame(chosen, "doc_id long, label int").dropDuplicates(["doc_id"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    return sorted(((r["doc_id"], r["text"], r["label"]) for r in rows.select("doc_id", "text", "label").toLocalIterator()), key=lambda r: r[0])
+    return sorted((r["doc_id"], r["text"], r["label"]) for r in rows.select("doc_id", "text", "label").toLocalIterator())
+
+
+def families(bags: list[set[bytes]], samples: int = 16, least: int = 8) -> list[int]:
+    """A family for each bag of words: equal bags, and bags of ``least`` words or more of which about half are
+    shared, as ``samples`` MinHash samples tell, are one. A copied document must not count as many texts. The
+    bags are those of the bounded training sample."""
+    up = list(range(len(bags)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    keys = mix(np.arange(1, samples + 1, dtype=np.uint64))
+    signed = np.zeros((len(bags), samples), np.uint64)
+    equal: dict[frozenset, int] = {}
+    large: list[int] = []
+    for i, bag in enumerate(bags):
+        up[i] = equal.setdefault(frozenset(bag), i)
+        if up[i] < i or len(bag) < least:
+            continue
+        h = np.array([crc32(w) for w in bag], np.uint64)
+        signed[i] = mix(h[:, None] ^ keys[None, :]).min(axis=0)
+        for k in np.flatnonzero((signed[large] == signed[i]).sum(axis=1) * 2 >= samples).tolist():
+            x, y = top(large[k]), top(i)
+            up[max(x, y)] = min(x, y)
+        large.append(i)
+    return [top(i) for i in range(len(bags))]

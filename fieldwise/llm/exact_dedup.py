@@ -2,7 +2,7 @@
 
 Texts are equal when they agree after each run of ASCII white space becomes one space. History
 rows are reduced to distinct digests; shards of about ``shard_size`` digests each get a minimal
-perfect hash (hash and displace: a pilot for each bucket; single keys go straight to free slots).
+perfect hash (hash and displace: a pilot, mixed into the keys, for each bucket; single keys go straight to free slots).
 A slot holds the full digest, the winner's doc_id and the count. New digests, already reduced to
 one row each, are looked up in their shard, compared byte for byte, and either join the
 member's group or form groups among themselves.
@@ -25,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwise.llm.common import stored
+from fieldwise.llm.common import discard, stored
+from fieldwise.llm.text import mix
 
 EMPTY = -(2**31)
+#: Pilots that a bucket may try. Each tries fresh slots, so the last buckets of a shard need some multiples of its size.
+PILOTS = 1 << 26
 
 
 def normalised(text):
@@ -44,9 +47,14 @@ def groups(rows: DataFrame) -> DataFrame:
 
 
 def _lanes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit parts of digests given as rows of 32 bytes."""
+    """Two independent 64-bit parts of digests given as rows of 32 bytes: one picks the bucket, one the slot."""
     parts = np.ascontiguousarray(keys).view("<u8").reshape(len(keys), 4)
-    return parts[:, 1], parts[:, 2] | np.uint64(1)
+    return parts[:, 1], parts[:, 2]
+
+
+def _spot(b: np.ndarray, pilot: np.ndarray, n: int) -> np.ndarray:
+    """The slot of keys under a pilot. Both are mixed, so each pilot places the keys of a bucket anew."""
+    return (mix(b ^ mix(pilot.astype(np.uint64) + np.uint64(1))) % np.uint64(max(n, 1))).astype(np.int64)
 
 
 def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +66,6 @@ def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return pilots, slot
     a, b = _lanes(keys)
     bucket = (a % np.uint64(buckets)).astype(np.int64)
-    base = a >> np.uint64(20)
     order = np.argsort(bucket, kind="stable")
     starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     sizes, taken = np.diff(starts), np.zeros(n, bool)
@@ -66,7 +73,7 @@ def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         waiting, pilot = np.flatnonzero(sizes == size), 0
         members = order[starts[waiting][:, None] + np.arange(size)]
         while len(waiting):  # every waiting bucket tries the next pilot; those that get all their slots leave
-            spot = ((base[members] + np.uint64(pilot) * b[members]) % np.uint64(n)).astype(np.int64)
+            spot = _spot(b[members], np.array([pilot]), n)
             within = np.sort(spot, axis=1)
             fits = np.flatnonzero(~taken[spot].any(axis=1) & (within[:, 1:] != within[:, :-1]).all(axis=1))
             first = np.zeros(len(fits) * size, bool)
@@ -75,8 +82,8 @@ def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             taken[spot[won]], slot[members[won]], pilots[waiting[won]] = True, spot[won], pilot
             left = np.setdiff1d(np.arange(len(waiting)), won)
             waiting, members, pilot = waiting[left], members[left], pilot + 1
-            if pilot == 2**31 - 1:
-                raise ValueError("two digests share a bucket and all its hashes")
+            if pilot == PILOTS:
+                raise ValueError("no pilot separates the digests of a bucket: two agree in 128 bits")
     free = np.flatnonzero(~taken)
     single = np.flatnonzero(sizes == 1)
     slot[order[starts[single]]] = free
@@ -88,8 +95,7 @@ def locate(keys: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
     """The slot each key would have; only a comparison with the slot's digest tells members."""
     a, b = _lanes(keys)
     pilot = pilots[(a % np.uint64(len(pilots))).astype(np.int64)].astype(np.int64)
-    spot = ((a >> np.uint64(20)) + np.maximum(pilot, 0).astype(np.uint64) * b) % np.uint64(max(n, 1))
-    return np.where(pilot >= 0, spot.astype(np.int64), np.where(pilot == EMPTY, 0, -pilot - 1))
+    return np.where(pilot >= 0, _spot(b, np.maximum(pilot, 0), n), np.where(pilot == EMPTY, 0, -pilot - 1))
 
 
 def _bytes(column: pa.ChunkedArray) -> np.ndarray:
@@ -127,7 +133,9 @@ def merge_by_hash(history: DataFrame, new: DataFrame, shard_size: int = 200_000)
         flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
         return pa.table([flat, pa.array(winner, mask=winner == 2**63 - 1), pa.array(n)], names=["digest", "winner", "n"])
 
-    return new.select(shard, "digest", "winner", "n").groupBy("shard").cogroup(built.groupBy("shard")).applyInArrow(look_up, "digest binary, winner long, n long")
+    merged = stored(new.select(shard, "digest", "winner", "n").groupBy("shard").cogroup(built.groupBy("shard")).applyInArrow(look_up, "digest binary, winner long, n long"))
+    discard(built)
+    return merged
 
 
 def exact_dedup(docs: DataFrame, is_history=None, shard_size: int = 200_000) -> DataFrame:
@@ -138,8 +146,10 @@ def exact_dedup(docs: DataFrame, is_history=None, shard_size: int = 200_000) ->
     """
     rows = stored(digests(docs))
     old = F.coalesce(is_history if is_history is not None else F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(False))
-    known, new = groups(rows.where(old)), groups(rows.where(~old))
-    merged = stored(merge_by_hash(stored(known), stored(new), shard_size)).withColumnRenamed("digest", "key")
+    known, new = stored(groups(rows.where(old))), stored(groups(rows.where(~old)))
+    both = merge_by_hash(known, new, shard_size)
+    discard(known, new)
+    merged = both.withColumnRenamed("digest", "key")
     joined = rows.join(merged, rows["digest"] == merged["key"])
     return joined.select(
         "doc_id",

@@ -221,34 +221,6 @@ def platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[fl
     return float(w[0]), float(w[1])
 
 
-def families(bags: list[set[bytes]], samples: int = 16, least: int = 8) -> list[int]:
-    """A family for each bag of words: equal bags, and bags of ``least`` words or more of which about half are
-    shared, as ``samples`` MinHash samples tell, are one. A copied document must not count as many texts. The
-    bags are those of the bounded training sample."""
-    up = list(range(len(bags)))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    keys = tx.mix(np.arange(1, samples + 1, dtype=np.uint64))
-    signed = np.zeros((len(bags), samples), np.uint64)
-    equal: dict[frozenset, int] = {}
-    large: list[int] = []
-    for i, bag in enumerate(bags):
-        up[i] = equal.setdefault(frozenset(bag), i)
-        if up[i] < i or len(bag) < least:
-            continue
-        h = np.array([crc32(w) for w in bag], np.uint64)
-        signed[i] = tx.mix(h[:, None] ^ keys[None, :]).min(axis=0)
-        for k in np.flatnonzero((signed[large] == signed[i]).sum(axis=1) * 2 >= samples).tolist():
-            x, y = top(large[k]), top(i)
-            up[max(x, y)] = min(x, y)
-        large.append(i)
-    return [top(i) for i in range(len(bags))]
-
-
 def fit(rows: list[tuple[int, str, int]], landmarks: int = 96, negatives: int = 20_000, l2: float = 1e-6, clean_weight: float = 1.0) -> Model | None:
     """``rows`` are (id, text, label); ``clean_weight`` is how many texts one sampled clean text stands for."""
     bags = [(set(t.lower().encode().split()), label) for _, t, label in rows]
