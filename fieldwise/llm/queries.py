@@ -78,7 +78,7 @@ h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGH
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r(rule_host, rule_path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (SELECT page_id, rule_host || rule_path AS rule, verdict,
-    row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS k
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
   FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM h LEFT JOIN m ON h.page_id = m.page_id AND m.k = 1
