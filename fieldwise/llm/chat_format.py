@@ -6,9 +6,9 @@ the text, its segments (start, length, loss) and the automaton's verdict; ``read
 the turns from the text alone.
 
 Scale: one shuffle by conversation. A conversation's text is one value by definition, so a
-conversation is gathered by its key; long ones meet only themselves.
+conversation is gathered by its key; long ones meet only themselves. Work is linear in a conversation's length.
 
-Defined cases: null text and null role are empty strings; rows with null conv_id form one
+Defined cases: a null turn comes first; null text and null role are empty strings; rows with null conv_id form one
 conversation of their own; equal turn numbers are ordered by role, then text; a repeated row is
 a turn of its own. No rows give no rows. Extra columns are ignored.
 """
@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """Texts and roles are escaped, so no mark occurs in them: every mark holds one of ``escapes``' keys."""
+    """Texts and roles are escaped, so no mark occurs in them: every mark holds one of ``escapes``' keys.
+
+    Codes begin with the first key, which is escaped before the others, and hold no other key.
+    """
 
     opening: str = "### "
     after_role: str = "\n#"
@@ -33,6 +36,18 @@ class Template:
     final: tuple[str, ...] = ("assistant",)
     loss_roles: tuple[str, ...] = field(default=("assistant",))
 
+    def __post_init__(self):
+        keys = [plain for plain, _ in self.escapes]
+        if not all(any(k in mark for k in keys) for mark in (self.opening, self.after_role, self.closing)):
+            raise ValueError("each mark needs a character that texts have escaped")
+        if not keys or any(len(k) != 1 for k in keys) or len({*keys}) < len(keys):
+            raise ValueError("escapes are for single, different characters")
+        codes = [coded for _, coded in self.escapes]
+        if len({*codes}) < len(codes) or any(len(c) != 2 or c[0] != keys[0] or c[1] in keys for c in codes):
+            raise ValueError("a code is the first escaped character and one that is not escaped")
+        if not all(step.count(">") == 1 for step in self.steps):
+            raise ValueError("a step is written from>to")
+
 
 CHAT = Template()
 
@@ -73,7 +88,8 @@ def chat_format(conversations: DataFrame, template: Template = CHAT) -> DataFram
 
 def read_back(formatted, template: Template = CHAT):
     """Array of (role, text) read from a formatted text."""
-    turns = F.slice(F.split(formatted, template.closing), F.lit(1), F.size(F.split(formatted, template.closing)) - 1)
+    parts = F.split(formatted, "\\Q" + template.closing + "\\E")
+    turns = F.slice(parts, F.lit(1), F.size(parts) - 1)
     role = lambda t: F.substring_index(t, template.after_role, 1)
     return F.transform(
         turns,
@@ -84,17 +100,9 @@ def read_back(formatted, template: Template = CHAT):
     )
 
 
-def masked_text(formatted, segments, template: Template = CHAT):
-    """The text under the loss mask, unescaped, cut from the formatted text by the segments' lengths."""
-    state = F.aggregate(
-        segments,
-        F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,n:bigint>>").alias("cuts")),
-        lambda acc, s: F.struct(
-            (acc["at"] + F.length(s["text"])).alias("at"),
-            F.when(s["loss"], F.array_append(acc["cuts"], F.struct(acc["at"].alias("at"), F.length(s["text"]).cast("long").alias("n")))).otherwise(acc["cuts"]).alias("cuts"),
-        ),
-    )
-    return F.array_join(F.transform(state["cuts"], lambda c: unescape(F.substr(formatted, c["at"].cast("int"), c["n"].cast("int")), template)), "")
+def masked_text(segments, template: Template = CHAT):
+    """The text under the loss mask, unescaped: the emitted segments that bear loss, in order."""
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
 
 
 def probe(spark: SparkSession) -> DataFrame:
@@ -105,7 +113,7 @@ def probe(spark: SparkSession) -> DataFrame:
 def chat_digests(conversations: DataFrame, template: Template = CHAT) -> DataFrame:
     """What the formatted output says when it is read back."""
     made = chat_format(conversations, template)
-    turns, masked = read_back(F.col("formatted"), template), masked_text(F.col("formatted"), F.col("segments"), template)
+    turns, masked = read_back(F.col("formatted"), template), masked_text(F.col("segments"), template)
     read = made.select("conv_id", turns.alias("turns"), masked.alias("masked"), F.length("formatted").cast("long").alias("formatted_chars"), "end_state", "valid")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
