@@ -6,8 +6,8 @@ a row as they need: bit j of a row belongs to language j, so ANDing the rows of
 gives every language that has it. A text's lookups are counted for each bit, the counts are corrected by that
 language's false-positive rate, and the largest share decides.
 
-Training reads at most ``sample`` documents of each language (smallest hashed ids; null
-languages are left out), and learns every language. Scoring reads whole texts slice by slice,
+Training reads at most ``sample`` documents of each language (smallest hashed ids, drawn by a
+threshold that follows from each language's count; null languages are left out), and learns every language. Scoring reads whole texts slice by slice,
 shuffles nothing, and ships one table of ``2**bits`` words for each 64 languages.
 
 Defined cases: null text, empty text and text without a letter give ``und`` and score 0. Ties go
@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwise.llm import text as tx
+from fieldwise.llm.common import SPARE, drawn
 
 HASHES = 3
 _SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -88,11 +89,15 @@ def train(docs: DataFrame, sample: int = 600, per_language: int = 3000, bits: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     if where is not None:
         rows = rows.where(where)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r[0] for r in rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("doc_id").collect()]
-    if not ids:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
         return Model([], np.zeros((0, 1 << bits), np.uint64), np.zeros(0), bits)
-    picked = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long").distinct()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, SPARE * sample / r["n"])) for r in counts], "lang string, share double")
+    drew = rows.select("doc_id", "lang").join(F.broadcast(shares), "lang").where(drawn("doc_id", F.col("share")))
+    ids: dict[str, list] = {}
+    for r in sorted(drew.select("lang", F.xxhash64("doc_id").alias("hash"), "doc_id").collect()):
+        ids.setdefault(r["lang"], []).append(r["doc_id"])
+    picked = docs.sparkSession.createDataFrame([(i,) for found in ids.values() for i in found[:sample]], "doc_id long").distinct()
     found = sorted(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").toLocalIterator(), key=lambda r: (r[0], r[1]))
     return fit([r["text"] for r in found], [r["lang"] for r in found], per_language, bits)
 
