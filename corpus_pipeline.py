@@ -17,8 +17,7 @@ from fieldwise.llm.common import stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = line_quality.line_quality(docs, line_quality.train(docs, labels), docs.columns)
-    return judged.where("kept").select(*docs.columns)
+    return line_quality.good_documents(docs, line_quality.train(docs, labels))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
