@@ -1,30 +1,32 @@
-"""Toxicity: a support vector machine over a gappy subsequence kernel with Nyström landmarks.
-
-The kernel of two words sums, over all triples of bytes that both hold in order within a span of
-``SPAN`` bytes, the product of decayed weights (``DECAY`` for each byte spanned), and is scaled to
-1 for equal words. A mark stands before each word. A gap or an inserted character costs some
-decay and does not break the match. A word's kernel values with the landmarks, whitened by the landmarks'
-own kernel matrix, are its features; a linear SVM gives its margin; a sentence, and so a text,
-counts as its worst word. Runs of three or more single letters, and words with marks inside,
-are also read as one word of letters.
-
-Training uses a bounded sample of labelled rows. Sentences of texts labelled 0 give negative words.
-In texts labelled 1, the words that explain most of the texts not yet explained, and that
-sentences labelled 0 do not hold, become landmarks and positive words (greedy cover). Platt scaling on
-the sample's texts turns margins into scores.
+"""Toxicity: a support vector machine over a gappy subsequence kernel with Nyström landmarks, trained on labelled sentences.
+
+The kernel of two windows sums, over all triples of bytes that both hold in order within a span of ``SPAN`` bytes, the product
+of decayed weights (``DECAY`` for each byte spanned), is scaled to 1 for equal windows and raised to ``DEGREE``. A window
+is a word between two edge marks. Marks and digits inside it belong to no triple: they are gaps, as inserted characters are, which
+cost some decay and break no match. A run of three or more single letters is a window of its own as well.
+
+A sentence counts as its worst window and a text as its worst sentence (a multiple-instance machine). Training uses a bounded sample of
+labelled rows, of which copies count once. Every sentence of a text labelled 0 is a negative example, standing for its worst window;
+every text labelled 1 is a positive one, standing for the windows that tell it from texts labelled 0, with and without altered
+letters, and, once there is a machine, for its worst window. Landmarks are the windows of
+sentences labelled 1 that occur there more often than chance allows, the most frequent first and none that resembles another, and
+the windows of sentences labelled 0 that are closest to them. A window's kernel values with the landmarks, whitened by the landmarks' own kernel
+matrix, are its features. Platt scaling on margins of texts left out of the fit, in ``FOLDS`` turns, makes the scores; texts labelled 1
+count there once as they are, and once with nothing to tell them but one window in which a letter is inserted, doubled, dropped or
+masked, unless texts labelled 0 hold windows just as close to it.
 
 Nothing is shuffled; memory follows one slice of whole texts. Defined cases: null and empty texts, and
-texts without words, get the score of a text whose words share nothing with any landmark. Without
-labels of both kinds every score is 0.
+texts without words, get the score of a text whose windows share nothing with any landmark. Without
+labels of both kinds, or without a window that tells them apart, every score is 0.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
+from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -32,34 +34,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwise.llm import text as tx
-from fieldwise.llm.common import labelled_sample
-
-SPAN, DECAY = 5, 0.7
-#: How many landmarks a labelled text should hold before it counts as explained.
-COVER = 4
-#: A landmark explains at least this share of the families of texts.
-LEAST_GAIN = 0.015
+from fieldwise.llm.common import families, labelled_sample
+
+SPAN, DECAY, DEGREE = 5, 0.7, 3
+#: Windows with a kernel (before it is raised) of so much resemble each other; one of them is enough as a landmark.
+TWIN = 0.55
+#: Texts left out in turn for calibration: one of so many.
+FOLDS = 2
+#: A window whose kernel (before it is raised) has a bound below this with every landmark of sentences labelled 1 shares too little
+#: with them and counts as sharing nothing.
+LEAST = 0.5
 #: Margins of words that a worker remembers.
-MEMO = 1_000_000
+MEMO = 500_000
+#: Weights in the fit: of an altered window, and the most of one window of sentences labelled 0; the margin asked of telling and altered windows.
+BENT, MOST, GOAL = 4.0, 30, 3.0
+#: The kernel (before it is raised) that an altered window has at least with its own.
+ALIKE = 0.6
+#: Bytes of a window that are looked at; longer ones are cut into pieces of so many.
+WIDEST = 64
 OFFSETS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
-MARK = 1
+START, GAP, END = 1, 2, 3
 
 #: Bytes as they are compared: lower-cased, and one value for all marks and digits.
 FOLD = tx.LOWER.copy()
-FOLD[[b for b in range(33, 127) if not chr(b).isalpha()]] = 2
+FOLD[[b for b in range(33, 127) if not chr(b).isalpha()]] = GAP
 
 
 def gapped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Triples of all words: the word's number, the three bytes as one code, and the weight."""
-    size = end - start + 1
+    """Triples of all windows: the window's number, the three bytes as one code, and the weight. Gaps belong to none."""
+    size = end - start + 2
     first = np.concatenate([[0], np.cumsum(size)])
     flat = np.arange(first[-1]) - np.repeat(first[:-1], size)
-    src = np.repeat(start, size) + flat - 1
-    body = np.where(flat == 0, MARK, FOLD[data[np.maximum(src, 0)]] if len(data) else 0).astype(np.int32)
     left, word = np.repeat(size, size) - flat, np.repeat(np.arange(len(start)), size)
+    body = FOLD[data[np.minimum(np.maximum(np.repeat(start, size) + flat - 1, 0), len(data) - 1)]].astype(np.int32) if len(data) else np.zeros(0, np.int32)
+    body[flat == 0], body[left == 1] = START, END
+    solid = body != GAP
     words, codes, weights = [], [], []
     for j, k in OFFSETS:
         at = np.flatnonzero(left > k)
+        at = at[solid[at] & solid[at + j] & solid[at + k]]
         words.append(word[at])
         codes.append(body[at] << 16 | body[at + j] << 8 | body[at + k])
         weights.append(np.full(len(at), DECAY ** (k + 1)))
@@ -67,7 +80,7 @@ def gapped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def self_kernel(word: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Each word's kernel with itself: equal triples add up before they are squared."""
+    """Each window's kernel with itself: equal triples add up before they are squared."""
     key = word.astype(np.int64) << 24 | code
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -76,51 +89,82 @@ def self_kernel(word: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int)
     return np.bincount(key[starts] >> 24, weights=sums**2, minlength=n)
 
 
-@dataclass
-class Model:
-    codes: np.ndarray  # sorted triples of the landmarks
-    weights: np.ndarray  # a row for each triple: the whitened landmark weights
-    direction: np.ndarray  # SVM weights on landmark kernel values, the whitening included
-    bias: float
-    scale: tuple[float, float]
+def as_spans(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(size)
+    return np.frombuffer(b"".join(words), np.uint8), ends - size, ends
 
-    def margins(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The SVM margin of each word; words that share no triple with a landmark have the bias."""
-        out = np.full(len(start), self.bias)
-        for a in range(0, len(start), 50_000):
-            s, e = start[a : a + 50_000], end[a : a + 50_000]
+
+class Landmarks:
+    """Landmark windows, the first ``toxic`` of them (by default all) from sentences labelled 1; kernel values of other windows with them."""
+
+    def __init__(self, words: list[bytes], toxic: int | None = None):
+        self.words = words
+        data, start, end = as_spans(words)
+        word, code, weight = gapped(data, start, end)
+        self.codes, at = np.unique(code, return_inverse=True)
+        self.weights = np.zeros((len(self.codes), len(words)), np.float32)
+        np.add.at(self.weights, (at, word), (weight / np.sqrt(np.maximum(self_kernel(word, code, weight, len(words)), 1e-12))[word]).astype(np.float32))
+        self.most = self.weights[:, :toxic].max(axis=1) if len(self.codes) else np.zeros(0, np.float32)
+        self.table = np.full(1 << 24, -1, np.int32 if len(self.codes) > 32000 else np.int16)
+        self.table[self.codes] = np.arange(len(self.codes))
+
+    def kernel(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """One row for each window: its kernel with each landmark."""
+        out = np.zeros((len(start), len(self.words)), np.float32)
+        for a in range(0, len(start), 4000):
+            s, e = start[a : a + 4000], end[a : a + 4000]
             word, code, weight = gapped(data, s, e)
             at = self.table[code]
             hit = np.flatnonzero(at >= 0)
-            # the margin is linear in kernel values, so each shared triple adds its own part
-            raw = np.bincount(word[hit], weights=weight[hit] * self.pull[at[hit]], minlength=len(s))
-            near = np.flatnonzero(raw > 0)
-            if len(near):
-                keep = np.zeros(len(s), bool)
-                keep[near] = True
-                mine = keep[word]
-                renumber = np.cumsum(keep) - 1
-                own = self_kernel(renumber[word[mine]], code[mine], weight[mine], len(near))
-                out[a + near] += raw[near] / np.sqrt(np.maximum(own, 1e-12))
-        return out
+            # no such landmark's kernel is over the sum of the greatest weights that any landmark has for the shared triples,
+            # and a window's kernel with itself is at least the sum of its squared weights
+            most = np.bincount(word[hit], weights=weight[hit] * self.most[at[hit]], minlength=len(s))
+            near = most >= LEAST * np.sqrt(np.bincount(word, weights=weight**2, minlength=len(s)))
+            mine, number = near[word], np.cumsum(near) - 1
+            own = np.ones(len(s))
+            own[near] = self_kernel(number[word[mine]], code[mine], weight[mine], int(near.sum()))
+            scale = 1 / np.sqrt(np.maximum(own, 1e-12))
+            near &= most * scale >= LEAST
+            hit = hit[near[word[hit]]]
+            hit = hit[np.argsort(word[hit], kind="stable")]
+            for part in np.array_split(hit, max(1, len(hit) // 40_000)):
+                if len(part):
+                    rows = np.flatnonzero(np.append(True, np.diff(word[part]) > 0))
+                    np.add.at(out, a + word[part][rows], np.add.reduceat(self.weights[at[part]] * weight[part, None].astype(np.float32), rows, axis=0))
+            out[a : a + 4000] *= scale[:, None].astype(np.float32)
+        return out**DEGREE
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return self.kernel(*as_spans(words)) if words else np.zeros((0, len(self.words)), np.float32)
+
+
+@dataclass
+class Model:
+    landmarks: list[bytes]
+    toxic: int  # the first so many are from sentences labelled 1
+    telling: set[bytes]  # training windows that tell texts apart
+    robust: set[bytes]  # landmarks that still tell texts apart when a letter is altered
+    direction: np.ndarray  # SVM weights on kernel values with the landmarks, the whitening included
+    bias: float
+    scale: tuple[float, float]
 
     def prepare(self) -> Model:
-        self.table = np.full(1 << 24, -1, np.int32)
-        self.table[self.codes] = np.arange(len(self.codes))
-        self.pull = self.weights @ self.direction
-        self.memo: dict[int, float] = {}
+        self.near, self.memo = Landmarks(self.landmarks, self.toxic), {}
         return self
 
     def scores(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.worst(column) + self.scale[1], -30, 30)))
 
+    def margins(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The margin of each window; those that share no triple with a landmark have the bias."""
+        return self.near.kernel(data, start, end) @ self.direction + self.bias
+
     def worst(self, column: pa.Array) -> np.ndarray:
-        """The highest margin among each text's words."""
+        """The highest margin among each text's windows."""
         data, offsets = tx.raw(column)
-        words = tx.word_spans(data, offsets)
-        data, start, end, row = with_spelled(data, words)
-        h = tx.span_hashes(FOLD[data], start, end)
-        kind, first, back = np.unique(h, return_index=True, return_inverse=True)
+        data, start, end, row = windows(data, tx.word_spans(data, offsets))
+        kind, first, back = np.unique(tx.span_hashes(FOLD[data], start, end), return_index=True, return_inverse=True)
         kind = kind.tolist()
         known = list(map(self.memo.get, kind))
         new = [i for i, m in enumerate(known) if m is None]
@@ -129,70 +173,69 @@ class Model:
                 self.memo.clear()
             for i, m in zip(new, self.margins(data, start[first[new]], end[first[new]]).tolist()):
                 self.memo[kind[i]] = known[i] = m
-        margin = np.array(known, np.float64)[back]
         worst = np.full(len(offsets) - 1, self.bias)
-        np.maximum.at(worst, row, margin)
+        np.maximum.at(worst, row, np.array(known, np.float64)[back])
         return worst
 
 
-def with_spelled(data: np.ndarray, words: tx.Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and after them, as words of their own: runs of three or more single letters of a row
-    joined, and words with marks inside without their marks."""
+def windows(data: np.ndarray, words: tx.Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, in pieces of at most ``WIDEST`` bytes, and after them the joined letters of runs of three or more words of one letter."""
     start, end, row = words.start, words.end, words.row
     if not len(words):
         return data, start, end, row
     single = (end - start == 1) & ((data[start] | 32) - 97 < 26)
     edge = np.flatnonzero(np.append(True, (single[1:] != single[:-1]) | (row[1:] != row[:-1])))
     size = np.diff(np.append(edge, len(words)))
-    extra = [(data[start[e : e + n]], row[e]) for e, n in zip(edge.tolist(), size.tolist()) if n >= 3 and single[e]]
-    mark = np.concatenate([[0], np.cumsum(FOLD[data] == 2)])
-    inner = np.flatnonzero(mark[np.maximum(end - 1, start)] - mark[start] > 0)
-    for i in inner.tolist():
-        word = data[start[i] : end[i]]
-        extra.append((word[FOLD[word] != 2], row[i]))
-    extra = [(w, r) for w, r in extra if len(w)]
-    if not extra:
-        return data, start, end, row
-    sizes = np.array([len(w) for w, _ in extra])
-    ends = len(data) + np.cumsum(sizes)
-    return np.concatenate([data, *(w for w, _ in extra)]), np.concatenate([start, ends - sizes]), np.concatenate([end, ends]), np.concatenate([row, [r for _, r in extra]])
-
-
-def kernel_rows(words: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Triple weights of words over sorted ``codes``, and self kernels."""
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    word, code, weight = gapped(data, ends - np.array([len(w) for w in words]), ends)
-    at = np.searchsorted(codes, code)
-    hit = (at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == code)
-    out = np.zeros((len(words), len(codes)))
-    np.add.at(out, (word[hit], at[hit]), weight[hit])
-    return out, self_kernel(word, code, weight, len(words))
-
-
-def variants(word: bytes, rng: np.random.Generator) -> list[bytes]:
-    """A word with one character inserted, doubled, or masked, at a few places."""
+    runs = [(data[start[e : e + n]], row[e]) for e, n in zip(edge.tolist(), size.tolist()) if n >= 3 and single[e]]
+    if runs:
+        sizes = np.array([len(w) for w, _ in runs])
+        ends = len(data) + np.cumsum(sizes)
+        data = np.concatenate([data, *(w for w, _ in runs)])
+        start, end, row = np.concatenate([start, ends - sizes]), np.concatenate([end, ends]), np.concatenate([row, [r for _, r in runs]])
+    pieces = -(-(end - start) // WIDEST)
+    if pieces.max() > 1:
+        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start, end, row = np.repeat(start, pieces) + step * WIDEST, np.repeat(end, pieces), np.repeat(row, pieces)
+        end = np.minimum(end, start + WIDEST)
+    return data, start, end, row
+
+
+def altered(word: bytes, rng: np.random.Generator, places: int = 6) -> list[bytes]:
+    """A window with one letter inserted, doubled, dropped or masked, and with two inserted, at places of its own choice."""
+    letter = lambda: bytes([97 + int(rng.integers(26))])
     out = []
-    for i in range(2, len(word)):
-        out.append(word[:i] + bytes([97 + int(rng.integers(26))]) + word[i:])
-        out.append(word[:i] + word[i - 1 : i] + word[i:])
-        out.append(word[:i] + b"*" + word[i + 1 :])
+    for i in rng.permutation(np.arange(1, len(word)))[:places].tolist():
+        other = int(rng.integers(1, len(word)))
+        once = word[:other] + letter() + word[other:]
+        out += [word[:i] + letter() + word[i:], word[:i] + word[i - 1 : i] + word[i:], word[:i] + word[i + 1 :], word[:i] + b"*" + word[i + 1 :], once[:i] + letter() + once[i:]]
     return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float) -> tuple[np.ndarray, float]:
-    """Primal L2-loss SVM by Newton steps on the rows inside the margin."""
+def one_altered(text: str, model: Model, rng: np.random.Generator) -> str | None:
+    """A text whose only telling window is a robust one with a letter altered; None without a robust one."""
+    words = text.encode().split()
+    bare = [FOLD[np.frombuffer(word, np.uint8)].tobytes().strip(b"\x02") for word in words]
+    places = [i for i, w in enumerate(bare) if w in model.robust]
+    if not places:
+        return None
+    at = places[int(rng.integers(len(places)))]
+    words[at] = altered(bare[at], rng, 1)[int(rng.integers(4))]
+    return b" ".join(w for i, w in enumerate(words) if i == at or bare[i] not in model.telling).decode(errors="replace")
+
+
+def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float, goal: np.ndarray) -> tuple[np.ndarray, float]:
+    """Primal L2-loss SVM by Newton steps on the rows inside the margin, which is ``goal`` for each row."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x1.shape[1])
     ridge = l2 * np.eye(len(w)) * cost.sum()
     ridge[-1, -1] *= 1e-3
-    for _ in range(40):
-        inside = y * (x1 @ w) < 1
-        xa, ca = x1[inside], cost[inside]
-        new = np.linalg.solve(xa.T @ (xa * ca[:, None]) + ridge, xa.T @ (ca * y[inside]))
+    for step in range(40):
+        inside = y * (x1 @ w) < goal
+        xa, ca, ya = x1[inside], cost[inside], (goal * y)[inside]
+        new = np.linalg.solve(xa.T @ (xa * ca[:, None]) + ridge, xa.T @ (ca * ya))
         if np.abs(new - w).max() < 1e-7:
             break
-        w = 0.5 * w + 0.5 * new if _ > 15 else new
+        w = 0.5 * w + 0.5 * new if step > 15 else new
     return w[:-1], float(w[-1])
 
 
@@ -221,68 +264,155 @@ def platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[fl
     return float(w[0]), float(w[1])
 
 
-def fit(rows: list[tuple[int, str, int]], landmarks: int = 96, negatives: int = 20_000, l2: float = 1e-6, clean_weight: float = 1.0) -> Model | None:
-    """``rows`` are (id, text, label); ``clean_weight`` is how many texts one sampled clean text stands for."""
-    bags = [(set(t.lower().encode().split()), label) for _, t, label in rows]
-    clean = Counter(w for bag, label in bags if not label for w in bag)
-    toxic = [bag for bag, label in bags if label and bag]
-    if not toxic or len(toxic) == len(bags):
+def sentences(text: str) -> list[set[bytes]]:
+    """The distinct windows of each sentence, folded; a sentence ends at ``.``, ``!``, ``?`` or a line feed."""
+    raw = text.encode()
+    for mark in (b"!", b"?", b"\n"):
+        raw = raw.replace(mark, b". ")
+    parts = raw.split(b". ")
+    data, offsets = tx.raw(pa.array(parts, pa.binary()).cast(pa.string()))
+    data, start, end, row = windows(data, tx.word_spans(data, offsets))
+    folded = FOLD[data].tobytes()
+    out: list[set[bytes]] = [set() for _ in parts]
+    for a, b, r in zip(start.tolist(), end.tolist(), row.tolist()):
+        out[r].add(folded[a:b].strip(b"\x02"))
+    return [s - {b""} for s in out if s]
+
+
+def chance(hits: int, n: int, share: float) -> float:
+    """Natural logarithm of the largest term of the binomial tail: ``hits`` or more of n fall in a part of size ``share``."""
+    return lgamma(n + 1) - lgamma(hits + 1) - lgamma(n - hits + 1) + hits * log(share) + (n - hits) * log(1 - share)
+
+
+def apart(words: list[bytes], most: int) -> list[bytes]:
+    """At most ``most`` of the windows, in their order, leaving out those that resemble one already taken."""
+    if not words:
+        return []
+    alike, chosen = Landmarks(words).of(words) >= TWIN**DEGREE, []
+    for i in range(len(words)):
+        if len(chosen) < most and not alike[i, chosen].any():
+            chosen.append(i)
+    return [words[i] for i in chosen]
+
+
+class Sample:
+    """Labelled texts as sentences of numbered windows; copies are one family."""
+
+    def __init__(self, rows: list[tuple[int, str, int]]):
+        self.label = np.array([label for _, _, label in rows])
+        number: dict[bytes, int] = {}
+        self.texts, self.bags, family = [], [], []
+        for _, t, _ in rows:
+            parts = sentences(t)
+            self.texts.append([np.array([number.setdefault(w, len(number)) for w in s], np.int32) for s in parts if s])
+            self.bags.append(np.unique(np.concatenate(self.texts[-1])) if self.texts[-1] else np.zeros(0, np.int32))
+        self.words = list(number)
+        self.family = np.array(families([{self.words[k] for k in bag.tolist()} for bag in self.bags]))
+
+    def counts(self, use: np.ndarray, value: int) -> tuple[np.ndarray, int]:
+        """How many families of texts of one label hold each window, and how many families there are."""
+        mine = [i for i in use.tolist() if self.label[i] == value]
+        if not mine:
+            return np.zeros(len(self.words), np.int64), 0
+        window = np.concatenate([self.bags[i] for i in mine])
+        family = np.concatenate([np.full(len(self.bags[i]), self.family[i]) for i in mine])
+        pairs = np.unique(window.astype(np.int64) << 32 | family)
+        return np.bincount(pairs >> 32, minlength=len(self.words)), len({int(self.family[i]) for i in mine})
+
+
+def machine(sample: Sample, use: np.ndarray, landmarks: int, l2: float) -> Model | None:
+    """The machine fitted on the texts ``use`` of a sample."""
+    (hits, n_toxic), (misses, n_clean) = sample.counts(use, 1), sample.counts(use, 0)
+    if not n_toxic or not n_clean:
         return None
-    family = families([{w for w in bag if not clean[w]} for bag in toxic])
-    where = defaultdict(set)
-    for name, bag in zip(family, toxic):
-        for w in bag:
-            if len(w) >= 3 and not clean[w]:
-                where[w].add(name)
-    need, chosen = dict.fromkeys(family, COVER), []  # by family: how many landmarks it still lacks
-    where = {w: s for w, s in where.items() if len(s) >= 3}
-    while len(chosen) < landmarks and where:
-        # among words that explain as many families, the one that occurs in most
-        gain, _, best = max((sum(need[f] > 0 for f in s), len(s), w) for w, s in where.items())
-        if gain < max(3, LEAST_GAIN * len(need)):
-            break
-        chosen.append(best)
-        for f in where.pop(best):
-            need[f] -= 1
+    share, least = n_toxic / (n_toxic + n_clean), -log(max(int((hits > 0).sum()), 2))
+    odds = (hits + 0.5) / (n_toxic + 1) * (n_clean + 1) / (misses + 0.5)
+    told = [k for k in np.flatnonzero((hits >= 3) & (odds > 4)).tolist() if len(sample.words[k]) >= 3 and chance(int(hits[k]), int(hits[k] + misses[k]), share) < least]
+    positives, negatives = [i for i in use.tolist() if sample.label[i]], [i for i in use.tolist() if not sample.label[i]]
+    told = sorted(told, key=lambda k: (-int(hits[k]), sample.words[k]))[:5000]
+    chosen = apart([sample.words[k] for k in told], landmarks)
     if not chosen:
         return None
-    # words near a landmark in texts labelled 1 only, in the order of how many texts hold them
-    more = sorted((w for w in where if w not in chosen), key=lambda w: (-len(where[w]), w))[:4000]
-    data = b"".join(chosen)
-    ends = np.cumsum([len(w) for w in chosen])
-    codes = np.unique(gapped(np.frombuffer(data, np.uint8), ends - np.array([len(w) for w in chosen]), ends)[1])
-    marks, own = kernel_rows(chosen, codes)
-    marks /= np.sqrt(own)[:, None]
-    gram = marks @ marks.T
-    value, vector = np.linalg.eigh(gram)
-    good = value > 1e-6
+    telling = np.zeros(len(sample.words), bool)
+    telling[told] = True
+    # negatives: windows of sentences labelled 0, without those that tell texts apart
+    pool = np.flatnonzero((misses > 0) & ~telling)
+    near = Landmarks(chosen).of([sample.words[k] for k in pool.tolist()]).max(axis=1)
+    close = [sample.words[k] for k in pool[np.argsort(-near, kind="stable")[: 4 * len(chosen)]].tolist()]
+    words = chosen + [w for w in close if w not in chosen]
+    base = Landmarks(words, len(chosen))
+    gram = Landmarks(words).of(words).astype(np.float64)
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    good = value > 1e-4
     white = vector[:, good] / np.sqrt(value[good])  # K(L, L) ** -1/2 on its range
-    project = marks.T @ white
-
-    def features(words: list[bytes]) -> np.ndarray:
-        parts = [kernel_rows(words[i : i + 2000], codes) for i in range(0, len(words), 2000)]
-        return np.concatenate([(k / np.sqrt(np.maximum(s, 1e-12))[:, None]) @ project for k, s in parts]) if parts else np.zeros((0, project.shape[1]))
-
+    kept = pool[near > 0.2**DEGREE]  # the others' features are next to nothing
+    low_of = np.full(len(sample.words), -1)
+    low_of[kept] = np.arange(len(kept))
+    low = base.of([sample.words[k] for k in kept.tolist()]) @ white
+    held = [low_of[s] for i in negatives for s in sample.texts[i]]
+    held = [h[h >= 0] for h in held if h.max() >= 0]
+    shown = np.flatnonzero(hits > 0)
+    high_of = np.full(len(sample.words), -1)
+    high_of[shown] = np.arange(len(shown))
+    high = base.of([sample.words[k] for k in shown.tolist()]) @ white
     rng = np.random.default_rng(7)
-    pool = sorted(clean)
-    pool = [pool[i] for i in rng.permutation(len(pool))[: 3 * negatives]]
-    low = features(pool)
-    closeness = np.linalg.norm(low, axis=1)
-    pick = np.unique(np.concatenate([np.argsort(-closeness)[: negatives // 2], np.arange(min(len(pool), negatives // 2))]))
-    high = features(chosen + more)
-    near = np.linalg.norm(high, axis=1) >= 0.55
-    near[: len(chosen)] = True
-    bent = features([v for word in chosen for v in variants(word, rng)])
-    x = np.concatenate([high[near], bent, low[pick]])
-    y = np.concatenate([np.ones(near.sum() + len(bent)), -np.ones(len(pick))])
-    cost = np.concatenate([np.full(near.sum(), 2.0), np.full(len(bent), 0.7), np.full(len(pick), 1.0)])
-    w, b = squared_hinge(x, y, cost, l2)
-    model = Model(codes, project, w, b, (1.0, 0.0)).prepare()
-    # Platt scaling on the sample's texts
-    sample = pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in rows], pa.string())], names=["text"])
-    worst = np.concatenate([model.worst(part.column("text")) for part in tx.slices(sample)])
-    label = np.array([float(v) for _, _, v in rows])
-    model.scale = platt(worst, label, np.where(label > 0, 1.0, clean_weight))
+    # a landmark is robust if few texts labelled 0 hold a window as close to it as an altered one is
+    alike = Landmarks(chosen).of([sample.words[k] for k in kept.tolist()]) >= ALIKE**DEGREE
+    hits_of = {sample.words[k]: int(hits[k]) for k in told}
+    robust = [w for w, n in zip(chosen, misses[kept] @ alike) if n <= 0.1 * hits_of[w]]
+    bent = (base.of([v for w in robust for v in altered(w, rng)]) @ white).reshape(-1, white.shape[1])
+    w, b = np.zeros(white.shape[1]), 0.0
+    for turn in range(3):
+        # each text labelled 1 stands for the windows that tell it; from the second turn on also for its worst window
+        positive = Counter({int(high_of[k]): min(int(hits[k]), 20) for k in told})
+        if turn:
+            worst = high @ w + b
+            for i in positives:
+                if len(sample.bags[i]):
+                    mine = high_of[sample.bags[i]]
+                    if worst[best := int(mine[worst[mine].argmax()])] > 0:
+                        positive[best] += 1
+            worst = low @ w
+            negative = Counter(int(h[worst[h].argmax()]) for h in held)
+        else:
+            negative = Counter(rng.permutation(len(low))[:5000].tolist()) + Counter(np.argsort(-near[near > 0.2**DEGREE], kind="stable")[:2000].tolist())
+        p, q = np.array(list(positive), int), np.array(list(negative), int)
+        x = np.concatenate([high[p], bent, low[q], np.zeros((1, white.shape[1]))])  # the last for all windows that share nothing
+        y = np.concatenate([np.ones(len(p) + len(bent)), -np.ones(len(q) + 1)])
+        cost = np.concatenate([[positive[k] for k in p.tolist()], np.full(len(bent), BENT), [min(negative[k], MOST) for k in q.tolist()], [1000.0]])
+        goal = np.ones(len(y))
+        goal[: len(p)][telling[shown[p]]] = GOAL
+        goal[len(p) : len(p) + len(bent)] = GOAL
+        w, b = squared_hinge(x, y, cost, l2, goal)
+    return Model(words, len(chosen), {sample.words[k] for k in told}, {*robust}, (white @ w).astype(np.float32), b, (1.0, 0.0))
+
+
+def worst_of(model: Model, texts: list[str]) -> np.ndarray:
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    ready = model.prepare()
+    return np.concatenate([ready.worst(part.column("text")) for part in tx.slices(batch)]) if texts else np.zeros(0)
+
+
+def fit(rows: list[tuple[int, str, int]], landmarks: int = 64, l2: float = 1e-5, clean_weight: float = 1.0) -> Model | None:
+    """``rows`` are (id, text, label); ``clean_weight`` is how many texts one sampled clean text stands for."""
+    sample = Sample(rows)
+    model = machine(sample, np.arange(len(rows)), landmarks, l2)
+    if model is None:
+        return None
+    rng, margin, label = np.random.default_rng(11), [], []
+    for fold in range(FOLDS):
+        out = np.flatnonzero(tx.mix(sample.family.astype(np.uint64)) % np.uint64(FOLDS) == fold)
+        part = machine(sample, np.setdiff1d(np.arange(len(rows)), out), landmarks, l2)
+        if part is not None:
+            margin.append(worst_of(part, [rows[i][1] for i in out]))
+            label.append(sample.label[out])
+            bent = [t for i in out if sample.label[i] and (t := one_altered(rows[i][1], part, rng))]
+            margin.append(worst_of(part, bent))
+            label.append(np.ones(len(bent), int))
+    if len({v for part in label for v in part.tolist()}) < 2:
+        margin, label = [worst_of(model, [t for _, t, _ in rows])], [sample.label]
+    label = np.concatenate(label).astype(np.float64)
+    model.scale = platt(np.concatenate(margin), label, np.where(label > 0, 1.0, clean_weight))
     return model
 
 
@@ -301,7 +431,7 @@ _workers: dict[str, Model] = {}  # the last model, with what it remembers
 
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per document: doc_id, score."""
-    state = None if model is None else (model.codes, model.weights, model.direction, model.bias, model.scale)
+    state = None if model is None else (model.landmarks, model.toxic, set(), set(), model.direction, model.bias, model.scale)
     shared = docs.sparkSession.sparkContext.broadcast(state)
 
     name = uuid.uuid4().hex
@@ -316,6 +446,6 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for part in tx.slices(batch):
                 score = ready.scores(part.column("text")) if ready is not None else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id long, score double")
