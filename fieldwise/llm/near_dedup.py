@@ -5,14 +5,15 @@ A document is the set of its distinct shingles of ``words`` words. Its MinHash s
 which two sketches differ estimate a high similarity closely, so most candidates fall before
 their full sets are compared; those that stay are confirmed on the full sets.
 
-1. Documents with equal sets form one class; only its smallest doc_id goes on.
+1. Documents with equal sets form one class, which goes on with one number.
 2. Within each band bucket every member meets the bucket's smallest member.
 3. Confirmed links are joined into components. In rounds, each member outside its bucket's main
    component names its likeliest partners in other components of the bucket; those are confirmed and
    components joined, and later rounds name more, until nobody has a partner left that was not named. So every
    pair that shares a band is connected already, ruled out by its sketches, or compared, while a
-   bucket of m like texts costs a few m comparisons. Larger buckets are cut into blocks of
-   ``block`` members, so no task holds more than two blocks.
+   bucket of m like texts costs a few m comparisons. Only members whose set sizes allow the
+   similarity meet. Larger buckets are cut into blocks of ``block`` members, so no task holds more than two blocks. A bucket of m texts of
+   like sizes that are all just too different compares m * m sketches at worst: no link may be lost.
 4. Components of all links give the result.
 
 Two bitmaps rule pairs out. The odd sketch of the samples leaves five standard deviations of room. The
@@ -20,17 +21,19 @@ parities of the whole set are never further apart than the sets themselves, so t
 ``FOLD`` shingles fold a sample of them, again with five standard deviations of room.
 
 Scale: counts and smallest members are combined before shuffles, joins on hot keys can be split by adaptive
-execution, comparisons with one leader are dealt over salts. Full sets are written once, for
-documents that share a band with another (picked by a bitmap of fixed size, which may let in others, but
-leaves none out), and nothing else of the text is kept or shuffled.
+execution, comparisons with one leader are dealt over salts. Full sets are written once, for one row of each class
+that shares a band with another, found by a join on ids and text digests; nothing else of the text is kept. Tables of
+earlier steps are removed when no later step reads them.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are kept; fewer
-words than ``words`` form one shingle; repeated rows (equal doc_id) are one document, each row of which is given; rows with a
-null doc_id are left out; no rows give no rows.
+words than ``words`` form one shingle; every row is given, repeated ones too; rows with a null doc_id take part as others
+do, and where a component has no other rows, its component_id is null and its rows count as kept; different texts may share a
+doc_id; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,15 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwise.llm import text as tx
-from fieldwise.llm.common import stored
+from fieldwise.llm.common import discard, stored
 from fieldwise.llm.components import connected_components
 
 SKETCH_BITS = 512
 PARITY_BITS = 1024
 #: Sets up to this size fold all their shingles.
 FOLD = 512
-#: Bits of the bitmap of wanted documents.
-BITMAP_BITS = 1 << 25
 _rng = np.random.default_rng(99)
 _MULTIPLY = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, 512, dtype=np.uint64)
@@ -99,10 +100,6 @@ def parities(shingles: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     return level, np.packbits(odd & 1, axis=1, bitorder="little").view("<u8").reshape(len(size), PARITY_BITS // 64)
 
 
-def bitmap_slot(ids: np.ndarray) -> np.ndarray:
-    return (tx.mix(ids.view(np.uint64)) % np.uint64(BITMAP_BITS)).astype(np.int64)
-
-
 def most_differing_bits(similarity: float, samples: int) -> int:
     """How many bits may differ before a pair is dropped: five standard deviations beyond what
     ``similarity`` gives. Each of the differing samples flips up to two bits, less what falls together."""
@@ -111,9 +108,16 @@ def most_differing_bits(similarity: float, samples: int) -> int:
     return int(np.ceil(SKETCH_BITS / 2 * (1 - np.exp(-4 * high / SKETCH_BITS)) + 2 * SKETCH_BITS**0.5 * 0.5))
 
 
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 6, block: int = 2048, salt_size: int = 256) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. Links: 100 * shared >= percent * union."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+CLASS = ["n_shingles", "class_a", "class_b"]
+
+
+def digest(text):
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 6, block: int = 2048, salt_size: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Every row as doc_id, mark (its text's digest) and ``CLASS``; and for each class its least doc_id, its first (doc_id, mark) and its component's number."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("mark"), "text")
     fits = most_differing_bits(percent / 100, bands * rows)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,13 +136,15 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
                 at[some] = np.arange(len(some))
                 where = [at[i] if size[i] else None for i in range(part.num_rows)]
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.view(np.int64).ravel())).take(pa.array(where, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(class_a), pa.array(class_b), lists(keys), lists(odd), pa.array(np.append(level, 0)[at]), lists(parity)], names=["doc_id", "n_shingles", "class_a", "class_b", "keys", "odd", "level", "parity"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(size), pa.array(class_a), pa.array(class_b), lists(keys), lists(odd), pa.array(np.append(level, 0)[at]), lists(parity)], names=["doc_id", "mark", *CLASS, "keys", "odd", "level", "parity"])
 
-    described = stored(texts.mapInArrow(describe, "doc_id long, n_shingles long, class_a long, class_b long, keys array<long>, odd array<long>, level long, parity array<long>"))
-    class_of = ["n_shingles", "class_a", "class_b"]
-    classes = stored(described.where("n_shingles > 0").groupBy(*class_of).agg(F.min("doc_id").alias("rep")))
-    reps = described.where("n_shingles > 0").join(classes.select("rep", *class_of), class_of).where("doc_id = rep").select("rep", "keys", "n_shingles", "level", "odd", "parity").dropDuplicates(["rep"])
-    reps = stored(reps)
+    described = stored(texts.mapInArrow(describe, "doc_id long, mark binary, n_shingles long, class_a long, class_b long, keys array<long>, odd array<long>, level long, parity array<long>"))
+    some = described.where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first")
+    classes = stored(some.groupBy(*CLASS).agg(F.min("doc_id").alias("least"), first).withColumn("rep", F.monotonically_increasing_id()))
+    told = classes.select("rep", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), *CLASS)
+    its_first = (F.col("mark") == F.col("first_mark")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    reps = stored(some.join(told, CLASS).where(its_first).select("rep", "keys", "n_shingles", "level", "odd", "parity").dropDuplicates(["rep"]))
 
     buckets = reps.select("rep", F.explode("keys").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -157,27 +163,18 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         return pairs.join(side("b"), "b").join(side("a"), "a").where(likely).select("a", "b")
 
     stars = stored(similar(filled.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()))
-    # full sets, once, of the documents that share a band with another
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(bitmap_slot(batch.column("rep").to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
-
-    shared_band = filled.select("rep").distinct().mapInArrow(slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)  # of fixed size, however many documents there are
-    packed = shared_band.toArrow()
-    bitmap[packed["word"].to_numpy()] = packed["bits"].to_numpy()
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap)
+    # full sets, once, of classes that share a band with another
+    wanted = filled.select("rep").distinct().join(told, "rep").select("rep", "first_id", "first_mark")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows give one set for each task
         for batch in batches:
-            at = bitmap_slot(batch.column("doc_id").to_numpy())
-            hit = (wanted.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            for part in tx.slices(batch.filter(pa.array(hit))):
+            fresh = [not (r in seen or seen.add(r)) for r in batch.column("rep").to_pylist()]
+            for part in tx.slices(batch.filter(pa.array(fresh, pa.bool_()))):
                 shingles, begin = shingle_sets(part.column("text"), words)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((begin * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(shingles))]).cast(pa.binary())], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((begin * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(shingles))]).cast(pa.binary())], names=["rep", "shingles"])
 
-    sets = stored(texts.mapInArrow(as_sets, "rep long, shingles binary"))
+    sets = stored(texts.join(wanted, its_first).select("rep", "text").mapInArrow(as_sets, "rep long, shingles binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets meet the bound. Each group is one a (or a salt of it): its set comes
@@ -210,26 +207,35 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     parts = connected_components(links)
 
     # pairs of one bucket that stars left apart
-    tested, limit = stars, 2
+    tables, tested, limit = [reps, filled, stars, sets, links], stars, 2
     while True:
         named = stored(partners(filled.where("members > 2"), parts, sketch, limit, block, fits, percent))
         fresh = stored(named.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         more = named.where("more").limit(1).count() > 0
+        discard(named)
         if fresh.limit(1).count():
             towards = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            parts = connected_components(stored(towards.union(confirmed(fresh))))
+            joined = stored(towards.union(confirmed(fresh)))
+            before, parts = parts, connected_components(joined)
+            discard(joined, before)
             tested = tested.union(fresh)
+        tables.append(fresh)
         if not more:
             break
         limit *= 4
+    discard(*tables)
+    numbered = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return described.select("doc_id", "mark", *CLASS), numbered.select(*CLASS, "least", "first", F.coalesce("component", "rep").alias("component"))
 
-    named = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*class_of, F.coalesce("component", "rep").alias("component_id"))
-    renamed = named.select(*[F.col(c).alias(f"of_{c}") for c in class_of], "component_id")
-    one = described.select("doc_id", *class_of)
-    same = [one[c] == renamed[f"of_{c}"] for c in class_of]
-    full = one.where("n_shingles > 0").join(renamed, same).select("doc_id", "n_shingles", "component_id")
-    bare = one.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(bare).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+def near_dedup(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Links: 100 * shared >= percent * union."""
+    described, classes = grouped(docs, **options)
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = classes.join(least, "component").select(*CLASS, "component_id")
+    full = described.where("n_shingles > 0").join(named, CLASS).select("doc_id", "n_shingles", "component_id")
+    bare = described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return full.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def partners(filled: DataFrame, parts: DataFrame, sketch: DataFrame, limit: int, block: int, fits: int, percent: int) -> DataFrame:
@@ -240,13 +246,18 @@ def partners(filled: DataFrame, parts: DataFrame, sketch: DataFrame, limit: int,
     members = stored(grouped.join(split.select("bucket"), "bucket", "left_semi"))
     shares = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = shares.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    sized = members.join(main, "bucket").join(sketch, "rep")
+    # a step is a little less than the ratio of sizes that the similarity allows, so partners are at most one step apart
+    step = F.floor(F.ln("n_shingles") / F.lit(-math.log(percent / 100 * 0.999))).cast("int")
+    sized = members.join(main, "bucket").join(sketch, "rep").withColumn("step", step)
     blocks = F.greatest(F.ceil(F.col("all") / block), F.lit(1)).cast("int")
     minor_blocks = F.greatest(F.ceil((F.col("all") - F.col("most")) / block), F.lit(1)).cast("int")
     given = ["bucket", "rep", "component", "head", "n_shingles", "level", "odd", "parity"]
     own, all_blocks, all_minor = F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1)), F.explode(F.sequence(F.lit(0), minor_blocks - 1))
-    left = sized.select(*given, F.lit(0).alias("side"), own.alias("i"), all_minor.alias("j"))
-    right = sized.where("component <> main").select(*given, F.lit(1).alias("side"), all_blocks.alias("i"), F.pmod(F.xxhash64("rep"), minor_blocks).cast("int").alias("j"))
+    around = sized.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    minor = sized.where("component <> main")
+    around = around.join(minor.select("bucket", "step").distinct(), ["bucket", "step"], "left_semi")
+    left = around.select(*given, "step", F.lit(0).alias("side"), own.alias("i"), all_minor.alias("j"))
+    right = minor.select(*given, "step", F.lit(1).alias("side"), all_blocks.alias("i"), F.pmod(F.xxhash64("rep"), minor_blocks).cast("int").alias("j"))
 
     def cross(table: pa.Table) -> pa.Table:
         side, rep, comp, head, size, level = (table[c].to_numpy() for c in ("side", "rep", "component", "head", "n_shingles", "level"))
@@ -268,24 +279,17 @@ def partners(filled: DataFrame, parts: DataFrame, sketch: DataFrame, limit: int,
         flat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
         return pa.table([flat(a, pa.int64()), flat(b, pa.int64()), flat(over, pa.bool_())], names=["a", "b", "more"])
 
-    return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(cross, "a long, b long, more boolean")
+    return left.unionByName(right).groupBy("bucket", "step", "i", "j").applyInArrow(cross, "a long, b long, more boolean")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, one of each group, all columns.
+    """The documents that stay, one of each group, all columns: the row with the smallest doc_id, nulls last, then the smallest text digest.
 
-    Here a document is a distinct pair of doc_id and text. Where an id is null or has several texts,
-    the pairs are numbered by doc_id, nulls last, then text digest, and the numbers stand in for ids.
+    Rows are known by doc_id and text, so texts that share an id, or have none, keep their own place.
     """
-    mark = F.coalesce(F.unhex(F.sha2(F.col("text").cast("string"), 256)), F.lit(b""))
-    pairs = docs.select(F.col("doc_id").cast("long").alias("pair_id"), mark.alias("pair_mark"))
-    clashes = pairs.groupBy("pair_id").agg(F.min("pair_mark").alias("low"), F.max("pair_mark").alias("high")).where("pair_id IS NULL OR low <> high")
-    if clashes.limit(1).count() == 0:
-        kept = near_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-        return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    ranked = stored(pairs.distinct().orderBy(F.col("pair_id").asc_nulls_last(), "pair_mark").withColumn("__rank", F.monotonically_increasing_id()))
-    marked = docs.withColumn("__mark", mark)
-    same = (marked["__mark"] == ranked["pair_mark"]) & marked["doc_id"].eqNullSafe(ranked["pair_id"])
-    numbered = stored(marked.join(ranked, same).select(*[docs[c] for c in docs.columns], "__rank"))
-    kept = near_dedup(numbered.select(F.col("__rank").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("kept_rank")).distinct()
-    return numbered.join(kept, numbered["__rank"] == kept["kept_rank"], "left_semi").dropDuplicates(["__rank"]).drop("__rank")
+    described, classes = grouped(docs, **options)
+    winners = classes.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark")
+    winners = winners.union(described.where("n_shingles = 0").select("doc_id", "mark").distinct()).toDF("kept_id", "kept_mark")
+    marked = docs.withColumn("__mark", digest(F.col("text"))).withColumn("__id", F.col("doc_id").cast("long"))
+    same = (F.col("__mark") == F.col("kept_mark")) & F.col("__id").eqNullSafe(F.col("kept_id"))
+    return marked.join(winners, same, "left_semi").dropDuplicates(["__mark", "__id"]).select(*[marked[c] for c in docs.columns])
