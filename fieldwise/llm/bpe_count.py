@@ -3,7 +3,7 @@
 A text is split as the vocabulary's byte-level pre-tokenizer splits it. In each piece the
 lowest-ranked adjacent pair is popped from a heap until none is left; the count is the number of
 initial symbols less the number of merges. Special strings in a text are one token each, as the
-library has it by default. Counts of pieces are memoised in each worker, at most ``MEMO`` of them.
+library has it by default. Other settings of a vocabulary than these raise. Counts of pieces are memoised in each worker, at most ``MEMO`` of them.
 
 The merge list is read on the driver and sent to tasks once; its size is that of the vocabulary.
 Nothing is shuffled. Defined cases: null and empty texts have 0 bytes and 0 tokens.
@@ -37,6 +37,11 @@ def load(path: str) -> tuple[list[tuple[bytes, bytes]], list[str]]:
     """Merges as pairs of byte strings in rank order, and special strings."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
+    pre, kind = model["pre_tokenizer"] or {}, model["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("normalizer")
+    flags = any(t[k] for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not plain or flags or kind["type"] != "BPE" or any(kind.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("not a byte-level vocabulary with the plain pre-tokenizer and special strings as they stand")
     back = {s: b for b, s in enumerate(byte_symbols())}
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
     return [tuple(bytes(back[c] for c in side) for side in pair) for pair in pairs], [t["content"] for t in model["added_tokens"]]

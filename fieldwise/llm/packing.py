@@ -1,21 +1,24 @@
 """Packing by the dot-product heuristic of vector bin packing.
 
 An example needs tokens, one segment, and loss-bearing tokens; a sequence has limits on all
-three. The open sequence takes, of the examples that fit, the one whose demand has the largest
-dot product with what is left, both as shares of the limits. When none fits, the largest example
-is cut to fill the rest. Examples longer than a sequence first give full sequences.
+three. Of a document, the first ``prompt_share`` of its tokens (rounded down) is its prompt, which bears no loss; all tokens after it do.
+The limit on loss-bearing tokens is below that on tokens, so a sequence needs prompts as well. The open sequence takes, of the examples that fit, the one whose demand has the largest
+dot product with what is left, both as shares of the limits. When none fits, the example of which most fits
+is cut to fill the rest. Examples over a limit are cut first: the rest after the prompt into pieces of the limit on loss, the prompt
+into pieces that fill what such a piece leaves of a sequence.
 
 Each task packs its rows in windows of about ``window`` tokens: nothing is shuffled, memory is
-bounded by a window and the longest text, and every window but for its last sequence is full. That
-last one is cut into sequences whose lengths are powers of two, which take no padding.
+bounded by a window and the longest text. Sequences that lack over ``spare`` tokens, such as a window's last, are cut into
+sequences whose lengths are powers of two, which take no padding.
 A task that runs again makes the same sequences; ids hold the partition's number.
 
 Defined cases: null and empty texts are the end token alone; a repeated row is packed as an
-example of its own; a null doc_id is kept; no rows give no sequences.
+example of its own; a null doc_id is kept; no rows give no sequences. A limit under 1 raises.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 
 from fieldwise.llm import text as tx
 
-MEMO = 1_200_000
+#: Words whose ids a worker remembers; most words of a large corpus are rare, so more would not save much.
+MEMO = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -40,21 +44,16 @@ def pack(lengths: list[int], loss_from: list[int], max_tokens: int, max_segments
     def loss(i: int, a: int, b: int) -> int:
         return max(0, b - max(a, loss_from[i]))
 
-    def widest(i: int, a: int, room: int, allowed: int) -> int:
-        """The longest prefix of what is left of example i, from a on, within both limits."""
-        free = max(0, min(loss_from[i], lengths[i]) - a)
-        return min(lengths[i] - a, room, free + allowed)
-
+    if min(max_tokens, max_segments, max_loss) < 1:
+        raise ValueError("all limits must be 1 or more")
+    max_loss = min(max_loss, max_tokens)
+    gap = max_tokens - max_loss or max_tokens
     done: list[list[tuple[int, int, int]]] = []
     kinds: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    cap = min(max_tokens, max_loss)
     for i, n in enumerate(lengths):
         a = 0
-        while n - a >= max_tokens and (take := widest(i, a, max_tokens, max_loss)) == max_tokens:
-            done.append([(i, a, take)])
-            a += take
-        while n - a > max_tokens or loss(i, a, n) > max_loss:  # only where the limit on loss binds
-            take = widest(i, a, max_tokens, max_loss)
+        while n - a > max_tokens or loss(i, a, n) > max_loss:
+            take = min(gap, loss_from[i] - a) if a < loss_from[i] else min(max_loss, n - a)
             kinds.setdefault((take, loss(i, a, a + take)), []).append((i, a))
             a += take
         if n > a:
@@ -92,12 +91,13 @@ def pack(lengths: list[int], loss_from: list[int], max_tokens: int, max_segments
             else:
                 if room[0] < least_cut:
                     break
-                k = int(np.where(waiting, need[:, 0], -1).argmax())
-                i, a = pools[k][-1]
-                take = widest(i, a, int(room[0]), int(room[2]))
-                if take < min(least_cut, cap) or take >= need[k, 0]:
+                # loss-bearing tokens come last in an example, so of each this much fits
+                prefix = np.where(waiting, np.minimum(room[0], need[:, 0] - need[:, 2] + room[2]), -1)
+                k = int(prefix.argmax())
+                take = int(prefix[k])
+                if take < least_cut:
                     break
-                pools[k].pop()
+                i, a = pools[k].pop()
                 rest, end = int(need[k, 0]) - take, a + int(need[k, 0])
                 add((rest, loss(i, a + take, end)), [(i, a + take)])
             if not pools[k]:
@@ -137,6 +137,10 @@ class Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"].get("pretokenizers", [{}])
+        if (steps[0].get("type"), steps[0].get("behavior"), steps[0].get("invert")) != ("Split", "Removed", True) or "\\s]" not in steps[0]["pattern"]["Regex"].replace("\\s\\p{L}\\p{N}]", "\\s]"):
+            raise ValueError("this vocabulary's pieces may span white space")
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
@@ -180,8 +184,19 @@ class Words(dict):
 _workers: dict[str, Words] = {}
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 128, max_loss: int = 2048, window: int = 3_000_000) -> DataFrame:
-    """Pieces of all documents, placed in sequences; every token of a document bears loss."""
+def packed(lengths: list[int], loss_from: list[int], max_tokens: int, max_segments: int, max_loss: int, spare: int = 16) -> list[list[tuple[int, int, int]]]:
+    """As ``pack``, with sequences that lack over ``spare`` tokens cut into powers of two."""
+    out = []
+    for sequence in pack(lengths, loss_from, max_tokens, max_segments, max_loss):
+        short = sum(n for _, _, n in sequence)
+        out += powers(sequence) if max_tokens - short > spare and short & (short - 1) else [sequence]
+    return out
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 64, max_loss: int = 1792, prompt_share: float = 0.25, window: int = 3_000_000) -> DataFrame:
+    """Pieces of all documents, placed in sequences; ``loss_tokens`` says how many of a piece's tokens bear loss."""
+    if min(max_tokens, max_segments, max_loss) < 1:
+        raise ValueError("all limits must be 1 or more")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from fieldwise.llm import packing as here
@@ -193,14 +208,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, max_tokens
 
         def flush():
             nonlocal names, ids, held, number
-            sequences = pack([len(x) for x in ids], [0] * len(ids), max_tokens, max_segments, max_loss)
-            if sequences and (short := sum(n for _, _, n in sequences[-1])) < max_tokens and short & (short - 1):
-                sequences[-1:] = powers(sequences[-1])
+            sizes = [len(x) for x in ids]
+            prompts = [int(n * prompt_share) for n in sizes]
+            sequences = packed(sizes, prompts, max_tokens, max_segments, max_loss)
             rows = []
             for sequence in sequences:
                 offset = 0
                 for i, a, n in sequence:
-                    rows.append((names[i], a, n, zlib.crc32(ids[i][a : a + n].tobytes()), len(ids[i]), (task << 32) + number, offset, n))
+                    rows.append((names[i], a, n, zlib.crc32(ids[i][a : a + n].tobytes()), len(ids[i]), (task << 32) + number, offset, max(0, a + n - max(a, prompts[i]))))
                     offset += n
                 number += 1
             names, ids, held = [], [], 0

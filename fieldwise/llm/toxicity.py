@@ -46,8 +46,11 @@ FOLDS = 2
 LEAST = 0.5
 #: Margins of words that a worker remembers.
 MEMO = 500_000
-#: Weights in the fit: of an altered window, and the most of one window of sentences labelled 0; the margin asked of telling and altered windows.
-BENT, MOST, GOAL = 4.0, 30, 3.0
+#: Weights in the fit: of an altered window, and the most of one window of sentences labelled 0; the margins asked of telling
+#: and of altered windows.
+BENT, MOST, GOAL, BENT_GOAL = 4.0, 30, 3.0, 4.5
+#: Weight of an altered text in calibration, in texts labelled 1.
+ALTERED = 1.0
 #: The kernel (before it is raised) that an altered window has at least with its own.
 ALIKE = 0.6
 #: Bytes of a window that are looked at; longer ones are cut into pieces of so many.
@@ -382,7 +385,7 @@ def machine(sample: Sample, use: np.ndarray, landmarks: int, l2: float) -> Model
         cost = np.concatenate([[positive[k] for k in p.tolist()], np.full(len(bent), BENT), [min(negative[k], MOST) for k in q.tolist()], [1000.0]])
         goal = np.ones(len(y))
         goal[: len(p)][telling[shown[p]]] = GOAL
-        goal[len(p) : len(p) + len(bent)] = GOAL
+        goal[len(p) : len(p) + len(bent)] = BENT_GOAL
         w, b = squared_hinge(x, y, cost, l2, goal)
     return Model(words, len(chosen), {sample.words[k] for k in told}, {*robust}, (white @ w).astype(np.float32), b, (1.0, 0.0))
 
@@ -399,7 +402,7 @@ def fit(rows: list[tuple[int, str, int]], landmarks: int = 64, l2: float = 1e-5,
     model = machine(sample, np.arange(len(rows)), landmarks, l2)
     if model is None:
         return None
-    rng, margin, label = np.random.default_rng(11), [], []
+    rng, margin, label, weight = np.random.default_rng(11), [], [], []
     for fold in range(FOLDS):
         out = np.flatnonzero(tx.mix(sample.family.astype(np.uint64)) % np.uint64(FOLDS) == fold)
         part = machine(sample, np.setdiff1d(np.arange(len(rows)), out), landmarks, l2)
@@ -409,10 +412,10 @@ def fit(rows: list[tuple[int, str, int]], landmarks: int = 64, l2: float = 1e-5,
             bent = [t for i in out if sample.label[i] and (t := one_altered(rows[i][1], part, rng))]
             margin.append(worst_of(part, bent))
             label.append(np.ones(len(bent), int))
+            weight += [np.where(sample.label[out] > 0, 1.0, clean_weight), np.full(len(bent), ALTERED)]
     if len({v for part in label for v in part.tolist()}) < 2:
-        margin, label = [worst_of(model, [t for _, t, _ in rows])], [sample.label]
-    label = np.concatenate(label).astype(np.float64)
-    model.scale = platt(np.concatenate(margin), label, np.where(label > 0, 1.0, clean_weight))
+        margin, label, weight = [worst_of(model, [t for _, t, _ in rows])], [sample.label], [np.where(sample.label > 0, 1.0, clean_weight)]
+    model.scale = platt(np.concatenate(margin), np.concatenate(label).astype(np.float64), np.concatenate(weight))
     return model
 
 
