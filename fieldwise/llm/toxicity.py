@@ -114,7 +114,14 @@ class Landmarks:
 
     def kernel(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """One row for each window: its kernel with each landmark."""
+        rows, found = self.near(data, start, end)
         out = np.zeros((len(start), len(self.words)), np.float32)
+        out[rows] = found
+        return out
+
+    def near(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that share enough with a landmark of sentences labelled 1, and their kernels with all landmarks."""
+        rows, found = [np.zeros(0, np.int64)], [np.zeros((0, len(self.words)), np.float32)]
         for a in range(0, len(start), 4000):
             s, e = start[a : a + 4000], end[a : a + 4000]
             word, code, weight = gapped(data, s, e)
@@ -131,12 +138,15 @@ class Landmarks:
             near &= most * scale >= LEAST
             hit = hit[near[word[hit]]]
             hit = hit[np.argsort(word[hit], kind="stable")]
+            mine, number = np.flatnonzero(near), np.cumsum(near) - 1
+            out = np.zeros((len(mine), len(self.words)), np.float32)
             for part in np.array_split(hit, max(1, len(hit) // 40_000)):
                 if len(part):
-                    rows = np.flatnonzero(np.append(True, np.diff(word[part]) > 0))
-                    np.add.at(out, a + word[part][rows], np.add.reduceat(self.weights[at[part]] * weight[part, None].astype(np.float32), rows, axis=0))
-            out[a : a + 4000] *= scale[:, None].astype(np.float32)
-        return out**DEGREE
+                    first = np.flatnonzero(np.append(True, np.diff(word[part]) > 0))
+                    np.add.at(out, number[word[part][first]], np.add.reduceat(self.weights[at[part]] * weight[part, None].astype(np.float32), first, axis=0))
+            rows.append(a + mine)
+            found.append((out * scale[mine, None].astype(np.float32)) ** DEGREE)
+        return np.concatenate(rows), np.concatenate(found)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return self.kernel(*as_spans(words)) if words else np.zeros((0, len(self.words)), np.float32)
@@ -332,7 +342,7 @@ def machine(sample: Sample, use: np.ndarray, landmarks: int, l2: float) -> Model
     odds = (hits + 0.5) / (n_toxic + 1) * (n_clean + 1) / (misses + 0.5)
     told = [k for k in np.flatnonzero((hits >= 3) & (odds > 4)).tolist() if len(sample.words[k]) >= 3 and chance(int(hits[k]), int(hits[k] + misses[k]), share) < least]
     positives, negatives = [i for i in use.tolist() if sample.label[i]], [i for i in use.tolist() if not sample.label[i]]
-    told = sorted(told, key=lambda k: (-int(hits[k]), sample.words[k]))[:5000]
+    told = sorted(told, key=lambda k: (-int(hits[k]), sample.words[k]))[: 32 * landmarks]
     chosen = apart([sample.words[k] for k in told], landmarks)
     if not chosen:
         return None
@@ -340,30 +350,34 @@ def machine(sample: Sample, use: np.ndarray, landmarks: int, l2: float) -> Model
     telling[told] = True
     # negatives: windows of sentences labelled 0, without those that tell texts apart
     pool = np.flatnonzero((misses > 0) & ~telling)
-    near = Landmarks(chosen).of([sample.words[k] for k in pool.tolist()]).max(axis=1)
-    close = [sample.words[k] for k in pool[np.argsort(-near, kind="stable")[: 4 * len(chosen)]].tolist()]
+    marks = Landmarks(chosen)
+    rows, like = marks.near(*as_spans([sample.words[k] for k in pool.tolist()]))
+    kept, near = pool[rows], like.max(axis=1) if len(rows) else np.zeros(0)
+    # a landmark is robust if few texts labelled 0 hold a window as close to it as an altered one is
+    hits_of = {sample.words[k]: int(hits[k]) for k in told}
+    robust = [w for w, n in zip(chosen, misses[kept] @ (like >= ALIKE**DEGREE)) if n <= 0.1 * hits_of[w]]
+    close = [sample.words[k] for k in kept[np.argsort(-near, kind="stable")[: 4 * len(chosen)]].tolist()]
     words = chosen + [w for w in close if w not in chosen]
-    base = Landmarks(words, len(chosen))
+    del marks, like
     gram = Landmarks(words).of(words).astype(np.float64)
+    base = Landmarks(words, len(chosen))
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     good = value > 1e-4
-    white = vector[:, good] / np.sqrt(value[good])  # K(L, L) ** -1/2 on its range
-    kept = pool[near > 0.2**DEGREE]  # the others' features are next to nothing
+    white = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)  # K(L, L) ** -1/2 on its range
+    features = lambda found: found @ white
     low_of = np.full(len(sample.words), -1)
     low_of[kept] = np.arange(len(kept))
-    low = base.of([sample.words[k] for k in kept.tolist()]) @ white
+    low = features(base.of([sample.words[k] for k in kept.tolist()]))
     held = [low_of[s] for i in negatives for s in sample.texts[i]]
     held = [h[h >= 0] for h in held if h.max() >= 0]
     shown = np.flatnonzero(hits > 0)
+    rows, found = base.near(*as_spans([sample.words[k] for k in shown.tolist()]))
+    shown, high = shown[rows], features(found)  # the others' features are 0
     high_of = np.full(len(sample.words), -1)
     high_of[shown] = np.arange(len(shown))
-    high = base.of([sample.words[k] for k in shown.tolist()]) @ white
     rng = np.random.default_rng(7)
-    # a landmark is robust if few texts labelled 0 hold a window as close to it as an altered one is
-    alike = Landmarks(chosen).of([sample.words[k] for k in kept.tolist()]) >= ALIKE**DEGREE
-    hits_of = {sample.words[k]: int(hits[k]) for k in told}
-    robust = [w for w, n in zip(chosen, misses[kept] @ alike) if n <= 0.1 * hits_of[w]]
-    bent = (base.of([v for w in robust for v in altered(w, rng)]) @ white).reshape(-1, white.shape[1])
+    bent = features(base.of([v for w in robust for v in altered(w, rng)])).reshape(-1, white.shape[1])
+    told = [k for k in told if high_of[k] >= 0]
     w, b = np.zeros(white.shape[1]), 0.0
     for turn in range(3):
         # each text labelled 1 stands for the windows that tell it; from the second turn on also for its worst window
@@ -371,14 +385,15 @@ def machine(sample: Sample, use: np.ndarray, landmarks: int, l2: float) -> Model
         if turn:
             worst = high @ w + b
             for i in positives:
-                if len(sample.bags[i]):
-                    mine = high_of[sample.bags[i]]
+                mine = high_of[sample.bags[i]]
+                mine = mine[mine >= 0]
+                if len(mine):
                     if worst[best := int(mine[worst[mine].argmax()])] > 0:
                         positive[best] += 1
             worst = low @ w
             negative = Counter(int(h[worst[h].argmax()]) for h in held)
         else:
-            negative = Counter(rng.permutation(len(low))[:5000].tolist()) + Counter(np.argsort(-near[near > 0.2**DEGREE], kind="stable")[:2000].tolist())
+            negative = Counter(rng.permutation(len(low))[:5000].tolist()) + Counter(np.argsort(-near, kind="stable")[:2000].tolist())
         p, q = np.array(list(positive), int), np.array(list(negative), int)
         x = np.concatenate([high[p], bent, low[q], np.zeros((1, white.shape[1]))])  # the last for all windows that share nothing
         y = np.concatenate([np.ones(len(p) + len(bent)), -np.ones(len(q) + 1)])
@@ -419,7 +434,7 @@ def fit(rows: list[tuple[int, str, int]], landmarks: int = 64, l2: float = 1e-5,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 1200, where=None) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 1000, where=None) -> Model | None:
     """Fit on at most ``max_train_docs`` rows of each label; ``where`` limits the labelled rows."""
     rows = labelled_sample(docs, labels, "toxic", max_train_docs, where)
     learned = labels if where is None else labels.where(where)
