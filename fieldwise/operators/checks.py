@@ -12,6 +12,11 @@ def check_required(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if c not in df.columns]
 
 
+def missing_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The required columns that are absent, one row each."""
+    return df.sparkSession.createDataFrame([(c,) for c in check_required(df, columns)], "column string")
+
+
 def check_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each column with nulls or non-finite values: column, bad."""
     bad = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).alias(c) for c in columns])

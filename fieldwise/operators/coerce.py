@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwise.functions.prices import leading_rank
+from fieldwise.functions.prices import finite, leading_rank, parse_fractional
 
 TYPES = {"float": "double", "float32": "float", "int": "int", "int64": "long", "string": "string", "category": "string"}
 WIN_TOKENS = {"1": 1, "true": 1, "t": 1, "yes": 1, "y": 1, "win": 1, "won": 1, "0": 0, "false": 0, "f": 0, "no": 0, "n": 0, "lose": 0, "lost": 0}
+#: Columns that may hold a contest's time, in order, before and after date and time as text; columns with a result.
 TIME_SOURCES = ("race_dt", "race_datetime", "off_time")
+TIME_ALIASES = ("date", "timestamp", "time", "ts")
+FLAG_COLUMNS = ("won", "is_winner", "winner", "won_flag", "obs__is_winner")
+POSITION_COLUMNS = ("finish_position", "position", "pos", "finpos", "placing", "obs__uposition")
+RESULT_COLUMNS = ("finish_position", "position", "pos", "result", "outcome", "placing", "finish", "obs__uposition")
+TRUE_TOKENS = ("true", "yes", "y", "winner", "win", "won", "1")
+FALSE_TOKENS = ("false", "no", "n", "loser", "lose", "lost", "0")
+FIRST_TOKENS = ("1", "1st", "first", "winner", "won")
+#: Decimal prices, then fractional ones, in order.
+DECIMAL_COLUMNS = ("decimal_odds", "mkt_odds_decimal", "odds_decimal", "sp_decimal", "isp_decimal", "bsp_decimal", "obs__bsp", "bsp", "betfair_sp", "bfsp", "sp", "ltp_5min")
+FRACTIONAL_COLUMNS = ("fractional_odds", "odds_fractional", "sp_fractional", "sp_frac", "fractional", "obs__sp_frac", "obs__fractional_odds")
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -33,14 +44,22 @@ def to_utc(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def with_event_time(df: DataFrame) -> DataFrame:
-    """``race_dt`` and ``off_time`` from the first source there is; else from date and time text."""
+    """``race_dt`` and ``off_time`` from the first source there is: a time column, date and time as text, a column of a general name."""
     found = next((c for c in TIME_SOURCES if c in df.columns), None)
-    at = F.col(found).cast("timestamp") if found else F.try_to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), F.col("race_time").cast("string")))
-    return df.withColumn("race_dt", at).withColumn("off_time", F.col("race_dt"))
+    if found is None and {"date", "race_time"} <= set(df.columns):
+        at = F.try_to_timestamp(F.concat_ws(" ", F.trim(F.col("date").cast("string")), F.trim(F.col("race_time").cast("string"))))
+    else:
+        found = found or next((c for c in TIME_ALIASES if c in df.columns), None)
+        if found is None:
+            raise ValueError(f"no time among {[*TIME_SOURCES, 'date and race_time', *TIME_ALIASES]}")
+        at = F.try_to_timestamp(F.col(found).cast("string"))
+    out = df.withColumn("race_dt", at)
+    return out if "off_time" in df.columns else out.withColumn("off_time", F.col("race_dt"))
 
 
 def clean_text(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.regexp_replace(F.trim(F.col(c).cast("string")), r"\s+", " ") for c in columns if c in df.columns})
+    """White space of any kind collapsed to single blanks, none at the ends."""
+    return df.withColumns({c: F.trim(F.regexp_replace(F.col(c).cast("string"), r"(?U)\s+", " ")) for c in columns if c in df.columns})
 
 
 def ordered_category(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
@@ -76,20 +95,48 @@ def with_win(df: DataFrame, candidates=("win", "is_win", "winner", "result", "po
     return df.withColumn("is_win", F.coalesce(*flags, F.lit(None).cast("int")))
 
 
-def with_label(df: DataFrame, candidates: list[str], label: str = "label") -> DataFrame:
-    """A strict 0/1 label from the first candidate column that holds any usable value."""
-    tokens = F.create_map(*[x for k, v in WIN_TOKENS.items() for x in (F.lit(k), F.lit(v))])
-
-    def reading(c: str):
-        text = F.lower(F.trim(F.col(c).cast("string")))
-        return F.coalesce(F.when(text.try_cast("double").isNotNull(), (text.try_cast("double") != 0).cast("int")), F.try_element_at(tokens, text), F.when(text.rlike(r"^(1st|winner)$"), 1).when(text.rlike(r"^\d+(st|nd|rd|th)$"), 0))
-
-    present = [c for c in candidates if c in df.columns]
-    usable = df.agg(*[F.count(reading(c)).alias(c) for c in present]).first() if present else {}
-    chosen = next((c for c in present if usable[c]), None)
+def _readings(df: DataFrame, column: str) -> dict[str, tuple]:
+    """Ways to read a label from a column: by name the label and what makes the way usable."""
+    text = F.lower(F.trim(F.col(column).cast("string")))
+    number = text.try_cast("double")
+    first = F.coalesce((F.regexp_extract(text, r"^\s*(\d+)", 1) == "1") | text.isin(*FIRST_TOKENS), F.lit(False))
+    return {
+        "number": (F.coalesce(number != 0, F.lit(False)), number.isNotNull()),
+        "token": (F.coalesce(text.isin(*TRUE_TOKENS), F.lit(False)), text.isin(*TRUE_TOKENS, *FALSE_TOKENS)),
+        "place": (F.coalesce(number == 1, F.lit(False)), number.isNotNull()),
+        "result": (first, first),
+    }
+
+
+def with_label(df: DataFrame, candidates: list[str] | None = None, label: str = "label") -> DataFrame:
+    """A strict 0/1 label from the first column, and way of reading it, that is usable in any row.
+
+    Flags come first (numbers other than 0, or words), then places as numbers (1 wins), then places and results as text. Named ``candidates`` are
+    read as flags, or as places first if they bear a place's name. Values that say nothing are 0. One pass finds what is usable.
+    """
+    if candidates is None:
+        ways = [(c, w) for c in FLAG_COLUMNS for w in ("number", "token")] + [(c, "place") for c in POSITION_COLUMNS] + [(c, "result") for c in RESULT_COLUMNS]
+    else:
+        ways = [(c, w) for c in candidates for w in (("place", "result") if c in POSITION_COLUMNS else ("number", "token", "result"))]
+    ways = [(c, w) for c, w in ways if c in df.columns]
+    usable = df.agg(*[F.count_if(_readings(df, c)[w][1]).alias(f"{c}~{w}") for c, w in ways]).first() if ways else {}
+    chosen = next(((c, w) for c, w in ways if usable[f"{c}~{w}"]), None)
     if chosen is None:
-        raise ValueError(f"no usable label among {candidates}")
-    return df.withColumn(label, reading(chosen))
+        raise ValueError(f"no usable label among {candidates or df.columns}")
+    return df.withColumn(label, _readings(df, chosen[0])[chosen[1]][0].cast("int"))
+
+
+def extract_odds(df: DataFrame, keys=("race_id", "horse_id")) -> DataFrame:
+    """Keys and ``decimal_odds`` over 1 from the first decimal column there is, else the first fractional one; none left is an error."""
+    decimal = next((c for c in DECIMAL_COLUMNS if c in df.columns), None)
+    fractional = next((c for c in FRACTIONAL_COLUMNS if c in df.columns), None)
+    if decimal is None and fractional is None:
+        raise ValueError(f"no odds among {[*DECIMAL_COLUMNS, *FRACTIONAL_COLUMNS]}")
+    price = finite(F.col(decimal).cast("string").try_cast("double")) if decimal else parse_fractional(F.col(fractional))
+    out = df.select(*keys, price.alias("decimal_odds")).where("decimal_odds > 1")
+    if out.limit(1).count() == 0:
+        raise ValueError(f"no usable price in {decimal or fractional}")
+    return out
 
 
 def with_position(df: DataFrame, group: str = "race_id", time: str = "completion_time") -> DataFrame:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwise.functions.prices import bucket
+from fieldwise.operators.coerce import forbid_prefix, with_place
+from fieldwise.operators.joins import asof_join
+from fieldwise.operators.scan import with_prefix
+from fieldwise.operators.sets import dedupe
+
 DAY_US = 86_400_000_000
 TIES = ("race_id", "horse_id")
 
@@ -33,21 +39,40 @@ def rolling_form(df: DataFrame, entity: str, time: str, flags: list[str], days=(
     return df.withColumns(out)
 
 
-def decayed_sum(df: DataFrame, entity: list[str], time: str, columns: dict[str, str], half_life: float, ties=TIES) -> DataFrame:
-    """Prior sums with weight 0.5 ** (days / half_life), as a rebased prefix sum.
+#: Half-lives of one era: powers of two up to this stay well inside a double.
+ERA = 400
+
 
-    The exponent is rebased to the entity's first row; a span beyond 900 half-lives would overflow and
-    gives null rather than a wrong sum.
+def decayed_sum(df: DataFrame, entity: list[str], time: str, columns: dict[str, str], half_life: float, ties=TIES, strict: bool = False) -> DataFrame:
+    """Prior sums with weight 0.5 ** (days / half_life), as prefix sums rebased to eras of ``ERA`` half-lives.
+
+    A row's sum is that of the earlier rows of its era and that of the era before; what is older weighs under 2 ** -``ERA``, less than a
+    double can add to. ``strict`` leaves out rows of the same time.
     """
     first = F.min(micros(time)).over(Window.partitionBy(*entity))
     age = (micros(time) - first) / F.lit(float(DAY_US)) / F.lit(float(half_life))
-    grown = df.withColumn("__age", age)
-    sums = {out: F.when(F.col("__age") < 900, F.coalesce(F.sum(F.col(c) * F.pow(F.lit(2.0), "__age")).over(history(entity, time, ties)), F.lit(0.0)) * F.pow(F.lit(2.0), -F.col("__age"))) for out, c in columns.items()}
-    return grown.withColumns(sums).drop("__age")
-
-
-def prior_rate(df: DataFrame, keys: list[str], time: str, flag: str, out: str, ties=TIES) -> DataFrame:
-    w = history(keys, time, ties)
+    grown = df.withColumn("__age", age).withColumn("__era", F.floor(F.col("__age") / ERA).cast("int")).withColumn("__age", F.col("__age") - F.col("__era") * ERA)
+    before = Window.partitionBy(*entity).orderBy("__era").rangeBetween(-1, -1)
+    here = history([*entity, "__era"], time, ties, strict)
+    up, down = F.pow(F.lit(2.0), "__age"), F.pow(F.lit(2.0), -F.col("__age"))
+    sums = {o: (F.coalesce(F.sum(F.col(c) * up).over(here), F.lit(0.0)) + F.coalesce(F.sum(F.col(c) * F.pow(F.lit(2.0), F.col("__age") - ERA)).over(before), F.lit(0.0))) * down for o, c in columns.items()}
+    return grown.withColumns(sums).drop("__age", "__era")
+
+
+def expanding_mean(df: DataFrame, time: str, flag: str, out: str, ties=TIES) -> DataFrame:
+    """The mean of all rows before each one in the whole table's order; null for the first."""
+    ran = with_prefix(df.withColumn("__at", micros(time)), ["__at", *ties], {"__n": "*", "__w": flag}, own=False)
+    return ran.withColumn(out, F.try_divide(F.col("__w"), F.col("__n"))).drop("__at", "__n", "__w")
+
+
+def prior_rate(df: DataFrame, keys: list[str], time: str, flag: str, out: str, ties=TIES, strict: bool = False, hot: bool = False) -> DataFrame:
+    """Rate over all earlier rows of the same keys. ``strict`` leaves out rows of the same time. ``hot`` deals the rows by keys and
+    time in ranges, so that keys with a large share of all rows meet no single task."""
+    if hot:
+        rows = df.withColumns({"__at": micros(time), "__one": F.col(flag).isNotNull().cast("long")})
+        ran = with_prefix(rows, ["__at", *ties], {"__w": flag, "__n": "__one"}, own=False, within=keys)
+        return ran.withColumn(out, F.col("__w") / F.nullif(F.col("__n"), F.lit(0))).drop("__at", "__one", "__w", "__n")
+    w = history(keys, time, ties, strict)
     return df.withColumn(out, F.sum(flag).over(w) / F.nullif(F.count(flag).over(w), F.lit(0)))
 
 
@@ -70,20 +95,41 @@ def draw_features(df: DataFrame, draw: str = "draw", group: str = "race_id") ->
     return scaled.withColumns({"draw_low": low.cast("int"), "draw_mid": (~low & mid).cast("int"), "draw_high": (~mid & (F.col("draw_norm") <= 1.01)).cast("int")})
 
 
-def prior_eb_rate(df: DataFrame, entities: list[str], time: str, flag: str, n0: float = 20.0, ties=TIES) -> DataFrame:
-    """(wins before + n0 * mu) / (runs before + n0); mu is the mean of all rows; a null entity gives mu."""
-    out = df.crossJoin(F.broadcast(df.agg(F.avg(flag).alias("__mu"))))
+def prior_eb_rate(df: DataFrame, entities: list[str], time: str, flag: str, n0: float = 20.0, ties=TIES, baseline: str = "global", strict: bool = False) -> DataFrame:
+    """(wins before + n0 * mu) / (runs before + n0); mu is the mean of all rows, or of all earlier ones (``expanding``, 0.5 before the first);
+    a null entity gives mu."""
+    if baseline == "expanding":
+        out = expanding_mean(df, time, flag, "__mu", ties).withColumn("__mu", F.coalesce("__mu", F.lit(0.5)))
+    else:
+        out = df.crossJoin(F.broadcast(df.agg(F.avg(flag).alias("__mu"))))
     for e in entities:
-        w = history([e], time, ties)
+        w = history([e], time, ties, strict)
         shrunk = (F.coalesce(F.sum(flag).over(w), F.lit(0)) + n0 * F.col("__mu")) / (F.count(flag).over(w) + n0)
         out = out.withColumn(f"eb_{e.removesuffix('_id')}", F.when(F.col(e).isNull(), F.col("__mu")).otherwise(shrunk))
     return out.drop("__mu")
 
 
-def build_features(df: DataFrame, days=(90, 365)) -> DataFrame:
-    """The feature table: form, affinity, handicap and draw blocks as columns of the same row."""
-    out = rolling_form(df, "horse_id", "race_dt", ["is_win"], days)
+def build_features(df: DataFrame, ratings: DataFrame | None = None, days=(90, 365), half_lives=(90.0,), distance_edges=(1000, 1600, 2400, 3000), levels: int = 5) -> DataFrame:
+    """The feature table: keys, times, ``is_win`` and ``is_place``, and form, decay, affinity, context, handicap and draw blocks as columns of the same row.
+
+    ``ratings`` holds entity, ``race_dt`` and rating columns for horse, jockey and trainer; each row gets the last ones before or at its time, with
+    the suffix ``_rt``. Columns of the current event (``obs__``) are dropped first.
+    """
+    out = forbid_prefix(with_place(df), ["obs__"]).withColumn("off_time", F.col("race_dt"))
+    out = rolling_form(out, "horse_id", "race_dt", ["is_win", "is_place"], days)
+    for h in half_lives:
+        out = decayed_sum(out.withColumn("__one", F.lit(1.0)), ["horse_id"], "race_dt", {f"win_decayed_{int(h)}": "is_win", f"runs_decayed_{int(h)}": "__one"}, h).drop("__one")
     for keys, name in ((["horse_id", "course"], "horse_course"), (["jockey_id", "going"], "jockey_going"), (["trainer_id", "discipline"], "trainer_discipline")):
         out = prior_rate(out, keys, "race_dt", "is_win", f"{name}_rate")
+    out = out.withColumn("distance_bucket", bucket(F.col("distance_m"), list(distance_edges)))
+    out = prior_rate(out, ["horse_id", "distance_bucket"], "race_dt", "is_win", "horse_distance_rate")
+    for column in ("going", "course"):
+        out = one_hot_topn(out, column, levels)
     out = delta_median(delta_median(out, "official_rating", "race_id", "rating_delta"), "weight_lbs", "race_id", "weight_delta")
-    return draw_features(prior_eb_rate(out, ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win"))
+    out = draw_features(prior_eb_rate(out, ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win"))
+    for entity in ("horse_id", "jockey_id", "trainer_id"):
+        own = [c for c in ratings.columns if c.startswith(entity.removesuffix("_id")) and c != entity] if ratings is not None else []
+        if own:
+            one = dedupe(ratings.select(entity, "race_dt", *own), [entity, "race_dt"], own)
+            out = asof_join(out, one, [entity], "race_dt", "race_dt", own, "_rt")
+    return out

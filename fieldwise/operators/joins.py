@@ -30,6 +30,13 @@ def attach_market(features: DataFrame, odds: DataFrame, keys=("race_id", "horse_
     return join_m1(features, named, list(keys))
 
 
+def with_market(df: DataFrame, group: str = "race_id", prefix: str = "mkt_") -> DataFrame:
+    """As ``attach_market`` where the prices are on the rows themselves: one window, no join."""
+    priced = df.withColumn(f"{prefix}odds_decimal", coalesce_odds(F.col("odds_text"), F.col("odds_text")))
+    raw = priced.withColumn(f"{prefix}implied_raw", implied_raw(F.col(f"{prefix}odds_decimal")))
+    return normalize(raw, f"{prefix}implied_raw", group, f"{prefix}implied")
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], suffix: str = "_asof") -> DataFrame:
     """For each left row, the last right row of its entity that is not later. One shuffle by entity."""
     lefts = left.withColumns({f"{c}{suffix}": F.lit(None).cast(dict(right.dtypes)[c]) for c in columns} | {"__t": F.col(left_time), "__side": F.lit(1)})
@@ -46,10 +53,12 @@ def snapshot_join(left: DataFrame, right: DataFrame, keys: list[str], suffix: st
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, keys: list[str], label: str = "won") -> DataFrame:
-    """Labels by trimmed, upper-cased keys; absent ones are 0."""
+    """Labels by trimmed, upper-cased keys; absent ones are 0, and none met at all is an error."""
     clean = lambda d: [F.upper(F.trim(F.col(k).cast("string"))).alias(f"__{k}") for k in keys]
     known = labels.select(*clean(labels), F.col(label).alias("__label")).groupBy(*[f"__{k}" for k in keys]).agg(F.max("__label").alias("__label"))
     joined = df.select("*", *clean(df)).join(known, [f"__{k}" for k in keys], "left")
+    if joined.where("__label IS NOT NULL").limit(1).count() == 0 and df.limit(1).count():
+        raise ValueError("no row meets a label")
     return joined.select(*df.columns, F.coalesce("__label", F.lit(0)).cast("int").alias(label))
 
 
@@ -57,16 +66,18 @@ def join_for_metrics(pred: DataFrame, raw: DataFrame, keys: list[str], need: lis
     return pred.join(raw, keys).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in need))
 
 
-def attach_names(df: DataFrame, dims: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """First name of each id, for several entities: column to (table, id, name)."""
-    for column, (table, key, name) in dims.items():
-        first = table.groupBy(F.col(key).cast("string").alias(column)).agg(F.min(name).alias(f"{column}_name"))
+def attach_names(df: DataFrame, dims: dict[str, tuple]) -> DataFrame:
+    """First name of each id by an order, for several entities: column to (table, id, name) or (table, id, name, order); the order is the name by default."""
+    for column, (table, key, name, *order) in dims.items():
+        by = F.struct(*order[0], name) if order else F.col(name)
+        first = table.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias(column)).agg(F.min_by(name, by).alias(f"{column}_name"))
         df = df.join(first, column, "left")
     return df
 
 
 def attach_context(df: DataFrame, raw: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    return df.join(raw.groupBy(*keys).agg(*[F.min(c).alias(c) for c in columns]), keys, "left")
+    """A contest's context; rows of ``raw`` that repeat it count once, and two different contexts for one contest are an error."""
+    return join_m1(df, raw.select(*keys, *columns).distinct(), keys)
 
 
 def semi_mask(df: DataFrame, groups: DataFrame, key: str, name: str = "member") -> DataFrame:

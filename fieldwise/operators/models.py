@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fieldwise.functions.prices import clip_prob
 from fieldwise.operators.coerce import feature_columns
-from fieldwise.operators.joins import normalize
-from fieldwise.operators.scan import durable, with_prefix
+from fieldwise.operators.joins import attach_labels, normalize
+from fieldwise.operators.scan import durable, quantiles, with_prefix
 from fieldwise.operators.splits import grouped_time_cv
 
 
@@ -46,13 +46,19 @@ def reliability(df: DataFrame, prob: str, label: str, bins: int = 10) -> DataFra
     return df.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(prob).alias("mean_p"), F.avg(label).alias("mean_y"))
 
 
+def ece_of(df: DataFrame, prob: str, label: str, bins: int = 10, strategy: str = "width") -> DataFrame:
+    """Calibration error over bins of equal width or, with ``quantile``, of about equal counts."""
+    return ece(reliability(df, prob, label, bins) if strategy == "width" else quantile_reliability(df, prob, label, bins))
+
+
 def ece(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n")).alias("ece"))
 
 
 def quantile_reliability(df: DataFrame, prob: str, label: str, q: int = 10) -> DataFrame:
     """Bins with about equal counts, cut at exact quantiles; equal cuts merge."""
-    cuts = df.agg(F.array_distinct(F.expr(f"percentile({prob}, array({', '.join(str(i / q) for i in range(1, q))}))")).alias("cuts"))
+    ends = quantiles(df, prob, {f"__q{i}": i / q for i in range(1, q)})
+    cuts = ends.select(F.array_distinct(F.array(*[f"__q{i}" for i in range(1, q)])).alias("cuts"))
     placed = df.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col(prob))))
     return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(prob).alias("mean_p"), F.avg(label).alias("mean_y"))
 
@@ -106,6 +112,46 @@ def apply_calibrator(df: DataFrame, model, prob: str, out: str) -> DataFrame:
     return made.withColumn(out, clip_prob(value)).select(*[c for c in df.columns if c != out], out)
 
 
+def save_calibrator(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_calibrator(path: str, method: str):
+    """A saved ``platt`` or ``isotonic`` calibrator."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+
+    return (PipelineModel if method == "platt" else IsotonicRegressionModel).load(path)
+
+
+#: Columns of a label table that may hold the label, in order.
+LABEL_COLUMNS = ("won", "obs__is_winner", "is_winner", "label", "target")
+
+
+def fit_calibrator(pred: DataFrame, method: str = "platt", labels: DataFrame | None = None, prob: str = "model_prob", keys=("race_id", "horse_id")):
+    """A calibrator fitted on predictions with a label of their own or from a label table, and one row of Brier scores before and after.
+
+    Rows without a finite probability and a label are left out. ``none`` fits nothing. A label table without a known label column is an error.
+    """
+    if "won" not in pred.columns:
+        if labels is None:
+            raise ValueError("predictions hold no label and no label table is given")
+        column = next((c for c in LABEL_COLUMNS if c in labels.columns), None)
+        if column is None:
+            raise ValueError(f"no label among {LABEL_COLUMNS}")
+        told = labels.select(*keys, (F.coalesce(F.col(column).cast("string").try_cast("double"), F.lit(0.0)) >= 0.5).cast("int").alias("won"))
+        pred = attach_labels(pred, told, list(keys))
+    rows = durable(pred.where(F.col("won").isNotNull() & ~F.isnan(prob) & (F.abs(F.col(prob)) < float("inf"))).select(clip_prob(F.col(prob)).alias(prob), F.col("won").cast("int").alias("won")))
+    if method == "none":
+        model, after = None, rows.withColumn("__after", F.col(prob))
+    else:
+        model = fit_platt(rows, prob, "won") if method == "platt" else fit_isotonic(rows, prob, "won")
+        after = apply_calibrator(rows, model, prob, "__after")
+    brier = lambda c: F.avg((F.col(c) - F.col("won")) * (F.col(c) - F.col("won")))
+    report = after.agg(F.count(F.lit(1)).alias("n"), brier(prob).alias("brier_before"), brier("__after").alias("brier_after"))
+    return model, report.withColumn("improvement", F.col("brier_before") - F.col("brier_after"))
+
+
 def summarize_run(df: DataFrame, prob: str, label: str, group: str = "race_id", entity: str = "horse_id") -> DataFrame:
     """One row: rows and contests, binary metrics, contest log loss, calibration error, and the PIT's mean and variance."""
     parts = [

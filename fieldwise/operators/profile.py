@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwise.operators.scan import quantiles
+
 
 def summarize(df: DataFrame, group: str = "race_id", entities=("horse_id", "jockey_id", "trainer_id"), time: str = "race_dt") -> DataFrame:
     per = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("contests"), F.avg("n").alias("mean_runners"))
@@ -33,8 +35,24 @@ def overround(df: DataFrame, odds: str = "odds", group: str = "race_id") -> Data
 
 def spread(df: DataFrame, column: str) -> DataFrame:
     """Mean, median, tenth and ninetieth percentile (linear), and the count."""
-    at = F.expr(f"percentile({column}, array(0.1, 0.5, 0.9))")
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), at[1].alias("median"), at[0].alias("p10"), at[2].alias("p90"))
+    cuts = quantiles(df, column, {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean")).crossJoin(F.broadcast(cuts))
+
+
+def overround_pct(table: DataFrame, column: str = "overround") -> DataFrame:
+    """Each contest's overround in percent, and the mean over contests."""
+    percent = table.withColumn("overround_pct", F.col(column) * 100)
+    return percent.crossJoin(F.broadcast(percent.agg(F.avg("overround_pct").alias("mean_pct"))))
+
+
+def peaks(rates: DataFrame, by: str) -> DataFrame:
+    """The peak rows of ``rate_by_group``, in order."""
+    return rates.where("is_peak = 1").orderBy(by)
+
+
+def coverage(df: DataFrame, entities=("horse_id", "jockey_id", "trainer_id"), time: str = "race_dt") -> DataFrame:
+    """Rows, distinct entities and the span of time."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), *[F.countDistinct(e).alias(f"n_{e}") for e in entities], F.min(time).alias("first_time"), F.max(time).alias("last_time"))
 
 
 def market_health(df: DataFrame, prob: str, odds: str, group: str = "race_id") -> DataFrame:
@@ -67,7 +85,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def capped_hist(df: DataFrame, column: str, cap: float = 600.0, bins: int = 60) -> DataFrame:
-    limit = df.agg(F.least(F.lit(cap), F.expr(f"percentile({column}, 0.995)")).alias("__cap"))
+    limit = quantiles(df, column, {"__top": 0.995}).select(F.least(F.lit(cap), F.col("__top")).alias("__cap"))
     return histogram(df.crossJoin(F.broadcast(limit)).withColumn(column, F.least(column, "__cap")), column, bins)
 
 

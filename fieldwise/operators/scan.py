@@ -1,4 +1,4 @@
-"""Global order without one task: range partitions, their counts, and offsets."""
+"""Global order without one task: range partitions, their counts, and offsets; exact quantiles from them."""
 
 from __future__ import annotations
 
@@ -9,33 +9,61 @@ from pyspark.sql import functions as F
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared checkpoint folder; in a folder of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared checkpoint folder. Only a local session may do without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(folder or '/tmp/checkpoints').rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
     """A copy of ``df`` in the shared checkpoint folder: both passes of a scan must see the same partitions."""
     spark = df.sparkSession
     path = fresh_path(spark, "scan")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_prefix(df: DataFrame, order: list, sums: dict[str, str], partitions: int | None = None, own: bool = True) -> DataFrame:
+def with_prefix(df: DataFrame, order: list, sums: dict[str, str], partitions: int | None = None, own: bool = True, within: list[str] = (), cheap: bool = False) -> DataFrame:
     """Adds running totals over the global order: ``sums`` maps new columns to columns (``*`` counts rows).
 
     Rows are range-partitioned and sorted; each partition's totals, one row each, give the offsets.
-    ``own=False`` leaves the row itself out. The rows are written before they are dealt, since
-    finding the ranges reads them once more. Nulls count as 0.
+    ``own=False`` leaves the row itself out. With ``within``, totals start anew for each of its values, and a value with very many rows
+    still spreads over partitions: only values that begin in an earlier partition have an offset, at most one for each partition.
+    The rows are written before they are dealt, since finding the ranges reads them once more; ``cheap`` says
+    that reading them again costs little, as after a stored table. Nulls count as 0.
     """
-    rows = durable(df)
-    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    rows = df if cheap else durable(df)
+    keys = [*within, *order]
+    dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     held = durable(dealt.withColumn("__part", F.spark_partition_id()))
     value = lambda c: F.lit(1) if c == "*" else F.coalesce(F.col(c), F.lit(0))
-    totals = held.groupBy("__part").agg(*[F.sum(value(c)).alias(f"__{o}") for o, c in sums.items()])
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__{o}").over(before), F.lit(0)).alias(f"__{o}") for o in sums])
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
-    joined = held.join(F.broadcast(offsets), "__part")  # one row for each partition
-    return joined.withColumns({o: F.col(f"__{o}") + F.coalesce(F.sum(value(c)).over(inside), F.lit(0)) for o, c in sums.items()}).drop("__part", *[f"__{o}" for o in sums])
+    totals = held.groupBy("__part", *within).agg(*[F.sum(value(c)).alias(f"__{o}") for o, c in sums.items()])
+    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__part", *within, *[F.sum(f"__{o}").over(before).alias(f"__{o}") for o in sums])
+    offsets = offsets.where(" OR ".join(f"`__{o}` IS NOT NULL" for o in sums))  # one row for each partition at most
+    named = offsets.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__in_{c}") for c in within], *[f"__{o}" for o in sums])
+    match = F.col("__part") == F.col("__p")
+    for c in within:
+        match &= F.col(c).eqNullSafe(F.col(f"__in_{c}"))
+    inside = Window.partitionBy("__part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    joined = held.join(F.broadcast(named), match, "left")
+    out = joined.withColumns({o: F.coalesce(F.col(f"__{o}"), F.lit(0)) + F.coalesce(F.sum(value(c)).over(inside), F.lit(0)) for o, c in sums.items()})
+    return out.drop("__part", "__p", *[f"__in_{c}" for c in within], *[f"__{o}" for o in sums])
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row: the exact quantiles of ``column`` by name, linear between neighbours, from ranks of its distinct values.
+
+    No task holds all values. Nulls are left out; without values all are null.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = with_prefix(counts, ["__v"], {"__upto": "__n"})
+    placed = ranked.crossJoin(F.broadcast(ranked.agg(F.sum("__n").alias("__all"))))
+    ends, out = [], []
+    for i, (name, q) in enumerate(shares.items()):
+        at = (F.col("__all") - 1) * F.lit(float(q))
+        ends += [F.min(F.when(F.col("__upto") > F.floor(at), F.col("__v"))).alias(f"__lo{i}"), F.min(F.when(F.col("__upto") > F.ceil(at), F.col("__v"))).alias(f"__hi{i}")]
+        at = (F.col("__all") - 1) * F.lit(float(q))
+        out.append((F.col(f"__lo{i}") + (at - F.floor(at)) * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(name))
+    return placed.agg(F.max("__all").alias("__all"), *ends).select(*out)

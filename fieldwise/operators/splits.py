@@ -49,19 +49,20 @@ def split_kfold(df: DataFrame, group: str, time: str, k: int) -> DataFrame:
 
 
 def grouped_time_cv(df: DataFrame, group: str, time: str, k: int) -> DataFrame:
-    """k folds over k + 1 blocks: fold i trains on blocks 0..i and validates on the next."""
+    """k folds over k + 1 blocks: fold i trains on blocks 0..i and validates on the next. k is at least 2 and at most the number of contests."""
+    k = max(2, min(k, df.select(group).distinct().count()))
     placed = order_groups(df, group, time).withColumn("block", block_of(F.col("place"), F.col("groups"), k + 1))
     folds = placed.withColumn("fold", F.explode(F.sequence(F.greatest(F.col("block") - 1, F.lit(0)), F.lit(k - 1))))
     return folds.select("fold", group, "first_time", F.when(F.col("block") <= F.col("fold"), "train").otherwise("valid").alias("role"))
 
 
-def check_splits(df: DataFrame, splits: DataFrame, group: str) -> DataFrame:
-    """Violations by rule: contests missing, in several splits, unknown, and roles whose times overlap."""
+def check_splits(df: DataFrame, splits: DataFrame, group: str, gap_days: float = 0.0) -> DataFrame:
+    """Violations by rule: contests missing, in several splits, unknown, and roles whose times overlap or are less than ``gap_days`` apart."""
     per = splits.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     known = df.select(group).distinct()
     bounds = splits.groupBy("split").agg(F.min("first_time").alias("low"), F.max("first_time").alias("high"))
     after = bounds.select(F.col("split").alias("next"), F.col("low").alias("next_low"))
-    overlap = bounds.crossJoin(F.broadcast(after)).where("(split = 'train' AND next IN ('valid', 'test') OR split = 'valid' AND next = 'test') AND high > next_low")
+    overlap = bounds.crossJoin(F.broadcast(after)).where(f"(split = 'train' AND next IN ('valid', 'test') OR split = 'valid' AND next = 'test') AND (high > next_low OR unix_micros(CAST(next_low AS timestamp)) - unix_micros(CAST(high AS timestamp)) < {int(gap_days * 86_400_000_000)})")
     rules = {"missing": known.join(per, group, "left_anti"), "unknown": per.join(known, group, "left_anti"), "repeated": per.where("n > 1"), "overlap": overlap}
     return reduce(DataFrame.unionByName, (d.agg(F.lit(k).alias("rule"), F.count(F.lit(1)).alias("violations")) for k, d in rules.items()))
 

@@ -34,8 +34,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = runners(spark, sf_dir)
-    return joins.attach_market(base, base.select(*KEYS, "odds_text"))
+    return joins.with_market(runners(spark, sf_dir))
 
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +113,19 @@ def p5_event_time(spark, sf_dir):
     return coerce.with_event_time(parts).select("o_orderkey", F.unix_micros("off_time").alias("us"))
 
 
-@query(r"SELECT doc_id, regexp_replace(trim(text), '\s+', ' ', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '^\s|\s$|[^\x00-\x7F]')", base=False)
+@query("SELECT event_id, epoch_us(ts) AS us FROM events", base=False)
+def p5_event_time_alias(spark, sf_dir):
+    """A table whose only time has a general name."""
+    return coerce.with_event_time(table(spark, sf_dir, "events").select("event_id", "ts")).select("event_id", F.unix_micros("race_dt").alias("us"))
+
+
+#: Unicode white space as both sides of the check see it.
+_WHITE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{_WHITE}', ' ', 'g'), ' ') AS text FROM documents", base=False)
 def p6_clean_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"^\s|\s$|[^\x00-\x7F]"))
-    return coerce.clean_text(docs.select("doc_id", "text"), ["text"])
+    return coerce.clean_text(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"])
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END::BIGINT AS o_orderstatus_code FROM orders", base=False)
@@ -152,10 +160,12 @@ def p12_win(spark, sf_dir):
     return rounded(coerce.with_win(told).select(*KEYS, "is_win"))
 
 
-@query("SELECT race_id, horse_id, is_win::BIGINT AS label FROM runners")
+@query("SELECT race_id, horse_id, is_win::BIGINT AS by_place, is_win::BIGINT AS by_result, (pos <= 2)::BIGINT AS by_token FROM runners")
 def p13_label(spark, sf_dir):
-    told = runners(spark, sf_dir).withColumn("junk", F.lit("?")).withColumn("res", F.when(F.col("pos") == 1, "winner").otherwise("2nd"))
-    return rounded(coerce.with_label(told, ["junk", "res"]).select(*KEYS, "label"))
+    """Places as numbers, results as text and words; columns that say nothing are passed over."""
+    told = runners(spark, sf_dir).select(*KEYS, F.lit("?").alias("won"), F.col("pos").cast("string").alias("finish_position"), F.concat("pos", F.when(F.col("pos") == 1, "st").otherwise("th")).alias("res"), F.when(F.col("pos") <= 2, " YES").otherwise("no").alias("tok"))
+    read = coerce.with_label(coerce.with_label(coerce.with_label(told, None, "by_place"), ["won", "res"], "by_result"), ["tok"], "by_token")
+    return rounded(read.select(*KEYS, "by_place", "by_result", "by_token"))
 
 
 @query("SELECT race_id, horse_id, pos::BIGINT AS pos FROM runners")
@@ -200,10 +210,12 @@ def p21_make_xy(spark, sf_dir):
     return rounded(coerce.make_xy(runners(spark, sf_dir).select(*KEYS, "age", "draw", "is_win"), "is_win", KEYS))
 
 
-@query("SELECT 'implied' AS picked", base=False)
+@query("""SELECT name AS picked FROM (SELECT 'age' AS name, avg((age BETWEEN 0 AND 1)::INT) AS s FROM market UNION ALL SELECT 'implied', avg((implied BETWEEN 0 AND 1)::INT) FROM market UNION ALL
+SELECT 'is_win', avg((is_win BETWEEN 0 AND 1)::INT) FROM market UNION ALL SELECT 'raw', avg((raw BETWEEN 0 AND 1)::INT) FROM market UNION ALL SELECT 'draw', avg((draw BETWEEN 0 AND 1)::INT) FROM market) WHERE s > 0.98 ORDER BY length(name), name LIMIT 1""")
 def p22_pick_prob(spark, sf_dir):
-    name = coerce.pick_prob_col(market(spark, sf_dir).select("age", F.col("mkt_implied").alias("implied"), "draw"), ["model_prob"])
-    return table(spark, sf_dir, "region").select(F.lit(name).alias("picked")).distinct()
+    base = market(spark, sf_dir)
+    name = coerce.pick_prob_col(base.select("age", F.col("mkt_implied").alias("implied"), "is_win", F.col("mkt_implied_raw").alias("raw"), "draw"), ["model_prob"])
+    return base.agg(F.lit(name).alias("picked"))
 
 
 @query("SELECT race_id, horse_id, round(price, 8) AS odds, round(raw, 8) AS raw FROM market")
@@ -213,10 +225,16 @@ def o1_o4_prices(spark, sf_dir):
     return rounded(told.select(*KEYS, odds.alias("odds")).withColumn("raw", prices.implied_raw(F.col("odds"))), 8)
 
 
-@query("SELECT race_id, horse_id, round(price, 6) AS odds FROM runners WHERE price > 1")
+@query("SELECT race_id, horse_id, round(price, 6) AS decimal_odds FROM runners WHERE price > 1 AND draw % 4 IN (2, 3)")
 def o5_extract_odds(spark, sf_dir):
-    named = coerce.alias(runners(spark, sf_dir), {"decimal": ["decimal_odds", "sp", "odds_text"], "fraction": ["fractional_odds", "odds_text"]})
-    return rounded(named.select(*KEYS, prices.coalesce_odds(F.col("decimal"), F.col("fraction")).alias("odds")).where("odds > 1"))
+    """A decimal column among the candidates; its fractions and words are no numbers."""
+    return rounded(coerce.extract_odds(runners(spark, sf_dir).withColumnRenamed("odds_text", "bsp")))
+
+
+@query("SELECT race_id, horse_id, round(price, 6) AS decimal_odds FROM runners WHERE price > 1 AND draw % 4 = 1")
+def o5_extract_fractions(spark, sf_dir):
+    base = runners(spark, sf_dir)
+    return rounded(coerce.extract_odds(base.where("draw % 4 > 0").withColumnRenamed("odds_text", "sp_frac")))
 
 
 @query("SELECT l_orderkey, l_linenumber, greatest(least(l_discount, 0.95), 0.05) + 0.0 AS p FROM lineitem", base=False)
@@ -226,7 +244,9 @@ def o6_clip(spark, sf_dir):
 
 @query("SELECT r.race_id, r.horse_id, round(price, 8) AS odds, round(raw, 8) AS raw, round(implied, 8) AS implied FROM market r")
 def j1_j2_market(spark, sf_dir):
-    return rounded(market(spark, sf_dir).select(*KEYS, F.col("mkt_odds_decimal").alias("odds"), F.col("mkt_implied_raw").alias("raw"), F.col("mkt_implied").alias("implied")), 8)
+    base = runners(spark, sf_dir)
+    joined = joins.attach_market(base.select(*KEYS), base.select(*KEYS, "odds_text"))
+    return rounded(joined.select(*KEYS, F.col("mkt_odds_decimal").alias("odds"), F.col("mkt_implied_raw").alias("raw"), F.col("mkt_implied").alias("implied")), 8)
 
 
 @query("SELECT p.event_id, round(s.value, 6) AS value_asof FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'signup') s ON p.user_id = s.user_id AND p.ts >= s.ts", base=False)
@@ -263,13 +283,21 @@ def j7_names(spark, sf_dir):
     return joins.attach_names(runners(spark, sf_dir), dims).select(*KEYS, "horse_id_name", "jockey_id_name", "trainer_id_name")
 
 
+@query("SELECT o_orderkey, (SELECT min_by(p_name, (l_shipdate, l_linenumber, p_name)) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey) AS o_key_name FROM orders", base=False)
+def j7_first_name(spark, sf_dir):
+    """Ids that have several names: the first by an order."""
+    names = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    told = joins.attach_names(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("o_key")), {"o_key": (names, "l_orderkey", "p_name", ["l_shipdate", "l_linenumber"])})
+    return told.select("o_orderkey", "o_key_name")
+
+
 @query("SELECT race_id, horse_id, course, going FROM runners")
 def j8_context(spark, sf_dir):
     base = runners(spark, sf_dir)
     return joins.attach_context(base.select(*KEYS), base, ["race_id"], ["course", "going"])
 
 
-@query("SELECT race_id, horse_id, race_id IN (SELECT race_id FROM runners WHERE discipline = 'F') AS member FROM runners")
+@query("SELECT race_id, horse_id, bool_or(discipline = 'F') OVER (PARTITION BY race_id) AS member FROM runners")
 def j9_semi_mask(spark, sf_dir):
     base = runners(spark, sf_dir)
     return joins.semi_mask(base.select(*KEYS), base.where("discipline = 'F'"), "race_id")
@@ -309,12 +337,16 @@ def a1_summarize(spark, sf_dir):
     return rounded(profile.summarize(runners(spark, sf_dir)).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_time", "last_time")}))
 
 
-@query("""SELECT 'price' AS "column", count(price) AS non_null, count(*) - count(price) AS nulls, round(100.0 * (count(*) - count(price)) / count(*), 6) AS pct FROM runners UNION ALL SELECT 'age', count(age), count(*) - count(age), 0.0 FROM runners""")
+_A2 = {"price": "price", "implied": "implied", "age": "age", "course": "course", "first": "CASE WHEN pos = 1 THEN horse_id END"}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{n}' AS "column", count({e}) AS non_null, count(*) - count({e}) AS nulls, round(100.0 * (count(*) - count({e})) / count(*), 6) AS pct FROM market""" for n, e in _A2.items()))
 def a2_missingness(spark, sf_dir):
-    return rounded(profile.missingness(market(spark, sf_dir).select(F.col("mkt_odds_decimal").alias("price"), "age")))
+    base = market(spark, sf_dir)
+    return rounded(profile.missingness(base.select(F.col("mkt_odds_decimal").alias("price"), F.col("mkt_implied").alias("implied"), "age", "course", F.when(F.col("pos") == 1, F.col("horse_id")).alias("first"))))
 
 
-@query()
+@query("SELECT column_name AS \"column\", CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS type FROM information_schema.columns WHERE table_name = 'lineitem'", base=False)
 def a3_dtypes(spark, sf_dir):
     return profile.dtypes_table(table(spark, sf_dir, "lineitem"))
 
@@ -386,9 +418,9 @@ def a16_int_histogram(spark, sf_dir):
     return rounded(profile.int_histogram(runners(spark, sf_dir), "age"))
 
 
-@query(_OVER + "SELECT round(avg(overround) * 100, 6) AS mean_pct FROM ov")
+@query(_OVER + "SELECT race_id, round(overround * 100, 6) AS overround_pct, round(avg(overround * 100) OVER (), 6) AS mean_pct FROM ov")
 def a17_overround_pct(spark, sf_dir):
-    return rounded(_overrounds(spark, sf_dir).agg((F.avg("overround") * 100).alias("mean_pct")))
+    return rounded(profile.overround_pct(_overrounds(spark, sf_dir)).select("race_id", "overround_pct", "mean_pct"))
 
 
 _RATE = """, r AS (SELECT discipline, age, count(*) AS n, sum(is_win) AS wins FROM runners GROUP BY ALL HAVING count(*) >= 10), z AS (SELECT *, wins / n AS p, 1.959963984540054 AS z FROM r),
@@ -404,17 +436,20 @@ def a18_rate_by_group(spark, sf_dir):
 
 @query(_RATE + "SELECT * FROM u WHERE is_peak = 1")
 def a19_peaks(spark, sf_dir):
-    return rounded(profile.rate_by_group(runners(spark, sf_dir), "discipline", "age").where("is_peak = 1"))
+    return rounded(profile.peaks(profile.rate_by_group(runners(spark, sf_dir), "discipline", "age"), "discipline"))
+
+
+_CORR = ["age", "weight_lbs", "draw", "implied"]
 
 
-@query("SELECT 'age' AS a, 'weight_lbs' AS b, round(corr(age, weight_lbs), 6) + 0.0 AS corr FROM runners UNION ALL SELECT 'age', 'age', 1.0 FROM (SELECT 1) UNION ALL SELECT 'weight_lbs', 'weight_lbs', 1.0 FROM (SELECT 1)")
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS corr FROM market" for i, a in enumerate(_CORR) for b in _CORR[i:]))
 def a20_corr(spark, sf_dir):
-    return rounded(profile.corr_matrix(runners(spark, sf_dir), ["age", "weight_lbs"]))
+    return rounded(profile.corr_matrix(market(spark, sf_dir).withColumnRenamed("mkt_implied", "implied"), _CORR))
 
 
-@query("SELECT count(DISTINCT horse_id) AS horses, count(DISTINCT jockey_id) AS jockeys, strftime(min(race_dt), '%Y-%m-%d') AS first_time FROM runners")
+@query("SELECT count(*) AS rows, count(DISTINCT horse_id) AS n_horse_id, count(DISTINCT jockey_id) AS n_jockey_id, count(DISTINCT trainer_id) AS n_trainer_id, strftime(min(race_dt), '%Y-%m-%d') AS first_time, strftime(max(race_dt), '%Y-%m-%d') AS last_time FROM runners")
 def a21_coverage(spark, sf_dir):
-    return runners(spark, sf_dir).agg(F.countDistinct("horse_id").alias("horses"), F.countDistinct("jockey_id").alias("jockeys"), F.date_format(F.min("race_dt"), "yyyy-MM-dd").alias("first_time"))
+    return rounded(profile.coverage(runners(spark, sf_dir)).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_time", "last_time")}))
 
 
 @query(_BETS + "SELECT race_id, count(*) AS bets, count(*)::DOUBLE AS staked, round(sum(pnl), 6) + 0.0 AS pnl FROM bets GROUP BY race_id")
@@ -440,6 +475,18 @@ def w3_decayed(spark, sf_dir):
     return rounded(features.decayed_sum(runners(spark, sf_dir), ["horse_id"], "race_dt", {"decayed": "is_win"}, 180).select(*KEYS, "decayed"))
 
 
+@query(", p AS (SELECT a.race_id, a.horse_id, sum(b.is_win * pow(0.5, (a.us - b.us) / 86400000000.0 / 0.5)) AS s FROM runners a LEFT JOIN runners b ON a.horse_id = b.horse_id AND b.us < a.us GROUP BY ALL) SELECT race_id, horse_id, round(coalesce(s, 0), 6) + 0.0 AS decayed FROM p")
+def w3_decayed_strict(spark, sf_dir):
+    """A half-life of half a day, so histories span thousands of them, and no rows of the same time."""
+    return rounded(features.decayed_sum(runners(spark, sf_dir), ["horse_id"], "race_dt", {"decayed": "is_win"}, 0.5, strict=True).select(*KEYS, "decayed"))
+
+
+@query(f"SELECT race_id, horse_id, round((sum(is_win) OVER w) / nullif(count(is_win) OVER w, 0), 6) AS rate FROM runners WINDOW w AS ({_W.format('trainer_id')})")
+def w4_prior_rate_hot(spark, sf_dir):
+    """Keys with a large share of all rows each, dealt in ranges of key and time."""
+    return rounded(features.prior_rate(runners(spark, sf_dir), ["trainer_id"], "race_dt", "is_win", "rate", hot=True).select(*KEYS, "rate"))
+
+
 @query(f"SELECT race_id, horse_id, round((sum(is_win) OVER w) / nullif(count(is_win) OVER w, 0), 6) AS rate FROM runners WINDOW w AS ({_W.format('jockey_id, going')})")
 def w4_prior_rate(spark, sf_dir):
     return rounded(features.prior_rate(runners(spark, sf_dir), ["jockey_id", "going"], "race_dt", "is_win", "rate").select(*KEYS, "rate"))
@@ -472,9 +519,23 @@ def w9_prior_eb(spark, sf_dir):
     return rounded(features.prior_eb_rate(runners(spark, sf_dir), ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win").select(*KEYS, "eb_horse", "eb_jockey", "eb_trainer"))
 
 
-@query(_RATED + f"SELECT race_id, horse_id, round((sum(is_win) OVER (PARTITION BY horse_id ORDER BY us RANGE BETWEEN 365*86400000000 PRECEDING AND 1 PRECEDING)) / nullif(count(*) OVER (PARTITION BY horse_id ORDER BY us RANGE BETWEEN 365*86400000000 PRECEDING AND 1 PRECEDING), 0), 6) AS is_win_rate_365, round((sum(is_win) OVER ({_W.format('horse_id, course')})) / nullif(count(is_win) OVER ({_W.format('horse_id, course')}), 0), 6) AS horse_course_rate, round(official_rating - quantile_cont(official_rating, 0.5) OVER (PARTITION BY race_id), 6) + 0.0 AS rating_delta, round(eb_horse, 6) AS eb_horse FROM rated")
+_HIST = "round((sum(is_win) OVER ({w})) / nullif(count(is_win) OVER ({w}), 0), 6)"
+_HORSE_ELO = ", gn AS (SELECT race_id, horse_id, us, 16 * sqrt(greatest(field_size / 8.0, 1)) * (CASE WHEN field_size <= 1 THEN 1.0 ELSE 1 - (pos - 1)::DOUBLE / (field_size - 1) END - 0.5) AS gain FROM runners), he AS (SELECT a.race_id, a.horse_id, coalesce(sum(b.gain * pow(0.5, (a.us - b.us) / 86400000000.0 / 90)), 0) AS horse_elo FROM gn a LEFT JOIN gn b ON a.horse_id = b.horse_id AND (b.us, b.race_id) < (a.us, a.race_id) GROUP BY ALL)\n"
+
+
+@query(
+    _RATED
+    + _HORSE_ELO
+    + ", rl AS (SELECT horse_id, us, min(horse_elo) AS horse_elo FROM he JOIN runners USING (race_id, horse_id) GROUP BY ALL)"
+    + f", ft AS (SELECT *, CASE WHEN distance_m < 1000 THEN NULL WHEN distance_m < 1600 THEN '[1000,1600)' WHEN distance_m < 2400 THEN '[1600,2400)' WHEN distance_m < 3000 THEN '[2400,3000)' END AS distance_bucket, (pos <= CASE WHEN field_size >= 8 THEN 3 ELSE 2 END)::BIGINT AS is_place FROM rated)"
+    + ", dc AS (SELECT a.race_id, a.horse_id, coalesce(sum(b.is_win * pow(0.5, (a.us - b.us) / 86400000000.0 / 90)), 0) AS win_decayed_90 FROM runners a LEFT JOIN runners b ON a.horse_id = b.horse_id AND (b.us, b.race_id) < (a.us, a.race_id) GROUP BY ALL)\n"
+    + f"SELECT ft.race_id, ft.horse_id, is_win::BIGINT AS is_win, is_place, round((sum(is_place) OVER r) / nullif(count(*) OVER r, 0), 6) AS is_place_rate_365, {_HIST.format(w=_W.format('horse_id, course'))} AS horse_course_rate, {_HIST.format(w=_W.format('horse_id, distance_bucket'))} AS horse_distance_rate, distance_bucket, round(win_decayed_90, 6) + 0.0 AS win_decayed_90, (course = 'BUILDING')::BIGINT AS course_building, round(official_rating - quantile_cont(official_rating, 0.5) OVER (PARTITION BY race_id), 6) + 0.0 AS rating_delta, round(eb_horse, 6) AS eb_horse, round(rl.horse_elo, 4) + 0.0 AS horse_elo_rt FROM ft JOIN dc USING (race_id, horse_id) JOIN rl ON rl.horse_id = ft.horse_id AND rl.us = ft.us WINDOW r AS (PARTITION BY ft.horse_id ORDER BY ft.us RANGE BETWEEN 365*86400000000 PRECEDING AND 1 PRECEDING)".replace("PARTITION BY horse_id", "PARTITION BY ft.horse_id").replace("ORDER BY us,", "ORDER BY ft.us,").replace(", race_id, horse_id ROWS", ", ft.race_id, ft.horse_id ROWS").replace("OVER (PARTITION BY race_id)", "OVER (PARTITION BY ft.race_id)")
+)
 def w10_features(spark, sf_dir):
-    return rounded(features.build_features(runners(spark, sf_dir)).select(*KEYS, "is_win_rate_365", "horse_course_rate", "rating_delta", "eb_horse"))
+    base = runners(spark, sf_dir)
+    ratings_table = ratings.elo(base, "horse_id", "race_dt", "horse_elo").select("horse_id", "race_dt", "horse_elo")
+    made = features.build_features(base, ratings_table)
+    return rounded(made.select(*KEYS, "is_win", "is_place", "is_place_rate_365", "horse_course_rate", "horse_distance_rate", "distance_bucket", F.round("win_decayed_90", 6).alias("win_decayed_90"), F.col("course_BUILDING").alias("course_building"), "rating_delta", "eb_horse", F.round("horse_elo_rt", 4).alias("horse_elo_rt")))
 
 
 @query("SELECT race_id, horse_id, round(CASE WHEN field_size <= 1 THEN 1.0 ELSE 1 - (pos - 1)::DOUBLE / (field_size - 1) END, 6) AS score FROM runners")
@@ -518,8 +579,20 @@ def t3_kfold(spark, sf_dir):
     return rounded(splits.split_kfold(runners(spark, sf_dir), "race_id", "race_dt", 5).select("fold", "race_id", "role"))
 
 
-@query("SELECT unnest(['missing', 'unknown', 'repeated', 'overlap']) AS rule, 0::BIGINT AS violations", base=False)
+@query(_PLACE + """, g AS (SELECT race_id, us, CASE race_id::BIGINT % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, race_id::BIGINT AS k FROM f), b AS (SELECT split, min(us) AS low, max(us) AS high FROM g WHERE k % 7 > 0 GROUP BY split)
+SELECT 'missing' AS rule, count_if(k % 7 = 0)::BIGINT AS violations FROM g UNION ALL SELECT 'unknown', count_if(k % 7 > 0 AND k % 11 = 0) FROM g UNION ALL SELECT 'repeated', count_if(k % 7 > 0 AND k % 5 = 0) FROM g
+UNION ALL SELECT 'overlap', count(*) FROM b x, b y WHERE (x.split = 'train' AND y.split IN ('valid', 'test') OR x.split = 'valid' AND y.split = 'test') AND (x.high > y.low OR y.low - x.high < 86400000000)""")
 def t5_check_splits(spark, sf_dir):
+    """Splits by number: some contests are left out, some are there twice, some are unknown, and times overlap."""
+    base = runners(spark, sf_dir)
+    made = base.groupBy("race_id").agg(F.min("race_dt").alias("first_time")).withColumn("k", F.col("race_id").cast("long")).where("k % 7 > 0").withColumn("split", F.expr("CASE k % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END"))
+    strange = made.where("k % 11 = 0").withColumn("race_id", F.concat(F.lit("x"), "race_id"))
+    return rounded(splits.check_splits(base, made.union(made.where("k % 5 = 0")).union(strange), "race_id", gap_days=1))
+
+
+@query(_PLACE + """, s AS (SELECT race_id, us, CASE WHEN place < groups - floor(groups * 0.2) - floor(groups * 0.2) THEN 'train' WHEN place < groups - floor(groups * 0.2) THEN 'valid' ELSE 'test' END AS split FROM pl), b AS (SELECT split, min(us) AS low, max(us) AS high FROM s GROUP BY split)
+SELECT unnest(['missing', 'unknown', 'repeated']) AS rule, 0::BIGINT AS violations UNION ALL SELECT 'overlap', count(*) FROM b x, b y WHERE (x.split = 'train' AND y.split IN ('valid', 'test') OR x.split = 'valid' AND y.split = 'test') AND (x.high > y.low OR y.low - x.high < 0)""")
+def t5_check_good_splits(spark, sf_dir):
     base = runners(spark, sf_dir)
     return rounded(splits.check_splits(base, splits.split_fractions(base, "race_id", "race_dt"), "race_id"))
 
@@ -559,9 +632,16 @@ def v7_constant(spark, sf_dir):
     return rounded(checks.check_constant(runners(spark, sf_dir), "race_id", "draw"))
 
 
-@query("SELECT unnest(['unique_key', 'label', 'constant']) AS rule, 0::BIGINT AS violations", base=False)
+@query("""SELECT 'unique_key' AS rule, (SELECT count(*) FROM (SELECT 1 FROM runners GROUP BY race_id, jockey_id HAVING count(*) > 1))::BIGINT AS violations UNION ALL SELECT 'label', count_if(pos NOT IN (0, 1)) FROM runners
+UNION ALL SELECT 'constant', count(*) FROM (SELECT 1 FROM runners GROUP BY race_id HAVING min(draw) <> max(draw))""")
 def v8_canonical(spark, sf_dir):
-    return rounded(checks.check_canonical(runners(spark, sf_dir), KEYS, "is_win", "field_size"))
+    """Keys that repeat, a label of more than two values and a column that is not constant in a contest."""
+    return rounded(checks.check_canonical(runners(spark, sf_dir), ["race_id", "jockey_id"], "pos", "draw"))
+
+
+@query("SELECT name AS \"column\" FROM (SELECT unnest(['l_orderkey', 'l_partkey', 'race_id', 'L_TAX', 'horse_id']) AS name) WHERE name NOT IN (SELECT column_name FROM information_schema.columns WHERE table_name = 'lineitem')", base=False)
+def v1_required(spark, sf_dir):
+    return checks.missing_columns(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "race_id", "L_TAX", "horse_id"])
 
 
 @query("SELECT 'empty_event_id' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'event_type_is_int', count(*) FROM events UNION ALL SELECT 'event_type_level', count_if(upper(event_type) <> 'CLICK') FROM events", base=False)
@@ -586,6 +666,21 @@ def m3_isotonic(spark, sf_dir):
     return models.apply_calibrator(df, models.fit_isotonic(df, "model_prob", "is_win"), "model_prob", "calibrated")
 
 
+@query()
+def m5_fit_calibrator(spark, sf_dir):
+    """Labels joined to predictions, each kind of calibrator, and Brier scores before and after."""
+    df = rated(spark, sf_dir)
+    labels = df.select(F.concat(F.lit(" "), "race_id").alias("race_id"), "horse_id", F.col("is_win").alias("is_winner"))
+    reports = [models.fit_calibrator(df.select(*KEYS, "model_prob"), m, labels)[1].select(F.lit(m).alias("method"), "*") for m in ("none", "platt", "isotonic")]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
+@query(_RATED + "SELECT count(*) AS n, round(avg((model_prob - is_win) ** 2), 6) AS brier_before, round(avg((model_prob - is_win) ** 2), 6) AS brier_after, 0.0::DOUBLE AS improvement FROM rated")
+def m5_no_calibrator(spark, sf_dir):
+    df = rated(spark, sf_dir)
+    return rounded(models.fit_calibrator(df.select(*KEYS, "model_prob"), "none", df.select(*KEYS, F.col("is_win").alias("label")))[1])
+
+
 _LL = "-(is_win * ln({p}) + (1 - is_win) * ln(1 - {p}))"
 
 
@@ -617,6 +712,11 @@ def m12_ece(spark, sf_dir):
     return rounded(models.ece(models.reliability(rated(spark, sf_dir), "model_prob", "is_win")))
 
 
+@query(_RATED + ", v AS (SELECT round(model_prob, 9) AS p, is_win FROM rated), c AS (SELECT list_distinct(quantile_cont(p, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS cuts FROM v), b AS (SELECT p, is_win, len(list_filter(cuts, lambda c: c < p)) AS bin FROM v, c), r AS (SELECT count(*) AS n, avg(p) AS mean_p, avg(is_win) AS mean_y FROM b GROUP BY bin) SELECT round(sum(n * abs(mean_p - mean_y)) / sum(n), 6) AS ece FROM r")
+def m12_ece_quantile(spark, sf_dir):
+    return rounded(models.ece_of(rated(spark, sf_dir).withColumn("model_prob", F.round("model_prob", 9)), "model_prob", "is_win", strategy="quantile"))
+
+
 @query(_RATED + ", v AS (SELECT round(model_prob, 9) AS p, is_win FROM rated), c AS (SELECT list_distinct(quantile_cont(p, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS cuts FROM v), b AS (SELECT p, is_win, len(list_filter(cuts, lambda c: c < p)) AS bin FROM v, c) SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(is_win), 6) AS mean_y FROM b GROUP BY bin")
 def m13_quantile_reliability(spark, sf_dir):
     return rounded(models.quantile_reliability(rated(spark, sf_dir).withColumn("model_prob", F.round("model_prob", 9)), "model_prob", "is_win"))
@@ -663,27 +763,78 @@ def b6_compound(spark, sf_dir):
 @query(_RATED + """, grid AS (SELECT threshold, cap, top FROM (VALUES (0.01), (0.03), (0.05)) a(threshold), (VALUES (10.0), (30.0)) b(cap), (VALUES (1), (2)) c(top)),
 s AS (SELECT grid.*, race_id, is_win, price, row_number() OVER (PARTITION BY threshold, cap, top, race_id ORDER BY round(edge, 12) DESC, horse_id) AS k FROM rated, grid WHERE round(edge, 12) >= threshold AND price > 1 AND price <= cap)
 SELECT threshold::DOUBLE AS threshold, cap::DOUBLE AS cap, top::BIGINT AS top, count(*) AS bets, count(DISTINCT race_id) AS contests, count(*)::DOUBLE AS staked, round(sum(CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END), 6) AS pnl, round(avg(CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END), 6) AS roi, round(avg(is_win), 6) AS hit_rate, round(avg(price), 6) AS mean_odds FROM s WHERE k <= top GROUP BY threshold, cap, top""")
-def b7_b9_sweep(spark, sf_dir):
+def b7_sweep(spark, sf_dir):
     grid = spark.sql("SELECT threshold, cap, top FROM (VALUES (0.01D), (0.03D), (0.05D)) AS a(threshold), (VALUES (10.0D), (30.0D)) AS b(cap), (VALUES (1), (2)) AS c(top)")
     return rounded(betting.sweep(rated(spark, sf_dir).withColumn("edge", F.round("edge", 12)), grid))
 
 
-_DRAWS = _BETS + """, bl AS (SELECT race_id, sum(pnl) AS top, count(*) AS bottom FROM bets GROUP BY race_id),
-u AS (SELECT draw, top, bottom, ('0x' || left(md5('b1:' || draw || ':' || race_id), 8))::BIGINT / 4294967296.0 AS u FROM bl, range(0, 20) t(draw)),
-w AS (SELECT draw, top, bottom, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.999916758850712)::INT + (u >= 0.9999897508033253)::INT AS n FROM u),
-dr AS (SELECT draw, sum(n * top) / sum(n * bottom) AS ratio FROM w GROUP BY draw)
+_CONFIGS = "('flat', 0.02, 20.0, 1, NULL), ('wide', 0.0, 50.0, 3, 0.1), ('strict', 0.1, 8.0, 1, 0.5), ('none', 0.99, 2.0, 1, NULL)"
+
+
+@query(_RATED + f""", c(label, threshold, cap, top, fraction) AS (VALUES {_CONFIGS}),
+s AS (SELECT c.*, race_id, is_win, price, model_prob, row_number() OVER (PARTITION BY label, race_id ORDER BY round(edge, 12) DESC, horse_id) AS k FROM rated, c WHERE round(edge, 12) >= threshold AND price > 1 AND price <= cap),
+t AS (SELECT *, CASE WHEN fraction IS NULL THEN 1.0::DOUBLE ELSE fraction * greatest(0, (model_prob * (price - 1) - (1 - model_prob)) / (price - 1)) END AS stake FROM s WHERE k <= top)
+SELECT c.label, count(t.label) AS bets, count(DISTINCT race_id) AS contests, round(sum(stake), 6) AS staked, round(sum(stake * CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END), 6) + 0.0 AS pnl, round(sum(stake * CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END) / sum(stake), 6) + 0.0 AS roi, round(avg(is_win), 6) AS hit_rate, round(avg(price), 6) AS mean_odds FROM c LEFT JOIN t USING (label) GROUP BY c.label""")
+def b8_compare(spark, sf_dir):
+    configs = spark.sql(f"SELECT label, cast(threshold AS double) AS threshold, cast(cap AS double) AS cap, top, cast(fraction AS double) AS fraction FROM VALUES {_CONFIGS} AS t(label, threshold, cap, top, fraction)")
+    return rounded(betting.compare(rated(spark, sf_dir).withColumn("edge", F.round("edge", 12)), configs))
+
+
+_FAMILIES = "('precision', 0.05, 10.0, 1), ('balanced', 0.02, 20.0, 1), ('high_volume', 0.0, 50.0, 2)"
+
+
+@query(_RATED + f""", fa(family, threshold, cap, top) AS (VALUES {_FAMILIES}), fr AS (SELECT unnest([0.0, 0.05, 0.1, 0.2, 0.3])::DOUBLE AS fraction),
+e AS (SELECT 'none' AS calibration, race_id, horse_id, is_win, price, implied, model_prob FROM rated UNION ALL SELECT 'blend', race_id, horse_id, is_win, price, implied, (model_prob + implied) / 2 FROM rated),
+e2 AS (SELECT *, round(greatest(least(model_prob, 1 - 1e-6), 1e-6) - greatest(least(implied, 1 - 1e-6), 1e-6), 12) AS edge FROM e),
+s AS (SELECT e2.*, family, top, row_number() OVER (PARTITION BY calibration, family, race_id ORDER BY edge DESC, horse_id) AS k FROM e2, fa WHERE edge >= threshold AND price > 1 AND price <= cap),
+t AS (SELECT *, 1 + fraction * 0.01 * greatest(0, (model_prob * (price - 1) - (1 - model_prob)) / (price - 1)) * CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END AS factor FROM s, fr WHERE k <= top)
+SELECT family, calibration, round(fraction, 6) AS fraction, count(*) AS bets, count(DISTINCT race_id) AS contests, round(avg(is_win), 6) AS hit_rate, round(avg(price), 6) AS mean_odds, round(sum(ln(factor)), 6) + 0.0 AS log_growth FROM t GROUP BY ALL""")
+def b9_fraction_sweep(spark, sf_dir):
+    """Families, calibrations and fractions (of a hundredth of the growth-optimal stake, so that no test table ends in ruin) from one job."""
+    base = rated(spark, sf_dir).select(*KEYS, "is_win", "mkt_odds_decimal", "mkt_implied", "model_prob")
+    tables = [base.withColumn("calibration", F.lit("none")), base.withColumns({"calibration": F.lit("blend"), "model_prob": (F.col("model_prob") + F.col("mkt_implied")) / 2})]
+    edges = betting.edges(tables[0].unionByName(tables[1])).withColumn("edge", F.round("edge", 12))
+    families = spark.sql(f"SELECT family, cast(threshold AS double) AS threshold, cast(cap AS double) AS cap, top FROM VALUES {_FAMILIES} AS t(family, threshold, cap, top)")
+    made = betting.fraction_sweep(edges, families, [f * 0.01 for f in (0.0, 0.05, 0.10, 0.20, 0.30)]).withColumn("fraction", F.col("fraction") * 100)
+    return rounded(made.withColumn("log_growth", F.ln(F.col("final") / 1000)).drop("final", "roi"))
+
+
+#: Draws of the registered bootstraps.
+DRAWS = 1000
+_HASHED = f""", h0 AS (SELECT bl.*, draw, xor(('0x' || left(md5('b1:' || race_id), 8))::BIGINT, (draw * 2654435761) % 4294967296)::UBIGINT AS x FROM bl, range(0, {DRAWS}) t(draw)),
+h1 AS (SELECT * REPLACE (x * 2246822507::UBIGINT % 4294967296::UBIGINT AS x) FROM h0), h2 AS (SELECT * REPLACE (xor(x, x >> 13) AS x) FROM h1), h3 AS (SELECT * REPLACE (x * 3266489909::UBIGINT % 4294967296::UBIGINT AS x) FROM h2), h4 AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM h3),
+w AS (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.999916758850712)::INT + (u >= 0.9999897508033253)::INT AS n FROM (SELECT *, x / 4294967296.0 AS u FROM h4))
 """
+_DRAWS = _BETS + ", bl AS (SELECT race_id, sum(pnl) AS pnl, count(*) AS stake FROM bets GROUP BY race_id)" + _HASHED + ", dr AS (SELECT draw, sum(n * pnl) / sum(n * stake) AS roi FROM w GROUP BY draw)\n"
+_MKT = "greatest(least(implied, 1 - 1e-12), 1e-12)"
+_DIFFS = (
+    _RATED
+    + f", ls AS (SELECT race_id, -(is_win * ln(model_prob) + (1 - is_win) * ln(1 - model_prob)) + (is_win * ln({_MKT}) + (1 - is_win) * ln(1 - {_MKT})) AS l, (model_prob - is_win) ** 2 - ({_MKT} - is_win) ** 2 AS b FROM rated WHERE implied IS NOT NULL), bl AS (SELECT race_id, sum(l) AS l, sum(b) AS b, count(*) AS one FROM ls GROUP BY race_id)"
+    + _HASHED
+    + ", dr AS (SELECT draw, sum(n * l) / sum(n * one) AS logloss, sum(n * b) / sum(n * one) AS brier FROM w GROUP BY draw)\n"
+)
+
 
+def roi_draws(spark, sf_dir):
+    return betting.block_bootstrap(bets_of(rated(spark, sf_dir)), {"roi": ("pnl", "stake")}, "race_id", DRAWS, "b1")
 
-@query(_DRAWS + "SELECT draw, round(ratio, 6) AS ratio FROM dr")
+
+@query(_DRAWS + "SELECT draw, round(roi, 6) + 0.0 AS roi FROM dr")
 def b11_bootstrap(spark, sf_dir):
-    return rounded(betting.block_bootstrap(bets_of(rated(spark, sf_dir)), "pnl", "stake", "race_id", 20, "b1"))
+    return rounded(roi_draws(spark, sf_dir))
+
+
+@query(_DIFFS + "SELECT 'logloss' AS stat, round(avg(logloss), 6) + 0.0 AS mean, round(quantile_cont(logloss, 0.025), 6) + 0.0 AS low, round(quantile_cont(logloss, 0.975), 6) + 0.0 AS high FROM dr UNION ALL SELECT 'brier', round(avg(brier), 6) + 0.0, round(quantile_cont(brier, 0.025), 6) + 0.0, round(quantile_cont(brier, 0.975), 6) + 0.0 FROM dr")
+def b11_loss_intervals(spark, sf_dir):
+    """Intervals of the log loss and Brier differences between model and market."""
+    rows = betting.loss_sums(rated(spark, sf_dir), "model_prob", "mkt_implied", "is_win")
+    draws = betting.block_bootstrap(rows, {"logloss": ("logloss_diff", "one"), "brier": ("brier_diff", "one")}, "race_id", DRAWS, "b1")
+    return rounded(betting.interval(draws))
 
 
-@query(_DRAWS + ", i AS (SELECT avg(ratio) AS mean, quantile_cont(ratio, 0.025) AS low, quantile_cont(ratio, 0.975) AS high FROM dr) SELECT round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 THEN 'profitable' WHEN high < 0 THEN 'not profitable' ELSE 'undecided' END AS verdict FROM i")
+@query(_DRAWS + ", i AS (SELECT avg(roi) AS mean, quantile_cont(roi, 0.025) AS low, quantile_cont(roi, 0.975) AS high FROM dr) SELECT 'roi' AS stat, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 THEN 'profitable' WHEN high < 0 THEN 'not profitable' ELSE 'undecided' END AS verdict FROM i")
 def b12_verdict(spark, sf_dir):
-    draws = betting.block_bootstrap(bets_of(rated(spark, sf_dir)), "pnl", "stake", "race_id", 20, "b1")
-    return rounded(betting.verdict(betting.interval(draws)))
+    return rounded(betting.verdict(betting.interval(roi_draws(spark, sf_dir))))
 
 
 @query(_REL + f""", e AS (SELECT sum(n * abs(mean_p - mean_y)) / sum(n) AS ece FROM rel), c AS (SELECT race_id, avg(-ln(model_prob)) AS loss FROM rated WHERE is_win = 1 GROUP BY race_id),
@@ -702,7 +853,7 @@ def b2_edges_from_pred(spark, sf_dir):
 
 @query("SELECT race_id, horse_id, round(CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END, 6) + 0.0 AS pnl FROM runners WHERE price > 1")
 def b10_load_bets(spark, sf_dir):
-    told = market(spark, sf_dir).select(*KEYS, F.col("mkt_odds_decimal").cast("string").alias("odds"), F.col("is_win").cast("string").alias("won"), F.lit("1").alias("stake"))
+    told = market(spark, sf_dir).select(*KEYS, F.col("mkt_odds_decimal").cast("string").alias("odds"), F.when(F.col("is_win") == 1, "Yes").otherwise("lost").alias("won"), F.lit("1").alias("stake"))
     return rounded(betting.load_bets(told).select(*KEYS, "pnl"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldwise import queries as q
 from fieldwise.functions import prices
-from fieldwise.operators import betting, checks, coerce, features, joins, models, ratings, splits
+from fieldwise.operators import betting, checks, coerce, features, joins, models, ratings, scan, splits
 from fieldwise.sources import io
 
 
@@ -172,3 +172,168 @@ def test_out_of_fold_looks_back_only(spark, tmp_path, kind):
         model.write().save(str(tmp_path / "model"))
         back = models.score(df, PipelineModel.load(str(tmp_path / "model")), ["x", "y"]).collect()
         assert [r.model_prob for r in back] == pytest.approx([r.model_prob for r in models.score(df, model, ["x", "y"]).collect()])
+
+
+def test_labels_of_every_kind(spark):
+    rows = spark.createDataFrame([("1", "1st", "Yes", "0", "?"), ("2", "2nd", "no", "1", None), (None, "PU", "NO", "", "?"), ("1.0", "10th", "won", "3", "?")], "pos string, result string, flag string, winner string, won string")
+    read = lambda df, names=None: [r.label for r in coerce.with_label(df, names).collect()]
+    assert read(rows.select("pos", "won")) == [1, 0, 0, 1]  # places, not numbers other than 0
+    assert read(rows.select("result")) == [1, 0, 0, 0] and read(rows, ["flag"]) == [1, 0, 0, 1] and read(rows, ["pos"]) == [1, 0, 0, 1]
+    assert read(rows) == [0, 1, 0, 1]  # ``won`` says nothing, ``winner`` comes before places
+    with pytest.raises(ValueError):
+        coerce.with_label(rows.select("won"))
+    bets = rows.select(F.lit("3.0").alias("odds"), F.col("flag").alias("won"), F.lit("2").alias("stake"))
+    assert [r.pnl for r in betting.load_bets(bets).collect()] == [4.0, -2.0, -2.0, 4.0]
+
+
+def test_text_times_and_odds(spark):
+    rows = spark.createDataFrame([("\n a  b\t",), ("\u00a0x\u3000y ",), (None,), ("",)], "t string")
+    assert [r.t for r in coerce.clean_text(rows, ["t"]).collect()] == ["a b", "x y", None, ""]
+    assert coerce.with_event_time(spark.createDataFrame([("2024-01-02 03:04:05",)], "ts string")).first().off_time == dt.datetime(2024, 1, 2, 3, 4, 5)
+    for wrong in (lambda: coerce.with_event_time(rows), lambda: coerce.extract_odds(rows, ["t"]), lambda: coerce.extract_odds(rows.withColumn("sp", F.lit("SP")), ["t"])):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_context_names_and_labels(spark):
+    left = spark.createDataFrame([("r1", "h1"), ("r2", "h2")], "race_id string, horse_id string")
+    raw = spark.createDataFrame([("r1", "a", "z"), ("r1", "a", "z"), ("r2", "b", "y")], "race_id string, course string, going string")
+    assert sorted(tuple(r) for r in joins.attach_context(left, raw, ["race_id"], ["course", "going"]).collect()) == [("r1", "h1", "a", "z"), ("r2", "h2", "b", "y")]
+    with pytest.raises(ValueError):
+        joins.attach_context(left, raw.union(spark.createDataFrame([("r1", "b", "a")], raw.schema)), ["race_id"], ["course", "going"])
+    names = spark.createDataFrame([("h1", "Zed", 1), ("h1", "Abe", 2), (None, "Nil", 0)], "id string, name string, at int")
+    assert {r.horse_id: r.horse_id_name for r in joins.attach_names(left, {"horse_id": (names, "id", "name", ["at"])}).collect()} == {"h1": "Zed", "h2": None}
+    with pytest.raises(ValueError):
+        joins.attach_labels(left, spark.createDataFrame([("r9", "h9", 1)], "race_id string, horse_id string, won int"), ["race_id", "horse_id"])
+
+
+def test_decayed_sums_over_thousands_of_half_lives(spark):
+    at, rows = dt.datetime(2000, 1, 1), []
+    for i, days in enumerate([0, 1, 1, 300, 5, 399, 1, 2000, 0, 3]):
+        at += dt.timedelta(days=days)
+        rows.append((f"r{i}", "h", at, float(i % 3)))
+    df = spark.createDataFrame(rows, "race_id string, horse_id string, ts timestamp, v double")
+    for strict in (False, True):
+        got = {r.race_id: r.s for r in features.decayed_sum(df, ["horse_id"], "ts", {"s": "v"}, 1.0, strict=strict).collect()}
+        for i, (race, _, t, _) in enumerate(rows):
+            before = [r for r in rows[:i] if r[2] < t] if strict else rows[:i]
+            assert got[race] == pytest.approx(sum(v * 0.5 ** ((t - u).days) for _, _, u, v in before), rel=1e-9, abs=1e-100)
+
+
+def test_prefix_within_keys_spreads_a_hot_key(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i}", i * 7 % 100) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, k string, v long").repartition(5)
+    ran = scan.with_prefix(df, ["i"], {"total": "v", "n": "*"}, partitions=8, own=False, within=["k"])
+    seen, expected = {}, {}
+    for i, k, v in rows:
+        expected[i] = seen.get(k, (0, 0))
+        seen[k] = (expected[i][0] + v, expected[i][1] + 1)
+    assert {r.i: (r.total, r.n) for r in ran.collect()} == expected
+    cuts = scan.quantiles(df, "v", {"a": 0.0, "b": 0.37, "c": 1.0}).first()
+    import numpy as np
+
+    assert (cuts.a, cuts.b, cuts.c) == pytest.approx(tuple(np.quantile([r[2] for r in rows], [0, 0.37, 1])))
+    assert scan.quantiles(df.where("v < 0"), "v", {"a": 0.5}).first().a is None
+
+
+def test_expanding_baselines_look_back_only(spark):
+    rows = [(f"r{i:02d}", f"h{i % 4}", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), i % 3 == 0) for i in range(24)]
+    df = spark.createDataFrame([(*r[:3], int(r[3])) for r in rows], "race_id string, horse_id string, race_dt timestamp, is_win int")
+    got = {r.race_id: (r.eb_horse, r.mu) for r in features.expanding_mean(features.prior_eb_rate(df, ["horse_id"], "race_dt", "is_win", baseline="expanding"), "race_dt", "is_win", "mu").collect()}
+    for i, (race, horse, _, _) in enumerate(rows):
+        wins = [r[3] for r in rows[:i]]
+        mu = sum(wins) / i if i else None
+        own = [r[3] for r in rows[:i] if r[1] == horse]
+        assert got[race] == (pytest.approx((sum(own) + 20 * (0.5 if mu is None else mu)) / (len(own) + 20)), None if mu is None else pytest.approx(mu))
+    assert ratings.eb(df, "horse_id", "race_dt", "eb", baseline="expanding").count() == 24
+
+
+def test_platt_equals_newton_and_calibrators_are_saved(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    p = rng.uniform(0.02, 0.9, 400)
+    y = (rng.uniform(size=400) < p**1.5).astype(int)
+    df = spark.createDataFrame([(f"r{i}", "h", float(a), int(b)) for i, (a, b) in enumerate(zip(p, y))], "race_id string, horse_id string, model_prob double, won int")
+    w = np.zeros(2)
+    for _ in range(50):
+        x = np.column_stack([p, np.ones(400)])
+        q = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + np.diag([1.0, 0.0]), x.T @ (q - y) + np.array([w[0], 0.0]))
+    model, report = models.fit_calibrator(df, "platt")
+    assert model.stages[-1].coefficients[0] == pytest.approx(w[0], rel=1e-4) and model.stages[-1].intercept == pytest.approx(w[1], rel=1e-4)
+    after = 1 / (1 + np.exp(-(p * w[0] + w[1])))
+    r = report.first()
+    assert (r.n, r.brier_before, r.brier_after) == (400, pytest.approx(((p - y) ** 2).mean()), pytest.approx(((after - y) ** 2).mean(), rel=1e-5))
+    labels = df.select(F.lower("race_id").alias("race_id"), "horse_id", F.col("won").cast("string").alias("target"))
+    for method in ("platt", "isotonic"):
+        model, report = models.fit_calibrator(df.drop("won"), method, labels)
+        models.save_calibrator(model, str(tmp_path / method))
+        back = models.load_calibrator(str(tmp_path / method), method)
+        made = [[r.out for r in models.apply_calibrator(df, m, "model_prob", "out").orderBy("race_id").collect()] for m in (model, back)]
+        assert made[0] == made[1] and report.first().improvement > 0
+    with pytest.raises(ValueError):
+        models.fit_calibrator(df.drop("won"), "platt")
+
+
+def test_fraction_sweep_over_fitted_calibrators(spark, sf_dir):
+    """Two fitted calibrators and five fractions from one job, against a plain loop."""
+    base = q.rated(spark, sf_dir).select("race_id", "horse_id", "is_win", "mkt_odds_decimal", "mkt_implied", "model_prob").where("mkt_implied IS NOT NULL")
+    tables = []
+    for method in ("platt", "isotonic"):
+        model, _ = models.fit_calibrator(base.withColumn("won", F.col("is_win")), method)
+        tables.append(betting.edges(models.apply_calibrator(base, model, "model_prob", "model_prob")).withColumn("calibration", F.lit(method)))
+    both = scan.durable(tables[0].unionByName(tables[1]))
+    families = spark.createDataFrame([("a", 0.05, 12.0, 1), ("b", 0.0, 30.0, 2)], "family string, threshold double, cap double, top int")
+    got = {(r.family, r.calibration, r.fraction): r for r in betting.fraction_sweep(both, families, (0.0, 0.001, 0.002, 0.003, 0.5)).collect()}
+    rows = both.collect()
+    assert len(got) == 20
+    for family, threshold, cap, top in (("a", 0.05, 12.0, 1), ("b", 0.0, 30.0, 2)):
+        for method in ("platt", "isotonic"):
+            contests = {}
+            for r in rows:
+                if r.calibration == method and r.edge >= threshold and 1 < r.mkt_odds_decimal <= cap:
+                    contests.setdefault(r.race_id, []).append((-r.edge, r.horse_id, r))
+            bets = [x[2] for c in contests.values() for x in sorted(c, key=lambda x: x[:2])[:top]]
+            for f in (0.0, 0.001, 0.002, 0.003, 0.5):
+                logs = 0.0
+                for r in bets:
+                    b = r.mkt_odds_decimal - 1
+                    factor = 1 + f * max(0.0, (r.model_prob * b - (1 - r.model_prob)) / b) * (b if r.is_win else -1)
+                    logs = -math.inf if factor <= 0 or logs == -math.inf else logs + math.log(factor)
+                mine = got[family, method, f]
+                assert mine.bets == len(bets) and mine.contests == len(contests)
+                assert mine.final == pytest.approx(1000 * math.exp(logs), rel=1e-6)
+
+
+def test_bootstrap_equals_a_loop(spark):
+    import hashlib
+
+    rows = [(f"r{i % 37}", float(i % 5 - 2), 1.0 + i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "race_id string, pnl double, stake double").repartition(3)
+    got = {r.draw: r.roi for r in betting.block_bootstrap(df, {"roi": ("pnl", "stake")}, "race_id", 50, "s").collect()}
+    mass, steps = math.exp(-1), []
+    for k in range(8):
+        steps.append((steps[-1] if steps else 0) + mass)
+        mass /= k + 1
+    for draw in range(50):
+        top = bottom = 0.0
+        for race, pnl, stake in rows:
+            x = int(hashlib.md5(f"s:{race}".encode()).hexdigest()[:8], 16) ^ (draw * 0x9E3779B1 % 2**32)
+            x = x * 0x85EBCA6B % 2**32
+            x ^= x >> 13
+            x = x * 0xC2B2AE35 % 2**32
+            x ^= x >> 16
+            n = sum(x / 2**32 >= s for s in steps)
+            top, bottom = top + n * pnl, bottom + n * stake
+        assert got[draw] == pytest.approx(top / bottom)
+
+
+def test_folds_are_clamped_and_gaps_checked(spark):
+    rows = [(f"r{i}", f"h{j}", dt.datetime(2024, 1, 1) + dt.timedelta(days=i)) for i in range(3) for j in range(2)]
+    df = spark.createDataFrame(rows, "race_id string, horse_id string, race_dt timestamp")
+    assert {r.fold for r in splits.grouped_time_cv(df, "race_id", "race_dt", 9).collect()} == {0, 1, 2}
+    assert {r.fold for r in splits.grouped_time_cv(df, "race_id", "race_dt", 1).collect()} == {0, 1}
+    made = splits.split_fractions(df, "race_id", "race_dt", 0.34, 0.34)
+    found = lambda gap: {r.rule: r.violations for r in splits.check_splits(df, made, "race_id", gap).collect()}
+    assert found(1)["overlap"] == 0 and found(1.5)["overlap"] == 2
