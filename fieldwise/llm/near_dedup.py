@@ -209,7 +209,7 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30,
     # pairs of one bucket that stars left apart
     tables, tested, limit = [reps, filled, stars, sets, links], stars, 2
     while True:
-        named = stored(partners(filled.where("members > 2"), parts, sketch, limit, block, fits, percent))
+        named = partners(filled.where("members > 2"), parts, sketch, limit, block, fits, percent)
         fresh = stored(named.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         more = named.where("more").limit(1).count() > 0
         discard(named)
@@ -248,7 +248,7 @@ def partners(filled: DataFrame, parts: DataFrame, sketch: DataFrame, limit: int,
     main = shares.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     # a step is a little less than the ratio of sizes that the similarity allows, so partners are at most one step apart
     step = F.floor(F.ln("n_shingles") / F.lit(-math.log(percent / 100 * 0.999))).cast("int")
-    sized = members.join(main, "bucket").join(sketch, "rep").withColumn("step", step)
+    sized = stored(members.join(main, "bucket").join(sketch, "rep").withColumn("step", step))  # three times read below
     blocks = F.greatest(F.ceil(F.col("all") / block), F.lit(1)).cast("int")
     minor_blocks = F.greatest(F.ceil((F.col("all") - F.col("most")) / block), F.lit(1)).cast("int")
     given = ["bucket", "rep", "component", "head", "n_shingles", "level", "odd", "parity"]
@@ -279,7 +279,9 @@ def partners(filled: DataFrame, parts: DataFrame, sketch: DataFrame, limit: int,
         flat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
         return pa.table([flat(a, pa.int64()), flat(b, pa.int64()), flat(over, pa.bool_())], names=["a", "b", "more"])
 
-    return left.unionByName(right).groupBy("bucket", "step", "i", "j").applyInArrow(cross, "a long, b long, more boolean")
+    named = stored(left.unionByName(right).groupBy("bucket", "step", "i", "j").applyInArrow(cross, "a long, b long, more boolean"))
+    discard(members, sized)
+    return named
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
