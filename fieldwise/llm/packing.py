@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from fieldwise.llm import text as tx
 
 #: A worker forgets the words it did not meet again once it has met so many others.
-MEMO = 400_000
+MEMO = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
