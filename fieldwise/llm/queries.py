@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwise.llm import bpe_count, chat_format, exact_dedup, language_id, line_quality, mixing, near_dedup, packing, toxicity, url_rules
+from fieldwise.llm import bpe_count, bpe_trie, chat_format, exact_dedup, language_id, line_quality, mixing, near_dedup, packing, periodic_runs, phrase_mining, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_url_rules, op3_chat_format, op4_mixing, op5_toxicity, op6_near_dedup, op7_exact_dedup, op8_bpe_count, op9_language_id, op10_packing)}
+def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_trie.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_url_rules, op3_chat_format, op4_mixing, op5_toxicity, op6_near_dedup, op7_exact_dedup, op8_bpe_count, op9_language_id, op10_packing, op11_bpe_trie, op12_collocations, op13_periodic_runs)}
 
 _URL_SQL = r"""
 WITH u AS (
@@ -130,4 +142,21 @@ o AS (SELECT d.*, p.leaf_budget, p.epochs, p.leaf_budget - p.epochs * p.tokens A
 SELECT doc_id, domain, lang, source, n_tokens, leaf_budget, (epochs + (upto <= rest)::INT)::BIGINT AS copies FROM o WHERE epochs + (upto <= rest)::INT > 0
 """
 
-ORACLES = {"op2_url_rules": _URL_SQL, "op3_chat_format": _CHAT_SQL, "op4_mixing": _MIX_SQL, "op7_exact_dedup": _EXACT_SQL}
+_PHRASE_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM i, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(ws)),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, lf.f AS l, rf.f AS r, n.n, cut, (1000::HUGEINT * c.a * n.n) // (lf.f::HUGEINT * rf.f) AS score
+  FROM c JOIN (SELECT unnest(range(1, 5)) AS cut) ON cut < c.k JOIN n ON n.lang = c.lang
+  JOIN f lf ON lf.lang = c.lang AND lf.phrase = array_to_string(c.ws[:cut], ' ') JOIN f rf ON rf.lang = c.lang AND rf.phrase = array_to_string(c.ws[cut + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS first FROM s),
+o AS (SELECT * FROM b WHERE first = 1 AND NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = b.lang AND q.k > 2 AND q.a >= b.a AND q.phrase <> b.phrase AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o
+QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op2_url_rules": _URL_SQL, "op3_chat_format": _CHAT_SQL, "op4_mixing": _MIX_SQL, "op7_exact_dedup": _EXACT_SQL, "op12_collocations": _PHRASE_SQL}
