@@ -7,12 +7,12 @@ than a part of it, so a phrase can be frequent only if its parts (all words but
    so that few frequent ones are missed. Words, then pairs, then longer phrases, each only where the parts were proposed.
 2. A pass over all documents counts every word, and exactly those phrases whose two parts are proposed: the proposals and their
    negative border, as far as the border occurs.
-3. A border phrase with ``least`` occurrences was missed. It is added to the proposals, and a further pass counts
-   what has its parts among them now and had not before. The shortest failure is a word longer each time, so five passes at most
-   close it; nothing that is frequent is left out, whatever the sample held.
+3. A border phrase with ``least`` occurrences was missed. A further pass counts all phrases that hold a missed one and were not
+   counted. That closes the search, whatever the sample held: a frequent phrase that the first pass did not count has a shortest part that is not
+   proposed, and the parts of that part are, so it is of the border and was missed. Without missed ones there is no further pass.
 
 Proposals are kept as the bits of a Bloom filter, whose size follows from their number up to ``MOST_BITS`` (128 MB), so what
-tasks get is bounded. A false positive counts as proposed in all passes alike: more is counted, nothing is lost. Counts themselves are exact: tasks number words by a
+tasks get is bounded. A false positive counts as proposed in both passes alike: more is counted, nothing is lost. Counts themselves are exact: tasks number words by a
 dictionary, count phrases of a slice by numbers, and Spark sums them by the phrases' text. Slices follow ``SLICE`` bytes of text,
 and a long text is cut between pieces. Tables that later passes read are written to the shared folder.
 
@@ -23,6 +23,7 @@ not read, apart from the sample's hash; no documents, or nothing frequent, give
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ LONGEST = 5
 #: The share of documents that proposes, and the proposals' threshold as a part of what a phrase at the bound is expected to have there.
 SHARE, LOWERED = 0.125, 0.45
 LEAST_BITS, MOST_BITS, PARTS = 1 << 20, 1 << 30, 256
-SLICE = 12 << 20
+SLICE = 6 << 20
+#: Phrases that are written out at once.
+AT_ONCE = 50_000
 #: Salts of the ranking: a language may hold most phrases.
 SALTS = 32
 #: Languages whose numbers of words are sent to all tasks; more are joined.
@@ -78,9 +81,21 @@ def word_hash(key: bytes) -> int:
 def hashes(keys: list[str]) -> np.ndarray:
     """The hash of each key ``language LF phrase``."""
     out = np.zeros(len(keys), np.uint64)
+    known: dict[str, int] = {}
+    at: dict[int, list[int]] = {}
+    words: dict[int, list[list[int]]] = {}
     for i, key in enumerate(keys):
         lang, _, phrase = key.rpartition("\n")
-        out[i] = hash_of([np.array([word_hash(f"{lang}\n{w}".encode())], np.uint64) for w in phrase.split(" ")])[0]
+        row = []
+        for word in phrase.split(" "):
+            name = f"{lang}\n{word}"
+            if name not in known:
+                known[name] = word_hash(name.encode())
+            row.append(known[name])
+        at.setdefault(len(row), []).append(i)
+        words.setdefault(len(row), []).append(row)
+    for k, rows in words.items():
+        out[at[k]] = hash_of(list(np.array(rows, np.uint64).T))
     return out
 
 
@@ -111,9 +126,10 @@ class Slice:
         found = text.translate(_FOLD).replace(b"\n", b" \n ").split(b" ")
         self.parts += [np.fromiter(map(self.langs[lang].__getitem__, found), np.int32, len(found)), np.zeros(1, np.int32)]
 
-    def count(self, old: Bits | None, new: Bits | None, lengths: Iterable[int], told_upto: int) -> Iterator[tuple[list[bytes], list[int]]]:
-        """Keys and counts of phrases of each length: all words, else those whose parts are in ``new`` and not both in ``old``.
-        For words also their number for each language, under a key without words. ``new`` is asked for parts of up to ``told_upto`` words."""
+    def count(self, proposed: Bits | None, failed: Bits | None, lengths: Iterable[int], told_upto: int) -> Iterator[tuple[list[bytes], list[int]]]:
+        """Keys and counts of phrases of each length: of all words (and, under a key without words, how many each language has), and of
+        phrases whose parts are both proposed or, given ``failed``, of those that pass left out and that hold a failed one.
+        Parts of more than ``told_upto`` words count as proposed."""
         ids = np.concatenate(self.parts)
         ids = ids[ids >= 0]
         keys, n = self.keys, len(ids)
@@ -125,48 +141,51 @@ class Slice:
             for key, c in zip(keys[1:], counts.tolist()):
                 total[key[: key.rindex(b"\n") + 1]] += c
             yield list(total), list(total.values())
-        if longest < 2 or new is None:
+        if longest < 2 or proposed is None or not n:
             return
         h = np.fromiter(map(word_hash, keys), np.uint64, len(keys))
-        is_new = new.has(h)
-        is_old = old.has(h) if old else np.zeros(len(keys), bool)
-        is_new[0] = is_old[0] = False
-        at = np.flatnonzero(is_new[ids[:-1]] & is_new[ids[1:]]) if n > 1 else np.zeros(0, np.int64)
-        was = is_old[ids[at]] & is_old[ids[at + 1]]  # counted before
-        code = ids[at].astype(np.int64)
+        asked, missed = proposed.has(h), failed.has(h) if failed else np.zeros(len(keys), bool)
+        asked[0] = missed[0] = False
+        at = np.flatnonzero((asked | missed)[ids])
+        # of each phrase that is looked at: its place and number, whether it is proposed, and whether it holds a failed one
+        code, known, holds = ids[at].astype(np.int64), asked[ids[at]], missed[ids[at]]
         for k in range(2, longest + 1):
-            code = code * size + ids[at + k - 1]
-            rest = at if k in lengths else at[:0]
-            if len(rest):
-                yield self.told(code[~was], at[~was], ids, k)
+            i = np.flatnonzero(np.diff(at) == 1)
+            parts, hot = known[i] & known[i + 1], holds[i] | holds[i + 1]
+            at, number = at[i], code[i] * size + ids[at[i] + k - 1]
+            wanted = hot & ~parts if failed else parts
+            if k in lengths and wanted.any():
+                yield from self.told(number[wanted], at[wanted], ids, k)
             if k == longest or not len(at):
                 return
             mark = hash_of([h[ids[at + j]] for j in range(k)])
-            known, knew = new.has(mark) if k <= told_upto else np.ones(len(at), bool), (old.has(mark) & was if old else np.zeros(len(at), bool))
-            _, number = np.unique(code, return_inverse=True)
-            follows = np.flatnonzero((np.diff(at) == 1) & known[:-1] & known[1:])
-            code, was, at = number[follows].astype(np.int64), knew[follows] & knew[follows + 1], at[follows]
+            known = parts & proposed.has(mark) if k <= told_upto else parts
+            holds = hot | (parts & failed.has(mark)) if failed else hot
+            left = known | holds
+            at, known, holds = at[left], known[left], holds[left]
+            _, code = np.unique(number[left], return_inverse=True)
 
-    def told(self, code: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[bytes], list[int]]:
+    def told(self, code: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[list[bytes], list[int]]]:
         _, first, counts = np.unique(code, return_index=True, return_counts=True)
-        rows = [ids[at[first] + j].tolist() for j in range(k)]
         keys = self.keys
-        words = [[keys[i].rsplit(b"\n", 1)[1] for i in row] for row in rows[1:]]
-        return [b" ".join((keys[i], *rest)) for i, *rest in zip(rows[0], *words)], counts.tolist()
+        for a in range(0, len(first), AT_ONCE):
+            rows = [ids[at[first[a : a + AT_ONCE]] + j].tolist() for j in range(k)]
+            words = [[keys[i].rsplit(b"\n", 1)[1] for i in row] for row in rows[1:]]
+            yield [b" ".join((keys[i], *rest)) for i, *rest in zip(rows[0], *words)], counts[a : a + AT_ONCE].tolist()
 
 
-def counted(docs: DataFrame, old: np.ndarray | None, new: np.ndarray | None, lengths: tuple[int, ...], told_upto: int = LONGEST) -> DataFrame:
-    """Key and n of phrases of the given lengths over all rows of ``docs`` (text, lang)."""
-    shared = docs.sparkSession.sparkContext.broadcast((old, new))
+def counted(docs: DataFrame, proposed: np.ndarray | None, failed: np.ndarray | None, lengths: tuple[int, ...], told_upto: int = LONGEST) -> DataFrame:
+    """Key and n of phrases of the given lengths over all rows of ``docs`` (text, lang); see ``Slice.count``."""
+    shared = docs.sparkSession.sparkContext.broadcast((proposed, failed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, now = (Bits(b) if b is not None else None for b in shared.value)
+        asked, missed = (Bits(b) if b is not None else None for b in shared.value)
         part, held = Slice(), 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for keys, counts in part.count(before, now, lengths, told_upto):
-                for a in range(0, len(keys), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 200_000], pa.binary()).cast(pa.string()), pa.array(counts[a : a + 200_000], pa.int64())], names=["key", "n"])
+            for keys, counts in part.count(asked, missed, lengths, told_upto):
+                for a in range(0, len(keys), AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + AT_ONCE], pa.binary()).cast(pa.string()), pa.array(counts[a : a + AT_ONCE], pa.int64())], names=["key", "n"])
 
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang")):
@@ -223,7 +242,7 @@ def filter_of(keys: DataFrame, size: int | None = None, also: np.ndarray | None
     out = also.copy() if also is not None else np.zeros(bits // 8, np.uint8)
     shards = min(PARTS, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = keys.select("key").mapInArrow(places, "part int, place long").repartition(shards, "part")
-    for part, own in spread.mapInArrow(gathered, "part int, bits binary").toLocalIterator():
+    for part, own in spread.mapInArrow(gathered, "part int, bits binary").collect():  # PARTS rows at most, the filter's size in all
         out[part * width : (part + 1) * width] |= np.frombuffer(own, np.uint8)
     return out
 
@@ -246,7 +265,7 @@ def proposals(docs: DataFrame, least: int, share: float) -> np.ndarray:
     sample = stored(docs.where(drawn(F.struct("doc_id", "text"), F.lit(share))).select("text", "lang"))
     bits, size, tables = None, LEAST_BITS, []
     for lengths in ((1,), (2,), tuple(range(3, LONGEST + 1))):
-        found = stored(counted(sample, None, bits, lengths, 2).where(F.col("n") >= enough).where(~F.col("key").endswith("\n")))
+        found = stored(counted(sample, bits, None, lengths, 2).where(F.col("n") >= enough).where(~F.col("key").endswith("\n")))
         tables.append(found)
         total = sum(t.count() for t in tables)
         size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * total).bit_length()))
@@ -260,21 +279,17 @@ def proposals(docs: DataFrame, least: int, share: float) -> np.ndarray:
     return bits
 
 
-def frequent(docs: DataFrame, least: int = 100, share: float = SHARE) -> tuple[list[DataFrame], int]:
-    """Tables of key and n: every phrase of up to ``LONGEST`` words with ``least`` occurrences, and under a key without a
-    phrase each language's words. Also the number of full passes."""
-    old, new = None, proposals(docs, least, share)
-    tables: list[DataFrame] = []
-    while True:
-        lengths = tuple(range(2 if tables else 1, LONGEST + 1))
-        tables.append(stored(counted(docs, old, new, lengths).where((F.col("n") >= least) | F.col("key").endswith("\n"))))
-        border = tables[-1].where(~F.col("key").endswith("\n") & (F.size(F.split(F.substring_index("key", "\n", -1), " ")) < LONGEST))
-        failed = stored(outside(border, new))
-        if failed.isEmpty():
-            discard(failed)
-            return tables, len(tables)
-        old, new = new, filter_of(failed, None, new)
-        discard(failed)
+def frequent(docs: DataFrame, least: int = 100, share: float = SHARE) -> list[DataFrame]:
+    """Tables of key and n, one for each full pass: every phrase of up to ``LONGEST`` words with ``least`` occurrences, and under a key
+    without a phrase each language's words."""
+    bits, often = proposals(docs, least, share), F.col("n") >= least
+    first = stored(counted(docs, bits, None, tuple(range(1, LONGEST + 1))).where(often | F.col("key").endswith("\n")))
+    border = first.where(often & ~F.col("key").endswith("\n") & (F.size(F.split(F.substring_index("key", "\n", -1), " ")) < LONGEST))
+    failed = stored(outside(border, bits))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * failed.count()).bit_length()))
+    missed = None if failed.isEmpty() else filter_of(failed, size)
+    discard(failed)
+    return [first] if missed is None else [first, stored(counted(docs, bits, missed, tuple(range(2, LONGEST + 1))).where(often))]
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, share: float = SHARE) -> DataFrame:
@@ -282,10 +297,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, share: floa
 
     A phrase's score is its least over all cuts in two of floor(1000 * a * n / (l * r)); phrases inside a longer one that occurs as often are left out.
     """
-    tables, _ = frequent(docs, least, share)
-    both = tables[0]
-    for t in tables[1:]:
-        both = both.unionByName(t)
+    both = reduce(DataFrame.unionByName, frequent(docs, least, share))
     split = both.select(F.regexp_extract("key", r"(?s)^(.*)\n", 1).alias("lang"), F.substring_index("key", "\n", -1).alias("phrase"), F.col("n").cast("decimal(16,0)").alias("f"))
     known, words = split.where("phrase <> ''"), split.where("phrase = ''").select("lang", F.col("f").alias("n"))
     long = known.withColumn("k", F.size(F.split("phrase", " "))).where("k > 1")

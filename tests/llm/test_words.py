@@ -203,13 +203,14 @@ def test_phrases_equal_brute_force(spark, seed, share, least):
     assert phrase_mining.collocations(docs.limit(0), least).count() == 0
 
 
-def test_missed_phrases_are_found_by_further_passes(spark):
-    """A sample without any document proposes nothing: each pass finds the border that failed, a word longer each time."""
-    docs = spark.createDataFrame([(i, "one two three four five six", "en") for i in range(40)], "doc_id long, text string, lang string")
-    tables, passes = phrase_mining.frequent(docs, 30, 0.0)
-    keys = {r["key"] for t in tables for r in t.collect()}
-    assert passes == 5 and "en\none two three four five" in keys and "en\ntwo three four five six" in keys
-    assert len([k for k in keys if k != "en\n"]) == 6 + 5 + 4 + 3 + 2
+def test_missed_phrases_are_found_by_a_further_pass(spark):
+    """A sample without any document proposes nothing: words fail, and all that holds them is counted."""
+    docs = spark.createDataFrame([(i, "one two three four five six" if i % 2 else "rare%d one two, six" % i, "en") for i in range(80)], "doc_id long, text string, lang string")
+    first, second = phrase_mining.frequent(docs, 30, 0.0)
+    assert {r["key"] for r in first.collect()} == {"en\n", *(f"en\n{w}" for w in "one two three four five six".split())}
+    keys = {r["key"]: r["n"] for r in second.collect()}
+    assert len(keys) == 5 + 4 + 3 + 2 and keys["en\ntwo three four five six"] == 40 and keys["en\none two"] == 80
+    assert len(phrase_mining.frequent(docs, 30, 1.0)) == 1
 
 
 def test_long_texts_are_cut_between_pieces(monkeypatch):
