@@ -5,14 +5,14 @@ than a part of it, so a phrase can be frequent only if its parts (all words but
 
 1. A sample of the documents proposes: phrases that occur often enough in it, under a threshold below the sample's share of ``least``,
    so that few frequent ones are missed. Words, then pairs, then longer phrases, each only where the parts were proposed.
-2. A pass over all documents counts every word, and exactly those phrases whose two parts are proposed: the proposals and their
-   negative border, as far as the border occurs.
-3. A border phrase with ``least`` occurrences was missed. A further pass counts all phrases that hold a missed one and were not
+2. A pass over all documents counts exactly those phrases whose two parts are proposed, and all words: the proposals, by their text, and their
+   negative border as far as it occurs, by hashes of 48 bits. Where hashes meet the border's counts are too high, never too low.
+3. A border phrase with ``least`` occurrences was missed. A further pass counts these by their text, and all phrases that hold one and were not
    counted. That closes the search, whatever the sample held: a frequent phrase that the first pass did not count has a shortest part that is not
    proposed, and the parts of that part are, so it is of the border and was missed. Without missed ones there is no further pass.
 
 Proposals are kept as the bits of a Bloom filter, whose size follows from their number up to ``MOST_BITS`` (128 MB), so what
-tasks get is bounded. A false positive counts as proposed in both passes alike: more is counted, nothing is lost. Counts themselves are exact: tasks number words by a
+tasks get is bounded. A false positive counts as proposed in both passes alike: more is counted, nothing is lost. Counts that are returned are exact: tasks number words by a
 dictionary, count phrases of a slice by numbers, and Spark sums them by the phrases' text. Slices follow ``SLICE`` bytes of text,
 and a long text is cut between pieces. Tables that later passes read are written to the shared folder.
 
@@ -35,6 +35,8 @@ from fieldwise.llm.common import discard, drawn, stored
 from fieldwise.llm.text import mix
 
 LONGEST = 5
+#: Bits of a hash that are kept.
+SEEN = np.uint64((1 << 48) - 1)
 #: The share of documents that proposes, and the proposals' threshold as a part of what a phrase at the bound is expected to have there.
 SHARE, LOWERED = 0.125, 0.45
 LEAST_BITS, MOST_BITS, PARTS = 1 << 20, 1 << 30, 256
@@ -57,7 +59,7 @@ class Bits:
 
     @staticmethod
     def places(h: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        return (h & mask).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(3) & mask).astype(np.int64)
+        return (h & mask).astype(np.int64), (mix(h) & mask).astype(np.int64)
 
     def has(self, h: np.ndarray) -> np.ndarray:
         one, two = self.places(h, self.mask)
@@ -65,13 +67,13 @@ class Bits:
 
 
 def hash_of(words: list[np.ndarray]) -> np.ndarray:
-    """The hash of phrases from those of their words, place by place."""
+    """The hash, of 48 bits, of phrases from those of their words, place by place."""
     if len(words) == 1:
         return words[0]
     total = np.zeros(len(words[0]), np.uint64)
     for k, h in enumerate(words):
         total += mix(h + _STEP[k])
-    return mix(total)
+    return mix(total) & SEEN
 
 
 def word_hash(key: bytes) -> int:
@@ -91,7 +93,7 @@ def hashes(keys: list[str]) -> np.ndarray:
             name = f"{lang}\n{word}"
             if name not in known:
                 known[name] = word_hash(name.encode())
-            row.append(known[name])
+            row.append(known[name] & int(SEEN))
         at.setdefault(len(row), []).append(i)
         words.setdefault(len(row), []).append(row)
     for k, rows in words.items():
@@ -126,26 +128,33 @@ class Slice:
         found = text.translate(_FOLD).replace(b"\n", b" \n ").split(b" ")
         self.parts += [np.fromiter(map(self.langs[lang].__getitem__, found), np.int32, len(found)), np.zeros(1, np.int32)]
 
-    def count(self, proposed: Bits | None, failed: Bits | None, lengths: Iterable[int], told_upto: int) -> Iterator[tuple[list[bytes], list[int]]]:
-        """Keys and counts of phrases of each length: of all words (and, under a key without words, how many each language has), and of
-        phrases whose parts are both proposed or, given ``failed``, of those that pass left out and that hold a failed one.
-        Parts of more than ``told_upto`` words count as proposed."""
+    def count(self, proposed: Bits | None, failed: Bits | None, lengths: Iterable[int], sample: bool) -> Iterator[tuple]:
+        """Pairs of keys and counts, or of hashes and counts, of phrases of each length.
+
+        In a sample: of phrases whose parts are proposed, parts of three words or more counting as such. Else, without ``failed``, of phrases whose parts are proposed: those
+        that are proposed themselves by key, the border by hash; and under a key without words how many each language has. With ``failed``: of those of the
+        border that are in it, and of phrases that were not counted and hold one of it.
+        """
         ids = np.concatenate(self.parts)
         ids = ids[ids >= 0]
         keys, n = self.keys, len(ids)
         size, longest = np.int64(len(keys)), max(lengths)
+        h = np.fromiter(map(word_hash, keys), np.uint64, len(keys)) & SEEN
+        asked = proposed.has(h) if proposed else np.full(len(keys), sample)
+        missed = ~asked & failed.has(h) if failed else np.zeros(len(keys), bool)
+        asked[0] = missed[0] = False
         if 1 in lengths:
-            counts = np.bincount(ids, minlength=len(keys))[1:]
-            yield keys[1:], counts.tolist()
-            total = {w.front: 0 for w in self.langs.values()}
-            for key, c in zip(keys[1:], counts.tolist()):
-                total[key[: key.rindex(b"\n") + 1]] += c
-            yield list(total), list(total.values())
-        if longest < 2 or proposed is None or not n:
+            counts = np.bincount(ids, minlength=len(keys))
+            told, border = np.flatnonzero(missed if failed else asked), np.flatnonzero(~asked[1:]) + 1
+            yield [keys[i] for i in told.tolist()], counts[told]
+            if not failed and not sample:
+                yield h[border], counts[border]
+                total = {w.front: 0 for w in self.langs.values()}
+                for key, c in zip(keys[1:], counts[1:].tolist()):
+                    total[key[: key.rindex(b"\n") + 1]] += c
+                yield list(total), np.array(list(total.values()))
+        if longest < 2 or not n:
             return
-        h = np.fromiter(map(word_hash, keys), np.uint64, len(keys))
-        asked, missed = proposed.has(h), failed.has(h) if failed else np.zeros(len(keys), bool)
-        asked[0] = missed[0] = False
         at = np.flatnonzero((asked | missed)[ids])
         # of each phrase that is looked at: its place and number, whether it is proposed, and whether it holds a failed one
         code, known, holds = ids[at].astype(np.int64), asked[ids[at]], missed[ids[at]]
@@ -153,29 +162,32 @@ class Slice:
             i = np.flatnonzero(np.diff(at) == 1)
             parts, hot = known[i] & known[i + 1], holds[i] | holds[i + 1]
             at, number = at[i], code[i] * size + ids[at[i] + k - 1]
-            wanted = hot & ~parts if failed else parts
-            if k in lengths and wanted.any():
-                yield from self.told(number[wanted], at[wanted], ids, k)
-            if k == longest or not len(at):
+            if not len(at):
                 return
             mark = hash_of([h[ids[at + j]] for j in range(k)])
-            known = parts & proposed.has(mark) if k <= told_upto else parts
-            holds = hot | (parts & failed.has(mark)) if failed else hot
+            known = parts & proposed.has(mark) if not sample or k < 3 else parts
+            lost = parts & ~known & failed.has(mark) if failed else np.zeros(len(at), bool)
+            if k in lengths:
+                wanted = lost | (hot & ~parts) if failed else parts if sample else known
+                yield from self.told(number[wanted], at[wanted], ids, k)
+                if not failed and not sample:
+                    yield np.unique(mark[parts & ~known], return_counts=True)
+            holds = hot | lost
             left = known | holds
             at, known, holds = at[left], known[left], holds[left]
             _, code = np.unique(number[left], return_inverse=True)
 
-    def told(self, code: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[list[bytes], list[int]]]:
+    def told(self, code: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
         _, first, counts = np.unique(code, return_index=True, return_counts=True)
         keys = self.keys
         for a in range(0, len(first), AT_ONCE):
             rows = [ids[at[first[a : a + AT_ONCE]] + j].tolist() for j in range(k)]
             words = [[keys[i].rsplit(b"\n", 1)[1] for i in row] for row in rows[1:]]
-            yield [b" ".join((keys[i], *rest)) for i, *rest in zip(rows[0], *words)], counts[a : a + AT_ONCE].tolist()
+            yield [b" ".join((keys[i], *rest)) for i, *rest in zip(rows[0], *words)], counts[a : a + AT_ONCE]
 
 
-def counted(docs: DataFrame, proposed: np.ndarray | None, failed: np.ndarray | None, lengths: tuple[int, ...], told_upto: int = LONGEST) -> DataFrame:
-    """Key and n of phrases of the given lengths over all rows of ``docs`` (text, lang); see ``Slice.count``."""
+def counted(docs: DataFrame, proposed: np.ndarray | None, failed: np.ndarray | None, lengths: tuple[int, ...], sample: bool = False) -> DataFrame:
+    """Key, h and n of phrases of the given lengths over all rows of ``docs`` (text, lang), by key or, with an empty key, by hash; see ``Slice.count``."""
     shared = docs.sparkSession.sparkContext.broadcast((proposed, failed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +195,14 @@ def counted(docs: DataFrame, proposed: np.ndarray | None, failed: np.ndarray | N
         part, held = Slice(), 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for keys, counts in part.count(asked, missed, lengths, told_upto):
+            for keys, counts in part.count(asked, missed, lengths, sample):
                 for a in range(0, len(keys), AT_ONCE):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + AT_ONCE], pa.binary()).cast(pa.string()), pa.array(counts[a : a + AT_ONCE], pa.int64())], names=["key", "n"])
+                    own, number = keys[a : a + AT_ONCE], pa.array(counts[a : a + AT_ONCE], pa.int64())
+                    if isinstance(own, list):
+                        named = [pa.array(own, pa.binary()).cast(pa.string()), pa.array(np.zeros(len(own), np.int64))]
+                    else:
+                        named = [pa.array([""] * len(own)), pa.array(own.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*named, number], names=["key", "h", "n"])
 
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang")):
@@ -201,7 +218,7 @@ def counted(docs: DataFrame, proposed: np.ndarray | None, failed: np.ndarray | N
         if held:
             yield from rows()
 
-    return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "key string, h long, n long").groupBy("key", "h").agg(F.sum("n").alias("n"))
 
 
 def pieces_of(text: bytes) -> Iterator[bytes]:
@@ -217,14 +234,15 @@ def pieces_of(text: bytes) -> Iterator[bytes]:
 
 
 def filter_of(keys: DataFrame, size: int | None = None, also: np.ndarray | None = None) -> np.ndarray:
-    """The filter's bits with the hashes of ``keys``, made part by part in tasks. ``also`` is a filter to add to."""
+    """The filter's bits with the hashes of keys, or those in ``h`` where a key is empty, made part by part in tasks. ``also`` is a filter to add to."""
     bits = size or (len(also) * 8 if also is not None else LEAST_BITS)
     width = bits // 8 // PARTS
     place_mask = np.uint64(bits - 1)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = Bits.places(hashes(batch.column("key").to_pylist()), place_mask)
+            given = batch.column("h").to_numpy().astype(np.uint64)
+            one, two = Bits.places(np.where(given > 0, given, hashes(batch.column("key").to_pylist())), place_mask)
             both = np.unique(np.concatenate([one, two]))
             yield pa.RecordBatch.from_arrays([pa.array(both // (width * 8)).cast(pa.int32()), pa.array(both)], names=["part", "place"])
 
@@ -241,31 +259,19 @@ def filter_of(keys: DataFrame, size: int | None = None, also: np.ndarray | None
 
     out = also.copy() if also is not None else np.zeros(bits // 8, np.uint8)
     shards = min(PARTS, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = keys.select("key").mapInArrow(places, "part int, place long").repartition(shards, "part")
+    spread = keys.select("key", "h").mapInArrow(places, "part int, place long").repartition(shards, "part")
     for part, own in spread.mapInArrow(gathered, "part int, bits binary").collect():  # PARTS rows at most, the filter's size in all
         out[part * width : (part + 1) * width] |= np.frombuffer(own, np.uint8)
     return out
 
 
-def outside(keys: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The rows whose phrase the filter does not have."""
-    shared = keys.sparkSession.sparkContext.broadcast(bits)
-
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Bits(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array(~known.has(hashes(batch.column("key").to_pylist()))))
-
-    return keys.mapInArrow(left, keys.schema)
-
-
 def proposals(docs: DataFrame, least: int, share: float) -> np.ndarray:
     """The filter of phrases that are frequent in a sample under the lowered threshold."""
     enough = max(2, int(least * share * LOWERED)) if share < 1 else least
     sample = stored(docs.where(drawn(F.struct("doc_id", "text"), F.lit(share))).select("text", "lang"))
     bits, size, tables = None, LEAST_BITS, []
     for lengths in ((1,), (2,), tuple(range(3, LONGEST + 1))):
-        found = stored(counted(sample, bits, None, lengths, 2).where(F.col("n") >= enough).where(~F.col("key").endswith("\n")))
+        found = stored(counted(sample, bits, None, lengths, True).where(F.col("n") >= enough))
         tables.append(found)
         total = sum(t.count() for t in tables)
         size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * total).bit_length()))
@@ -284,12 +290,12 @@ def frequent(docs: DataFrame, least: int = 100, share: float = SHARE) -> list[Da
     without a phrase each language's words."""
     bits, often = proposals(docs, least, share), F.col("n") >= least
     first = stored(counted(docs, bits, None, tuple(range(1, LONGEST + 1))).where(often | F.col("key").endswith("\n")))
-    border = first.where(often & ~F.col("key").endswith("\n") & (F.size(F.split(F.substring_index("key", "\n", -1), " ")) < LONGEST))
-    failed = stored(outside(border, bits))
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * failed.count()).bit_length()))
-    missed = None if failed.isEmpty() else filter_of(failed, size)
-    discard(failed)
-    return [first] if missed is None else [first, stored(counted(docs, bits, missed, tuple(range(2, LONGEST + 1))).where(often))]
+    named, failed = first.where("key <> ''").select("key", "n"), first.where("key = ''")
+    count = failed.count()
+    if not count:
+        return [named]
+    missed = filter_of(failed, min(MOST_BITS, max(LEAST_BITS, 1 << (16 * count).bit_length())))
+    return [named, stored(counted(docs, bits, missed, tuple(range(1, LONGEST + 1))).where(often)).select("key", "n")]
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, share: float = SHARE) -> DataFrame:

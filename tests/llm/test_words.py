@@ -207,9 +207,9 @@ def test_missed_phrases_are_found_by_a_further_pass(spark):
     """A sample without any document proposes nothing: words fail, and all that holds them is counted."""
     docs = spark.createDataFrame([(i, "one two three four five six" if i % 2 else "rare%d one two, six" % i, "en") for i in range(80)], "doc_id long, text string, lang string")
     first, second = phrase_mining.frequent(docs, 30, 0.0)
-    assert {r["key"] for r in first.collect()} == {"en\n", *(f"en\n{w}" for w in "one two three four five six".split())}
+    assert [tuple(r) for r in first.collect()] == [("en\n", 40 * 6 + 40 * 4)]
     keys = {r["key"]: r["n"] for r in second.collect()}
-    assert len(keys) == 5 + 4 + 3 + 2 and keys["en\ntwo three four five six"] == 40 and keys["en\none two"] == 80
+    assert len(keys) == 6 + 5 + 4 + 3 + 2 and keys["en\ntwo three four five six"] == 40 and keys["en\none two"] == 80
     assert len(phrase_mining.frequent(docs, 30, 1.0)) == 1
 
 
