@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldwise.functions.prices import bucket
 from fieldwise.operators.coerce import forbid_prefix, with_place
 from fieldwise.operators.joins import asof_join
-from fieldwise.operators.scan import with_prefix
+from fieldwise.operators.scan import durable, with_halo, with_prefix
 from fieldwise.operators.sets import dedupe
 
 DAY_US = 86_400_000_000
@@ -26,35 +26,52 @@ def history(entity: list[str], time: str, ties=TIES, strict: bool = False):
     return Window.partitionBy(*entity).orderBy(micros(time), *ties).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def rolling_form(df: DataFrame, entity: str, time: str, flags: list[str], days=(90, 180, 365), min_history: int = 1) -> DataFrame:
-    """Counts, sums and rates over [t - h, t); all null on an empty frame, rates also under ``min_history``."""
+def rolling_form(df: DataFrame, entity: str, time: str, flags: list[str], days=(90, 180, 365), min_history: int = 1, hot: bool = False) -> DataFrame:
+    """Counts, sums and rates over [t - h, t); all null on an empty frame, rates also under ``min_history``. ``hot`` deals the rows by entity and
+    time in ranges, each of which is also given the rows of the longest frame before it."""
+    rows, by = (df, [entity]) if not hot else (with_halo(df.withColumn("__us", micros(time)), "__us", [], [entity], max(days) * DAY_US), ["__part", entity])
     out = {}
     for h in days:
-        frame = Window.partitionBy(entity).orderBy(micros(time)).rangeBetween(-h * DAY_US, -1)
+        frame = Window.partitionBy(*by).orderBy(micros(time)).rangeBetween(-h * DAY_US, -1)
         n = F.count(F.lit(1)).over(frame)
         out[f"n_{h}"] = F.when(n > 0, n)
         for f in flags:
             total = F.sum(f).over(frame)
             out[f"{f}_sum_{h}"], out[f"{f}_rate_{h}"] = total, F.when(n >= min_history, total / n)
-    return df.withColumns(out)
+    made = rows.withColumns(out)
+    return made.where("__own").drop("__own", "__part", "__us") if hot else made
 
 
 #: Half-lives of one era: powers of two up to this stay well inside a double.
 ERA = 400
 
 
-def decayed_sum(df: DataFrame, entity: list[str], time: str, columns: dict[str, str], half_life: float, ties=TIES, strict: bool = False) -> DataFrame:
+def decayed_sum(df: DataFrame, entity: list[str], time: str, columns: dict[str, str], half_life: float, ties=TIES, strict: bool = False, hot: bool = False) -> DataFrame:
     """Prior sums with weight 0.5 ** (days / half_life), as prefix sums rebased to eras of ``ERA`` half-lives.
 
     A row's sum is that of the earlier rows of its era and that of the era before; what is older weighs under 2 ** -``ERA``, less than a
-    double can add to. ``strict`` leaves out rows of the same time.
+    double can add to. ``strict`` leaves out rows of the same time. ``hot`` deals the rows by entity, era and time in ranges, whose totals are carried on;
+    it follows ``ties``, so it can't be strict. Rows without a time have no sum.
     """
-    first = F.min(micros(time)).over(Window.partitionBy(*entity))
-    age = (micros(time) - first) / F.lit(float(DAY_US)) / F.lit(float(half_life))
-    grown = df.withColumn("__age", age).withColumn("__era", F.floor(F.col("__age") / ERA).cast("int")).withColumn("__age", F.col("__age") - F.col("__era") * ERA)
+    if hot and strict:
+        raise ValueError("a strict sum has no order among rows of the same time to deal them by")
+    age = micros(time) / F.lit(float(DAY_US)) / F.lit(float(half_life))
+    grown = df.withColumn("__era", F.floor(age / ERA).cast("int")).withColumn("__age", age - F.col("__era") * ERA)
+    up, down = F.pow(F.lit(2.0), "__age"), F.pow(F.lit(2.0), -F.col("__age"))
+    if hot:
+        rows = grown.withColumns({f"__v{i}": F.col(c) * up for i, c in enumerate(columns.values())})
+        eras = [F.sum(F.col(c) * F.pow(F.lit(2.0), F.col("__age") - ERA)).alias(f"__e{i}") for i, c in enumerate(columns.values())]
+        stored = durable(rows)
+        ran = with_prefix(stored, ["__age", *ties], {f"__s{i}": f"__v{i}" for i in range(len(columns))}, own=False, within=[*entity, "__era"], cheap=True)
+        before = stored.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(entity)], (F.col("__era") + 1).alias("__next")).agg(*eras)
+        same = F.col("__era") == F.col("__next")
+        for i, c in enumerate(entity):
+            same &= F.col(c).eqNullSafe(F.col(f"__k{i}"))
+        joined = ran.join(before, same, "left")
+        sums = {o: (F.col(f"__s{i}") + F.coalesce(F.col(f"__e{i}"), F.lit(0.0))) * down for i, o in enumerate(columns)}
+        return joined.withColumns(sums).select(*[c for c in df.columns if c not in columns], *columns)
     before = Window.partitionBy(*entity).orderBy("__era").rangeBetween(-1, -1)
     here = history([*entity, "__era"], time, ties, strict)
-    up, down = F.pow(F.lit(2.0), "__age"), F.pow(F.lit(2.0), -F.col("__age"))
     sums = {o: (F.coalesce(F.sum(F.col(c) * up).over(here), F.lit(0.0)) + F.coalesce(F.sum(F.col(c) * F.pow(F.lit(2.0), F.col("__age") - ERA)).over(before), F.lit(0.0))) * down for o, c in columns.items()}
     return grown.withColumns(sums).drop("__age", "__era")
 
@@ -76,9 +93,18 @@ def prior_rate(df: DataFrame, keys: list[str], time: str, flag: str, out: str, t
     return df.withColumn(out, F.sum(flag).over(w) / F.nullif(F.count(flag).over(w), F.lit(0)))
 
 
-def one_hot_topn(df: DataFrame, column: str, n: int) -> DataFrame:
-    """One 0/1 column for each of the ``n`` most frequent levels and one for the rest. Collects at most n names."""
-    top = [r[0] for r in df.groupBy(column).count().orderBy(F.desc("count"), F.asc_nulls_last(column)).limit(n).collect()]
+def top_levels_of(df: DataFrame, columns: list[str], n: int) -> dict[str, list]:
+    """The ``n`` most frequent levels of each of some text columns, from one pass. Collects at most n names for each."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])).alias("x")).select("x.*")
+    first = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("level")))
+    rows = long.groupBy("column", "level").count().withColumn("k", first).where(F.col("k") <= n).collect()
+    return {c: [r["level"] for r in sorted(rows, key=lambda r: r["k"]) if r["column"] == c] for c in columns}
+
+
+def one_hot_topn(df: DataFrame, column: str, n: int, top: list | None = None) -> DataFrame:
+    """One 0/1 column for each of the ``n`` most frequent levels and one for the rest. Collects at most n names, if they are not given."""
+    if top is None:
+        top = [r[0] for r in df.groupBy(column).count().orderBy(F.desc("count"), F.asc_nulls_last(column)).limit(n).collect()]
     hits = {f"{column}_{'null' if v is None else v}": F.col(column).eqNullSafe(F.lit(v)).cast("int") for v in top}
     other = 1 - sum((F.col(column).eqNullSafe(F.lit(v)).cast("int") for v in top), F.lit(0))
     return df.withColumns(hits | {f"{column}_OTHER": other})
@@ -95,17 +121,24 @@ def draw_features(df: DataFrame, draw: str = "draw", group: str = "race_id") ->
     return scaled.withColumns({"draw_low": low.cast("int"), "draw_mid": (~low & mid).cast("int"), "draw_high": (~mid & (F.col("draw_norm") <= 1.01)).cast("int")})
 
 
-def prior_eb_rate(df: DataFrame, entities: list[str], time: str, flag: str, n0: float = 20.0, ties=TIES, baseline: str = "global", strict: bool = False) -> DataFrame:
+def prior_eb_rate(df: DataFrame, entities: list[str], time: str, flag: str, n0: float = 20.0, ties=TIES, baseline: str = "global", strict: bool = False, hot: tuple[str, ...] = ()) -> DataFrame:
     """(wins before + n0 * mu) / (runs before + n0); mu is the mean of all rows, or of all earlier ones (``expanding``, 0.5 before the first);
-    a null entity gives mu."""
+    a null entity gives mu. Rows are dealt by entity and time in ranges for the entities in ``hot``."""
     if baseline == "expanding":
         out = expanding_mean(df, time, flag, "__mu", ties).withColumn("__mu", F.coalesce("__mu", F.lit(0.5)))
     else:
         out = df.crossJoin(F.broadcast(df.agg(F.avg(flag).alias("__mu"))))
     for e in entities:
-        w = history([e], time, ties, strict)
-        shrunk = (F.coalesce(F.sum(flag).over(w), F.lit(0)) + n0 * F.col("__mu")) / (F.count(flag).over(w) + n0)
+        if e in hot:
+            rows = out.withColumns({"__at": micros(time), "__one": F.col(flag).isNotNull().cast("long")})
+            out = with_prefix(rows, ["__at", *ties], {"__w": flag, "__n": "__one"}, own=False, within=[e])
+            wins, runs = F.col("__w"), F.col("__n")
+        else:
+            w = history([e], time, ties, strict)
+            wins, runs = F.coalesce(F.sum(flag).over(w), F.lit(0)), F.count(flag).over(w)
+        shrunk = (wins + n0 * F.col("__mu")) / (runs + n0)
         out = out.withColumn(f"eb_{e.removesuffix('_id')}", F.when(F.col(e).isNull(), F.col("__mu")).otherwise(shrunk))
+        out = out.drop("__at", "__one", "__w", "__n")
     return out.drop("__mu")
 
 
@@ -123,8 +156,8 @@ def build_features(df: DataFrame, ratings: DataFrame | None = None, days=(90, 36
         out = prior_rate(out, keys, "race_dt", "is_win", f"{name}_rate")
     out = out.withColumn("distance_bucket", bucket(F.col("distance_m"), list(distance_edges)))
     out = prior_rate(out, ["horse_id", "distance_bucket"], "race_dt", "is_win", "horse_distance_rate")
-    for column in ("going", "course"):
-        out = one_hot_topn(out, column, levels)
+    for column, top in top_levels_of(df, ["going", "course"], levels).items():
+        out = one_hot_topn(out, column, levels, top)
     out = delta_median(delta_median(out, "official_rating", "race_id", "rating_delta"), "weight_lbs", "race_id", "weight_delta")
     out = draw_features(prior_eb_rate(out, ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win"))
     for entity in ("horse_id", "jockey_id", "trainer_id"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldwise.functions.prices import coalesce_odds, implied_raw
 from fieldwise.operators.checks import check_unique
+from fieldwise.operators.scan import carried_forward
 
 
 def join_m1(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -37,12 +38,17 @@ def with_market(df: DataFrame, group: str = "race_id", prefix: str = "mkt_") ->
     return normalize(raw, f"{prefix}implied_raw", group, f"{prefix}implied")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], suffix: str = "_asof") -> DataFrame:
-    """For each left row, the last right row of its entity that is not later. One shuffle by entity."""
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], suffix: str = "_asof", hot: bool = False) -> DataFrame:
+    """For each left row, the last right row of its entity that is not later. One shuffle by entity; with ``hot``, rows of both sides are dealt in
+    ranges of entity and time and the last right row is carried from range to range, so that an entity with very many rows meets no single task."""
     lefts = left.withColumns({f"{c}{suffix}": F.lit(None).cast(dict(right.dtypes)[c]) for c in columns} | {"__t": F.col(left_time), "__side": F.lit(1)})
     rights = right.select(*by, *[F.col(c).alias(f"{c}{suffix}") for c in columns], F.col(right_time).alias("__t"), F.lit(0).alias("__side"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
     held = F.struct(*[f"{c}{suffix}" for c in columns])
+    if hot:
+        marked = both.withColumn("__right", F.when(F.col("__side") == 0, held))
+        found = carried_forward(marked, "__right", ["__t", "__side"], by, "__held").where("__side = 1")
+        return found.select(*left.columns, *[F.col("__held")[f"{c}{suffix}"].alias(f"{c}{suffix}") for c in columns])
     seen = F.last(F.when(F.col("__side") == 0, held), ignorenulls=True).over(Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("__held", seen).where("__side = 1")
     return found.select(*left.columns, *[F.col("__held")[f"{c}{suffix}"].alias(f"{c}{suffix}") for c in columns])

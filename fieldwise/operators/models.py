@@ -73,8 +73,8 @@ def pit(df: DataFrame, prob: str, label: str, group: str = "race_id", entity: st
 
 def roi_deciles(df: DataFrame, prob: str, odds: str, label: str, keys: list[str], n: int = 10) -> DataFrame:
     """Return on unit stakes by decile of probability; ties follow the keys."""
-    rows = df.where(F.col(odds).isNotNull() & F.col(prob).isNotNull())
-    placed = with_prefix(rows, [prob, *keys], {"__at": "*"}).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("__all"))))
+    rows = durable(df.where(F.col(odds).isNotNull() & F.col(prob).isNotNull()).select(prob, odds, label, *keys))
+    placed = with_prefix(rows, [prob, *keys], {"__at": "*"}, cheap=True).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("__all"))))
     decile = F.floor((F.col("__at") - 1) * n / F.col("__all")).cast("int")
     back = F.when(F.col(label) == 1, F.col(odds) - 1).otherwise(-1.0)
     return placed.groupBy(decile.alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.avg(prob).alias("mean_p"), F.avg(back).alias("roi"))

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwise.functions.prices import rank_score
 from fieldwise.operators.features import DAY_US, ERA, TIES, decayed_sum, expanding_mean, micros
-from fieldwise.operators.scan import durable, with_prefix
+from fieldwise.operators.scan import dealt, in_part
 
 BLEND = {"horse_elo": 0.5, "horse_eb": 0.2, "jockey_elo": 0.15, "trainer_elo": 0.15}
 
 
-def elo(df: DataFrame, entity: str, time: str, out: str, k: float = 16.0, reference: float = 8.0, mean: float = 0.0, half_life: float = 90.0, ties=TIES, strict: bool = False) -> DataFrame:
+def elo(df: DataFrame, entity: str, time: str, out: str, k: float = 16.0, reference: float = 8.0, mean: float = 0.0, half_life: float = 90.0, ties=TIES, strict: bool = False, hot: bool = False) -> DataFrame:
     """The rating before each row: the mean plus decayed gains K * (score - 0.5) of earlier rows."""
     gain = k * F.sqrt(F.greatest(F.col("field_size") / reference, F.lit(1.0))) * (rank_score(F.col("pos"), F.col("field_size")) - 0.5)
-    rated = decayed_sum(df.withColumn("__gain", gain), [entity], time, {"__sum": "__gain"}, half_life, ties, strict)
+    rated = decayed_sum(df.withColumn("__gain", gain), [entity], time, {"__sum": "__gain"}, half_life, ties, strict, hot)
     return rated.withColumn(out, mean + F.col("__sum")).drop("__gain", "__sum")
 
 
-def eb(df: DataFrame, entity: str, time: str, out: str, flag: str = "is_win", n0: float = 20.0, half_life: float = 120.0, baseline: float | str = "global", centre: bool = False, ties=TIES, strict: bool = False) -> DataFrame:
+def eb(df: DataFrame, entity: str, time: str, out: str, flag: str = "is_win", n0: float = 20.0, half_life: float = 120.0, baseline: float | str = "global", centre: bool = False, ties=TIES, strict: bool = False, hot: bool = False) -> DataFrame:
     """Beta-binomial prior with decayed successes and trials; the baseline is given, or the clipped mean of all rows (``global``)
     or of all earlier ones (``expanding``, 0.5 before the first)."""
     wins = df.withColumn("__one", F.lit(1.0)).withColumn("__hit", (F.col(flag) >= 0.5).cast("double"))
@@ -30,7 +30,7 @@ def eb(df: DataFrame, entity: str, time: str, out: str, flag: str = "is_win", n0
         wins = expanding_mean(wins, time, "__hit", "__base", ties).withColumn("__base", F.coalesce(clipped(F.col("__base")), F.lit(0.5)))
     else:
         wins = wins.withColumn("__base", F.lit(float(baseline)))
-    summed = decayed_sum(wins, [entity], time, {"__s": "__hit", "__n": "__one"}, half_life, ties, strict)
+    summed = decayed_sum(wins, [entity], time, {"__s": "__hit", "__n": "__one"}, half_life, ties, strict, hot)
     rate = (n0 * F.col("__base") + F.col("__s")) / (n0 + F.col("__n"))
     return summed.withColumn(out, rate - F.col("__base") if centre else rate).drop("__one", "__hit", "__base", "__s", "__n")
 
@@ -48,31 +48,34 @@ def decayed_z(df: DataFrame, time: str, columns: list[str], half_life: float = 1
     and the variance is spread / weight, 1e-9 at least. So two global prefix scans give every row's score, and
     no task sees more than its range. Null and non-finite values count as 0. Ages are rebased in eras of half ``ERA`` half-lives: scans
     run inside an era, and what the era before gave is added, faded; older rows weigh less than a double can add to. Rows with a null time
-    come first and score null.
+    come first and score null. The rows are dealt once: both scans run over the same ranges, each range and era with the totals before it.
     """
     held = [F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(0.0).alias(f"__x{i}") for i, c in enumerate(columns)]
     first = df.agg(F.min(micros(time)).alias("__first"))
     age, span = (micros(time) - F.col("__first")) / F.lit(float(DAY_US)) / F.lit(float(half_life)), ERA // 2
-    rows = df.crossJoin(F.broadcast(first)).select("*", *held, age.alias("__whole"))
+    numbered, group = range(len(columns)), ["__part", "__era"]
+    rows = df.crossJoin(F.broadcast(first)).select("*", *held, age.alias("__whole")).drop("__first")
     rows = rows.withColumn("__era", F.coalesce(F.floor(F.col("__whole") / span).cast("int"), F.lit(-1))).withColumn("__age", F.col("__whole") - F.col("__era") * span)
-    rows = rows.withColumn("__up", F.pow(F.lit(2.0), "__age"))
-    numbered, at = range(len(columns)), ["__age", *order]
-    rows = rows.withColumns({f"__u{i}": F.col(f"__x{i}") * F.col("__up") * F.col("__up") for i in numbered})
+    rows = dealt(rows, ["__era", "__age", *order])
+    rows = rows.withColumn("__up", F.pow(F.lit(2.0), "__age")).withColumns({f"__u{i}": F.col(f"__x{i}") * F.col("__up") * F.col("__up") for i in numbered})
 
     def faded(table: DataFrame, sums: dict[str, str], powers: dict[str, int], start: dict[str, float]) -> DataFrame:
         """Adds prefix sums inside eras, with what the era before holds at its end and, in the first era, the start."""
-        ran = with_prefix(table, at, sums, own=False, within=["__era"], cheap=bool(start.get("__cheap")))
-        totals = table.groupBy("__era").agg(*[F.sum(c).alias(f"__t{o}") for o, c in sums.items()])
-        carried = totals.select((F.col("__era") + 1).alias("__era"), *[(F.col(f"__t{o}") * F.pow(F.lit(2.0), F.lit(-span * powers[o]))).alias(f"__t{o}") for o in sums])
-        joined = ran.join(carried, "__era", "left")
+        totals = table.groupBy(*group).agg(*[F.sum(c).alias(o) for o, c in sums.items()])
+        eras = totals.groupBy((F.col("__era") + 1).alias("__era")).agg(*[(F.sum(o) * F.pow(F.lit(2.0), F.lit(-span * powers[o]))).alias(f"__c{o}") for o in sums])
+        before = Window.partitionBy("__era").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         begun = {o: F.lit(start.get(o, 0.0)) * F.pow(F.lit(2.0), F.lit(-span) * F.col("__era").cast("double")) for o in sums}
-        return joined.withColumns({o: F.col(o) + F.coalesce(F.col(f"__t{o}"), F.lit(0.0)) + begun[o] for o in sums}).drop(*[f"__t{o}" for o in sums])
+        upto = totals.select(*group, *[F.coalesce(F.sum(o).over(before), F.lit(0.0)).alias(f"__b{o}") for o in sums]).join(eras, "__era", "left")
+        offsets = upto.select(*group, *[(F.col(f"__b{o}") + F.coalesce(F.col(f"__c{o}"), F.lit(0.0)) + begun[o]).alias(f"__o{o}") for o in sums])
+        inside = Window.partitionBy(*group).orderBy("__age", *order).rowsBetween(Window.unboundedPreceding, -1)
+        joined = in_part(table, offsets, ["__era"])  # a row for each range and each era
+        return joined.withColumns({o: F.col(f"__o{o}") + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for o, c in sums.items()}).drop(*[f"__o{o}" for o in sums])
 
-    rows = faded(durable(rows), {"__w": "__up"} | {f"__s{i}": f"__u{i}" for i in numbered}, {"__w": 1} | {f"__s{i}": 2 for i in numbered}, {"__w": 1e-6, "__cheap": 1.0})
+    rows = faded(rows, {"__w": "__up"} | {f"__s{i}": f"__u{i}" for i in numbered}, {"__w": 1} | {f"__s{i}": 2 for i in numbered}, {"__w": 1e-6})
     rows = rows.withColumn("__w", F.col("__w") / F.col("__up"))
     rows = rows.withColumns({f"__d{i}": F.col(f"__x{i}") - F.col(f"__s{i}") / (F.col("__up") * F.col("__up")) / F.greatest(F.col("__w"), F.lit(1e-300)) for i in numbered})
     rows = rows.withColumns({f"__g{i}": F.col(f"__d{i}") * F.col(f"__d{i}") * F.col("__w") / (F.col("__w") + 1) * F.col("__up") for i in numbered})
-    rows = faded(durable(rows), {f"__m{i}": f"__g{i}" for i in numbered}, {f"__m{i}": 1 for i in numbered}, {f"__m{i}": 1.0 for i in numbered} | {"__cheap": 1.0})
+    rows = faded(rows, {f"__m{i}": f"__g{i}" for i in numbered}, {f"__m{i}": 1 for i in numbered}, {f"__m{i}": 1.0 for i in numbered})
     spread = lambda i: F.col(f"__m{i}") / F.col("__up") / F.greatest(F.col("__w"), F.lit(1e-6))
     score = lambda i: F.when(F.col("__whole").isNotNull(), F.col(f"__d{i}") / F.sqrt(F.greatest(spread(i), F.lit(1e-9))))
     return rows.select(*df.columns, *[score(i).alias(f"{c}_z") for i, c in enumerate(columns)])

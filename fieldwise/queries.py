@@ -257,6 +257,18 @@ def j3_asof(spark, sf_dir):
     return rounded(found.select("event_id", "value_asof"))
 
 
+_HOT_EVENTS = "e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS user_id, ts, value, event_type FROM events)"
+
+
+@query(f"WITH {_HOT_EVENTS} SELECT p.event_id, round(s.value, 6) AS value_asof FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM e WHERE event_type = 'click' GROUP BY ALL) s ON p.user_id = s.user_id AND p.ts >= s.ts", base=False)
+def j3_asof_hot(spark, sf_dir):
+    """One user has half of all rows: dealt by user and time, the last click carried from range to range."""
+    events = table(spark, sf_dir, "events").withColumn("user_id", F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id")))
+    clicks = events.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    found = joins.asof_join(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "ts", ["value"], hot=True)
+    return rounded(found.select("event_id", "value_asof"))
+
+
 @query("SELECT race_id, horse_id, round(price, 6) AS price_snap FROM runners")
 def j4_snapshot(spark, sf_dir):
     base = market(spark, sf_dir)
@@ -403,7 +415,7 @@ def a13_histogram(spark, sf_dir):
     return rounded(profile.histogram(runners(spark, sf_dir), "weight_lbs", 30))
 
 
-@query(_OVER + "SELECT least(floor((overround - 0.9) / 0.01 + 1e-9), 59)::BIGINT AS bin, count(*) AS n FROM ov WHERE overround BETWEEN 0.9 AND 1.5 GROUP BY bin")
+@query(_OVER + ", r AS (SELECT round(overround, 9) AS o FROM ov), q AS (SELECT round(quantile_cont(o, 0.005), 6) AS low, round(quantile_cont(o, 0.995), 6) AS high FROM r) SELECT least(floor(round((o - 0.9) / 0.01, 6)), 59)::BIGINT AS bin, count(*) AS n, min(low) AS low, min(high) AS high FROM r, q WHERE o BETWEEN 0.9 AND 1.5 GROUP BY bin")
 def a14_overround_hist(spark, sf_dir):
     return rounded(profile.overround_hist(_overrounds(spark, sf_dir)))
 
@@ -470,6 +482,33 @@ def w2_rolling(spark, sf_dir):
     return rounded(features.rolling_form(runners(spark, sf_dir), "horse_id", "race_dt", ["is_win"], (90,)).select(*KEYS, "n_90", "is_win_sum_90", "is_win_rate_90"))
 
 
+_ROLL_HOT = "PARTITION BY trainer_id ORDER BY us RANGE BETWEEN {0}*86400000000 PRECEDING AND 1 PRECEDING"
+
+
+@query("SELECT race_id, horse_id, " + ", ".join(f"nullif(count(*) OVER ({_ROLL_HOT.format(h)}), 0) AS n_{h}, (sum(is_win) OVER ({_ROLL_HOT.format(h)}))::BIGINT AS is_win_sum_{h}" for h in (90, 365)) + " FROM runners")
+def w2_rolling_hot(spark, sf_dir):
+    """Some 25 entities hold all rows: ranges of entity and time, each with the frame before it."""
+    return rounded(features.rolling_form(runners(spark, sf_dir), "trainer_id", "race_dt", ["is_win"], (90, 365), hot=True).select(*KEYS, "n_90", "is_win_sum_90", "n_365", "is_win_sum_365"))
+
+
+@query(f", p AS (SELECT race_id, horse_id, coalesce(sum(is_win * pow(2, (us - u0) / 86400000000.0 / 90)) OVER ({_W.format('trainer_id')}), 0) / pow(2, (us - u0) / 86400000000.0 / 90) AS s, coalesce(sum(pow(2, (us - u0) / 86400000000.0 / 90)) OVER ({_W.format('trainer_id')}), 0) / pow(2, (us - u0) / 86400000000.0 / 90) AS n FROM runners, (SELECT min(us) AS u0 FROM runners)) SELECT race_id, horse_id, round(s, 6) + 0.0 AS wins, round(n, 6) + 0.0 AS runs FROM p")
+def w3_decayed_hot(spark, sf_dir):
+    made = features.decayed_sum(runners(spark, sf_dir).withColumn("one", F.lit(1.0)), ["trainer_id"], "race_dt", {"wins": "is_win", "runs": "one"}, 90, hot=True)
+    return rounded(made.select(*KEYS, "wins", "runs"))
+
+
+@query(f", g AS (SELECT *, 16 * sqrt(greatest(field_size / 8.0, 1)) * (CASE WHEN field_size <= 1 THEN 1.0 ELSE 1 - (pos - 1)::DOUBLE / (field_size - 1) END - 0.5) AS gain FROM runners), p AS (SELECT race_id, horse_id, us, u0, sum(gain * pow(2, (us - u0) / 86400000000.0 / 90)) OVER ({_W.format('trainer_id')}) AS e, sum(is_win * pow(2, (us - u0) / 86400000000.0 / 120)) OVER ({_W.format('trainer_id')}) AS s, sum(pow(2, (us - u0) / 86400000000.0 / 120)) OVER ({_W.format('trainer_id')}) AS n FROM g, (SELECT min(us) AS u0 FROM g)) SELECT race_id, horse_id, round(coalesce(e, 0) / pow(2, (us - u0) / 86400000000.0 / 90), 5) + 0.0 AS elo, round((20 * (SELECT avg(is_win) FROM runners) + coalesce(s, 0) / pow(2, (us - u0) / 86400000000.0 / 120)) / (20 + coalesce(n, 0) / pow(2, (us - u0) / 86400000000.0 / 120)), 6) AS eb FROM p")
+def r2_r3_hot(spark, sf_dir):
+    """Ratings of entities with very many rows each."""
+    rated_rows = ratings.elo(runners(spark, sf_dir), "trainer_id", "race_dt", "elo", hot=True)
+    return rounded(ratings.eb(rated_rows, "trainer_id", "race_dt", "eb", hot=True).select(*KEYS, F.round("elo", 5).alias("elo"), "eb"))
+
+
+@query(f"SELECT race_id, horse_id, round({_EB.format('trainer_id')}, 6) AS eb_trainer FROM runners")
+def w9_prior_eb_hot(spark, sf_dir):
+    return rounded(features.prior_eb_rate(runners(spark, sf_dir), ["trainer_id"], "race_dt", "is_win", hot=("trainer_id",)).select(*KEYS, "eb_trainer"))
+
+
 @query(", p AS (SELECT a.race_id, a.horse_id, sum(b.is_win * pow(0.5, (a.us - b.us) / 86400000000.0 / 180)) AS s FROM runners a LEFT JOIN runners b ON a.horse_id = b.horse_id AND (b.us, b.race_id) < (a.us, a.race_id) GROUP BY ALL) SELECT race_id, horse_id, round(coalesce(s, 0), 6) + 0.0 AS decayed FROM p")
 def w3_decayed(spark, sf_dir):
     return rounded(features.decayed_sum(runners(spark, sf_dir), ["horse_id"], "race_dt", {"decayed": "is_win"}, 180).select(*KEYS, "decayed"))
