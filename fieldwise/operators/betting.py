@@ -104,15 +104,16 @@ def fraction_sweep(df: DataFrame, families: DataFrame, fractions=(0.0, 0.05, 0.1
     """One row for each family (threshold, cap, top), ``calibration`` of the edges and fraction: bets and the compounded bankroll.
 
     ``df`` is a union of edge tables told apart by ``calibration``. Each bet multiplies the bankroll by 1 + share * return, so
-    logarithms of factors add up and no order is needed; a factor that is not positive is ruin. Fraction 0 stakes nothing.
+    logarithms of factors add up and no order is needed; a factor that is not positive is ruin, without a growth. Fraction 0 stakes nothing.
     """
     bets = ranked_once(df, families, ["calibration"])
     tried = bets.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     factor = 1 + share_of(F.col("fraction")) * F.when(F.col(won) == 1, F.col(odds) - 1).otherwise(-1.0)
     out = tried.withColumn("__f", factor).groupBy("family", "calibration", "fraction").agg(
         F.count(F.lit(1)).alias("bets"), F.countDistinct("race_id").alias("contests"), F.avg(won).alias("hit_rate"), F.avg(odds).alias("mean_odds"),
-        F.when(F.count_if(F.col("__f") <= 0) > 0, 0.0).otherwise(initial * F.exp(F.sum(F.when(F.col("__f") > 0, F.ln("__f"))))).alias("final"),
+        F.when(F.count_if(F.col("__f") <= 0) == 0, F.sum(F.ln("__f"))).alias("log_growth"),
     )
+    out = out.withColumn("final", F.coalesce(initial * F.exp("log_growth"), F.lit(0.0)))
     return out.withColumn("roi", F.col("final") / initial - 1)
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from fieldwise.functions.prices import finite, leading_rank, parse_fractional
 
 TYPES = {"float": "double", "float32": "float", "int": "int", "int64": "long", "string": "string", "category": "string"}
-WIN_TOKENS = {"1": 1, "true": 1, "t": 1, "yes": 1, "y": 1, "win": 1, "won": 1, "0": 0, "false": 0, "f": 0, "no": 0, "n": 0, "lose": 0, "lost": 0}
+#: Words for a win, and columns that may hold a win or a place, in order. All other words mean none.
+WIN_TOKENS = ("y", "yes", "true", "t", "1", "1st", "win", "won", "winner")
+WIN_COLUMNS = ("win", "won", "winner", "is_winner", "obs__is_winner", "result", "outcome")
+RANK_COLUMNS = ("rank", "position", "pos", "finish_position", "official_position", "placing", "place", "obs__uposition")
 #: Columns that may hold a contest's time, in order, before and after date and time as text; columns with a result.
 TIME_SOURCES = ("race_dt", "race_datetime", "off_time")
 TIME_ALIASES = ("date", "timestamp", "time", "ts")
@@ -84,15 +87,17 @@ def with_field_size(df: DataFrame, group: str = "race_id") -> DataFrame:
     return df.withColumn("field_size", size.cast("int"))
 
 
-def with_win(df: DataFrame, candidates=("win", "is_win", "winner", "result", "position")) -> DataFrame:
-    """Win flag from tokens, booleans or positions: the first candidate with a usable value in the row."""
-    tokens = F.create_map(*[x for k, v in WIN_TOKENS.items() for x in (F.lit(k), F.lit(v))])
-    flags = []
-    for c in candidates:
-        if c in df.columns:
-            text = F.lower(F.trim(F.col(c).cast("string")))
-            flags.append((leading_rank(text) == 1).cast("int") if c in ("result", "position") else F.try_element_at(tokens, text))
-    return df.withColumn("is_win", F.coalesce(*flags, F.lit(None).cast("int")))
+def with_win(df: DataFrame) -> DataFrame:
+    """``is_win`` from the first column that may hold a win: 1 for a word or number that means one, 0 for all else and null. Without such
+    a column, 1 where the first column with a place begins with the number 1. Without either it is null."""
+    text = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    if told := next((c for c in WIN_COLUMNS if c in df.columns), None):
+        won = text(told).isin(*WIN_TOKENS)
+    elif told := next((c for c in RANK_COLUMNS if c in df.columns), None):
+        won = leading_rank(text(told)) == 1
+    else:
+        return df.withColumn("is_win", F.lit(None).cast("int"))
+    return df.withColumn("is_win", F.coalesce(won, F.lit(False)).cast("int"))
 
 
 def _readings(df: DataFrame, column: str) -> dict[str, tuple]:

@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwise.functions.prices import clip_prob
+from fieldwise.functions.prices import clip_prob, finite
+from fieldwise.operators import calibration
 from fieldwise.operators.coerce import feature_columns
 from fieldwise.operators.joins import attach_labels, normalize
 from fieldwise.operators.scan import durable, quantiles, with_prefix
 from fieldwise.operators.splits import grouped_time_cv
 
 
-def predict_eb(df: DataFrame, columns=("eb_horse", "eb_jockey", "eb_trainer"), weights=(0.70, 0.15, 0.15), group: str = "race_id", eps: float = 1e-6) -> DataFrame:
-    blend = sum((w * F.coalesce(F.col(c), F.lit(0.0)) for c, w in zip(columns, weights)), F.lit(1e-9))
-    return normalize(df.withColumn("__raw", blend), "__raw", group, "model_prob").drop("__raw").withColumn("model_prob", clip_prob(F.col("model_prob"), eps))
+def predict_eb(df: DataFrame, columns: tuple[str, ...] | None = None, weights=(0.70, 0.15, 0.15), group: str = "race_id", eps: float = 1e-6) -> DataFrame:
+    """The weighted sum of the horse's, jockey's and trainer's rating, normalised per contest and clipped. Without ``columns`` each rating is the
+    first there is of ``eb_*_rt``, ``rating_*_rt`` and ``eb_*``; none is an error. A row that lacks one of them counts as 1e-9."""
+    if columns is None:
+        found = {e: next((c for c in (f"eb_{e}_rt", f"rating_{e}_rt", f"eb_{e}") if c in df.columns), None) for e in ("horse", "jockey", "trainer")}
+        if missing := [e for e, c in found.items() if c is None]:
+            raise ValueError(f"no rating of {missing} among {df.columns}")
+        columns = tuple(found.values())
+    blend = sum((w * F.col(c).cast("double") for c, w in zip(columns, weights)), F.lit(0.0))
+    raw = F.coalesce(finite(blend), F.lit(0.0)) + 1e-9
+    return normalize(df.withColumn("__raw", raw), "__raw", group, "model_prob").drop("__raw").withColumn("model_prob", clip_prob(F.col("model_prob"), eps))
 
 
 def log_loss(p, y, eps: float = 1e-15):
@@ -87,41 +96,17 @@ def compare_market(df: DataFrame, model: str, market: str, label: str) -> DataFr
     return named.withColumns({"logloss_gain": F.col("market_logloss") - F.col("model_logloss"), "brier_gain": F.col("market_brier") - F.col("model_brier")})
 
 
-def fit_platt(df: DataFrame, prob: str, label: str, c: float = 1.0):
-    """Logistic calibration on the probability, with an L2 penalty of 1 / (C * n)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = df.select(clip_prob(F.col(prob)).alias("p"), F.col(label).cast("double").alias("label")).na.drop()
-    model = LogisticRegression(regParam=1 / (c * max(rows.count(), 1)), standardization=False, maxIter=200, tol=1e-10)
-    return Pipeline(stages=[VectorAssembler(inputCols=["p"], outputCol="features"), model]).fit(rows)
-
+def apply_calibrator(df: DataFrame, model: calibration.Logistic | calibration.Isotonic, prob: str, out: str) -> DataFrame:
+    """Adds or replaces ``out``: the calibrated, clipped probability."""
+    p = clip_prob(F.col(prob))
+    if isinstance(model, calibration.Logistic):
+        return df.withColumn(out, clip_prob(model.probability({model.features[0]: p}))).select(*[c for c in df.columns if c != out], out)
+    made = calibration.interpolate(df.withColumn("__p", p), model, "__p", "__made")
+    return made.withColumn(out, clip_prob(F.col("__made"))).select(*[c for c in df.columns if c != out], out)
 
-def fit_isotonic(df: DataFrame, prob: str, label: str):
-    from pyspark.ml.regression import IsotonicRegression
-
-    return IsotonicRegression(featuresCol="p", labelCol="label").fit(df.select(clip_prob(F.col(prob)).alias("p"), F.col(label).cast("double").alias("label")).na.drop())
-
-
-def apply_calibrator(df: DataFrame, model, prob: str, out: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
 
-    made = model.transform(df.withColumn("p", clip_prob(F.col(prob))))
-    value = vector_to_array("probability")[1] if "probability" in made.columns else F.col("prediction")
-    return made.withColumn(out, clip_prob(value)).select(*[c for c in df.columns if c != out], out)
-
-
-def save_calibrator(model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_calibrator(path: str, method: str):
-    """A saved ``platt`` or ``isotonic`` calibrator."""
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.regression import IsotonicRegressionModel
-
-    return (PipelineModel if method == "platt" else IsotonicRegressionModel).load(path)
+fit_platt, fit_isotonic = calibration.fit_platt, calibration.fit_isotonic
+save_calibrator, load_calibrator = calibration.save, calibration.load
 
 
 #: Columns of a label table that may hold the label, in order.
@@ -181,8 +166,11 @@ def fit_classifier(df: DataFrame, features: list[str], label: str, kind: str = "
 
 
 def score(df: DataFrame, model, features: list[str], out: str = "model_prob", eps: float = 1e-6) -> DataFrame:
-    """A saved model's probability for each row: its own probability, else the logistic of its margin, else its
+    """A model's probability for each row: that of a logistic fit, or of a saved Spark model its own probability, else the logistic of its margin, else its
     clipped prediction. Absent and null features are 0."""
+    if isinstance(model, calibration.Logistic):
+        given = {c: F.lit(0.0) for c in model.features if c not in df.columns}
+        return df.withColumn(out, clip_prob(model.probability(given), eps))
     from pyspark.ml.functions import vector_to_array
 
     made = model.transform(df.select(*[F.col(c).alias(f"__{c}") for c in df.columns], *feature_columns(df, features)))
@@ -197,12 +185,27 @@ def score(df: DataFrame, model, features: list[str], out: str = "model_prob", ep
 
 def train_oof(df: DataFrame, features: list[str], label: str = "is_win", group: str = "race_id", time: str = "race_dt", k: int = 4, kind: str = "logistic", seed: int = 7) -> DataFrame:
     """Adds ``oof_prob``: each contest scored by the model fitted on the blocks of time before its own, and
-    normalised within the contest; null for the first block, which nothing comes before."""
-    rows = durable(df.join(grouped_time_cv(df, group, time, k).where("role = 'valid'").select(group, "fold"), group, "left"))
-    parts = [rows.where("fold IS NULL").drop("fold").withColumn("oof_prob", F.lit(None).cast("double"))]
+    normalised within the contest; null for the first block, which nothing comes before.
+
+    Logistic fits of all folds go forward together, one job a Newton step: a row's sums count for every fold after its block. Trees are fitted fold by fold.
+    """
+    rows = durable(df.join(grouped_time_cv(df, group, time, k).where("role = 'valid'").select(group, F.col("fold").alias("__fold")), group, "left"))
+    own = F.coalesce("__fold", F.lit(-1))
+    if kind == "logistic":
+        value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+        xs = [f"x{i}" for i in range(len(features))]
+        after = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda f: f > own)
+        train = rows.where(F.col(label).isNotNull()).select(*[value(c).alias(x) for c, x in zip(features, xs)], F.col(label).cast("double").alias("__y"), after.alias("folds"))
+        fits = calibration.newton(train, xs, "__y", list(range(k)))
+        scored = F.lit(None).cast("double")
+        for fold, fit in fits.items():
+            named = calibration.Logistic(tuple(features), fit.intercept, fit.weights)
+            scored = F.when(F.col("__fold") == fold, clip_prob(named.probability({c: value(c) for c in features}))).otherwise(scored)
+        return normalize(rows.withColumn("__p", scored), "__p", group, "oof_prob").drop("__p", "__fold")
+    parts = [rows.where("__fold IS NULL").drop("__fold").withColumn("oof_prob", F.lit(None).cast("double"))]
     for fold in range(k):
-        model = fit_classifier(rows.where(F.coalesce("fold", F.lit(-1)) < fold), features, label, kind, seed)
-        scored = score(rows.where(F.col("fold") == fold).drop("fold"), model, features, "__p")
+        model = fit_classifier(rows.where(own < fold), features, label, kind, seed)
+        scored = score(rows.where(F.col("__fold") == fold).drop("__fold"), model, features, "__p")
         parts.append(normalize(scored, "__p", group, "oof_prob").drop("__p"))
     out = parts[0]
     for part in parts[1:]:

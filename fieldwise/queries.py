@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwise.functions import prices
-from fieldwise.operators import betting, checks, coerce, features, joins, models, profile, ratings, scan, sets, splits
+from fieldwise.operators import betting, calibration, checks, coerce, features, joins, models, profile, ratings, scan, sets, splits
 from fieldwise.plans.fixtures import RUNNERS_SQL, runners
 from fieldwise.sources import io
 
@@ -160,6 +160,17 @@ def p12_win(spark, sf_dir):
     return rounded(coerce.with_win(told).select(*KEYS, "is_win"))
 
 
+@query("SELECT race_id, horse_id, (pos <= 3)::BIGINT AS by_flag, (pos = 1)::BIGINT AS by_result, (pos = 1)::BIGINT AS by_place FROM runners")
+def p12_win_sources(spark, sf_dir):
+    """Words in the first column there is, nulls and words unread as none; a result's text; a place where no column tells of wins."""
+    base = runners(spark, sf_dir).drop("is_win")
+    pos = F.col("pos")
+    flagged = base.withColumns({"won": F.when(pos == 1, " Winner").when(pos == 2, "1st").when(pos == 3, "T").when(pos == 4, "non-winner").when(pos == 5, "??"), "result": F.lit("won")})
+    told = base.select(*KEYS, F.concat(pos.cast("string"), F.when(pos == 1, "st").otherwise("th")).alias("outcome"))
+    made = coerce.with_win(flagged).select(*KEYS, F.col("is_win").alias("by_flag")).join(coerce.with_win(told).select(*KEYS, F.col("is_win").alias("by_result")), KEYS)
+    return rounded(made.join(coerce.with_win(base.select(*KEYS, "pos")).select(*KEYS, F.col("is_win").alias("by_place")), KEYS))
+
+
 @query("SELECT race_id, horse_id, is_win::BIGINT AS by_place, is_win::BIGINT AS by_result, (pos <= 2)::BIGINT AS by_token FROM runners")
 def p13_label(spark, sf_dir):
     """Places as numbers, results as text and words; columns that say nothing are passed over."""
@@ -693,25 +704,73 @@ def m1_b1_edges(spark, sf_dir):
     return rounded(rated(spark, sf_dir).select(*KEYS, "model_prob", "edge"))
 
 
-@query()
+def newton_sql(rows: str, d: int, l2: float = 1.0, steps: int = calibration.STEPS, name: str = "nt") -> str:
+    """Newton steps of a logistic fit for each fold of ``rows`` (fold, y, x1 .. xd; d is 1 or 2), unrolled; the last one is ``name``."""
+    w = [f"w{j}" for j in range(1, d + 1)]
+    x = ["1.0", *[f"x{j}" for j in range(1, d + 1)]]
+    margin = " + ".join(["b", *[f"w{j} * x{j}" for j in range(1, d + 1)]])
+    out = f", {name}0 AS MATERIALIZED (SELECT DISTINCT fold, 0.0::DOUBLE AS b, " + ", ".join(f"0.0::DOUBLE AS {c}" for c in w) + f" FROM {rows})\n"
+    grad = ", ".join(f"sum((q - y) * {x[j]}){f' + {l2} * any_value(w{j})' if j else ''} AS g{j}" for j in range(d + 1))
+    hess = ", ".join(f"sum(q * (1 - q) * {x[i]} * {x[j]}){f' + {l2}' if i == j and i else ''} AS h{i}{j}" for i in range(d + 1) for j in range(i, d + 1))
+    if d == 1:
+        det, moves = "(h00 * h11 - h01 * h01)", ["(h11 * g0 - h01 * g1)", "(h00 * g1 - h01 * g0)"]
+    else:
+        minors = {"00": "(h11 * h22 - h12 * h12)", "01": "(h02 * h12 - h01 * h22)", "02": "(h01 * h12 - h02 * h11)", "11": "(h00 * h22 - h02 * h02)", "12": "(h01 * h02 - h00 * h12)", "22": "(h00 * h11 - h01 * h01)"}
+        det = "(h00 * (h11 * h22 - h12 * h12) + h01 * (h02 * h12 - h01 * h22) + h02 * (h01 * h12 - h02 * h11))"
+        moves = [" + ".join(f"{minors[f'{min(i, j)}{max(i, j)}']} * g{j}" for j in range(3)) for i in range(3)]
+    moved = ", ".join(f"{c} - ({m}) / {det} AS {c}" for c, m in zip(["b", *w], moves))
+    for k in range(steps):
+        known = f"SELECT r.*, {', '.join(['b', *w])}, 1 / (1 + exp(-({margin}))) AS q FROM {rows} r JOIN {name}{k} t ON r.fold = t.fold"
+        out += f", {name}{k + 1 if k + 1 < steps else ''} AS MATERIALIZED (SELECT fold, {moved} FROM (SELECT fold, any_value(b) AS b, {', '.join(f'any_value({c}) AS {c}' for c in w)}, {grad}, {hess} FROM ({known}) GROUP BY fold))\n"
+    return out
+
+
+_CLIP = "greatest(least({0}, 1 - 1e-6), 1e-6)"
+_PLATT = ", pr AS (SELECT 0 AS fold, " + _CLIP.format("model_prob") + " AS x1, is_win::DOUBLE AS y FROM rated)\n" + newton_sql("pr", 1)
+_PLATTED = _CLIP.format(f"1 / (1 + exp(-(b + w1 * {_CLIP.format('model_prob')})))")
+# the least-squares non-decreasing fit is the greatest over starts of the least over ends of means
+_ISO = """, ic AS (SELECT round(model_prob, 2) AS x, count(*) AS n, sum(is_win) AS s FROM rated GROUP BY 1), ia AS (SELECT x, sum(n) OVER (ORDER BY x) AS n, sum(s) OVER (ORDER BY x) AS s, row_number() OVER (ORDER BY x) AS i FROM ic),
+iz AS (SELECT x, n, s, i FROM ia UNION ALL SELECT NULL, 0, 0, 0), im AS (SELECT a.i + 1 AS j, b.i AS k, (b.s - a.s)::DOUBLE / (b.n - a.n) AS m FROM iz a JOIN iz b ON b.i > a.i),
+il AS (SELECT ia.i, im.j, min(im.m) AS m FROM ia JOIN im ON im.j <= ia.i AND im.k >= ia.i GROUP BY ALL), iso AS MATERIALIZED (SELECT ia.x, max(il.m) AS v FROM ia JOIN il USING (i) GROUP BY ia.x)
+"""
+
+
+@query(_RATED + _PLATT + f"SELECT race_id, horse_id, round({_PLATTED}, 6) AS calibrated FROM rated, nt")
 def m2_platt(spark, sf_dir):
     df = rated(spark, sf_dir).select(*KEYS, "model_prob", "is_win")
-    return models.apply_calibrator(df, models.fit_platt(df, "model_prob", "is_win"), "model_prob", "calibrated")
+    return rounded(models.apply_calibrator(df, models.fit_platt(df, "model_prob", "is_win"), "model_prob", "calibrated").select(*KEYS, "calibrated"))
 
 
-@query()
+@query(_RATED + _ISO + f"SELECT race_id, horse_id, round({_CLIP.format('v')}, 6) AS calibrated FROM rated JOIN iso ON x = round(model_prob, 2)")
 def m3_isotonic(spark, sf_dir):
-    df = rated(spark, sf_dir).select(*KEYS, "model_prob", "is_win")
-    return models.apply_calibrator(df, models.fit_isotonic(df, "model_prob", "is_win"), "model_prob", "calibrated")
+    """Scores of two places, so that SQL can try all starts and ends."""
+    df = rated(spark, sf_dir).select(*KEYS, F.round("model_prob", 2).alias("p"), "is_win")
+    model = models.fit_isotonic(df, "p", "is_win", eps=0.0)
+    return rounded(models.apply_calibrator(df, model, "p", "calibrated").select(*KEYS, "calibrated"))
 
 
-@query()
+@query(_RATED + _PLATT + f"SELECT race_id, horse_id, round({_PLATTED}, 6) AS model_prob FROM rated, nt WHERE draw <= 3")
+def m4_saved_calibrator(spark, sf_dir):
+    """Fitted, saved to the shared folder, loaded, and put in place of the probability."""
+    df, path = rated(spark, sf_dir).select(*KEYS, "draw", "model_prob", "is_win"), scan.fresh_path(spark, "calibrator")
+    models.save_calibrator(models.fit_platt(df, "model_prob", "is_win"), path)
+    made = models.apply_calibrator(df.where("draw <= 3").select(*KEYS, "model_prob"), models.load_calibrator(path, "platt"), "model_prob", "model_prob")
+    return rounded(made)
+
+
+@query(_RATED + _PLATT + f"""SELECT 'platt' AS method, count(*) AS n, round(avg((model_prob - is_win) ** 2), 6) AS brier_before, round(avg(({_PLATTED} - is_win) ** 2), 6) AS brier_after, round(avg((model_prob - is_win) ** 2) - avg(({_PLATTED} - is_win) ** 2), 6) AS improvement FROM rated, nt""")
 def m5_fit_calibrator(spark, sf_dir):
-    """Labels joined to predictions, each kind of calibrator, and Brier scores before and after."""
+    """Labels joined to predictions, the fit, and Brier scores before and after."""
     df = rated(spark, sf_dir)
     labels = df.select(F.concat(F.lit(" "), "race_id").alias("race_id"), "horse_id", F.col("is_win").alias("is_winner"))
-    reports = [models.fit_calibrator(df.select(*KEYS, "model_prob"), m, labels)[1].select(F.lit(m).alias("method"), "*") for m in ("none", "platt", "isotonic")]
-    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+    return rounded(models.fit_calibrator(df.select(*KEYS, "model_prob"), "platt", labels)[1].select(F.lit("platt").alias("method"), "*"))
+
+
+@query()
+def m5_fit_isotonic(spark, sf_dir):
+    """Full scores: as many distinct ones as rows; tests hold the fit against a plain loop."""
+    df = rated(spark, sf_dir).select(*KEYS, "model_prob", F.col("is_win").alias("won"))
+    return models.fit_calibrator(df, "isotonic")[1]
 
 
 @query(_RATED + "SELECT count(*) AS n, round(avg((model_prob - is_win) ** 2), 6) AS brier_before, round(avg((model_prob - is_win) ** 2), 6) AS brier_after, 0.0::DOUBLE AS improvement FROM rated")
@@ -822,20 +881,25 @@ def b8_compare(spark, sf_dir):
 _FAMILIES = "('precision', 0.05, 10.0, 1), ('balanced', 0.02, 20.0, 1), ('high_volume', 0.0, 50.0, 2)"
 
 
-@query(_RATED + f""", fa(family, threshold, cap, top) AS (VALUES {_FAMILIES}), fr AS (SELECT unnest([0.0, 0.05, 0.1, 0.2, 0.3])::DOUBLE AS fraction),
-e AS (SELECT 'none' AS calibration, race_id, horse_id, is_win, price, implied, model_prob FROM rated UNION ALL SELECT 'blend', race_id, horse_id, is_win, price, implied, (model_prob + implied) / 2 FROM rated),
-e2 AS (SELECT *, round(greatest(least(model_prob, 1 - 1e-6), 1e-6) - greatest(least(implied, 1 - 1e-6), 1e-6), 12) AS edge FROM e),
+@query(_RATED + _PLATT + _ISO + f""", fa(family, threshold, cap, top) AS (VALUES {_FAMILIES}), fr AS (SELECT unnest([0.0, 0.05, 0.1, 0.2, 0.3])::DOUBLE AS fraction),
+e AS (SELECT 'platt' AS calibration, race_id, horse_id, is_win, price, implied, {_PLATTED} AS model_prob FROM rated, nt UNION ALL SELECT 'iso', race_id, horse_id, is_win, price, implied, {_CLIP.format('v')} FROM rated JOIN iso ON x = round(model_prob, 2)),
+e2 AS (SELECT *, round(greatest(least(model_prob, 1 - 1e-6), 1e-6) - greatest(least(implied, 1 - 1e-6), 1e-6), 9) AS edge FROM e),
 s AS (SELECT e2.*, family, top, row_number() OVER (PARTITION BY calibration, family, race_id ORDER BY edge DESC, horse_id) AS k FROM e2, fa WHERE edge >= threshold AND price > 1 AND price <= cap),
-t AS (SELECT *, 1 + fraction * 0.01 * greatest(0, (model_prob * (price - 1) - (1 - model_prob)) / (price - 1)) * CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END AS factor FROM s, fr WHERE k <= top)
-SELECT family, calibration, round(fraction, 6) AS fraction, count(*) AS bets, count(DISTINCT race_id) AS contests, round(avg(is_win), 6) AS hit_rate, round(avg(price), 6) AS mean_odds, round(sum(ln(factor)), 6) + 0.0 AS log_growth FROM t GROUP BY ALL""")
+t AS (SELECT *, 1 + fraction * greatest(0, (model_prob * (price - 1) - (1 - model_prob)) / (price - 1)) * CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END AS factor FROM s, fr WHERE k <= top),
+u AS (SELECT family, calibration, fraction, count(*) AS bets, count(DISTINCT race_id) AS contests, avg(is_win) AS hit_rate, avg(price) AS mean_odds, sum(ln(factor)) AS grown FROM t GROUP BY ALL)
+SELECT family, calibration, round(fraction, 6) AS fraction, bets, contests, round(hit_rate, 6) AS hit_rate, round(mean_odds, 6) AS mean_odds, round(grown, 4) + 0.0 AS log_growth, CASE WHEN grown < 3 THEN round(1000 * exp(grown), 3) END AS final, CASE WHEN grown < 3 THEN round(exp(grown) - 1, 6) END AS roi, (1000 * exp(grown) < 1)::BIGINT AS ruined FROM u""")
 def b9_fraction_sweep(spark, sf_dir):
-    """Families, calibrations and fractions (of a hundredth of the growth-optimal stake, so that no test table ends in ruin) from one job."""
-    base = rated(spark, sf_dir).select(*KEYS, "is_win", "mkt_odds_decimal", "mkt_implied", "model_prob")
-    tables = [base.withColumn("calibration", F.lit("none")), base.withColumns({"calibration": F.lit("blend"), "model_prob": (F.col("model_prob") + F.col("mkt_implied")) / 2})]
-    edges = betting.edges(tables[0].unionByName(tables[1])).withColumn("edge", F.round("edge", 12))
+    """Families, fitted calibrations and fractions from one job: the bankroll, and whether less than one of the first thousand is left. Bankrolls
+    of over twenty times the first one are told by their growth alone, since their last digits are no result."""
+    base = rated(spark, sf_dir).select(*KEYS, "is_win", "mkt_odds_decimal", "mkt_implied", "model_prob", F.round("model_prob", 2).alias("p"))
+    platt, iso = models.fit_platt(base, "model_prob", "is_win"), models.fit_isotonic(base, "p", "is_win", eps=0.0)
+    tables = [models.apply_calibrator(base, platt, "model_prob", "model_prob").withColumn("calibration", F.lit("platt")), models.apply_calibrator(base, iso, "p", "model_prob").withColumn("calibration", F.lit("iso"))]
+    edges = betting.edges(tables[0].unionByName(tables[1])).withColumn("edge", F.round("edge", 9))
     families = spark.sql(f"SELECT family, cast(threshold AS double) AS threshold, cast(cap AS double) AS cap, top FROM VALUES {_FAMILIES} AS t(family, threshold, cap, top)")
-    made = betting.fraction_sweep(edges, families, [f * 0.01 for f in (0.0, 0.05, 0.10, 0.20, 0.30)]).withColumn("fraction", F.col("fraction") * 100)
-    return rounded(made.withColumn("log_growth", F.ln(F.col("final") / 1000)).drop("final", "roi"))
+    made = betting.fraction_sweep(edges, families, (0.0, 0.05, 0.10, 0.20, 0.30))
+    near = F.col("log_growth") < 3
+    told = made.withColumns({"final": F.when(near, F.round("final", 3)), "roi": F.when(near, F.col("roi")), "ruined": (F.col("final") < 1).cast("int"), "log_growth": F.round("log_growth", 4)})
+    return rounded(told)
 
 
 #: Draws of the registered bootstraps.
@@ -876,6 +940,15 @@ def b12_verdict(spark, sf_dir):
     return rounded(betting.verdict(betting.interval(roi_draws(spark, sf_dir))))
 
 
+@query(_RATED + """, q AS (SELECT race_id, horse_id, CASE WHEN draw = 1 THEN 0.0 ELSE 0.70 * eb_horse + 0.15 * eb_jockey + 0.15 * eb_trainer END + 1e-9 AS raw FROM eb)
+SELECT race_id, horse_id, round(greatest(least(raw / sum(raw) OVER (PARTITION BY race_id), 1 - 1e-6), 1e-6), 6) AS model_prob FROM q""")
+def m1_snapshot_ratings(spark, sf_dir):
+    """Ratings joined under either name; a row that lacks one of them has no blend."""
+    base = features.prior_eb_rate(runners(spark, sf_dir), ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win")
+    named = base.select(*KEYS, F.col("eb_horse").alias("eb_horse_rt"), F.when(F.col("draw") > 1, F.col("eb_jockey")).alias("rating_jockey_rt"), F.col("eb_trainer").alias("rating_trainer_rt"))
+    return rounded(models.predict_eb(named).select(*KEYS, "model_prob"))
+
+
 @query(_REL + f""", e AS (SELECT sum(n * abs(mean_p - mean_y)) / sum(n) AS ece FROM rel), c AS (SELECT race_id, avg(-ln(model_prob)) AS loss FROM rated WHERE is_win = 1 GROUP BY race_id),
 p AS (SELECT *, sum(model_prob) OVER (PARTITION BY race_id ORDER BY horse_id ROWS UNBOUNDED PRECEDING) AS upto FROM rated), q AS (SELECT upto - model_prob + ('0x' || left(md5(race_id || ':' || horse_id), 8))::BIGINT / 4294967296.0 * model_prob AS pit FROM p WHERE is_win = 1)
 SELECT count(*) AS n, round(avg({_LL.format(p='model_prob')}), 6) AS logloss, round(avg((model_prob - is_win) ** 2), 6) AS brier, (SELECT count(*) FROM c) AS contests, (SELECT round(avg(loss), 6) FROM c) AS contest_logloss, (SELECT round(ece, 6) FROM e) AS ece, (SELECT round(avg(pit), 6) FROM q) AS pit_mean, (SELECT round(var_pop(pit), 6) FROM q) AS pit_var FROM rated""")
@@ -935,15 +1008,27 @@ def m6_train_oof(spark, sf_dir):
     return models.train_oof(base.select(*KEYS, "race_dt", "is_win", *FEATURES), FEATURES).select(*KEYS, "oof_prob")
 
 
-@query()
-def m7_score(spark, sf_dir):
-    """Fit, save to the shared folder, load, score."""
-    from pyspark.ml import PipelineModel
+_OOF_ROWS = """, bk AS (SELECT race_id, CASE WHEN place < (groups % 5) * (groups // 5 + 1) THEN place // (groups // 5 + 1) ELSE groups % 5 + (place - (groups % 5) * (groups // 5 + 1)) // (groups // 5) END::INT AS block FROM pl),
+tr AS (SELECT f.fold, eb_horse AS x1, weight_lbs::DOUBLE AS x2, is_win::DOUBLE AS y FROM eb JOIN bk USING (race_id) JOIN (SELECT unnest(range(4)) AS fold) f ON bk.block <= f.fold)
+"""
+
+
+@query(_PLACE + ", " + _RATED.strip().removeprefix(",").strip() + _OOF_ROWS + newton_sql("tr", 2) + f""", sc AS (SELECT eb.race_id, eb.horse_id, {_CLIP.format('1 / (1 + exp(-(b + w1 * eb_horse + w2 * weight_lbs)))')} AS p FROM eb JOIN bk USING (race_id) LEFT JOIN nt ON nt.fold = bk.block - 1)
+SELECT race_id, horse_id, round(p / sum(p) OVER (PARTITION BY race_id), 6) AS oof_prob FROM sc""")
+def m6_oof_two_features(spark, sf_dir):
+    """All folds fitted together; SQL makes the same Newton steps for each."""
+    base = features.prior_eb_rate(runners(spark, sf_dir), ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win")
+    two = ["eb_horse", "weight_lbs"]
+    return rounded(models.train_oof(base.select(*KEYS, "race_dt", "is_win", *two), two).select(*KEYS, "oof_prob"))
+
 
+@query(_RATED + ", tr AS (SELECT 0 AS fold, eb_horse AS x1, weight_lbs::DOUBLE AS x2, is_win::DOUBLE AS y FROM eb)" + newton_sql("tr", 2) + f"SELECT race_id, horse_id, round({_CLIP.format('1 / (1 + exp(-(b + w1 * eb_horse + w2 * weight_lbs)))')}, 6) AS model_prob FROM eb, nt")
+def m7_score(spark, sf_dir):
+    """Fit, save to the shared folder, load, score; a feature that the table lacks is 0."""
     base = features.prior_eb_rate(runners(spark, sf_dir), ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win")
-    path = scan.fresh_path(spark, "model")
-    models.fit_classifier(base, FEATURES, "is_win").write().save(path)
-    return models.score(base.select(*KEYS, *FEATURES), PipelineModel.load(path), FEATURES).select(*KEYS, "model_prob")
+    path, two = scan.fresh_path(spark, "model"), ["eb_horse", "weight_lbs"]
+    calibration.save(calibration.fit_logistic(base, two, "is_win"), path)
+    return rounded(models.score(base.select(*KEYS, *two), calibration.load(path, "logistic"), two).select(*KEYS, "model_prob"))
 
 
 @query(_BETS + ", f AS (SELECT *, 1 + 0.001 * greatest(0, (model_prob * (price - 1) - (1 - model_prob)) / (price - 1)) * CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END AS factor FROM bets) SELECT race_id, horse_id, round(1000 * exp(sum(ln(factor)) OVER (ORDER BY us, race_id, horse_id ROWS UNBOUNDED PRECEDING)), 4) AS bankroll FROM f")

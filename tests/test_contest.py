@@ -261,7 +261,7 @@ def test_platt_equals_newton_and_calibrators_are_saved(spark, tmp_path):
         q = 1 / (1 + np.exp(-x @ w))
         w -= np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + np.diag([1.0, 0.0]), x.T @ (q - y) + np.array([w[0], 0.0]))
     model, report = models.fit_calibrator(df, "platt")
-    assert model.stages[-1].coefficients[0] == pytest.approx(w[0], rel=1e-4) and model.stages[-1].intercept == pytest.approx(w[1], rel=1e-4)
+    assert model.weights[0] == pytest.approx(w[0], rel=1e-6) and model.intercept == pytest.approx(w[1], rel=1e-6)
     after = 1 / (1 + np.exp(-(p * w[0] + w[1])))
     r = report.first()
     assert (r.n, r.brier_before, r.brier_after) == (400, pytest.approx(((p - y) ** 2).mean()), pytest.approx(((after - y) ** 2).mean(), rel=1e-5))
