@@ -96,9 +96,9 @@ def compare_market(df: DataFrame, model: str, market: str, label: str) -> DataFr
     return named.withColumns({"logloss_gain": F.col("market_logloss") - F.col("model_logloss"), "brier_gain": F.col("market_brier") - F.col("model_brier")})
 
 
-def apply_calibrator(df: DataFrame, model: calibration.Logistic | calibration.Isotonic, prob: str, out: str) -> DataFrame:
-    """Adds or replaces ``out``: the calibrated, clipped probability."""
-    p = clip_prob(F.col(prob))
+def apply_calibrator(df: DataFrame, model: calibration.Logistic | calibration.Isotonic, prob: str, out: str, eps: float = 1e-6) -> DataFrame:
+    """Adds or replaces ``out``: the calibrated, clipped probability. ``eps`` clips what goes in and should be that of the fit."""
+    p = clip_prob(F.col(prob), eps)
     if isinstance(model, calibration.Logistic):
         return df.withColumn(out, clip_prob(model.probability({model.features[0]: p}))).select(*[c for c in df.columns if c != out], out)
     made = calibration.interpolate(df.withColumn("__p", p), model, "__p", "__made")

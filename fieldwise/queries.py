@@ -725,9 +725,9 @@ def newton_sql(rows: str, d: int, l2: float = 1.0, steps: int = calibration.STEP
     return out
 
 
-_CLIP = "greatest(least({0}, 1 - 1e-6), 1e-6)"
-_PLATT = ", pr AS (SELECT 0 AS fold, " + _CLIP.format("model_prob") + " AS x1, is_win::DOUBLE AS y FROM rated)\n" + newton_sql("pr", 1)
-_PLATTED = _CLIP.format(f"1 / (1 + exp(-(b + w1 * {_CLIP.format('model_prob')})))")
+_BOUND = "greatest(least({0}, 1 - 1e-6), 1e-6)"
+_PLATT = ", pr AS (SELECT 0 AS fold, " + _BOUND.format("model_prob") + " AS x1, is_win::DOUBLE AS y FROM rated)\n" + newton_sql("pr", 1)
+_PLATTED = _BOUND.format(f"1 / (1 + exp(-(b + w1 * {_BOUND.format('model_prob')})))")
 # the least-squares non-decreasing fit is the greatest over starts of the least over ends of means
 _ISO = """, ic AS (SELECT round(model_prob, 2) AS x, count(*) AS n, sum(is_win) AS s FROM rated GROUP BY 1), ia AS (SELECT x, sum(n) OVER (ORDER BY x) AS n, sum(s) OVER (ORDER BY x) AS s, row_number() OVER (ORDER BY x) AS i FROM ic),
 iz AS (SELECT x, n, s, i FROM ia UNION ALL SELECT NULL, 0, 0, 0), im AS (SELECT a.i + 1 AS j, b.i AS k, (b.s - a.s)::DOUBLE / (b.n - a.n) AS m FROM iz a JOIN iz b ON b.i > a.i),
@@ -741,12 +741,12 @@ def m2_platt(spark, sf_dir):
     return rounded(models.apply_calibrator(df, models.fit_platt(df, "model_prob", "is_win"), "model_prob", "calibrated").select(*KEYS, "calibrated"))
 
 
-@query(_RATED + _ISO + f"SELECT race_id, horse_id, round({_CLIP.format('v')}, 6) AS calibrated FROM rated JOIN iso ON x = round(model_prob, 2)")
+@query(_RATED + _ISO + f"SELECT race_id, horse_id, round({_BOUND.format('v')}, 6) AS calibrated FROM rated JOIN iso ON x = round(model_prob, 2)")
 def m3_isotonic(spark, sf_dir):
     """Scores of two places, so that SQL can try all starts and ends."""
     df = rated(spark, sf_dir).select(*KEYS, F.round("model_prob", 2).alias("p"), "is_win")
     model = models.fit_isotonic(df, "p", "is_win", eps=0.0)
-    return rounded(models.apply_calibrator(df, model, "p", "calibrated").select(*KEYS, "calibrated"))
+    return rounded(models.apply_calibrator(df, model, "p", "calibrated", eps=0.0).select(*KEYS, "calibrated"))
 
 
 @query(_RATED + _PLATT + f"SELECT race_id, horse_id, round({_PLATTED}, 6) AS model_prob FROM rated, nt WHERE draw <= 3")
@@ -882,7 +882,7 @@ _FAMILIES = "('precision', 0.05, 10.0, 1), ('balanced', 0.02, 20.0, 1), ('high_v
 
 
 @query(_RATED + _PLATT + _ISO + f""", fa(family, threshold, cap, top) AS (VALUES {_FAMILIES}), fr AS (SELECT unnest([0.0, 0.05, 0.1, 0.2, 0.3])::DOUBLE AS fraction),
-e AS (SELECT 'platt' AS calibration, race_id, horse_id, is_win, price, implied, {_PLATTED} AS model_prob FROM rated, nt UNION ALL SELECT 'iso', race_id, horse_id, is_win, price, implied, {_CLIP.format('v')} FROM rated JOIN iso ON x = round(model_prob, 2)),
+e AS (SELECT 'platt' AS calibration, race_id, horse_id, is_win, price, implied, {_PLATTED} AS model_prob FROM rated, nt UNION ALL SELECT 'iso', race_id, horse_id, is_win, price, implied, {_BOUND.format('v')} FROM rated JOIN iso ON x = round(model_prob, 2)),
 e2 AS (SELECT *, round(greatest(least(model_prob, 1 - 1e-6), 1e-6) - greatest(least(implied, 1 - 1e-6), 1e-6), 9) AS edge FROM e),
 s AS (SELECT e2.*, family, top, row_number() OVER (PARTITION BY calibration, family, race_id ORDER BY edge DESC, horse_id) AS k FROM e2, fa WHERE edge >= threshold AND price > 1 AND price <= cap),
 t AS (SELECT *, 1 + fraction * greatest(0, (model_prob * (price - 1) - (1 - model_prob)) / (price - 1)) * CASE WHEN is_win = 1 THEN price - 1 ELSE -1 END AS factor FROM s, fr WHERE k <= top),
@@ -893,7 +893,7 @@ def b9_fraction_sweep(spark, sf_dir):
     of over twenty times the first one are told by their growth alone, since their last digits are no result."""
     base = rated(spark, sf_dir).select(*KEYS, "is_win", "mkt_odds_decimal", "mkt_implied", "model_prob", F.round("model_prob", 2).alias("p"))
     platt, iso = models.fit_platt(base, "model_prob", "is_win"), models.fit_isotonic(base, "p", "is_win", eps=0.0)
-    tables = [models.apply_calibrator(base, platt, "model_prob", "model_prob").withColumn("calibration", F.lit("platt")), models.apply_calibrator(base, iso, "p", "model_prob").withColumn("calibration", F.lit("iso"))]
+    tables = [models.apply_calibrator(base, platt, "model_prob", "model_prob").withColumn("calibration", F.lit("platt")), models.apply_calibrator(base, iso, "p", "model_prob", eps=0.0).withColumn("calibration", F.lit("iso"))]
     edges = betting.edges(tables[0].unionByName(tables[1])).withColumn("edge", F.round("edge", 9))
     families = spark.sql(f"SELECT family, cast(threshold AS double) AS threshold, cast(cap AS double) AS cap, top FROM VALUES {_FAMILIES} AS t(family, threshold, cap, top)")
     made = betting.fraction_sweep(edges, families, (0.0, 0.05, 0.10, 0.20, 0.30))
@@ -1013,7 +1013,7 @@ tr AS (SELECT f.fold, eb_horse AS x1, weight_lbs::DOUBLE AS x2, is_win::DOUBLE A
 """
 
 
-@query(_PLACE + ", " + _RATED.strip().removeprefix(",").strip() + _OOF_ROWS + newton_sql("tr", 2) + f""", sc AS (SELECT eb.race_id, eb.horse_id, {_CLIP.format('1 / (1 + exp(-(b + w1 * eb_horse + w2 * weight_lbs)))')} AS p FROM eb JOIN bk USING (race_id) LEFT JOIN nt ON nt.fold = bk.block - 1)
+@query(_PLACE + ", " + _RATED.strip().removeprefix(",").strip() + _OOF_ROWS + newton_sql("tr", 2) + f""", sc AS (SELECT eb.race_id, eb.horse_id, CASE WHEN b IS NOT NULL THEN {_BOUND.format('1 / (1 + exp(-(b + w1 * eb_horse + w2 * weight_lbs)))')} END AS p FROM eb JOIN bk USING (race_id) LEFT JOIN nt ON nt.fold = bk.block - 1)
 SELECT race_id, horse_id, round(p / sum(p) OVER (PARTITION BY race_id), 6) AS oof_prob FROM sc""")
 def m6_oof_two_features(spark, sf_dir):
     """All folds fitted together; SQL makes the same Newton steps for each."""
@@ -1022,7 +1022,7 @@ def m6_oof_two_features(spark, sf_dir):
     return rounded(models.train_oof(base.select(*KEYS, "race_dt", "is_win", *two), two).select(*KEYS, "oof_prob"))
 
 
-@query(_RATED + ", tr AS (SELECT 0 AS fold, eb_horse AS x1, weight_lbs::DOUBLE AS x2, is_win::DOUBLE AS y FROM eb)" + newton_sql("tr", 2) + f"SELECT race_id, horse_id, round({_CLIP.format('1 / (1 + exp(-(b + w1 * eb_horse + w2 * weight_lbs)))')}, 6) AS model_prob FROM eb, nt")
+@query(_RATED + ", tr AS (SELECT 0 AS fold, eb_horse AS x1, weight_lbs::DOUBLE AS x2, is_win::DOUBLE AS y FROM eb)" + newton_sql("tr", 2) + f"SELECT race_id, horse_id, round({_BOUND.format('1 / (1 + exp(-(b + w1 * eb_horse + w2 * weight_lbs)))')}, 6) AS model_prob FROM eb, nt")
 def m7_score(spark, sf_dir):
     """Fit, save to the shared folder, load, score; a feature that the table lacks is 0."""
     base = features.prior_eb_rate(runners(spark, sf_dir), ["horse_id", "jockey_id", "trainer_id"], "race_dt", "is_win")

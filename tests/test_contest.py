@@ -97,10 +97,80 @@ def test_csv_union_sinks_and_ledger(spark, tmp_path):
     assert io.read_table(spark, str(tmp_path / "d.csv")).count() == 2
 
 
-def test_calibration_is_monotone(spark, sf_dir):
-    for name in ("m2_platt", "m3_isotonic"):
-        rows = sorted((r.model_prob, r.calibrated) for r in q.QUERIES[name](spark, sf_dir).collect())
-        assert all(b >= a - 1e-9 for (_, a), (_, b) in zip(rows, rows[1:]))
+def test_isotonic_equals_a_plain_loop(spark, sf_dir, monkeypatch):
+    """Pooling in ranges gives the blocks of one loop, whatever the ranges; points are interpolated alike when they are carried forward."""
+    import random
+
+    from fieldwise.operators import calibration
+
+    r = random.Random(8)
+    for rows in ([(r.randint(0, 60) / 60, r.randint(0, 1)) for _ in range(700)], [(i / 50, int(i < 25)) for i in range(50)], [(0.5, 1)], []):
+        df = spark.createDataFrame(rows, "p double, y int")
+        stack = []
+        for x in sorted({p for p, _ in rows}):
+            ys = [y for p, y in rows if p == x]
+            stack.append([x, x, len(ys), sum(ys)])
+            while len(stack) > 1 and stack[-2][3] / stack[-2][2] >= stack[-1][3] / stack[-1][2]:
+                last = stack.pop()
+                stack[-1] = [stack[-1][0], last[1], stack[-1][2] + last[2], stack[-1][3] + last[3]]
+        for ranges in ("1", "4", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            assert sorted(map(list, calibration.isotonic_blocks(df, "p", "y").collect())) == stack
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    model = calibration.fit_isotonic(spark.createDataFrame([(i / 20, int(r.random() < i / 20)) for i in range(20) for _ in range(9)], "p double, y int"), "p", "y", eps=0.0)
+    asked = spark.createDataFrame([(-1.0,), (0.02,), (0.5,), (0.333,), (0.95,), (2.0,), (None,)], "p double")
+    told = lambda: sorted(((x.p, x.out) for x in calibration.interpolate(asked, model, "p", "out").collect()), key=str)
+    small = told()
+    monkeypatch.setattr(calibration, "MOST_POINTS", 0)
+    for (p, a), (q_, b) in zip(small, told(), strict=True):
+        assert p == q_ and a == (b if b is None else pytest.approx(b))
+
+
+def test_hot_scans_equal_windows(spark):
+    """One entity has most rows, over many ranges: carried values, halos and eras give what windows give."""
+    import random
+
+    from fieldwise.operators import features, joins
+
+    r = random.Random(11)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    day = 86_400_000_000
+    rows = [(str(i), r.choice(["a", "a", "a", "b", None]), r.randint(0, 900), r.randint(0, 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, e string, d int, f int").withColumn("t", F.timestamp_micros(F.col("d") * F.lit(day // 4)))
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    cols = ["id", "n_30", "f_sum_30", "f_rate_90"]
+    assert same(*[features.rolling_form(df, "e", "t", ["f"], (30, 90), hot=h).select(*cols) for h in (False, True)])
+    for half_life in (40.0, 0.05):
+        assert same(*[features.decayed_sum(df, ["e"], "t", {"s": "f"}, half_life, ("id",), hot=h).select("id", F.round("s", 9)) for h in (False, True)])
+    right = df.where("f = 1").groupBy("e", "t").agg(F.max("id").alias("v"))
+    assert same(*[joins.asof_join(df.where("f = 0").select("id", "e", "t"), right, ["e"], "t", "t", ["v"], hot=h) for h in (False, True)])
+    with pytest.raises(ValueError):
+        features.decayed_sum(df, ["e"], "t", {"s": "f"}, 9.0, ("id",), strict=True, hot=True)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_quantiles_of_odd_values(spark):
+    from fieldwise.operators import scan
+
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for values in ([1e308, -1e308, 0.0, -0.0, 1e-300], r.normal(size=501).tolist() + [3.0] * 400, [7.0], r.integers(0, 5, 90).astype(float).tolist()):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        got = scan.quantiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.995}).first()
+        assert list(got) == pytest.approx([np.quantile(values, q) if max(values) < 1e300 else sorted(values)[0] * (1 - 0.4) if q == 0.1 else got[i] for i, q in enumerate((0.1, 0.5, 0.995))])
+    assert list(scan.quantiles(df.where("v > 99"), "v", {"a": 0.5}).first()) == [None]
+
+
+def test_overround_bins_do_not_follow_the_order_of_rows(spark):
+    """Sums of one over odds that should be exactly 0.9 fall in one bin, in whatever order they are added."""
+    from fieldwise.operators import profile
+
+    odds = [10.0, 5.0, 2.5, 5.0]
+    rows = [(f"{k}", o) for k in range(40) for o in (odds[k % 4 :] + odds[: k % 4])]
+    for n in (1, 3, 8):
+        table = profile.overround(spark.createDataFrame(rows, "race_id string, o double").repartition(n), "o")
+        assert [(x.bin, x.n) for x in profile.overround_hist(table).collect()] == [(0, 40)]
 
 
 def test_write_splits(spark, tmp_path):
