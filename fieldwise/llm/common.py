@@ -15,6 +15,8 @@ from fieldwise.llm.text import mix
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: How much of a sample is drawn beyond its size, so that chance does not leave it short.
 SPARE = 1.25
+#: Characters of a text that a training sample reads.
+MOST_CHARS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,10 +59,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     Labels are counted, and ids whose hash falls below a threshold that follows from the counts are drawn; so
     however many rows and tasks there are, about ``SPARE * limit`` ids of each value reach the driver, and those with
     the smallest hashes are taken. Their texts are fetched through a join with at most ``2 * limit`` ids.
-    Null labels, ids and texts are left out.
+    An id that repeats counts once, with its greatest label, and gives one text. Null labels, ids and texts are left out.
     """
     spark = docs.sparkSession
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
+    ids = ids.groupBy("doc_id").agg(F.max("label").alias("label"))
     if where is not None:
         ids = ids.where(where)
     chosen = []
@@ -71,7 +74,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         return []
     picked = spark.createDataFrame(chosen, "doc_id long, label int").dropDuplicates(["doc_id"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    return sorted((r["doc_id"], r["text"], r["label"]) for r in rows.select("doc_id", "text", "label").toLocalIterator())
+    return sorted((r["doc_id"], r["text"], r["label"]) for r in one_text(rows, ["doc_id", "label"]).toLocalIterator())
+
+
+def one_text(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: of its texts the one with the smallest hash, of which training reads ``MOST_CHARS`` characters. So an id that very many rows
+    repeat, or a very long text, adds a bounded number of bytes to a sample."""
+    return rows.groupBy(*keys).agg(F.min_by(F.left("text", F.lit(MOST_CHARS)), F.xxhash64("text")).alias("text"))
 
 
 def families(bags: list[set[bytes]], samples: int = 16, least: int = 8) -> list[int]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwise.llm import text as tx
-from fieldwise.llm.common import SPARE, drawn
+from fieldwise.llm.common import SPARE, drawn, one_text
 
 HASHES = 3
 _SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -95,10 +95,10 @@ def train(docs: DataFrame, sample: int = 600, per_language: int = 3000, bits: in
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, SPARE * sample / r["n"])) for r in counts], "lang string, share double")
     drew = rows.select("doc_id", "lang").join(F.broadcast(shares), "lang").where(drawn("doc_id", F.col("share")))
     ids: dict[str, list] = {}
-    for r in sorted(drew.select("lang", F.xxhash64("doc_id").alias("hash"), "doc_id").collect()):
+    for r in sorted(drew.select("lang", F.xxhash64("doc_id").alias("hash"), "doc_id").distinct().collect()):
         ids.setdefault(r["lang"], []).append(r["doc_id"])
     picked = docs.sparkSession.createDataFrame([(i,) for found in ids.values() for i in found[:sample]], "doc_id long").distinct()
-    found = sorted(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").toLocalIterator(), key=lambda r: (r[0], r[1]))
+    found = sorted(one_text(rows.join(F.broadcast(picked), "doc_id"), ["doc_id", "lang"]).toLocalIterator(), key=lambda r: (r[0], r[1]))
     return fit([r["text"] for r in found], [r["lang"] for r in found], per_language, bits)
 
 

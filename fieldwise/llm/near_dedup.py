@@ -291,7 +291,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """
     described, classes = grouped(docs, **options)
     winners = classes.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark")
-    winners = winners.union(described.where("n_shingles = 0").select("doc_id", "mark").distinct()).toDF("kept_id", "kept_mark")
+    winners = winners.union(described.where("n_shingles = 0").select("doc_id", "mark").distinct()).toDF("__kept_id", "__kept_mark")
     marked = docs.withColumn("__mark", digest(F.col("text"))).withColumn("__id", F.col("doc_id").cast("long"))
-    same = (F.col("__mark") == F.col("kept_mark")) & F.col("__id").eqNullSafe(F.col("kept_id"))
+    same = (marked["__mark"] == winners["__kept_mark"]) & marked["__id"].eqNullSafe(winners["__kept_id"])
     return marked.join(winners, same, "left_semi").dropDuplicates(["__mark", "__id"]).select(*[marked[c] for c in docs.columns])

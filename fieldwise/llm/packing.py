@@ -7,7 +7,7 @@ dot product with what is left, both as shares of the limits. When none fits, the
 is cut to fill the rest. Examples over a limit are cut first: the rest after the prompt into pieces of the limit on loss, the prompt
 into pieces that fill what such a piece leaves of a sequence.
 
-Each task packs its rows in windows of about ``window`` tokens: nothing is shuffled, memory is
+Each task packs its rows in windows of about ``window`` tokens, ``MOST_EXAMPLES`` documents at most: nothing is shuffled, memory is
 bounded by a window and the longest text. Sequences that lack over ``spare`` tokens, such as a window's last, are cut into
 sequences whose lengths are powers of two, which take no padding.
 A task that runs again makes the same sequences; ids hold the partition's number.
@@ -201,6 +201,10 @@ def packed(lengths: list[int], loss_from: list[int], max_tokens: int, max_segmen
     return out
 
 
+#: Documents that a window holds at most: very short ones would fill it by their number long before their tokens do.
+MOST_EXAMPLES = 100_000
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 64, max_loss: int = 1792, prompt_share: float = 0.25, window: int = 3_000_000) -> DataFrame:
     """Pieces of all documents, placed in sequences; ``loss_tokens`` says how many of a piece's tokens bear loss."""
     if min(max_tokens, max_segments, max_loss) < 1:
@@ -236,7 +240,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, max_tokens
                     names.append(name)
                     ids.append(np.append(x, np.uint32(end_id)).astype("<u4"))
                     held += len(ids[-1])
-                if held >= window:
+                if held >= window or len(names) >= MOST_EXAMPLES:
                     yield flush()
         if names:
             yield flush()
