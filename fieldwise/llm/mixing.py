@@ -9,10 +9,11 @@ of one more epoch in seeded order, the longest prefix of documents that fits in
 
 Scale: documents are reduced to token counts; leaves to sums. The prefix of a leaf is found in two
 steps: sums of ``16**digits`` ranges of the seeded order, then the documents of the one range in which the
-budget ends, so no task sees a whole leaf. ``digits`` follows the largest leaf's count.
+budget ends, so no task sees a whole leaf. ``digits`` follows the largest leaf's count. The seeded order
+hashes id and text together, so different texts that share an id, or have none, spread over all ranges.
 
 Defined cases: null domain, language or source is ``(none)``; null and empty texts have no tokens
-and are taken whenever the epoch's prefix reaches them; equal order keys follow doc_id; repeated rows
+and are taken whenever the epoch's prefix reaches them; rows alike in id and text have one order key and
 count each; a weight that is absent takes the default. No rows give no rows.
 """
 
@@ -95,6 +96,7 @@ def mix(docs: DataFrame, plan: Plan = PLAN, digits: int | None = None, docs_per_
             F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
             F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
             word_tokens(F.col("text")).alias("n_tokens"),
+            F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_md5"),
             *carry,
         )
     )
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, plan: Plan = PLAN, digits: int | None = None, docs_per_
             digits += 1
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("leaf_budget") / F.col("tokens"))).otherwise(0).cast("long")
     plans = plans.select(*leaf, "leaf_budget", whole.alias("epochs"), (F.col("leaf_budget") - whole * F.col("tokens")).alias("rest"))
-    key = F.md5(F.concat_ws(":", F.lit(plan.seed), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(plan.seed), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_md5")))
     ordered = rows.join(plans, leaf).withColumn("key", key).withColumn("range", F.left("key", F.lit(digits)))
     sums = ordered.groupBy(*leaf, "range").agg(F.sum("n_tokens").alias("held"))
     upto = F.sum("held").over(Window.partitionBy(*leaf).orderBy("range"))

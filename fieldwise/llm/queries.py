@@ -124,7 +124,7 @@ _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '(none)' WHEN right(source, 1) IN ('0','1','2','3') THEN 'web' WHEN right(source, 1) IN ('4','5','6') THEN 'books' ELSE 'news' END AS domain,
     coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
-    coalesce(length(regexp_extract_all(text, '[^ \t-\r]+')), 0)::BIGINT AS n_tokens FROM documents),
+    coalesce(length(regexp_extract_all(text, '[^ \t-\r]+')), 0)::BIGINT AS n_tokens, md5(coalesce(text, '')) AS text_md5 FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens)::DOUBLE * 2 AS cap, 0.125::DOUBLE AS weight FROM d GROUP BY ALL),
 dom AS (SELECT domain, sum(cap) AS cap, CASE domain WHEN 'web' THEN 0.5 WHEN 'books' THEN 0.25 WHEN 'news' THEN 0.25 ELSE 0.125 END::DOUBLE AS weight,
     (SELECT floor(sum(tokens) * 0.75)::DOUBLE FROM leaf) AS budget FROM leaf GROUP BY domain),
@@ -137,7 +137,7 @@ src1 AS (SELECT leaf.*, budget, (budget - coalesce(sum(cap) OVER (PARTITION BY d
 src2 AS (SELECT domain, lang, source, tokens, floor(CASE WHEN cap <= level * weight THEN cap ELSE greatest(max(CASE WHEN cap > level * weight THEN level END) OVER (PARTITION BY domain, lang), 0) * weight END + 1e-6)::BIGINT AS leaf_budget FROM src1),
 p AS (SELECT *, CASE WHEN tokens > 0 THEN leaf_budget // tokens ELSE 0 END::BIGINT AS epochs FROM src2),
 o AS (SELECT d.*, p.leaf_budget, p.epochs, p.leaf_budget - p.epochs * p.tokens AS rest,
-    sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('mix-1:' || p.epochs || ':' || coalesce(doc_id::VARCHAR, '')), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+    sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('mix-1:' || p.epochs || ':' || coalesce(doc_id::VARCHAR, '') || ':' || text_md5), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN p USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, leaf_budget, (epochs + (upto <= rest)::INT)::BIGINT AS copies FROM o WHERE epochs + (upto <= rest)::INT > 0
 """

@@ -590,3 +590,13 @@ def test_mix_takes_no_more_rows_without_ids_than_it_counted(spark):
     for share in (0.3, 0.5, 0.75, 1.2):
         plan = mixing.Plan(share=share)
         assert mixing.mixed_documents(df, plan).count() == mixing.mix(df, plan).agg(F.sum("copies")).first()[0]
+
+
+def test_mix_spreads_rows_of_one_id(spark):
+    """One id, or none, on very many rows: the seeded order deals them over the ranges, and the prefix fits the budget as closely as with own ids."""
+    texts = spark.range(4000).selectExpr("if(id % 2 = 0, 7L, null) AS doc_id", "concat('w', id, ' x y') AS text", "'en' AS lang", "'src0' AS source")
+    taken = mixing.mix(texts, mixing.Plan(share=0.5, max_epochs=1), digits=2).agg(F.sum(F.col("n_tokens") * F.col("copies")), F.max("leaf_budget")).first()
+    assert 0 <= taken[1] - taken[0] < 3
+    own = mixing.mixed_documents(texts, mixing.Plan(share=0.5, max_epochs=1))
+    by_id = {r.doc_id: r["count"] for r in own.groupBy("doc_id").count().collect()}
+    assert by_id.keys() == {7, None} and min(by_id.values()) > 800
