@@ -48,6 +48,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def packed(docs: DataFrame, **keys) -> DataFrame:
+    """All columns of ``docs`` as one struct ``row``, beside ``keys``: no column of the user's can clash with a key. ``row.*`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+
+
+def places(doc_id, digest) -> dict:
+    """A row's id and text as three keys that are never null. Joins and drops of repeats on just these share one shuffle."""
+    return {"digest": digest, "id": F.coalesce(doc_id.cast("long"), F.lit(0)), "none": doc_id.cast("long").isNull()}
+
+
 def drawn(key, share):
     """True for about ``share`` of all keys, the same ones each time: a threshold on their hash."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < (share * F.lit(float(1 << 40))).cast("long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwise.llm.common import discard, stored
+from fieldwise.llm.common import discard, packed, places, stored
 from fieldwise.llm.text import mix
 
 EMPTY = -(2**31)
@@ -161,8 +161,11 @@ def exact_dedup(docs: DataFrame, is_history=None, shard_size: int = 200_000) ->
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns: one row of each distinct normalised text."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest")).distinct()
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    same = (marked["__digest"] == kept["kept_digest"]) & marked["doc_id"].eqNullSafe(kept["kept_id"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["__digest"]).drop("__digest")
+    """The documents that stay, all columns: one row of each distinct normalised text.
+
+    Whole rows are shuffled once, by text and id together, so that the copies of a text spread over tasks.
+    """
+    kept = exact_dedup(docs).where("kept")
+    kept = kept.select(*[v.alias(k) for k, v in places(F.col("doc_id"), F.unhex("text_sha256")).items()]).distinct()
+    rows = packed(docs, **places(F.col("doc_id"), F.unhex(F.sha2(normalised(F.col("text")), 256))))
+    return rows.join(kept, kept.columns, "left_semi").dropDuplicates(kept.columns).select("row.*")

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwise.llm.common import stored
+from fieldwise.llm.common import packed, stored
 
 NONE = "(none)"
 
@@ -130,9 +130,9 @@ def mixed_documents(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     keep their own copies; of rows alike in all four, each gets one of the counts.
     """
     content = F.struct("doc_id", "lang", "source", F.sha2(F.col("text").cast("string"), 256).alias("text"))
-    keyed = docs.withColumn("__key", F.unhex(F.sha2(F.to_json(content), 256)))
-    taken = mix(keyed, plan, carry=("__key",)).groupBy("__key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    numbered = keyed.withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
-    joined = numbered.join(taken, "__key").where(F.col("__row") <= F.size("__copies"))
-    copies = F.element_at("__copies", F.col("__row"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
+    key = F.unhex(F.sha2(F.to_json(content), 256))
+    taken = mix(docs.select("doc_id", "lang", "source", "text", key.alias("__key")), plan, carry=("__key",))
+    taken = taken.groupBy(F.col("__key").alias("key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    numbered = packed(docs, key=key).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    joined = numbered.join(taken, "key").where(F.col("n") <= F.size("copies"))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.element_at("copies", F.col("n"))))).select("row.*")

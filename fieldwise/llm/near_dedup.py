@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwise.llm import text as tx
-from fieldwise.llm.common import discard, stored
+from fieldwise.llm.common import discard, packed, places, stored
 from fieldwise.llm.components import connected_components
 
 SKETCH_BITS = 512
@@ -287,11 +287,11 @@ def partners(filled: DataFrame, parts: DataFrame, sketch: DataFrame, limit: int,
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, one of each group, all columns: the row with the smallest doc_id, nulls last, then the smallest text digest.
 
-    Rows are known by doc_id and text, so texts that share an id, or have none, keep their own place.
+    Rows are known by doc_id and text, so texts that share an id, or have none, keep their own place. Whole rows are shuffled once.
     """
     described, classes = grouped(docs, **options)
     winners = classes.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark")
-    winners = winners.union(described.where("n_shingles = 0").select("doc_id", "mark").distinct()).toDF("__kept_id", "__kept_mark")
-    marked = docs.withColumn("__mark", digest(F.col("text"))).withColumn("__id", F.col("doc_id").cast("long"))
-    same = (marked["__mark"] == winners["__kept_mark"]) & marked["__id"].eqNullSafe(winners["__kept_id"])
-    return marked.join(winners, same, "left_semi").dropDuplicates(["__mark", "__id"]).select(*[marked[c] for c in docs.columns])
+    winners = winners.union(described.where("n_shingles = 0").select("doc_id", "mark").distinct())
+    kept = winners.select(*[v.alias(k) for k, v in places(F.col("doc_id"), F.col("mark")).items()])
+    rows = packed(docs, **places(F.col("doc_id"), digest(F.col("text"))))
+    return rows.join(kept, kept.columns, "left_semi").dropDuplicates(kept.columns).select("row.*")
