@@ -407,3 +407,9 @@ def test_folds_are_clamped_and_gaps_checked(spark):
     made = splits.split_fractions(df, "race_id", "race_dt", 0.34, 0.34)
     found = lambda gap: {r.rule: r.violations for r in splits.check_splits(df, made, "race_id", gap).collect()}
     assert found(1)["overlap"] == 0 and found(1.5)["overlap"] == 2
+
+
+def test_bucketed_table_needs_no_exchange(spark, sf_dir):
+    made = q.QUERIES["s4_bucketed"](spark, sf_dir)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan and "Bucketed: true" in plan
