@@ -1052,14 +1052,15 @@ def s4_canonical(spark, sf_dir):
     return rounded(io.read_columns(spark, path, [*KEYS, "pos"]))
 
 
-@query("SELECT race_id, horse_id, round(raw, 8) AS raw, round(implied, 8) AS implied, count(*) OVER (PARTITION BY race_id) AS runners FROM market")
+@query("SELECT race_id, horse_id, round(raw, 8) AS raw, round(round(implied, 12), 8) AS implied, count(*) OVER (PARTITION BY race_id) AS runners FROM market")
 def s4_bucketed(spark, sf_dir):
-    """Implied probabilities of each contest, from a table bucketed by contest: no exchange after the scan."""
+    """Implied probabilities of each contest, from a table bucketed by contest: no exchange after the scan. The last digit of a sum depends on the order
+    of rows, so shares are rounded to 12 places before they are to 8."""
     path = scan.fresh_path(spark, "bucketed")
     name = "runners_" + path[-32:]
     stored = io.write_bucketed(runners(spark, sf_dir).select(*KEYS, "race_dt", "odds_text"), name, path, "race_id", ["race_dt", "horse_id"], buckets=16)
     scaled = coerce.with_field_size(joins.with_market(stored)).withColumnRenamed("field_size", "runners")
-    return rounded(scaled.select(*KEYS, F.col("mkt_implied_raw").alias("raw"), F.col("mkt_implied").alias("implied"), "runners"), 8)
+    return rounded(scaled.select(*KEYS, F.col("mkt_implied_raw").alias("raw"), F.round("mkt_implied", 12).alias("implied"), "runners"), 8)
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, count(*)::BIGINT AS customers, 2::BIGINT AS copies FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL", base=False)
