@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldwise.functions.prices import clip_prob
 from fieldwise.operators.coerce import with_label
+from fieldwise.operators.guards import Guards, expected
 from fieldwise.operators.scan import with_prefix
 
 
@@ -184,13 +185,11 @@ def verdict(ci: DataFrame) -> DataFrame:
     return ci.withColumn("verdict", F.when(F.col("low") > 0, "profitable").when(F.col("high") < 0, "not profitable").otherwise("undecided"))
 
 
-def edges_from_pred(market: DataFrame, pred: DataFrame, column: str, keys: list[str], implied: str = "mkt_implied") -> DataFrame:
-    """Edges of predictions against the market; rows without either are dropped, and none left is an error."""
+def edges_from_pred(market: DataFrame, pred: DataFrame, column: str, keys: list[str], implied: str = "mkt_implied", guards: Guards | None = None) -> DataFrame:
+    """Edges of predictions against the market; rows without either are dropped, and none left is an error (see ``expected``)."""
     out = market.join(pred.select(*keys, F.col(column).alias("model_prob")), keys, "left")
     out = out.withColumn("edge", F.col("model_prob") - F.col(implied)).where(F.col("edge").isNotNull())
-    if out.limit(1).count() == 0:
-        raise ValueError("no prediction meets the market")
-    return out
+    return expected(guards, out, F.count(F.lit(1)) > 0, "no prediction meets the market")
 
 
 def load_bets(df: DataFrame, odds: str = "odds", won: str = "won", staked: str = "stake") -> DataFrame:

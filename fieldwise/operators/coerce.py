@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwise.functions.prices import finite, leading_rank, parse_fractional
+from fieldwise.operators.guards import Guards, expected
 
 TYPES = {"float": "double", "float32": "float", "int": "int", "int64": "long", "string": "string", "category": "string"}
 #: Words for a win, and columns that may hold a win or a place, in order. All other words mean none.
@@ -131,17 +132,15 @@ def with_label(df: DataFrame, candidates: list[str] | None = None, label: str =
     return df.withColumn(label, _readings(df, chosen[0])[chosen[1]][0].cast("int"))
 
 
-def extract_odds(df: DataFrame, keys=("race_id", "horse_id")) -> DataFrame:
-    """Keys and ``decimal_odds`` over 1 from the first decimal column there is, else the first fractional one; none left is an error."""
+def extract_odds(df: DataFrame, keys=("race_id", "horse_id"), guards: Guards | None = None) -> DataFrame:
+    """Keys and ``decimal_odds`` over 1 from the first decimal column there is, else the first fractional one; none left is an error (see ``expected``)."""
     decimal = next((c for c in DECIMAL_COLUMNS if c in df.columns), None)
     fractional = next((c for c in FRACTIONAL_COLUMNS if c in df.columns), None)
     if decimal is None and fractional is None:
         raise ValueError(f"no odds among {[*DECIMAL_COLUMNS, *FRACTIONAL_COLUMNS]}")
     price = finite(F.col(decimal).cast("string").try_cast("double")) if decimal else parse_fractional(F.col(fractional))
     out = df.select(*keys, price.alias("decimal_odds")).where("decimal_odds > 1")
-    if out.limit(1).count() == 0:
-        raise ValueError(f"no usable price in {decimal or fractional}")
-    return out
+    return expected(guards, out, F.count(F.lit(1)) > 0, f"no usable price in {decimal or fractional}")
 
 
 def with_position(df: DataFrame, group: str = "race_id", time: str = "completion_time") -> DataFrame:

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from fieldwise.functions.prices import coalesce_odds, implied_raw
 from fieldwise.operators.checks import check_unique
+from fieldwise.operators.guards import Guards, expected
 from fieldwise.operators.scan import carried_forward
 
 
-def join_m1(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Left join; the right side must be unique on the key."""
+def join_m1(left: DataFrame, right: DataFrame, on: list[str], guards: Guards | None = None) -> DataFrame:
+    """Left join; the right side must be unique on the key. With ``guards`` its keys are counted in the shuffle that the join makes anyway and
+    judged by ``guards.check`` after the action; without, in a pass of their own before it."""
+    if guards:
+        counted = right.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*on)))
+        return left.join(guards.expect(counted, F.max("__n") <= 1, f"right side repeats keys of {on}", unread=True).drop("__n"), on, "left")
     if examples := check_unique(right, on).limit(3).collect():
         raise ValueError(f"right side repeats keys, such as {examples}")
     return left.join(right, on, "left")
@@ -23,12 +28,12 @@ def normalize(df: DataFrame, prob: str, group: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(total > 0, F.col(prob) / total).otherwise(F.col(prob)))
 
 
-def attach_market(features: DataFrame, odds: DataFrame, keys=("race_id", "horse_id"), prefix: str = "mkt_") -> DataFrame:
+def attach_market(features: DataFrame, odds: DataFrame, keys=("race_id", "horse_id"), prefix: str = "mkt_", guards: Guards | None = None) -> DataFrame:
     """Prices, implied probabilities, and those scaled to 1 in each contest of the odds table."""
     priced = odds.select(*keys, coalesce_odds(F.col("odds_text"), F.col("odds_text")).alias("odds")).withColumn("raw", implied_raw(F.col("odds")))
     scaled = normalize(priced, "raw", keys[0], "implied")
     named = scaled.select(*keys, F.col("odds").alias(f"{prefix}odds_decimal"), F.col("raw").alias(f"{prefix}implied_raw"), F.col("implied").alias(f"{prefix}implied"))
-    return join_m1(features, named, list(keys))
+    return join_m1(features, named, list(keys), guards)
 
 
 def with_market(df: DataFrame, group: str = "race_id", prefix: str = "mkt_") -> DataFrame:
@@ -58,14 +63,14 @@ def snapshot_join(left: DataFrame, right: DataFrame, keys: list[str], suffix: st
     return left.join(right.select(*keys, *[F.col(c).alias(c + suffix) for c in right.columns if c not in keys]), keys, "left")
 
 
-def attach_labels(df: DataFrame, labels: DataFrame, keys: list[str], label: str = "won") -> DataFrame:
-    """Labels by trimmed, upper-cased keys; absent ones are 0, and none met at all is an error."""
+def attach_labels(df: DataFrame, labels: DataFrame, keys: list[str], label: str = "won", guards: Guards | None = None) -> DataFrame:
+    """Labels by trimmed, upper-cased keys; absent ones are 0, and none met at all is an error. Its rows are read once: see ``expected``."""
     clean = lambda d: [F.upper(F.trim(F.col(k).cast("string"))).alias(f"__{k}") for k in keys]
     known = labels.select(*clean(labels), F.col(label).alias("__label")).groupBy(*[f"__{k}" for k in keys]).agg(F.max("__label").alias("__label"))
     joined = df.select("*", *clean(df)).join(known, [f"__{k}" for k in keys], "left")
-    if joined.where("__label IS NOT NULL").limit(1).count() == 0 and df.limit(1).count():
-        raise ValueError("no row meets a label")
-    return joined.select(*df.columns, F.coalesce("__label", F.lit(0)).cast("int").alias(label))
+    met = (F.count("__label") > 0) | (F.count(F.lit(1)) == 0)
+    told = joined.select(*df.columns, F.coalesce("__label", F.lit(0)).cast("int").alias(label), F.col("__label"))
+    return expected(guards, told, met, "no row meets a label", unread=True).drop("__label")
 
 
 def join_for_metrics(pred: DataFrame, raw: DataFrame, keys: list[str], need: list[str]) -> DataFrame:
@@ -81,9 +86,9 @@ def attach_names(df: DataFrame, dims: dict[str, tuple]) -> DataFrame:
     return df
 
 
-def attach_context(df: DataFrame, raw: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def attach_context(df: DataFrame, raw: DataFrame, keys: list[str], columns: list[str], guards: Guards | None = None) -> DataFrame:
     """A contest's context; rows of ``raw`` that repeat it count once, and two different contexts for one contest are an error."""
-    return join_m1(df, raw.select(*keys, *columns).distinct(), keys)
+    return join_m1(df, raw.select(*keys, *columns).distinct(), keys, guards)
 
 
 def semi_mask(df: DataFrame, groups: DataFrame, key: str, name: str = "member") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwise.functions import prices
-from fieldwise.operators import betting, calibration, checks, coerce, features, joins, models, profile, ratings, scan, sets, splits
+from fieldwise.operators import betting, calibration, checks, coerce, features, guards, joins, models, profile, ratings, scan, sets, splits
 from fieldwise.plans.fixtures import RUNNERS_SQL, runners
 from fieldwise.sources import io
 
@@ -256,7 +256,8 @@ def o6_clip(spark, sf_dir):
 @query("SELECT r.race_id, r.horse_id, round(price, 8) AS odds, round(raw, 8) AS raw, round(implied, 8) AS implied FROM market r")
 def j1_j2_market(spark, sf_dir):
     base = runners(spark, sf_dir)
-    joined = joins.attach_market(base.select(*KEYS), base.select(*KEYS, "odds_text"))
+    own = guards.Guards()
+    joined = own.settled(joins.attach_market(base.select(*KEYS), base.select(*KEYS, "odds_text"), guards=own))
     return rounded(joined.select(*KEYS, F.col("mkt_odds_decimal").alias("odds"), F.col("mkt_implied_raw").alias("raw"), F.col("mkt_implied").alias("implied")), 8)
 
 
@@ -316,8 +317,8 @@ def j7_first_name(spark, sf_dir):
 
 @query("SELECT race_id, horse_id, course, going FROM runners")
 def j8_context(spark, sf_dir):
-    base = runners(spark, sf_dir)
-    return joins.attach_context(base.select(*KEYS), base, ["race_id"], ["course", "going"])
+    base, own = runners(spark, sf_dir), guards.Guards()
+    return own.settled(joins.attach_context(base.select(*KEYS), base, ["race_id"], ["course", "going"], own))
 
 
 @query("SELECT race_id, horse_id, bool_or(discipline = 'F') OVER (PARTITION BY race_id) AS member FROM runners")
