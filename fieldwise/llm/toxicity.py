@@ -3,7 +3,9 @@
 The kernel of two windows sums, over all triples of bytes that both hold in order within a span of ``SPAN`` bytes, the product
 of decayed weights (``DECAY`` for each byte spanned), is scaled to 1 for equal windows and raised to ``DEGREE``. A window
 is a word between two edge marks. Marks and digits inside it belong to no triple: they are gaps, as inserted characters are, which
-cost some decay and break no match. A run of three or more single letters is a window of its own as well.
+cost some decay and break no match. A run of three or more single letters is a window of its own as well. When texts are scored,
+two or three neighbouring words without their blanks are a window too, if they begin and end with the two bytes of a landmark of sentences labelled 1 and come
+as close as ``CLOSE`` to one: an insult cut by blanks. Less than that, words that meet by chance would count.
 
 A sentence counts as its worst window and a text as its worst sentence (a multiple-instance machine). Training uses a bounded sample of
 labelled rows, of which copies count once. Every sentence of a text labelled 0 is a negative example, standing for its worst window;
@@ -53,8 +55,10 @@ BENT, MOST, GOAL, BENT_GOAL = 4.0, 30, 3.0, 4.5
 ALTERED = 1.0
 #: The kernel (before it is raised) that an altered window has at least with its own.
 ALIKE = 0.6
-#: Bytes of a window that are looked at; longer ones are cut into pieces of so many.
-WIDEST = 64
+#: Bytes of a window that are looked at; longer ones are cut into pieces of so many, each of which has the last ``OVERLAP`` of the one before.
+WIDEST, OVERLAP = 64, 24
+#: The kernel (before it is raised) that neighbouring words, as one window, have at least with a landmark of sentences labelled 1.
+CLOSE = 0.8
 OFFSETS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 START, GAP, END = 1, 2, 3
 
@@ -164,8 +168,35 @@ class Model:
 
     def prepare(self) -> Model:
         self.near, self.memo = Landmarks(self.landmarks, self.toxic), {}
+        self.begins, self.ends = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        known = [w for w in self.landmarks[: self.toxic] if len(w) >= 3]
+        self.begins[[w[0] << 8 | w[1] for w in known]] = self.ends[[w[-2] << 8 | w[-1] for w in known]] = True
+        self.longest = max(map(len, known), default=0)
         return self
 
+    def cut(self, data: np.ndarray, words: tx.Spans) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold an insult cut by one or two blanks, and the margin of each such window."""
+        folded, low, high, row = FOLD[data], words.start.copy(), words.end.copy(), words.row
+        for _ in range(3):  # marks around words
+            low += (high - low > 1) & (folded[low] == GAP)
+            high -= (high - low > 1) & (folded[high - 1] == GAP)
+        pieces, texts = [], []
+        for n in (2, 3):
+            first = np.arange(max(len(low) - n + 1, 0))
+            first = first[(row[first] == row[first + n - 1]) & (high[first + n - 1] - low[first] <= self.longest + 2 * n)]
+            last = first + n - 1
+            second = np.where(high[first] - low[first] > 1, low[first] + 1, low[first + 1])
+            late = np.where(high[last] - low[last] > 1, high[last] - 2, high[last - 1] - 1)
+            code = lambda a, b: folded[a].astype(np.int32) << 8 | folded[b]
+            for i in first[self.begins[code(low[first], second)] & self.ends[code(late, high[last] - 1)]].tolist():
+                pieces.append(b"".join(folded[a:b].tobytes() for a, b in zip(low[i : i + n].tolist(), high[i : i + n].tolist())))
+                texts.append(row[i])
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(0)
+        found = self.near.of(pieces)
+        close = found[:, : self.toxic].max(axis=1) >= CLOSE**DEGREE
+        return np.array(texts)[close], found[close] @ self.direction + self.bias
+
     def scores(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.worst(column) + self.scale[1], -30, 30)))
 
@@ -176,7 +207,9 @@ class Model:
     def worst(self, column: pa.Array) -> np.ndarray:
         """The highest margin among each text's windows."""
         data, offsets = tx.raw(column)
-        data, start, end, row = windows(data, tx.word_spans(data, offsets))
+        words = tx.word_spans(data, offsets)
+        held, margin = self.cut(data, words)
+        data, start, end, row = windows(data, words)
         kind, first, back = np.unique(tx.span_hashes(FOLD[data], start, end), return_index=True, return_inverse=True)
         kind = kind.tolist()
         known = list(map(self.memo.get, kind))
@@ -188,6 +221,7 @@ class Model:
                 self.memo[kind[i]] = known[i] = m
         worst = np.full(len(offsets) - 1, self.bias)
         np.maximum.at(worst, row, np.array(known, np.float64)[back])
+        np.maximum.at(worst, held, margin)
         return worst
 
 
@@ -205,10 +239,10 @@ def windows(data: np.ndarray, words: tx.Spans) -> tuple[np.ndarray, np.ndarray,
         ends = len(data) + np.cumsum(sizes)
         data = np.concatenate([data, *(w for w, _ in runs)])
         start, end, row = np.concatenate([start, ends - sizes]), np.concatenate([end, ends]), np.concatenate([row, [r for _, r in runs]])
-    pieces = -(-(end - start) // WIDEST)
+    pieces = np.maximum(-(-(end - start - OVERLAP) // (WIDEST - OVERLAP)), 1)
     if pieces.max() > 1:
         step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start, end, row = np.repeat(start, pieces) + step * WIDEST, np.repeat(end, pieces), np.repeat(row, pieces)
+        start, end, row = np.repeat(start, pieces) + step * (WIDEST - OVERLAP), np.repeat(end, pieces), np.repeat(row, pieces)
         end = np.minimum(end, start + WIDEST)
     return data, start, end, row
 

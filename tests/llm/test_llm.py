@@ -203,6 +203,7 @@ def test_toxicity_of_altered_insults(spark):
     kinds = {
         "plain": lambda w, i: w, "mark": lambda w, i: w[:i] + "." + w[i:], "spaced": lambda w, i: " ".join(w), "capitals": lambda w, i: w.upper() + "!",
         "inserted": lambda w, i: w[:i] + letter() + w[i:], "doubled": lambda w, i: w[:i] + w[i - 1] + w[i:], "dropped": lambda w, i: w[:i] + w[i + 1 :], "masked": lambda w, i: w[:i] + "*" + w[i + 1 :],
+        "dashed": lambda w, i: "-".join(w), "cut": lambda w, i: w[:i] + " " + w[i:], "cut twice": lambda w, i: w[:1] + " " + w[1:3] + "  " + w[3:] + ".",
     }
     insults = "idiot moron scum clown trash pathetic worthless stupid loser disgusting".split()
     for name, change in kinds.items():
@@ -228,6 +229,12 @@ def brute_kernel(a, b):
     return dot(x, y) / max((dot(x, x) * dot(y, y)) ** 0.5, 1e-9)
 
 
+def joined_neighbours(words, longest):
+    """Two and three neighbouring words, without marks at their edges, as one."""
+    bare = [w.strip(b"\x02") or b"\x02" for w in words]
+    return [b"".join(bare[i : i + n]) for n in (2, 3) for i in range(len(bare) - n + 1) if sum(map(len, words[i : i + n])) + n - 1 <= longest + 2 * n]
+
+
 def test_toxicity_kernel_equals_a_double_loop():
     rng = np.random.default_rng(12)
     random_word = lambda: bytes(rng.choice(np.frombuffer(b"abcde\x02", np.uint8), rng.integers(2, 9)))
@@ -245,10 +252,26 @@ def test_toxicity_kernel_equals_a_double_loop():
     texts = [b" ".join(others[i : i + 5]).decode() for i in range(0, 150, 5)] + ["", "a i d i o t b"]
     worst = model.worst(pa.array(texts))
     for k in range(30):
-        assert worst[k] == pytest.approx(max(-1.0, model.margins(*toxicity.as_spans(others[5 * k : 5 * k + 5])).max()), abs=1e-5)
+        mine = others[5 * k : 5 * k + 5]
+        cut = [v for v in joined_neighbours(mine, max(map(len, marks))) if any(brute_kernel(v, m) >= toxicity.CLOSE for m in marks)
+               and any(v[:2] == m[:2] for m in marks if len(m) > 2) and any(v[-2:] == m[-2:] for m in marks if len(m) > 2)]
+        assert worst[k] == pytest.approx(max(-1.0, model.margins(*toxicity.as_spans(mine + cut)).max()), abs=1e-5)
     assert worst[30] == -1.0
 
 
+def test_insults_cut_by_blanks_or_in_long_words():
+    """Neighbouring words count together only where they come close to a landmark; a piece's end hides no landmark of ``OVERLAP`` bytes."""
+    model = toxicity.Model([b"worthless", b"idiot", b"wo"], 2, set(), set(), np.array([2.0, 2.0, 0.0], np.float32), -1.0, (1.0, 0.0)).prepare()
+    worst = lambda *texts: model.worst(pa.array(list(texts))).tolist()
+    assert worst("such an id iot!", "a (WORTH less) one", "wor th \n less", "i diot", "idio t") == pytest.approx([1.0] * 5, abs=0.1)
+    assert worst("id", "wo", "", None, "id riot", "ideas iot", "iot id", "id and iot", "worthy unless") == pytest.approx([-1.0] * 9, abs=0.35)
+    assert worst("id", "iot") == pytest.approx([-1.0, -1.0], abs=0.35)  # two texts do not meet
+    data, start, end, row = toxicity.windows(*(lambda d, o: (d, toxicity.tx.word_spans(d, o)))(*toxicity.tx.raw(pa.array(["x" * 1000, "ab"]))))
+    spans = [(a, b) for a, b, r in zip(start.tolist(), end.tolist(), row.tolist()) if r == 0]
+    assert max(b - a for a, b in spans) <= toxicity.WIDEST and spans[-1][1] == 1000 and len(start) == len(spans) + 1
+    assert all(any(a <= i and i + toxicity.OVERLAP <= b for a, b in spans) for i in range(1000 - toxicity.OVERLAP + 1))
+
+
 @pytest.mark.parametrize("weight", [1.0, 8.5, 500.0])
 def test_platt_finds_the_minimum(weight):
     rng = np.random.default_rng(4)
