@@ -27,8 +27,13 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+#: What a sum's last digits, which follow the order of its rows, may add to a bound.
+SLACK = 1e-12
+
+
 def check_prob_sum(df: DataFrame, group: str, prob: str, atol: float = 1e-6) -> DataFrame:
-    return df.groupBy(group).agg(F.sum(prob).alias("total")).where(F.col("total").isNull() | (F.abs(F.col("total") - 1) > atol))
+    """Groups without a sum, or whose sum is more than ``atol`` away from 1. A sum that stands on the bound is none, in whatever order its rows came."""
+    return df.groupBy(group).agg(F.sum(prob).alias("total")).where(F.col("total").isNull() | (F.abs(F.col("total") - 1) - atol > SLACK))
 
 
 def check_prob_table(df: DataFrame, group: str, entity: str, prob: str) -> DataFrame:

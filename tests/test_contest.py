@@ -413,3 +413,10 @@ def test_bucketed_table_needs_no_exchange(spark, sf_dir):
     made = q.QUERIES["s4_bucketed"](spark, sf_dir)
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" in plan and "Bucketed: true" in plan
+
+
+def test_a_sum_on_the_bound_is_no_violation_in_any_order(spark):
+    at = [1 / p for p in (2.0, 2.5, 7.5, 6.0)]
+    orders = {"up": at, "down": at[::-1], "over": [0.5, 0.5, 0.21], "under": [0.5, 0.29], "none": [None]}
+    rows = spark.createDataFrame([(g, p) for g, values in orders.items() for p in values], "g string, p double").coalesce(1)
+    assert sorted(r.g for r in checks.check_prob_sum(rows, "g", "p", 0.2).collect()) == ["none", "over", "under"]
