@@ -420,3 +420,17 @@ def test_a_sum_on_the_bound_is_no_violation_in_any_order(spark):
     orders = {"up": at, "down": at[::-1], "over": [0.5, 0.5, 0.21], "under": [0.5, 0.29], "none": [None]}
     rows = spark.createDataFrame([(g, p) for g, values in orders.items() for p in values], "g string, p double").coalesce(1)
     assert sorted(r.g for r in checks.check_prob_sum(rows, "g", "p", 0.2).collect()) == ["none", "over", "under"]
+
+
+def test_compound_path_does_not_depend_on_ranges(spark):
+    bets = spark.range(5000).select(F.col("id").alias("i"), ((F.col("id") * 37 % 101) / 101.0 * 0.6 + 0.2).alias("model_prob"), ((F.col("id") * 53 % 97) / 10.0 + 1.5).alias("mkt_odds_decimal"), (F.col("id") % 3 == 0).cast("int").alias("is_win"))
+    told = []
+    for partitions in ("1", "7"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            told.append([r.bankroll for r in betting.compound_path(bets, 0.01, 1000.0, ["i"]).orderBy("i").collect()])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert told[0] == told[1]
