@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwise.operators.scan import quantiles
+from fieldwise.operators.scan import durable, quantiles
 
 
 def summarize(df: DataFrame, group: str = "race_id", entities=("horse_id", "jockey_id", "trainer_id"), time: str = "race_dt") -> DataFrame:
@@ -34,9 +34,10 @@ def overround(df: DataFrame, odds: str = "odds", group: str = "race_id") -> Data
 
 
 def spread(df: DataFrame, column: str) -> DataFrame:
-    """Mean, median, tenth and ninetieth percentile (linear), and the count."""
-    cuts = quantiles(df, column, {"median": 0.5, "p10": 0.1, "p90": 0.9})
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean")).crossJoin(F.broadcast(cuts))
+    """Mean, median, tenth and ninetieth percentile (linear), and the count, all from one written column."""
+    rows = durable(df.select(column))
+    cuts = quantiles(rows, column, {"median": 0.5, "p10": 0.1, "p90": 0.9}, cheap=True)
+    return rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean")).crossJoin(F.broadcast(cuts))
 
 
 def overround_pct(table: DataFrame, column: str = "overround") -> DataFrame:
@@ -56,8 +57,9 @@ def coverage(df: DataFrame, entities=("horse_id", "jockey_id", "trainer_id"), ti
 
 
 def market_health(df: DataFrame, prob: str, odds: str, group: str = "race_id") -> DataFrame:
-    per = df.groupBy(group).agg(F.sum(prob).alias("total"), F.count(odds).alias("priced"))
-    rows = df.agg(F.count(F.lit(1)).alias("rows"), F.count(odds).alias("with_odds"), F.count(prob).alias("with_prob"))
+    per = durable(df.groupBy(group).agg(F.sum(prob).alias("total"), F.count(odds).alias("priced"), F.count(prob).alias("told"), F.count(F.lit(1)).alias("rows")).drop(group))
+    known = lambda c, name: F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(name)
+    rows = per.agg(known("rows", "rows"), known("priced", "with_odds"), known("told", "with_prob"))
     return rows.crossJoin(spread(per, "total").withColumnRenamed("n", "summed")).crossJoin(per.agg(F.count(F.lit(1)).alias("contests"), F.count_if(F.col("priced") == 0).alias("no_odds")))
 
 
@@ -85,15 +87,17 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def capped_hist(df: DataFrame, column: str, cap: float = 600.0, bins: int = 60) -> DataFrame:
-    limit = quantiles(df, column, {"__top": 0.995}).select(F.least(F.lit(cap), F.col("__top")).alias("__cap"))
+    """As ``histogram`` of values up to the cap or the 99.5 percentile, whichever is less; the column is written once."""
+    df = durable(df.select(column))
+    limit = quantiles(df, column, {"__top": 0.995}, cheap=True).select(F.least(F.lit(cap), F.col("__top")).alias("__cap"))
     return histogram(df.crossJoin(F.broadcast(limit)).withColumn(column, F.least(column, "__cap")), column, bins)
 
 
 def overround_hist(df: DataFrame, column: str = "overround", low: float = 0.9, high: float = 1.5, width: float = 0.01) -> DataFrame:
     """Counts in bins of a fixed width, and the window between the 0.5 and 99.5 percentiles of all values as ``low`` and ``high``. Values are rounded to nine
     places first, since a sum's last bits follow the order of its rows: many stand on an edge."""
-    value = F.round(column, 9)
-    window = quantiles(df.select(value.alias("o")), "o", {"low": 0.005, "high": 0.995})
+    df, value = durable(df.select(F.round(column, 9).alias("o"))), F.col("o")
+    window = quantiles(df, "o", {"low": 0.005, "high": 0.995}, cheap=True)
     at = F.least(F.floor(F.round((value - low) / width, 6)), F.lit(round((high - low) / width) - 1)).cast("int")
     return df.where(value.between(low, high)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(window))
 
