@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from fieldwise.functions.prices import rank_score
 from fieldwise.operators.features import DAY_US, ERA, TIES, decayed_sum, expanding_mean, micros
-from fieldwise.operators.scan import dealt, in_part
+from fieldwise.operators.scan import dealt, durable, in_part
 
+#: Rows of one day that one task sorts and adds up; with more of them, ranges split days.
+MOST_OF_A_DAY = 2_000_000
 BLEND = {"horse_elo": 0.5, "horse_eb": 0.2, "jockey_elo": 0.15, "trainer_elo": 0.15}
 
 
@@ -48,20 +50,31 @@ def decayed_z(df: DataFrame, time: str, columns: list[str], half_life: float = 1
     and the variance is spread / weight, 1e-9 at least. So two global prefix scans give every row's score, and
     no task sees more than its range. Null and non-finite values count as 0. Ages are rebased in eras of half ``ERA`` half-lives: scans
     run inside an era, and what the era before gave is added, faded; older rows weigh less than a double can add to. Rows with a null time
-    come first and score null. The rows are dealt once: both scans run over the same ranges, each range and era with the totals before it.
+    come first and score null. The rows are written once. Both scans run over the same ranges, each range and era with the totals before it: days, or
+    ranges of rows where a day holds more than ``MOST_OF_A_DAY``.
     """
-    held = [F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(0.0).alias(f"__x{i}") for i, c in enumerate(columns)]
-    first = df.agg(F.min(micros(time)).alias("__first"))
-    age, span = (micros(time) - F.col("__first")) / F.lit(float(DAY_US)) / F.lit(float(half_life)), ERA // 2
-    numbered, group = range(len(columns)), ["__part", "__era"]
-    rows = df.crossJoin(F.broadcast(first)).select("*", *held, age.alias("__whole")).drop("__first")
-    rows = rows.withColumn("__era", F.coalesce(F.floor(F.col("__whole") / span).cast("int"), F.lit(-1))).withColumn("__age", F.col("__whole") - F.col("__era") * span)
-    rows = dealt(rows, ["__era", "__age", *order])
-    rows = rows.withColumn("__up", F.pow(F.lit(2.0), "__age")).withColumns({f"__u{i}": F.col(f"__x{i}") * F.col("__up") * F.col("__up") for i in numbered})
-
-    def faded(table: DataFrame, sums: dict[str, str], powers: dict[str, int], start: dict[str, float]) -> DataFrame:
-        """Adds prefix sums inside eras, with what the era before holds at its end and, in the first era, the start."""
-        totals = table.groupBy(*group).agg(*[F.sum(c).alias(o) for o, c in sums.items()])
+    span, numbered, group = ERA // 2, range(len(columns)), ["__part", "__era"]
+    stored = durable(df)
+    day = F.coalesce(F.floor(micros(time) / F.lit(float(DAY_US))).cast("int"), F.lit(-(2**31)))
+    first = stored.agg(F.min(micros(time)).alias("__first"))
+    longest = stored.groupBy(day).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+    def aged(table: DataFrame) -> DataFrame:
+        held = [F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(0.0).alias(f"__x{i}") for i, c in enumerate(columns)]
+        age = (micros(time) - F.col("__first")) / F.lit(float(DAY_US)) / F.lit(float(half_life))
+        rows = table.crossJoin(F.broadcast(first)).select("*", *held, age.alias("__whole")).drop("__first")
+        rows = rows.withColumn("__era", F.coalesce(F.floor(F.col("__whole") / span).cast("int"), F.lit(-1))).withColumn("__age", F.col("__whole") - F.col("__era") * span)
+        return rows.withColumn("__up", F.pow(F.lit(2.0), "__age")).withColumns({f"__u{i}": F.col(f"__x{i}") * F.col("__up") * F.col("__up") for i in numbered})
+
+    if longest <= MOST_OF_A_DAY:  # days are ranges that need no dealing: the narrow rows are shuffled once
+        counted = aged(stored.withColumn("__part", day))
+        rows = aged(stored.withColumn("__part", day).repartition("__part"))
+    else:
+        rows = counted = aged(dealt(stored, [time, *order], cheap=True))
+
+    def faded(table: DataFrame, source: DataFrame, sums: dict[str, str], powers: dict[str, int], start: dict[str, float]) -> DataFrame:
+        """Adds prefix sums inside eras, with what the era before holds at its end and, in the first era, the start. ``source`` holds the same rows for the totals."""
+        totals = source.groupBy(*group).agg(*[F.sum(c).alias(o) for o, c in sums.items()])
         eras = totals.groupBy((F.col("__era") + 1).alias("__era")).agg(*[(F.sum(o) * F.pow(F.lit(2.0), F.lit(-span * powers[o]))).alias(f"__c{o}") for o in sums])
         before = Window.partitionBy("__era").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         begun = {o: F.lit(start.get(o, 0.0)) * F.pow(F.lit(2.0), F.lit(-span) * F.col("__era").cast("double")) for o in sums}
@@ -71,22 +84,23 @@ def decayed_z(df: DataFrame, time: str, columns: list[str], half_life: float = 1
         joined = in_part(table, offsets, ["__era"])  # a row for each range and each era
         return joined.withColumns({o: F.col(f"__o{o}") + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for o, c in sums.items()}).drop(*[f"__o{o}" for o in sums])
 
-    rows = faded(rows, {"__w": "__up"} | {f"__s{i}": f"__u{i}" for i in numbered}, {"__w": 1} | {f"__s{i}": 2 for i in numbered}, {"__w": 1e-6})
+    rows = faded(rows, counted, {"__w": "__up"} | {f"__s{i}": f"__u{i}" for i in numbered}, {"__w": 1} | {f"__s{i}": 2 for i in numbered}, {"__w": 1e-6})
     rows = rows.withColumn("__w", F.col("__w") / F.col("__up"))
     rows = rows.withColumns({f"__d{i}": F.col(f"__x{i}") - F.col(f"__s{i}") / (F.col("__up") * F.col("__up")) / F.greatest(F.col("__w"), F.lit(1e-300)) for i in numbered})
     rows = rows.withColumns({f"__g{i}": F.col(f"__d{i}") * F.col(f"__d{i}") * F.col("__w") / (F.col("__w") + 1) * F.col("__up") for i in numbered})
-    rows = faded(rows, {f"__m{i}": f"__g{i}" for i in numbered}, {f"__m{i}": 1 for i in numbered}, {f"__m{i}": 1.0 for i in numbered})
+    rows = faded(rows, rows, {f"__m{i}": f"__g{i}" for i in numbered}, {f"__m{i}": 1 for i in numbered}, {f"__m{i}": 1.0 for i in numbered})
     spread = lambda i: F.col(f"__m{i}") / F.col("__up") / F.greatest(F.col("__w"), F.lit(1e-6))
     score = lambda i: F.when(F.col("__whole").isNotNull(), F.col(f"__d{i}") / F.sqrt(F.greatest(spread(i), F.lit(1e-9))))
     return rows.select(*df.columns, *[score(i).alias(f"{c}_z") for i, c in enumerate(columns)])
 
 
 def blended_ratings(df: DataFrame, time: str = "race_dt", half_life: float = 180.0, weights: dict[str, float] | None = None, ties=TIES) -> DataFrame:
-    """Keys, the four ratings before each row, their decayed z-scores, and the scores' weighted sum."""
+    """Keys, the four ratings before each row, their decayed z-scores, and the scores' weighted sum. The rows are written once, since the
+    ratings need the mean of all of them too."""
     weights = weights or BLEND
-    rated = df.select("race_id", time, "horse_id", "jockey_id", "trainer_id", "field_size", "pos", "is_win")
-    for entity in ("horse", "jockey", "trainer"):
+    rated = durable(df.select("race_id", time, "horse_id", "jockey_id", "trainer_id", "field_size", "pos", "is_win"))
+    rated = eb(elo(rated, "horse_id", time, "horse_elo", ties=ties), "horse_id", time, "horse_eb", ties=ties)
+    for entity in ("jockey", "trainer"):
         rated = elo(rated, f"{entity}_id", time, f"{entity}_elo", ties=ties)
-    rated = eb(rated, "horse_id", time, "horse_eb", ties=ties).drop("field_size", "pos", "is_win")
-    scored = decayed_z(rated, time, list(weights), half_life, ties)
+    scored = decayed_z(rated.drop("field_size", "pos", "is_win"), time, list(weights), half_life, ties)
     return scored.withColumn("rating_blend", sum((w * F.col(f"{c}_z") for c, w in weights.items()), F.lit(0.0)))
