@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwise.operators.scan import with_prefix
+from fieldwise.operators.scan import durable, with_prefix
 
 
 def order_groups(df: DataFrame, group: str, time: str) -> DataFrame:
-    """One row per contest with its place from 0 in the order of first time, then key; and the number of contests."""
-    firsts = df.groupBy(group).agg(F.min(time).alias("first_time"))
-    placed = with_prefix(firsts, ["first_time", group], {"__at": "*"}).withColumn("place", F.col("__at") - 1).drop("__at")
+    """One row per contest with its place from 0 in the order of first time, then key; and the number of contests. Contests are written once."""
+    firsts = durable(df.groupBy(group).agg(F.min(time).alias("first_time")))
+    placed = with_prefix(firsts, ["first_time", group], {"__at": "*"}, cheap=True).withColumn("place", F.col("__at") - 1).drop("__at")
     return placed.crossJoin(F.broadcast(firsts.agg(F.count(F.lit(1)).alias("groups"))))
 
 

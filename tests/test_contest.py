@@ -434,3 +434,70 @@ def test_compound_path_does_not_depend_on_ranges(spark):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert told[0] == told[1]
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lines_are_shuffled_twice(spark, sf_dir):
+    """By part and by contest; orders by contest: the windows by contest need no more (parts, customers and suppliers are small here)."""
+    assert _exchanges(joins.with_market(q.runners(spark, sf_dir))) <= 3
+
+
+def test_decayed_sums_take_one_shuffle(spark):
+    assert _exchanges(features.decayed_sum(_contests(spark), ["horse_id"], "race_dt", {"s": "is_win"}, 90.0)) == 1
+
+
+def _writes(monkeypatch, *modules):
+    made = []
+    real = scan.durable
+
+    def counted(df):
+        made.append(df.columns)
+        return real(df)
+
+    for m in modules:
+        monkeypatch.setattr(m, "durable", counted)
+    return made
+
+
+def test_quantiles_and_histograms_write_their_column_once(spark, monkeypatch):
+    from fieldwise.operators import profile
+
+    made = _writes(monkeypatch, scan, profile, models)
+    df = spark.range(1000).select((F.col("id") / 7.0).alias("v"), (F.col("id") % 2).cast("int").alias("y"), F.lit("x").alias("wide"))
+    for run, columns in ((lambda: profile.spread(df, "v"), ["v"]), (lambda: profile.capped_hist(df, "v"), ["v"]), (lambda: profile.overround_hist(df, "v"), ["o"]), (lambda: models.quantile_reliability(df, "v", "y"), ["v", "y"])):
+        made.clear()
+        assert run().count() > 0
+        assert made == [columns]
+
+
+def test_hot_rolling_frames_hold_a_row_for_each_time(spark, monkeypatch):
+    """500 rows on each of ten days, nulls among entities, times and flags: equal to plain windows, from 20 rows and those without a time."""
+    held = []
+    real = features.with_halo
+    monkeypatch.setattr(features, "with_halo", lambda df, *a: held.append(df.count()) or real(df, *a))
+    rows = spark.range(5000).selectExpr("id", "if(id % 50 = 0, null, id % 2) AS who", "if(id % 77 = 0, null, timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 10 AS int) * 30)) AS ts", "if(id % 13 = 0, null, cast(id % 3 = 0 AS int)) AS won")
+    plain, hot = (sorted(map(str, features.rolling_form(rows, "who", "ts", ["won"], (90, 180), hot=h).collect())) for h in (False, True))
+    assert plain == hot and held[0] <= 33
+
+
+def test_a_sweep_shuffles_edges_once(spark):
+    edges = spark.createDataFrame([("c", "r", "h", 0.1, 3.0, 0.4, 1)], "calibration string, race_id string, horse_id string, edge double, mkt_odds_decimal double, model_prob double, is_win int")
+    grid = spark.createDataFrame([("a", 0.0, 10.0, 1), ("b", 0.05, 20.0, 2)], "family string, threshold double, cap double, top int")
+    assert edges.count() == 1
+    plan = betting.ranked_once(edges, grid, ["calibration"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(race_id" in plan and "hashpartitioning(calibration" not in plan
+    made = {r.family: r for r in betting.fraction_sweep(edges, grid, (0.0, 0.5)).where("fraction = 0.5").collect()}
+    assert made["a"].bets == 1 and made["a"].contests == 1 and made["b"].hit_rate == 1.0 and made["b"].mean_odds == 3.0
+
+
+@pytest.mark.parametrize("most", [1, 2_000_000])
+def test_decayed_z_by_days_or_ranges(spark, monkeypatch, most):
+    rows = spark.range(300).selectExpr("cast(id AS string) AS race_id", "'h' AS horse_id", "if(id % 40 = 0, null, timestamp'2020-01-01' + make_dt_interval(cast(id % 7 AS int), cast(id % 5 AS int))) AS ts", "cast(id * 37 % 101 AS double) AS a")
+    monkeypatch.setattr(ratings, "MOST_OF_A_DAY", 10**9)
+    want = {r.race_id: r.a_z for r in ratings.decayed_z(rows, "ts", ["a"]).collect()}
+    monkeypatch.setattr(ratings, "MOST_OF_A_DAY", most)
+    for r in ratings.decayed_z(rows, "ts", ["a"]).collect():
+        assert r.a_z == (None if want[r.race_id] is None else pytest.approx(want[r.race_id], rel=1e-9, abs=1e-9))
