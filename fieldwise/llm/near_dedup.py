@@ -21,9 +21,10 @@ parities of the whole set are never further apart than the sets themselves, so t
 ``FOLD`` shingles fold a sample of them, again with five standard deviations of room.
 
 Scale: counts and smallest members are combined before shuffles, joins on hot keys can be split by adaptive
-execution, comparisons with one leader are dealt over salts. Full sets are written once, for one row of each class
-that shares a band with another, found by a join on ids and text digests; nothing else of the text is kept. Tables of
-earlier steps are removed when no later step reads them.
+execution, comparisons with one leader are dealt over salts. Signatures are shuffled once, where rows form classes; later steps
+take the sketches of those classes alone that share a band with another. Full sets are written once, for one row of
+each of these, found by a join on ids and text digests; a filter of bits drops other texts before that join shuffles them, and nothing
+else of the text is kept. Tables of earlier steps are removed when no later step reads them.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are kept; fewer
 words than ``words`` form one shingle; every row is given, repeated ones too; rows with a null doc_id take part as others
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwise.llm import text as tx
-from fieldwise.llm.common import discard, packed, places, stored
+from fieldwise.llm.common import among, discard, packed, places, stored
 from fieldwise.llm.components import connected_components
 
 SKETCH_BITS = 512
@@ -139,18 +140,24 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(size), pa.array(class_a), pa.array(class_b), lists(keys), lists(odd), pa.array(np.append(level, 0)[at]), lists(parity)], names=["doc_id", "mark", *CLASS, "keys", "odd", "level", "parity"])
 
     described = stored(texts.mapInArrow(describe, "doc_id long, mark binary, n_shingles long, class_a long, class_b long, keys array<long>, odd array<long>, level long, parity array<long>"))
-    some = described.where("n_shingles > 0")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first")
-    classes = stored(some.groupBy(*CLASS).agg(F.min("doc_id").alias("least"), first).withColumn("rep", F.monotonically_increasing_id()))
-    told = classes.select("rep", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), *CLASS)
-    its_first = (F.col("mark") == F.col("first_mark")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    reps = stored(some.join(told, CLASS).where(its_first).select("rep", "keys", "n_shingles", "level", "odd", "parity").dropDuplicates(["rep"]))
+    about = ["n_shingles", "level", "odd", "parity"]
+    signed = ["keys", *about[1:]]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", *signed)).alias("row")
+    reps = described.where("n_shingles > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("least"), first)
+    its_first = F.struct("row.no_id", "row.doc_id", "row.mark").alias("first")
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("rep"), *CLASS, "least", its_first, *[f"row.{c}" for c in signed]))
+    rows = stored(described.select("doc_id", "mark", *CLASS))
+    discard(described)
+    classes = stored(reps.select("rep", *CLASS, "least", "first"))
 
     buckets = reps.select("rep", F.explode("keys").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
     filled = stored(buckets.join(heads, "bucket"))
-    about = ["n_shingles", "level", "odd", "parity"]
-    sketch = reps.select("rep", *about)
+    # what later steps read of classes that share a band with another
+    told = reps.select("rep", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), *about)
+    shared = stored(told.join(filled.select("rep").distinct(), "rep"))
+    discard(reps)
+    sketch = shared.select("rep", *about)
     side = lambda x: sketch.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in about])
     apart = lambda c, n: sum((F.bit_count(F.col(f"{c}_a")[i].bitwiseXOR(F.col(f"{c}_b")[i])) for i in range(n // 64)), F.lit(0))
     most = (F.col("n_shingles_a") + F.col("n_shingles_b")) * F.lit((100 - percent) / (100 + percent))
@@ -164,7 +171,8 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30,
 
     stars = stored(similar(filled.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()))
     # full sets, once, of classes that share a band with another
-    wanted = filled.select("rep").distinct().join(told, "rep").select("rep", "first_id", "first_mark")
+    wanted = shared.select("rep", "first_id", "first_mark")
+    its_text = (F.col("mark") == F.col("first_mark")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # repeated rows give one set for each task
@@ -174,7 +182,8 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30,
                 shingles, begin = shingle_sets(part.column("text"), words)
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((begin * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(shingles))]).cast(pa.binary())], names=["rep", "shingles"])
 
-    sets = stored(texts.join(wanted, its_first).select("rep", "text").mapInArrow(as_sets, "rep long, shingles binary"))
+    near = among(texts, ["doc_id", "mark"], wanted.select("first_id", "first_mark"))
+    sets = stored(near.join(wanted, its_text).select("rep", "text").mapInArrow(as_sets, "rep long, shingles binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets meet the bound. Each group is one a (or a salt of it): its set comes
@@ -207,7 +216,7 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30,
     parts = connected_components(links)
 
     # pairs of one bucket that stars left apart
-    tables, tested, limit = [reps, filled, stars, sets, links], stars, 2
+    tables, tested, limit = [shared, filled, stars, sets, links], stars, 2
     while True:
         named = partners(filled.where("members > 2"), parts, sketch, limit, block, fits, percent)
         fresh = stored(named.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
@@ -225,7 +234,7 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30,
         limit *= 4
     discard(*tables)
     numbered = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return described.select("doc_id", "mark", *CLASS), numbered.select(*CLASS, "least", "first", F.coalesce("component", "rep").alias("component"))
+    return rows, numbered.select(*CLASS, "least", "first", F.coalesce("component", "rep").alias("component"))
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:

@@ -3,10 +3,12 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldwise.llm import exact_dedup, mixing, near_dedup
+from fieldwise.llm.common import among, discard, stored
 
 STAGES = {"exact": exact_dedup.deduplicate, "near": near_dedup.deduplicate, "mix": mixing.mixed_documents}
 
@@ -46,3 +48,35 @@ def test_whole_rows_are_shuffled_once(name, spark, rows):
     shuffles = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", plan)
     assert len([s for s in shuffles if re.search(r"\brow#", s)]) == 1
     assert not [s for s in shuffles if re.search(r"\btext#", s)]
+
+
+@pytest.mark.parametrize("most_words", [1, 1 << 21])
+def test_a_filter_of_bits_loses_no_wanted_row(most_words, spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("word"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("bits"), "id")
+    wanted = rows.where("id % 20 = 0").select(F.col("word").alias("a"), F.col("bits").alias("b"))
+    left = {r.id for r in among(rows, ["word", "bits"], wanted, most_words=most_words).select("id").collect()}
+    assert left >= set(range(0, 20_000, 20))
+    assert most_words == 1 or len(left) < 4_000
+    assert not among(rows, ["word", "bits"], wanted.limit(0)).count()
+
+
+def test_near_dedup_shuffles_no_text_that_shares_no_band(spark):
+    rng = np.random.default_rng(21)
+    texts = [" ".join(f"{x:08x}" for x in rng.integers(0, 2**32, 4000)) for _ in range(100)]
+    texts[1] = texts[0] + " end"
+    docs = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        kept = {r.doc_id for r in near_dedup.near_dedup(docs, words=3, percent=85).where("kept").collect()}
+        assert kept == set(range(100)) - {1}
+        assert shuffled() - before < sum(map(len, texts)) / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        discard(docs)
