@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwise.llm import text as tx
-from fieldwise.llm.common import families, labelled_sample
+from fieldwise.llm.common import families, labelled_sample, map_texts
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -257,7 +257,7 @@ def line_quality(docs: DataFrame, crf: Crf, keep: list[str]) -> DataFrame:
                 made = judge_part(part.column("text"), crf)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(made[c]) for c in names], names=[f.name for f in schema])
 
-    return docs.select(*only_text).mapInArrow(judge, schema)
+    return map_texts(docs.select(*only_text), judge, schema)
 
 
 def good_documents(docs: DataFrame, crf: Crf) -> DataFrame:
@@ -268,7 +268,7 @@ def good_documents(docs: DataFrame, crf: Crf) -> DataFrame:
             for part in tx.slices(batch):
                 yield part.filter(pa.array(judge_part(part.column("text"), crf)["kept"]))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return map_texts(docs, choose, docs.schema)
 
 
 def mark_lines(docs: DataFrame, crf: Crf) -> DataFrame:
@@ -282,4 +282,4 @@ def mark_lines(docs: DataFrame, crf: Crf) -> DataFrame:
                 rows = [(i, k, s, m) for i, t, path in zip(part.column("doc_id").to_pylist(), texts, marks) for k, (s, m) in enumerate(zip(t.split("\n"), path))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["doc_id", "line", "content", "is_content"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lines, "doc_id long, line long, content string, is_content boolean")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lines, "doc_id long, line long, content string, is_content boolean")

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwise.llm import text as tx
-from fieldwise.llm.common import among, discard, packed, places, stored
+from fieldwise.llm.common import among, discard, map_texts, packed, places, stored
 from fieldwise.llm.components import connected_components
 
 SKETCH_BITS = 512
@@ -139,7 +139,7 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30,
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.view(np.int64).ravel())).take(pa.array(where, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(size), pa.array(class_a), pa.array(class_b), lists(keys), lists(odd), pa.array(np.append(level, 0)[at]), lists(parity)], names=["doc_id", "mark", *CLASS, "keys", "odd", "level", "parity"])
 
-    described = stored(texts.mapInArrow(describe, "doc_id long, mark binary, n_shingles long, class_a long, class_b long, keys array<long>, odd array<long>, level long, parity array<long>"))
+    described = stored(map_texts(texts, describe, "doc_id long, mark binary, n_shingles long, class_a long, class_b long, keys array<long>, odd array<long>, level long, parity array<long>"))
     about = ["n_shingles", "level", "odd", "parity"]
     signed = ["keys", *about[1:]]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", *signed)).alias("row")
@@ -183,7 +183,7 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30,
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((begin * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(shingles))]).cast(pa.binary())], names=["rep", "shingles"])
 
     near = among(texts, ["doc_id", "mark"], wanted.select("first_id", "first_mark"))
-    sets = stored(near.join(wanted, its_text).select("rep", "text").mapInArrow(as_sets, "rep long, shingles binary"))
+    sets = stored(map_texts(near.join(wanted, its_text).select("rep", "text"), as_sets, "rep long, shingles binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets meet the bound. Each group is one a (or a salt of it): its set comes
@@ -210,7 +210,7 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))], names=["a", "b"])
 
         dealt = heads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return dealt.mapInArrow(compare, "a long, b long")
+        return map_texts(dealt, compare, "a long, b long")
 
     links = stored(confirmed(stars))
     parts = connected_components(links)

@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwise.llm import text as tx
+from fieldwise.llm.common import map_texts
 
-#: A worker forgets the words it did not meet again once it has met so many others.
-MEMO = 600_000
+#: A worker that remembers twice as many words keeps so many, those it met most often.
+MEMO = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -129,7 +130,8 @@ class Words(dict):
     """Numbers of white-space separated words, and each word's token ids.
 
     The vocabulary's pieces never span white space, so a text's ids are its words' ids in turn.
-    Unknown words get the next number and are tokenized together, as one text. At most twice ``MEMO`` words and a slice's are remembered.
+    Unknown words get the next number and are tokenized together, as one text. At most twice ``MEMO`` words and a slice's are remembered;
+    what is forgotten is tokenized anew.
     """
 
     def __init__(self, path: str):
@@ -142,15 +144,15 @@ class Words(dict):
         if (steps[0].get("type"), steps[0].get("behavior"), steps[0].get("invert")) != ("Split", "Removed", True) or "\\s]" not in steps[0]["pattern"]["Regex"].replace("\\s\\p{L}\\p{N}]", "\\s]"):
             raise ValueError("this vocabulary's pieces may span white space")
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends, self.ids, self.new, self.met = np.zeros(1, np.int64), np.zeros(0, np.uint32), [], np.zeros(0, bool)
+        self.ends, self.ids, self.new, self.met = np.zeros(1, np.int64), np.zeros(0, np.uint32), [], np.zeros(0, np.int64)
 
     def forget(self) -> None:
-        """Keep the words met since the last time; none of them counts as met from now on."""
-        keep, words = np.flatnonzero(self.met), list(self)
+        """Keep the ``MEMO`` words met most often; what they were met before counts by half from now on."""
+        keep, words = np.sort(np.argpartition(-self.met, MEMO)[:MEMO]), list(self)
         size = np.diff(self.ends)[keep]
         ends = np.concatenate([[0], np.cumsum(size)])
         self.ids = self.ids[np.arange(ends[-1]) + np.repeat(self.ends[keep] - ends[:-1], size)]
-        self.ends, self.met = ends, np.zeros(len(keep), bool)
+        self.ends, self.met = ends, self.met[keep] // 2
         self.clear()
         self.update((words[i], n) for n, i in enumerate(keep.tolist()))
 
@@ -174,15 +176,14 @@ class Words(dict):
             self.ids = np.concatenate(found)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if np.count_nonzero(self.met) > MEMO:
+        if len(self) > 2 * MEMO:
             self.forget()
         split = [t.split() for t in texts]
         counts = np.cumsum([0, *map(len, split)])
         k = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts[-1]))
         if self.new:
             self.learn()
-        self.met = np.concatenate([self.met, np.zeros(len(self) - len(self.met), bool)])
-        self.met[k] = True
+        self.met = np.bincount(k, minlength=len(self)) + np.pad(self.met, (0, len(self) - len(self.met)))
         size = self.ends[k + 1] - self.ends[k]
         upto = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.arange(upto[-1]) + np.repeat(self.ends[k] - upto[:-1], size)]
@@ -245,4 +246,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, max_tokens
         if names:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(place, PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), place, PIECES)

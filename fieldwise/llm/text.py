@@ -28,7 +28,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
     if len(_powers[name]) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        steps = np.full(max(n, 1 << 19), base, dtype=np.uint64)
         steps[0] = 1
         _powers[name] = np.multiply.accumulate(steps)
     return _powers[name][:n]
@@ -41,7 +41,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of ``batch`` whose texts come to about ``size`` bytes, one row at least."""
     if batch.num_rows == 0:
         return
