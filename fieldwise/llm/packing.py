@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from fieldwise.llm.common import map_texts
 
 #: A worker that remembers twice as many words keeps so many, those it met most often.
 MEMO = 300_000
+#: Bytes of texts whose distinct words are looked up together.
+SLICE = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -126,11 +129,32 @@ def powers(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int, int, in
     return out
 
 
+#: How ``Words`` takes words apart itself: the file's own steps, which it does for words of printable ASCII (but ``<``, with which special tokens begin)
+#: and Latin-1 letters. These have one form in NFC and one lower case each, in every version of Unicode. All other words go to the library.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+SUFFIX = "</w>"
+NOT_PLAIN = re.compile("[^ -;=-~À-ÖØ-öø-ÿ]")
+#: Pieces of lower-cased plain words, whose letters beyond ASCII are written as the two characters that stand for their bytes.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\uffff]+|[0-9]|[!-/:-@\\[-`{-~]+| ")
+
+
+def room(values: np.ndarray, n: int) -> np.ndarray:
+    """``values`` with room for ``n``, at least twice as much as before where it does not suffice."""
+    return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
+
+
 class Words(dict):
     """Numbers of white-space separated words, and each word's token ids.
 
     The vocabulary's pieces never span white space, so a text's ids are its words' ids in turn.
-    Unknown words get the next number and are tokenized together, as one text. At most twice ``MEMO`` words and a slice's are remembered;
+    Each distinct word of a slice is looked up once. Unknown ones get the next numbers: plain ones are taken apart here and their pieces given to the
+    library's model, others are tokenized together by the library, as one text. At most twice ``MEMO`` words and a slice's are remembered;
     what is forgotten is tokenized anew.
     """
 
@@ -138,56 +162,101 @@ class Words(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"].get("pretokenizers", [{}])
+            made = json.load(f)
+        steps = made["pre_tokenizer"].get("pretokenizers", [{}])
         if (steps[0].get("type"), steps[0].get("behavior"), steps[0].get("invert")) != ("Split", "Removed", True) or "\\s]" not in steps[0]["pattern"]["Regex"].replace("\\s\\p{L}\\p{N}]", "\\s]"):
             raise ValueError("this vocabulary's pieces may span white space")
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends, self.ids, self.new, self.met = np.zeros(1, np.int64), np.zeros(0, np.uint32), [], np.zeros(0, np.int64)
+        self.same = all(made.get(k) == v for k, v in STEPS.items()) and made["model"].get("end_of_word_suffix") == SUFFIX and all("<" in t["content"] for t in made["added_tokens"])
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = [(c, byte_level.pre_tokenize_str(c)[0][0]) for c in map(chr, range(0xDF, 0x100)) if c.isalpha()]
+        self.pieces = Tokenizer(self.tokenizer.model)  # the same model, not a copy
+        self.pieces.pre_tokenizer = WhitespaceSplit()
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in made["model"]["vocab"].items() if token.endswith(SUFFIX)]] = True
+        # the numbers of ends, ids and met that are in use follow from the number of words
+        self.ends, self.ids, self.met = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """Keep the ``MEMO`` words met most often; what they were met before counts by half from now on."""
-        keep, words = np.sort(np.argpartition(-self.met, MEMO)[:MEMO]), list(self)
-        size = np.diff(self.ends)[keep]
+        n, words = len(self), list(self)
+        keep = np.sort(np.argpartition(-self.met[:n], MEMO)[:MEMO])
+        size = np.diff(self.ends[: n + 1])[keep]
         ends = np.concatenate([[0], np.cumsum(size)])
         self.ids = self.ids[np.arange(ends[-1]) + np.repeat(self.ends[keep] - ends[:-1], size)]
         self.ends, self.met = ends, self.met[keep] // 2
         self.clear()
         self.update((words[i], n) for n, i in enumerate(keep.tolist()))
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-    def learn(self) -> None:
-        words, self.new = [w.decode() for w in self.new], []
-        found, sizes = [self.ids], []
+    def plain_ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of plain words, each followed by a blank, and where each word's end."""
+        text = text.lower()
+        for letter, written in self.letters:
+            text = text.replace(letter, written)
+        pieces = PIECE.findall(text)
+        ids = np.array(self.pieces.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        blank = np.array([p == " " for p in pieces], bool)
+        ends = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])  # of pieces: their last tokens, and no others, have the suffix
+        if len(ends) - 1 != len(pieces) - blank.sum():
+            raise ValueError("a piece's tokens do not end with the suffix")
+        return ids, ends[np.cumsum(~blank)[blank]]
+
+    def other_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any words, by the library."""
+        ids, ends = [], []
         for i in range(0, len(words), 5000):
             part = words[i : i + 5000]
             made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            at = np.array([a for a, _ in made.offsets], np.int64)
-            sizes.append(np.diff(np.searchsorted(at, starts)))
-            found.append(np.array(made.ids, np.uint32))
-        if words:
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
-            self.ids = np.concatenate(found)
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+            starts = np.cumsum([len(w) + 1 for w in part])
+            ends += (len(ids) + np.searchsorted(np.array([a for a, _ in made.offsets], np.int64), starts)).tolist()
+            ids += made.ids
+        return np.array(ids, np.uint32), np.array(ends, np.int64)
+
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Numbers for words that are not known yet."""
+        text = b" ".join([*words, b""]).decode()
+        if not self.same:
+            odd = np.ones(len(words), bool)
+        elif NOT_PLAIN.search(text):
+            odd = np.array([NOT_PLAIN.search(w) is not None for w in text[:-1].split(" ")], bool)
+            text = " ".join([*(words[i].decode() for i in np.flatnonzero(~odd).tolist()), ""])
+        else:
+            odd = np.zeros(len(words), bool)
+        order, n = np.argsort(odd, kind="stable"), len(self)
+        made = [self.plain_ids(text)] if not odd.all() else []
+        if odd.any():
+            made.append(self.other_ids([words[i].decode() for i in np.flatnonzero(odd).tolist()]))
+        self.update(zip((words[i] for i in order.tolist()) if odd.any() else words, range(n, n + len(words))))
+        self.ends, self.met = room(self.ends, len(self) + 1), room(self.met, len(self))
+        self.met[n : len(self)] = 0
+        for ids, ends in made:
+            upto = int(self.ends[n])
+            self.ids = room(self.ids, upto + len(ids))
+            self.ends[n + 1 : n + 1 + len(ends)], self.ids[upto : upto + len(ids)] = upto + ends, ids
+            n += len(ends)
+        numbers = np.empty(len(words), np.int64)
+        numbers[order] = np.arange(len(self) - len(words), len(self))
+        return numbers
+
+    def encode(self, texts: list[bytes] | pa.Array) -> list[np.ndarray]:
         if len(self) > 2 * MEMO:
             self.forget()
-        split = [t.split() for t in texts]
-        counts = np.cumsum([0, *map(len, split)])
-        k = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts[-1]))
-        if self.new:
-            self.learn()
-        self.met = np.bincount(k, minlength=len(self)) + np.pad(self.met, (0, len(self) - len(self.met)))
-        size = self.ends[k + 1] - self.ends[k]
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()), "").cast(pa.string())
+        split = pc.ascii_split_whitespace(texts)  # of blanks at either end empty words come, which have no ids
+        words = split.flatten().dictionary_encode()
+        where, counts, distinct = words.indices.to_numpy(), split.offsets.to_numpy(), words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        k = np.fromiter(map(self.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            k[new] = self.learn([distinct[i] for i in new.tolist()])
+        self.met[k] += np.bincount(where, minlength=len(k))
+        size = (self.ends[k + 1] - self.ends[k])[where]
         upto = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.arange(upto[-1]) + np.repeat(self.ends[k] - upto[:-1], size)]
-        return np.split(flat, upto[counts[1:-1]]) if texts else []
+        flat = self.ids[np.arange(upto[-1]) + np.repeat(self.ends[k][where] - upto[:-1], size)]
+        return np.split(flat, upto[counts[1:-1]]) if len(texts) else []
 
 
 _workers: dict[str, Words] = {}
@@ -235,9 +304,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, max_tokens
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            for part in tx.slices(batch):
-                texts = pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist()
-                for name, x in zip(part.column("doc_id").to_pylist(), words.encode(texts)):
+            for part in tx.slices(batch, size=SLICE):
+                for name, x in zip(part.column("doc_id").to_pylist(), words.encode(part.column("text"))):
                     names.append(name)
                     ids.append(np.append(x, np.uint32(end_id)).astype("<u4"))
                     held += len(ids[-1])

@@ -39,3 +39,30 @@ def test_packing_remembers_few_words(monkeypatch):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
         assert len(words) <= 2 * 50 + 42
     assert b"the" in words and b"same" in words  # frequent ones stay
+
+
+def test_packing_takes_words_apart_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, library, rng = packing.Words(path), Tokenizer.from_file(path), np.random.default_rng(7)
+    alphabets = ["'strevmld'S!.", "abcdefghijklmnopqrstuvwxyzABZ", "0123456789a,", "".join(map(chr, range(33, 127))), "ÀÖØÞßàöøÿ×÷µªº²aB'", "ΑΣσςİıſKÅﬁ中文́̈ \x85\x1c\x00\x7f“”…<|>a'"]
+    odd = ["<|endoftext|>", "a<|startoftext|>b", "<|END", "it's", "'S'll'''s", "!'s", "Å", "́a", "", "x" * 3000, "###", "naïve", "STRASSEẞ", " ", "a b"]
+    for start in range(40):
+        made = ["".join(rng.choice(list(alphabets[(start + k) % 6 if start % 2 else start % 4]), rng.integers(1, 14))) for k in range(60)]
+        texts = [" ".join(made[:30]), "\n\t " + "\x0b".join(made[30:]) + " \r\f", " ".join(odd) if start % 3 == 2 else "", " ", made[0]]
+        for text, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_looks_distinct_words_up_once_and_plain_ones_cost_no_full_pass():
+    class Counted(packing.Words):
+        looked_up = 0
+
+        def get(self, *args):
+            self.looked_up += 1
+            return super().get(*args)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, text = Counted(path), "It's the Élève's 25th, " * 1000
+    expected, words.tokenizer = words.tokenizer.encode(text, add_special_tokens=False).ids, None
+    assert [x.tolist() for x in words.encode([text.encode(), b"the"])] == [expected, words.encode([b"the"])[0].tolist()]
+    assert words.looked_up == 4 + 1 + 1  # four words, the empty one after the last blank, and "the" again
