@@ -505,3 +505,39 @@ def test_decayed_z_by_days_or_ranges(spark, monkeypatch, most):
     monkeypatch.setattr(ratings, "MOST_OF_A_DAY", most)
     for r in ratings.decayed_z(rows, "ts", ["a"]).collect():
         assert r.a_z == (None if want[r.race_id] is None else pytest.approx(want[r.race_id], rel=1e-9, abs=1e-9))
+
+
+def _shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_durable_tables_leave_no_shuffles(spark):
+    """What a stored table was made from is removed when it is written; the session's setting stays, and a table that is read later still makes its own."""
+    before, setting = _shuffle_files(spark), spark.conf.get(scan.CLEANUP)
+    made = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    stored = scan.durable(made)
+    assert not _shuffle_files(spark) - before and spark.conf.get(scan.CLEANUP) == setting
+    assert sorted(map(str, stored.collect())) == sorted(map(str, made.collect()))
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_hot_priors_by_day_equal_windows(spark, monkeypatch, most):
+    """Nulls among keys, times and flags, empty keys and several rows of one time: by days, or by ranges where a day holds too much."""
+    monkeypatch.setattr(features, "MOST_OF_A_DAY", most)
+    rows = spark.range(2000).selectExpr(
+        "cast(id AS string) AS race_id", "'h' AS horse_id", "if(id % 50 = 0, null, if(id % 3 = 0, '', 'a')) AS trainer_id", "cast(id % 9 AS string) AS jockey_id", "if(id % 11 = 0, null, 'g') AS going",
+        "if(id % 77 = 0, null, timestamp'1969-12-30' + make_dt_interval(cast(id % 5 AS int), cast(id % 4 AS int) * 7)) AS ts", "if(id % 13 = 0, null, cast(id % 3 = 0 AS int)) AS won",
+    )
+    told = lambda df: sorted(map(str, df.collect()))
+    for keys in (["trainer_id"], ["trainer_id", "going"]):
+        assert told(features.prior_rate(rows, keys, "ts", "won", "rate", hot=True)) == told(features.prior_rate(rows, keys, "ts", "won", "rate"))
+    two = ["jockey_id", "trainer_id"]
+    plain = told(features.prior_eb_rate(rows, two, "ts", "won"))
+    assert told(features.prior_eb_rate(rows, two, "ts", "won", hot=("trainer_id",))) == plain
+    assert told(features.prior_eb_rate(scan.durable(rows), two, "ts", "won", hot=("trainer_id",), cheap=True)) == plain
+
+
+def test_few_trainers_meet_no_single_task(spark, sf_dir):
+    plan = q.rated(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(trainer_id" not in plan and "hashpartitioning(__slot" in plan
