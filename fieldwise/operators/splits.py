@@ -50,8 +50,9 @@ def split_kfold(df: DataFrame, group: str, time: str, k: int) -> DataFrame:
 
 def grouped_time_cv(df: DataFrame, group: str, time: str, k: int) -> DataFrame:
     """k folds over k + 1 blocks: fold i trains on blocks 0..i and validates on the next. k is at least 2 and at most the number of contests."""
-    k = max(2, min(k, df.select(group).distinct().count()))
-    placed = order_groups(df, group, time).withColumn("block", block_of(F.col("place"), F.col("groups"), k + 1))
+    ordered = order_groups(df, group, time)
+    k = max(2, min(k, (ordered.select("groups").first() or [0])[0]))
+    placed = ordered.withColumn("block", block_of(F.col("place"), F.col("groups"), k + 1))
     folds = placed.withColumn("fold", F.explode(F.sequence(F.greatest(F.col("block") - 1, F.lit(0)), F.lit(k - 1))))
     return folds.select("fold", group, "first_time", F.when(F.col("block") <= F.col("fold"), "train").otherwise("valid").alias("role"))
 

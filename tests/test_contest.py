@@ -541,3 +541,23 @@ def test_hot_priors_by_day_equal_windows(spark, monkeypatch, most):
 def test_few_trainers_meet_no_single_task(spark, sf_dir):
     plan = q.rated(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(trainer_id" not in plan and "hashpartitioning(__slot" in plan
+
+
+def test_folds_are_fitted_on_stored_rows(spark, monkeypatch):
+    """The rows are written, then with their folds; contests are counted on what their order wrote, and steps end when they move nothing."""
+    made = _writes(monkeypatch, models)
+    rows = spark.range(400).selectExpr("cast(id % 40 AS string) AS race_id", "cast(id AS string) AS horse_id", "timestamp'2024-01-01' + make_dt_interval(cast(id % 40 AS int)) AS race_dt", "cast(id * 7 % 10 < 3 AS int) AS is_win", "id % 13 / 13.0 AS x")
+    scored = models.train_oof(rows, ["x"], k=2)
+    assert made == [rows.columns, ["race_id", *[c for c in rows.columns if c != "race_id"], "__fold"]]
+    assert scored.where("oof_prob IS NOT NULL").count() > 0
+    from fieldwise.operators import calibration
+
+    passes = []
+    real = F.create_map
+    monkeypatch.setattr(calibration.F, "create_map", lambda *a: passes.append(1) or real(*a))
+    fit = calibration.fit_logistic(rows, ["x"], "is_win")
+    few = len(passes)
+    monkeypatch.setattr(calibration, "SETTLED", -1.0)
+    whole = calibration.fit_logistic(rows, ["x"], "is_win")
+    assert few < len(passes) - few == calibration.STEPS
+    assert (fit.intercept, *fit.weights) == pytest.approx((whole.intercept, *whole.weights), rel=1e-12)
