@@ -561,3 +561,15 @@ def test_folds_are_fitted_on_stored_rows(spark, monkeypatch):
     whole = calibration.fit_logistic(rows, ["x"], "is_win")
     assert few < len(passes) - few == calibration.STEPS
     assert (fit.intercept, *fit.weights) == pytest.approx((whole.intercept, *whole.weights), rel=1e-12)
+
+
+def test_a_calibrator_writes_labelled_rows_once(spark, monkeypatch):
+    from fieldwise.operators import guards
+
+    made = _writes(monkeypatch, guards, models)
+    pred = spark.range(60).selectExpr("cast(id % 9 AS string) AS race_id", "cast(id AS string) AS horse_id", "(id % 17 + 1) / 20.0 AS model_prob")
+    labels = pred.select("race_id", "horse_id", (F.col("model_prob") > 0.6).cast("int").alias("target"))
+    assert models.fit_calibrator(pred, "none", labels)[1].first().n == 60
+    assert made == [["model_prob", "won"]]
+    with pytest.raises(ValueError, match="no row meets a label"):
+        models.fit_calibrator(pred, "none", labels.withColumn("race_id", F.lit("no")))
