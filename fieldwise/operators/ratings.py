@@ -96,11 +96,12 @@ def decayed_z(df: DataFrame, time: str, columns: list[str], half_life: float = 1
 
 def blended_ratings(df: DataFrame, time: str = "race_dt", half_life: float = 180.0, weights: dict[str, float] | None = None, ties=TIES) -> DataFrame:
     """Keys, the four ratings before each row, their decayed z-scores, and the scores' weighted sum. The rows are written once, since the
-    ratings need the mean of all of them too."""
+    ratings need the mean of all of them too, again after horses and jockeys, and after the few trainers, who are dealt by day: so the disk holds the shuffles of
+    one of these steps at a time."""
     weights = weights or BLEND
     rated = durable(df.select("race_id", time, "horse_id", "jockey_id", "trainer_id", "field_size", "pos", "is_win"))
     rated = eb(elo(rated, "horse_id", time, "horse_elo", ties=ties), "horse_id", time, "horse_eb", ties=ties)
-    for entity in ("jockey", "trainer"):
-        rated = elo(rated, f"{entity}_id", time, f"{entity}_elo", ties=ties)
-    scored = decayed_z(rated.drop("field_size", "pos", "is_win"), time, list(weights), half_life, ties)
+    rated = elo(rated, "jockey_id", time, "jockey_elo", ties=ties).drop("is_win")
+    rated = elo(rated, "trainer_id", time, "trainer_elo", ties=ties, hot=True)
+    scored = decayed_z(rated.drop("field_size", "pos"), time, list(weights), half_life, ties)
     return scored.withColumn("rating_blend", sum((w * F.col(f"{c}_z") for c, w in weights.items()), F.lit(0.0)))

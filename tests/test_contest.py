@@ -573,3 +573,19 @@ def test_a_calibrator_writes_labelled_rows_once(spark, monkeypatch):
     assert made == [["model_prob", "won"]]
     with pytest.raises(ValueError, match="no row meets a label"):
         models.fit_calibrator(pred, "none", labels.withColumn("race_id", F.lit("no")))
+
+
+def test_blended_ratings_are_stored_step_by_step(spark, monkeypatch):
+    """Entrants, then with horses and jockeys, then with the few trainers: each write removes the shuffles before it, and no task holds a trainer."""
+    made = _writes(monkeypatch, features, ratings)
+    keys = []
+    real = features.with_prior
+    monkeypatch.setattr(features, "with_prior", lambda df, *a: keys.append(df.columns) or real(df, *a))
+    rows = spark.range(200).selectExpr(
+        "cast(id % 50 AS string) AS race_id", "cast(id % 23 AS string) AS horse_id", "cast(id % 11 AS string) AS jockey_id", "cast(id % 3 AS string) AS trainer_id", "timestamp'2024-01-01' + make_dt_interval(cast(id % 50 AS int)) AS race_dt",
+        "cast(id % 4 + 1 AS int) AS pos", "4 AS field_size", "cast(id % 4 = 0 AS int) AS is_win",
+    )
+    got = {(r.race_id, r.horse_id): r for r in ratings.blended_ratings(rows).collect()}
+    assert len(got) == 200 and len(made) == 3 and len(keys) == 1 and "is_win" not in made[1] and "jockey_elo" in made[1] and "trainer_elo" in made[2]
+    plain = ratings.elo(rows, "trainer_id", "race_dt", "elo").collect()
+    assert [got[r.race_id, r.horse_id].trainer_elo for r in plain] == pytest.approx([r.elo for r in plain], rel=1e-9, abs=1e-9)
