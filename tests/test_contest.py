@@ -589,3 +589,14 @@ def test_blended_ratings_are_stored_step_by_step(spark, monkeypatch):
     assert len(got) == 200 and len(made) == 3 and len(keys) == 1 and "is_win" not in made[1] and "jockey_elo" in made[1] and "trainer_elo" in made[2]
     plain = ratings.elo(rows, "trainer_id", "race_dt", "elo").collect()
     assert [got[r.race_id, r.horse_id].trainer_elo for r in plain] == pytest.approx([r.elo for r in plain], rel=1e-9, abs=1e-9)
+
+
+def test_features_shuffle_rows_once_for_each_entity(spark, sf_dir):
+    """By contest, horse, jockey and trainer, with ratings of horses joined first; and the ratings by horse. Every feature is there."""
+    base = scan.durable(q.runners(spark, sf_dir).drop("odds_text"))
+    rated = ratings.elo(base, "horse_id", "race_dt", "horse_elo").select("horse_id", "race_dt", "horse_elo")
+    made = features.build_features(base, rated)
+    assert _exchanges(made) <= 5
+    names = {"is_place", "off_time", "n_90", "is_win_rate_365", "win_decayed_90", "runs_decayed_90", "horse_course_rate", "jockey_going_rate", "trainer_discipline_rate", "distance_bucket", "horse_distance_rate"}
+    names |= {"course_OTHER", "going_OTHER", "rating_delta", "weight_delta", "draw_norm", "draw_high", "eb_horse", "eb_jockey", "eb_trainer", "horse_elo_rt"}
+    assert names | set(base.columns) <= set(made.columns) and made.count() == base.count()
